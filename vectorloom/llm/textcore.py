@@ -143,3 +143,57 @@ def blocks(texts: list[str], most: int = BLOCK_CHARS) -> Iterator[tuple[int, int
         n += len(t) + 1
     if i < len(texts):
         yield i, len(texts)
+
+
+@dataclass
+class Words:
+    """Words of a block: maximal runs of characters other than space and U+0009 to U+000D, unchanged."""
+
+    hash: np.ndarray  # of each word
+    doc: np.ndarray
+    start: np.ndarray  # in the block's code points
+    end: np.ndarray
+    base: np.ndarray
+
+
+def words(texts: list[str]) -> Words:
+    lens = np.fromiter(map(len, texts), np.int64, len(texts))
+    cp = code_points("\n".join(texts))
+    base = np.zeros(len(texts), np.int64)
+    np.cumsum(lens[:-1] + 1, out=base[1:])
+    word = (cp != 32) & ((cp < 9) | (cp > 13))
+    edge = word.copy()
+    edge[1:] &= ~word[:-1]
+    start = np.flatnonzero(edge)
+    edge = word
+    edge[:-1] &= ~word[1:]
+    end = np.flatnonzero(edge) + 1
+    power, inv = powers(len(cp) + 1)
+    sums = np.zeros(len(cp) + 1, np.uint64)
+    np.cumsum((cp + np.uint32(1)).astype(np.uint64) * power[: len(cp)], out=sums[1:])
+    return Words(mix((sums[end] - sums[start]) * inv[start]), np.searchsorted(base, start, "right") - 1, start, end, base)
+
+
+def shingles(w: Words, n_docs: int, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text of each run of n words; a text of fewer words has one, made of all of them."""
+    size = np.bincount(w.doc, minlength=n_docs)
+    first = np.concatenate(([0], np.cumsum(size)))
+    k = len(w.hash) - n + 1
+    if k > 0:
+        h = np.zeros(k, np.uint64)
+        for j in range(n):
+            h = h * np.uint64(0xD6E8FEB86659FD93) + w.hash[j : j + k]
+        ok = w.doc[:k] == w.doc[n - 1 :]
+        h, doc = mix(h[ok]), w.doc[:k][ok]
+    else:
+        h, doc = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    short = np.flatnonzero((size > 0) & (size < n))
+    if len(short):
+        own = []
+        for d in short:
+            x = np.zeros(1, np.uint64)
+            for v in w.hash[first[d] : first[d + 1]]:
+                x = x * np.uint64(0xD6E8FEB86659FD93) + v
+            own.append(mix(x + np.uint64(size[d])))
+        h, doc = np.concatenate([h, *own]), np.concatenate([doc, short])
+    return h, doc
