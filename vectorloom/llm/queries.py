@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dartminhash, secrets, spm, toxicity
+from . import dartminhash, secrets, spm, substrings, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,8 +31,16 @@ def op8_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.write(table(spark, sf_dir, "pages")).index()
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op6_sentencepiece, op8_dartminhash)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op6_sentencepiece, op8_dartminhash, op9_warc, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

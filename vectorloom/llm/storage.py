@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,12 @@ class Workspace:
             root = f"file://{tempfile.gettempdir()}/vectorloom-checkpoints"
         self.path = f"{root.rstrip('/')}/work-{uuid.uuid4().hex}"
 
-    def written(self, df: DataFrame, name: str) -> DataFrame:
+    def written(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         """``df`` as a Parquet table, read again: lineage ends here and survives lost executors."""
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        df.write.mode("overwrite").option("compression", compression).parquet(f"{self.path}/{name}")
         return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def release(self) -> None:
+        """Lets Spark remove shuffle files of steps whose results are written: it does so once the JVM has collected their handles."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
