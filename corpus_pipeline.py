@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectorloom.llm import secrets, spm, toxicity
+from vectorloom.llm import dartminhash, decontam, secrets, spm, toxicity
+from vectorloom.llm.storage import Workspace
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,6 +13,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies, the document with the least doc_id stays."""
+    return dartminhash.keep_one(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontam.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the text give way to a mark."""
     return secrets.SecretScan(secrets.fit(docs)).redact(docs)
@@ -22,15 +33,20 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return spm.encode(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("secret_scan", redact_secrets), ("sentencepiece", tokens)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_benchmark),
+    ("secret_scan", redact_secrets),
+    ("sentencepiece", tokens),
+]
 
 #: No SQL states a random field or a tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from vectorloom.llm.storage import Workspace
-
+    """All stages over documents; each but the last is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     space = Workspace(spark)
     for name, stage in STAGES[:-1]:
