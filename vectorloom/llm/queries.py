@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dartminhash, decontam, editprint, secrets, spm, substrings, toxicity, warc
+from . import dartminhash, decontam, editprint, secrets, spm, substrings, tokencounts, toolchat, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,14 @@ def op3_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.section_counts(table(spark, sf_dir, "documents"))
+
+
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolchat.formatted(toolchat.asked(table(spark, sf_dir, "conversations")), toolchat.ASK)
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.digests(table(spark, sf_dir, "documents"))
 
@@ -48,7 +56,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_edit_fingerprint, op6_sentencepiece, op7_decontamination, op8_dartminhash, op9_warc, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_edit_fingerprint, op4_token_counts, op5_tool_calls, op6_sentencepiece, op7_decontamination, op8_dartminhash, op9_warc, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
