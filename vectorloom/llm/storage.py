@@ -29,3 +29,8 @@ class Workspace:
         """Lets Spark remove shuffle files of steps whose results are written: it does so once the JVM has collected their handles."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
+
+    def remove(self, name: str) -> None:
+        """Deletes a table that no later step reads."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,7 +5,7 @@ with the least hash among those inside it, so equal windows choose equal parts.
 is extended to twice that length and judged again, up to the wanted length or until no candidates survive.
 A repeated window's earliest place stays; of every other one the words go. Windows are judged on the input.
 
-Hashes at the last length have 128 bits, those that only propose candidates 64. Hot passages: counts and first places
+Hashes at the last length have 96 bits, those that only propose candidates 64. Hot passages: counts and first places
 are aggregated before the shuffle, and where places meet counts it is a join whose large partitions Spark splits.
 
 Cases: null and empty texts have no words; texts with fewer words than a window lose none; rows that repeat a doc_id
@@ -30,7 +30,7 @@ from .textcore import Words, blocks, mix, words
 WINDOW = 20
 _SPACES = re.compile("[\x20\x09-\x0d]+")
 _WORD = re.compile("[^\x20\x09-\x0d]+")
-_KEYS = {"id": "coalesce(doc_id, 9223372036854775807L)", "h": "xxhash64(coalesce(text, ''))"}
+_KEYS = {"id": "coalesce(doc_id, 9223372036854775807L)", "h": "hash(coalesce(text, ''))"}
 
 
 def windows(w: Words, n: int, mult: int = 0xD6E8FEB86659FD93) -> tuple[np.ndarray, np.ndarray]:
@@ -101,6 +101,11 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
     return np.split(values, np.cumsum(full)[:-1])
 
 
+def ordered(ids: np.ndarray) -> bool:
+    """Whether the texts of a block come in order of their ids, none twice."""
+    return bool((np.diff(ids) > 0).all())
+
+
 def _judge(wide: int, n: int):
     def kernel(b: pa.RecordBatch) -> dict:
         texts, ids, hs, hits = texts_of(b["text"]), b["id"].to_numpy(), b["h"].to_numpy(), _lists(b["hits"])
@@ -109,8 +114,11 @@ def _judge(wide: int, n: int):
             w = words(texts[i:j])
             first = _firsts(w, j - i)
             at = _candidates(w, wide, n, np.concatenate([x + f for x, f in zip(hits[i:j], first[:-1], strict=True)]))
+            # a window that its block has already shown is not first, but stays a candidate
+            full = windows(w, wide)[0]
+            at = at[np.sort(np.unique(full[at], return_index=True)[1])] if ordered(ids[i:j]) else at
             d = w.doc[at]
-            out.append((windows(w, wide)[0][at].view(np.int64), windows(w, wide, 0xA24BAED4963EE407)[0][at].view(np.int64), ids[i + d], hs[i + d], at - first[d]))
+            out.append((full[at].view(np.int64), windows(w, wide, 0xA24BAED4963EE407)[0][at].astype(np.uint32).view(np.int32), ids[i + d], hs[i + d], at - first[d]))
         c = [np.concatenate(x) for x in zip(*out, strict=True)]
         return {"key": pa.array(c[0]), "key2": pa.array(c[1]), "id": pa.array(c[2]), "h": pa.array(c[3]), "at": pa.array(c[4].astype(np.int32))}
 
@@ -151,14 +159,15 @@ def _remove(wide: int, n: int, texts_too: bool):
 def repeated(docs: DataFrame, wide: int, space: Workspace) -> tuple[DataFrame, DataFrame, int]:
     """By (id, h): ``hits``, places of repeated windows of n words; ``stay``, places of candidate windows of ``wide`` words that are first. And n."""
     n = (wide + 1) // 2
-    schema = "key long, id long, h long, at int"
+    schema = "key long, id long, h int, at int"
     source = _KEYS | {"text": "text"}
     parts = space.written(arrow_map(docs, source, schema, _propose(n, wide)), "parts")
     often = parts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     hits = space.written(parts.join(often, "key").groupBy("id", "h").agg(F.collect_set("at").alias("hits")), "hits")
+    space.remove("parts")
     space.release()
     rows = docs.selectExpr(*(f"{e} AS {c}" for c, e in source.items())).join(hits, ["id", "h"])
-    judged = arrow_map(rows, {c: c for c in ("id", "h", "text", "hits")}, "key long, key2 long, id long, h long, at int", _judge(wide, n))
+    judged = arrow_map(rows, {c: c for c in ("id", "h", "text", "hits")}, "key long, key2 int, id long, h int, at int", _judge(wide, n))
     first = judged.groupBy("key", "key2").agg(F.min(F.struct("id", "at", "h")).alias("f"))
     stay = space.written(first.groupBy(F.col("f.id").alias("id"), F.col("f.h").alias("h")).agg(F.collect_set("f.at").alias("stay")), "stay")
     space.release()
