@@ -1,0 +1 @@
+"""Pipelines and queries made of operators."""
