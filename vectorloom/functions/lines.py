@@ -10,6 +10,11 @@ SIDES = ("left", "top", "right", "bottom")
 RANK = {"left": 0, "top": 1, "none": 2, "right": 3, "bottom": 4}
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value evaluated once a row: higher-order functions do not share common parts on their own."""
+    return F.transform(F.array(value), use)[0]
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -125,22 +130,31 @@ def resample(line: Column, interval: Column | float, most: Column | int, closed:
     step = F.greatest(F.lit(interval) if isinstance(interval, float | int) else interval, F.lit(1e-3))
     # running lengths: struct of the sum and the list so far
     zero = F.struct(F.lit(0.0).alias("s"), F.array(F.lit(0.0)).alias("l"))
-    cum = F.aggregate(segments(base), zero, lambda a, g: F.struct((a["s"] + distance(g["a"], g["b"])).alias("s"), F.concat(a["l"], F.array(a["s"] + distance(g["a"], g["b"]))).alias("l")))
-    total, at = cum["s"], cum["l"]
-    n = F.least(F.greatest(F.floor(total / step) + 1, F.lit(3 if closed else 2)), F.greatest(most, F.lit(3 if closed else 2))).cast("int")
-    target = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i == n - 1, total).otherwise(i * (total / (n - 1))))
-
-    def place(t: Column) -> Column:
-        k = F.least(F.greatest(F.size(F.filter(at, lambda c: c <= t)), F.lit(1)), F.size(base) - 1)
-        a, b = base[k - 1], base[k]
-        span = at[k] - at[k - 1]
-        r = F.when(span > 0, (t - at[k - 1]) / span).otherwise(0.0)
-        return point(a["x"] + (b["x"] - a["x"]) * r, a["y"] + (b["y"] - a["y"]) * r)
-
-    out = F.transform(target, place)
-    if closed:
-        out = F.slice(out, F.lit(1), F.size(out) - 1)
-    return F.when((F.size(line) <= 1) | (total < 1e-6), F.slice(line, 1, 1)).otherwise(out)
+
+    def grown(a: Column, g: Column) -> Column:
+        return let(a["s"] + distance(g["a"], g["b"]), lambda s: F.struct(s.alias("s"), F.concat(a["l"], F.array(s)).alias("l")))
+
+    def spread(v: Column) -> Column:
+        base, total, at = v["base"], v["cum"]["s"], v["cum"]["l"]
+        n = F.least(F.greatest(F.floor(total / step) + 1, F.lit(3 if closed else 2)), F.greatest(most, F.lit(3 if closed else 2))).cast("int")
+
+        def place(t: Column) -> Column:
+            k = F.least(F.greatest(F.size(F.filter(at, lambda c: c <= t)), F.lit(1)), F.size(base) - 1)
+
+            def between(k: Column) -> Column:
+                a, b = base[k - 1], base[k]
+                span = at[k] - at[k - 1]
+                r = F.when(span > 0, (t - at[k - 1]) / span).otherwise(0.0)
+                return let(r, lambda r: point(a["x"] + (b["x"] - a["x"]) * r, a["y"] + (b["y"] - a["y"]) * r))
+
+            return let(k, between)
+
+        out = let(n, lambda n: F.transform(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i == n - 1, total).otherwise(i * (total / (n - 1)))), place))
+        if closed:
+            out = F.slice(out, F.lit(1), F.size(out) - 1)
+        return F.when((F.size(line) <= 1) | (total < 1e-6), F.slice(line, 1, 1)).otherwise(out)
+
+    return let(let(base, lambda b: F.struct(b.alias("base"), F.aggregate(segments(b), zero, grown).alias("cum"))), spread)
 
 
 def point_segment(p: Column, a: Column, b: Column) -> Column:
@@ -153,7 +167,7 @@ def point_segment(p: Column, a: Column, b: Column) -> Column:
 
 
 def _directed(a: Column, b: Column) -> Column:
-    return F.array_max(F.transform(a, lambda p: F.array_min(F.transform(segments(b), lambda g: point_segment(p, g["a"], g["b"])))))
+    return let(segments(b), lambda all_b: F.array_max(F.transform(a, lambda p: F.array_min(F.transform(all_b, lambda g: point_segment(p, g["a"], g["b"]))))))
 
 
 def hausdorff(a: Column, b: Column) -> Column:

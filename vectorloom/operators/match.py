@@ -25,9 +25,10 @@ def line_pairs(left: DataFrame, right: DataFrame, key: list[str], threshold: flo
     # lines within the threshold of one another have envelopes whose sides are within it
     near = " and ".join(f"abs({a}_e.{c} - {b}_e.{c}) <= {threshold}" for c in ("x0", "y0", "x1", "y1"))
     first = (F.floor(F.greatest(F.col(f"{a}_e.x0") - threshold, F.col(f"{b}_e.x0")) / cell) == F.col("cx")) & (F.floor(F.greatest(F.col(f"{a}_e.y0") - threshold, F.col(f"{b}_e.y0")) / cell) == F.col("cy"))
-    pairs = x.join(y, [*key, "cx", "cy"]).where(near).where(first)
-    out = pairs.select(*key, a, b, L.hausdorff(F.col(f"{a}_line"), F.col(f"{b}_line")).alias("distance"), L.endpoint_error(F.col(f"{a}_line"), F.col(f"{b}_line")).alias("endpoint_error"))
-    return out.where(F.col("distance") <= threshold)
+    # the guard keeps the kernel from running before the cheap tests, whatever order the conjuncts are put in
+    far = F.when(F.expr(near) & first, L.hausdorff(F.col(f"{a}_line"), F.col(f"{b}_line")))
+    pairs = x.join(y, [*key, "cx", "cy"]).withColumn("distance", far).where(F.col("distance") <= threshold)
+    return pairs.select(*key, a, b, "distance", L.endpoint_error(F.col(f"{a}_line"), F.col(f"{b}_line")).alias("endpoint_error"))
 
 
 def box_pairs(left: DataFrame, right: DataFrame, key: list[str], threshold: float, names: tuple[str, str] = ("pred", "gt"), cell: int = 256) -> DataFrame:
