@@ -59,5 +59,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_edit_fingerprint, op4_token_counts, op5_tool_calls, op6_sentencepiece, op7_decontamination, op8_dartminhash, op9_warc, op10_substring_dedup)}
 
 
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+#: Where SQL states the whole result. Random fields, tokenizers, embeddings and signatures are tested against brute force instead.
+SQL = {
+    "op7_decontamination": f"""with grams as (select 'd' as side, doc_id as id, {_WORDS.format('text')} as w from documents union all select 'i', item_id, {_WORDS.format('text')} from benchmark),
+ sh as (select distinct side, id, array_to_string(list_slice(w, k, k + least(len(w), 5) - 1), ' ') as s from (select *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as k from grams where len(w) > 0)),
+ n as (select id, count(*) as n from sh where side = 'i' group by 1), hit as (select d.id as doc_id, i.id as item_id, count(*) as k from sh d join sh i on d.s = i.s and d.side = 'd' and i.side = 'i' group by all)
+ select doc_id, item_id, cast(k as int) as n_shared, cast(n as int) as n_shingles, k / n as containment from hit join n on n.id = item_id where k >= 0.8 * n - 1e-9""",
+    "op9_warc": """with d as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages), f as (select *, min(page_id) over (partition by payload_digest) as one from d)
+ select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and page_id <> one then 'revisit' else 'response' end as record_type, case when payload_bytes >= 100 and page_id <> one then one end as refers_to from f""",
+    "op10_substring_dedup": f"""with d as (select doc_id, {_WORDS.format("coalesce(text, '')")} as w from documents), w as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from d),
+ win as (select doc_id, k as i, array_to_string(list_slice(w, k, k + 19), ' ') as s from (select *, unnest(range(1, len(w) - 18)) as k from d where len(w) >= 20)),
+ again as (select doc_id, i from (select doc_id, i, row_number() over (partition by s order by doc_id, i) as n from win) where n > 1),
+ mark as (select w.doc_id, w.i, word, coalesce(max(a.i) over (partition by w.doc_id order by w.i rows between 19 preceding and current row) is not null, false) as gone from w left join again a on a.doc_id = w.doc_id and a.i = w.i),
+ out as (select doc_id, count(*) as n_words, count(*) filter (where gone) as n_removed, string_agg(word, ' ' order by i) filter (where not gone) as kept from mark group by 1)
+ select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join out using (doc_id)""".replace("select d.doc_id, coalesce", "select doc_id, coalesce"),
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
