@@ -11,23 +11,24 @@ from ..functions import lines as L
 FOLD_PAIRS = 5000
 
 
-def line_pairs(left: DataFrame, right: DataFrame, key: list[str], threshold: float, names: tuple[str, str] = ("pred", "gt"), cell: float = 256.0) -> DataFrame:
+def line_pairs(left: DataFrame, right: DataFrame, key: list[str], threshold: float, names: tuple[str, str] = ("pred", "gt")) -> DataFrame:
     """key, left and right id, distance and endpoint_error of pairs of lines (id, line) at most ``threshold`` apart.
-    A pair that close has starting vertices within reach of the other's envelope, so envelopes widened by the threshold are dealt to grid cells and only pairs that share one are looked at."""
+    The envelopes of lines that close have sides within the threshold of one another. So the right side is dealt to the grid cell of its envelope's least corner, the left side to the cells
+    within the threshold of its own, and a pair meets in one cell at most."""
     a, b = names
+    cell = max(64.0, 4 * threshold)
 
     def dealt(df: DataFrame, n: str, wide: float) -> DataFrame:
-        e = L.envelope(F.col("line"))
-        to = lambda lo, hi: F.explode(F.sequence(F.floor((lo - wide) / cell).cast("long"), F.floor((hi + wide) / cell).cast("long")))
-        return df.select(*key, F.col("id").alias(n), F.col("line").alias(f"{n}_line"), e.alias(f"{n}_e")).withColumn("cx", to(F.col(f"{n}_e.x0"), F.col(f"{n}_e.x1"))).withColumn("cy", to(F.col(f"{n}_e.y0"), F.col(f"{n}_e.y1")))
+        out = df.where(F.size("line") >= 2).select(*key, F.col("id").alias(n), F.col("line").alias(f"{n}_line"), L.envelope(F.col("line")).alias(f"{n}_e"))
+        at = lambda c, d: F.floor((F.col(f"{n}_e.{c}") + d) / cell).cast("long")
+        if not wide:
+            return out.withColumn("cx", at("x0", 0)).withColumn("cy", at("y0", 0))
+        return out.withColumn("cx", F.explode(F.sequence(at("x0", -wide), at("x0", wide)))).withColumn("cy", F.explode(F.sequence(at("y0", -wide), at("y0", wide))))
 
-    x, y = dealt(left.where(F.size("line") >= 2), a, threshold), dealt(right.where(F.size("line") >= 2), b, 0.0)
-    # lines within the threshold of one another have envelopes whose sides are within it
     near = " and ".join(f"abs({a}_e.{c} - {b}_e.{c}) <= {threshold}" for c in ("x0", "y0", "x1", "y1"))
-    first = (F.floor(F.greatest(F.col(f"{a}_e.x0") - threshold, F.col(f"{b}_e.x0")) / cell) == F.col("cx")) & (F.floor(F.greatest(F.col(f"{a}_e.y0") - threshold, F.col(f"{b}_e.y0")) / cell) == F.col("cy"))
     # the guard keeps the kernel from running before the cheap tests, whatever order the conjuncts are put in
-    far = F.when(F.expr(near) & first, L.hausdorff(F.col(f"{a}_line"), F.col(f"{b}_line")))
-    pairs = x.join(y, [*key, "cx", "cy"]).withColumn("distance", far).where(F.col("distance") <= threshold)
+    far = F.when(F.expr(near), L.hausdorff(F.col(f"{a}_line"), F.col(f"{b}_line")))
+    pairs = dealt(left, a, threshold).join(dealt(right, b, 0.0), [*key, "cx", "cy"]).withColumn("distance", far).where(F.col("distance") <= threshold)
     return pairs.select(*key, a, b, "distance", L.endpoint_error(F.col(f"{a}_line"), F.col(f"{b}_line")).alias("endpoint_error"))
 
 
