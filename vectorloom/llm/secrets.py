@@ -32,6 +32,8 @@ KINDS = ("assign", "access", "hex", "crf")
 OUTSIDE, BEGIN, INSIDE = range(3)
 #: Rows of the sample that the field is fitted on, and the longest text in it.
 SAMPLE_ROWS, SAMPLE_CHARS = 6000, 50_000
+#: Characters of texts with spans, and of others, that the field is fitted on.
+FIT_CHARS = 1_000_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -90,11 +92,17 @@ def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 
 
 def fit_texts(texts: list[str]) -> crf.Model:
-    """A field that has learned from the base patterns' spans: all texts with spans, and as many others at most, but 200 at least."""
+    """A field that has learned from the base patterns' spans: texts with spans, and as many others at most, but 200 at least; each kind up to FIT_CHARS."""
     found = [merged(base_spans(t)) for t in texts]
     some = [i for i, f in enumerate(found) if f]
     rest = [i for i, f in enumerate(found) if not f][: max(200, len(some))]
-    take = some + rest
+    take = []
+    for kind in (some, rest):
+        size = 0
+        for i in kind:
+            if size <= FIT_CHARS:
+                take.append(i)
+                size += len(texts[i])
     if not take:
         return crf.Model(np.zeros((2, 3), np.float32), np.array([[0, -9, crf.FAR], [0, 0, 0], [0, 0, 0.0]]))
     t = tokenize([texts[i] for i in take], True)

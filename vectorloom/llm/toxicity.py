@@ -28,7 +28,7 @@ from .textcore import blocks, mix, tokenize
 #: The sample: so many toxic and clean rows at most, each of at most so many characters.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 800, 1200, 50_000
 #: Characters of the sample's documents whose tokens the field is fitted on.
-FIT_CHARS = 2_000_000
+FIT_CHARS = 1_500_000
 THRESHOLD = 0.3
 
 
