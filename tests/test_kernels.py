@@ -149,3 +149,38 @@ def test_join_lines():
     m.add({"a": 2}, [(1.0, 0.0), (2.0, 0.0)])
     m.add({"a": 1}, [(2.0, 0.0), (5.0, 0.0)])
     assert [(len(x[1]), x[2]) for x in m.lines] == [(3, 2), (2, 1)] and json.dumps(m.lines)
+
+
+def test_image_turns_follow_points(spark):
+    import numpy as np
+
+    from vectorloom.functions import images
+    from vectorloom.operators import synthesis
+
+    for rot, h, v in ((0, True, False), (1, False, False), (2, False, True), (3, True, True)):
+        px = np.zeros((5, 5, 1))
+        px[1, 3] = 1
+        moved = value(line(spark, [(3, 1)]), synthesis.augmented(F.col("line"), 5, F.lit(rot), F.lit(h), F.lit(v)))[0]
+        assert images.turned(px, rot, h, v)[int(moved["y"]), int(moved["x"]), 0] == 1
+
+
+def test_images():
+    import numpy as np
+
+    from vectorloom.functions import images
+
+    flat = np.full((3, 6, 2), 51.0)
+    box = images.letterboxed(flat, 8, 8, 4, 0, 2)
+    assert box.shape == (2, 8, 8) and np.allclose(box[:, 2:6], 0.2) and not box[:, :2].any()
+    mask = np.ones((4, 4))
+    assert images.reviewed(np.ones((3, 3, 1)), mask, (2, 2, 5, 5)).sum() == 4
+    assert images.reviewed(np.ones((3, 3, 1)), mask, (-1, -1, 2, 2)).sum() == 4
+
+
+def test_prompts(spark):
+    from vectorloom.functions import prompts
+
+    df = spark.sql("select array(named_struct('side', 'left', 'line', array(named_struct('x', 1d, 'y', 2d)))) a, array(named_struct('cut_in', 'left', 'cut_out', 'none')) t")
+    assert value(df, prompts.state_text(F.col("a"), F.lit("{}"))) == "State anchors=1\nidx=000 side=left points=1.0,2.0\nStateGeoJSON {}"
+    assert value(df, prompts.target_text(F.col("t"), F.lit("{}"))) == "Targets features=1\nidx=000 cut_in=left cut_out=none\n{}"
+    assert value(df, prompts.task_prompt(F.lit("m"), F.lit(""), F.lit("b"), F.lit("r"), F.lit(False))) == "m b r"

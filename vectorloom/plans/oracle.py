@@ -178,6 +178,9 @@ SQL: dict[str, str] = {
     "json_recover": "select event_id, replace(replace(props, ': ', ':'), ', ', ',') as found from events",
     "canonical_props": """select event_id, '{"a":"' || event_type || '","m":[1,null],"z":' || user_id || '}' as props from events""",
     "props_equal": "select event_id, event_id % 4 = user_id % 4 as same from events",
-    "utm_roundtrip": "",
+    "augment_square": f"""{W('fx_point')}, {MOD}, t as (select sample_id, feature_id, pt - lo as i, case feature_id % 4 when 1 then y when 2 then 255 - x when 3 then 255 - y else x end as tx, case feature_id % 4 when 1 then 255 - x when 2 then 255 - y when 3 then x else y end as ty from mod_pt)
+ select sample_id, feature_id, i, case when feature_id % 3 = 0 then 255 - tx else tx end as x, case when feature_id % 5 = 0 then 255 - ty else ty end as y from t""",
+    "feature_replicas": f"""{W('fx_point')}, f as (select sample_id, feature_id, row_number() over (partition by sample_id order by feature_id) - 1 as i, count(*) over (partition by sample_id) as n from (select distinct sample_id, feature_id from fx_point))
+ select sample_id, feature_id, k.n as copy from f join {_N} k on k.n < 300 and k.n % f.n = f.i""",
+    "round_robin": f"{W('fx_raster')}, o as (select sample_id, row_number() over (order by sample_id) - 1 as k, count(*) over () as n from fx_raster) select event_id + 1 as epoch, sample_id from events join o on event_id % n = k",
 }
-del SQL["utm_roundtrip"]

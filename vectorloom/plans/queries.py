@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import coords as C
 from ..functions import lines as L
 from ..functions import polygons, props
-from ..operators import match, metrics, pieces, tiles
+from ..operators import match, metrics, pieces, synthesis, tiles
 from .fixtures import view
 
 TILE, OVERLAP, MARGIN = 768, 192, 96
@@ -397,13 +397,28 @@ def tiled_replay_predict(s, d):
     return tiled.merge_tiles(rows, ["sample_id"], 3.0).select("sample_id", "props", "n_points", "n_parts")
 
 
+def augment_square(s, d):
+    rows = _mod_lines(s, d)
+    rot, h, v = (F.col("feature_id") % 4).cast("int"), F.col("feature_id") % 3 == 0, F.col("feature_id") % 5 == 0
+    return _exploded(rows.withColumn("line", synthesis.augmented(F.col("line"), 256, rot, h, v)), ["sample_id", "feature_id"])
+
+
+def feature_replicas(s, d):
+    return synthesis.replicated(_envelopes(s, d).select("sample_id", "feature_id"), ["sample_id"], 300).select("sample_id", "feature_id", F.col("copy").cast("long").alias("copy"))
+
+
+def round_robin(s, d):
+    epochs = s.read.parquet(f"{d}/events.parquet").select((F.col("event_id") + 1).alias("epoch"))
+    return synthesis.round_robin(epochs, view(s, d, "fx_raster").select("sample_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = (
         tile_windows, mask_bbox, tile_mask_stats, tile_select_audit, tile_neighbors, tile_state_regions, feature_envelope_join, empty_tile_filter, work_items, keep_center_filter,
         mask_inside_ratio, line_mask_islands, affine_world, utm_roundtrip, letterbox_uv, quantise_bins, resample_polyline, boundary_side, canonical_line, canonical_ring, anchors, target_items,
         line_clip_bbox, cut_flags, hausdorff_pairs, greedy_match, lane_metrics, polygon_iou, polygon_iou_kernel, polygon_clip, polygon_metrics, dedup_nms, finite_mean, parse_rate, parse_success_rate,
         batch_plan, batch_counts, lr_schedule, shift_accuracy, running_best, weighted_loss, export_cap, capped_pieces, cache_key, prompt_meta, json_recover, canonical_props, props_equal,
-        token_codec_roundtrip, grammar_mask, geojson_roundtrip, tiled_replay_predict,
+        augment_square, feature_replicas, round_robin, token_codec_roundtrip, grammar_mask, geojson_roundtrip, tiled_replay_predict,
     )
     return {f.__name__: f for f in names}
 
