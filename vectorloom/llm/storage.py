@@ -19,6 +19,13 @@ class Workspace:
 
             root = f"file://{tempfile.gettempdir()}/vectorloom-checkpoints"
         self.path = f"{root.rstrip('/')}/work-{uuid.uuid4().hex}"
+        files, path = self._files("")
+        files.mkdirs(path)
+        files.deleteOnExit(path)  # results that have been returned may still read it until the application ends
+
+    def _files(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def written(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         """``df`` as a Parquet table, read again: lineage ends here and survives lost executors."""
@@ -32,5 +39,5 @@ class Workspace:
 
     def remove(self, name: str) -> None:
         """Deletes a table that no later step reads."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        files, path = self._files(name)
+        files.delete(path, True)
