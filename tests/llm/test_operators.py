@@ -278,6 +278,26 @@ def test_near_duplicates_against_brute_force(spark):
     assert sorted(kept, key=str) == [2, None]
 
 
+def test_near_duplicates_in_large_buckets(spark):
+    """A family 0.75 alike through shared text, among it pairs just over 0.8 that mostly share nothing but large buckets."""
+    r = random.Random(4)
+    shared = prose(200, 70).split()
+    texts = []
+    for p in range(150):
+        pair = prose(8, 2000 + p).split()
+        texts += [" ".join([*shared, *pair, *prose(24, 3000 + 2 * p + k).split()]) for k in range(2)]
+    r.shuffle(texts)
+    label = list(range(len(texts)))
+    sets = [set(shingle_set(t)) for t in texts]
+    pairs = 0
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+            label[j] = label[i]
+            pairs += 1
+    assert pairs == 150
+    assert {x["doc_id"]: x["class_id"] for x in dartminhash.classes(table(spark, texts)).collect()} == dict(enumerate(label))
+
+
 def test_warc_round_trip(spark):
     big = "<html>" + "x" * 200
     rows = [(3, "http://a/\r\nb", big), (1, None, big), (2, "http://c", None), (4, "u", "short"), (5, "u", "short"), (None, "n", big), (6, "é", "ü🎉" * 60), (1, None, big)]

@@ -9,8 +9,9 @@ likeness. Cost is the number of elements plus k ln k, not their product. Coordin
 
 Signatures join in bands; candidates are verified by their exact weighted Jaccard likeness; links of at least the
 threshold make classes, by connected components. Exact copies fold into one representative first. Buckets of up to ``ALL_PAIRS``
-texts give all pairs. In larger ones every text is compared with the bucket's pivots: the least doc_id, the least by a hash, and the least by a hash
-that differs from bucket to bucket, so a text of a large family meets up to BANDS + 2 others of it, and those it is closest to also in small buckets.
+texts give all pairs. In larger ones every text is first compared with the bucket's pivots: the least doc_id, the least by a hash, and the least by a hash
+that differs from bucket to bucket. That joins most of a family of copies. Large buckets whose texts are still of several classes are then searched exactly
+(``crossing``): two texts alike enough share one of the rarest shingles of both, so all links between classes are found; pairs within one class need no comparison.
 
 Cases: null and empty texts link only to their exact copies (null counts as empty); texts under five words are one shingle;
 rows that repeat a doc_id are one document (of its texts, the one with the least hash stands for it); rows with a null
@@ -34,7 +35,7 @@ from .textcore import blocks, mix, shingles, words
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
-#: Buckets of up to so many texts give all pairs; of larger ones, all texts meet the pivots.
+#: Buckets of up to so many texts give all pairs; of larger ones, all texts meet the pivots, and what that leaves apart is searched by rare shingles.
 ALL_PAIRS = 16
 
 
@@ -148,15 +149,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, space: Workspace | No
     sketch = space.written(arrow_map(docs, {"doc_id": "doc_id", "text": "text"}, "doc_id long, copy binary, bands array<long>", _sketch), "sketch")
     known = sketch.where("doc_id is not null")
     reps = space.written(known.groupBy("copy").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("copy", F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands")), "reps")
-    edges = links(reps, docs, threshold, space)
-    named = components(edges, space)
+    named = joined(reps, docs, threshold, space)
     class_of = reps.select("copy", "rep").join(named.select(F.col("id").alias("rep"), "label"), "rep", "left").select("copy", "rep", F.coalesce("label", "rep").alias("class_id"))
     rows = known.groupBy("doc_id").agg(F.min("copy").alias("copy")).join(class_of, "copy").select("doc_id", "class_id", F.col("rep").alias("copy_of"))
     return rows.unionByName(sketch.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("copy_of")))
 
 
-def links(reps: DataFrame, docs: DataFrame, threshold: float, space: Workspace) -> DataFrame:
-    """(a, b) of representatives with a likeness of at least the threshold, from all pairs of small buckets and from the pivots of large ones."""
+def joined(reps: DataFrame, docs: DataFrame, threshold: float, space: Workspace) -> DataFrame:
+    """(id, label): the least of each representative's class. Classes connect all that share a bucket and have a likeness of at least the threshold."""
     buckets = reps.select("rep", F.explode("bands").alias("key"))
     pivot = lambda *by: F.min(F.struct(F.xxhash64("rep", *by).alias("h"), "rep"))["rep"]
     pivots = F.array_distinct(F.array(F.min("rep"), pivot(), pivot("key")))
@@ -171,7 +171,78 @@ def links(reps: DataFrame, docs: DataFrame, threshold: float, space: Workspace)
     space.release()
     done = space.written(verified(wanted, texts), "verified")
     space.release()
-    return done.where(F.col("likeness") >= threshold).select("a", "b")
+    near = done.where(F.col("likeness") >= threshold).select("a", "b")
+    # large buckets whose texts the pivots have not joined into one class
+    named = components(near, space, "first")
+    large = members.where(F.col("n") > ALL_PAIRS).select("key", "rep").join(named.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
+    apart = large.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    left = space.written(large.join(apart, "key").select("rep", "label").distinct(), "left")
+    if left.isEmpty():
+        return named
+    maybe = space.written(crossing(left, texts, threshold, space).join(wanted, ["a", "b"], "left_anti"), "crossing")
+    space.release()
+    # the likeliest partner of a text in each other class goes first; then only pairs whose classes are still two
+    ends = maybe.select("a", "b", F.col("a").alias("me"), F.col("label_b").alias("other"), "shared").union(maybe.select("a", "b", "b", "label_a", "shared"))
+    best = ends.groupBy("me", "other").agg(F.max(F.struct("shared", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+    tried = space.written(_joined(best, maybe, texts, threshold), "tried")
+    met = components(tried.where("near").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")), space, "second")
+    now = lambda c: met.select(F.col("id").alias(f"label_{c}"), F.col("label").alias(f"now_{c}"))
+    rest = maybe.join(now("a"), "label_a", "left").join(now("b"), "label_b", "left").where(F.coalesce("now_a", "label_a") != F.coalesce("now_b", "label_b"))
+    rest = space.written(rest.select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    space.release()
+    found = space.written(_joined(rest, maybe, texts, threshold), "found")
+    space.release()
+    # one edge for each two classes says as much as all links between them
+    edges = tried.union(found).where("near").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct()
+    last = components(edges, space, "last").select(F.col("id").alias("old"), F.col("label").alias("new"))
+    # a text that no pivot has joined is its own label
+    every = named.unionByName(last.select(F.col("old").alias("id"), F.col("old").alias("label"))).distinct()
+    return every.join(last, F.col("label") == F.col("old"), "left").select("id", F.coalesce("new", "label").alias("label"))
+
+
+def _joined(pairs: DataFrame, known: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """a, b, label_a, label_b of ``pairs``, and whether they are near."""
+    done = verified(pairs, texts).groupBy("a", "b").agg((F.max("likeness") >= threshold).alias("near"))
+    return done.join(known, ["a", "b"]).select("a", "b", "label_a", "label_b", "near")
+
+
+def _tokens(b: pa.RecordBatch) -> dict:
+    """Each text's shingles, the k-th occurrence of one told apart from the others, so the weighted likeness is that of plain sets."""
+    out = []
+    for t in b["text"].to_pylist():
+        x = _shingled(t)
+        nth = np.arange(len(x)) - np.searchsorted(x, x)
+        out.append(np.where(nth > 0, mix(x + mix(nth.astype(np.uint64))), x).view(np.int64))
+    return {c: b[c] for c in ("rep", "h", "label")} | {"n": pa.array([len(x) for x in out], pa.int32()), "tokens": pa.array(out, pa.list_(pa.int64()))}
+
+
+def crossing(left: DataFrame, texts: DataFrame, threshold: float, space: Workspace) -> DataFrame:
+    """a, b, label_a, label_b with a < b, and how many of their rarest tokens they share: pairs of different label among ``left`` (rep, label) that may be alike enough; none that is gets lost.
+
+    Tokens are ordered from the rarest to the most common. Of two texts of n <= m tokens, alike enough, at least t m and 2t / (1 + t) n
+    tokens are common, so the first common one is among the first m - t m + 1 of the larger and n - 2t / (1 + t) n + 1 of the smaller text, and
+    enough tokens come after it in both. Of the label that most texts with a token have, none is compared with another."""
+    t = threshold
+    rows = left.join(texts.withColumnRenamed("id", "rep"), "rep").withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["rep", "h"])
+    listed = space.written(arrow_map(rows, {c: c for c in ("rep", "h", "label", "text")}, "rep long, h long, label long, n int, tokens array<long>", _tokens), "tokens")
+    each = listed.select("rep", "h", "label", "n", F.explode("tokens").alias("token"))
+    often = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    shared = each.join(often, "token").groupBy("rep", "h", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("all"))
+    # tokens that no other text has come before these
+    shared = shared.withColumn("own", F.col("n") - F.size("all")).withColumn("probe", F.expr(f"int(n - ceil({t}D * n - 1e-9D) + 1)"))
+    spread = shared.select("rep", "label", "n", "own", F.posexplode(F.expr("slice(all, 1, greatest(probe - own, 0))")).alias("k", "s"))
+    at = spread.select("rep", "label", "n", (F.col("own") + F.col("k")).alias("at"), "s.token").withColumn("first", F.expr(f"at < n - ceil({2 * t / (1 + t)}D * n - 1e-9D) + 1"))
+    places = space.written(at, "places")
+    space.release()
+    labels = places.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    mixed = space.written(places.join(labels.select("token", "main"), "token"), "mixed")
+    x, y = mixed.where("label <> main").alias("x"), mixed.alias("y")
+    meet = F.expr(f"""x.token = y.token and x.label <> y.label and (x.n <= y.n and x.first or y.n <= x.n and y.first)
+        and least(x.n, y.n) >= {t}D * greatest(x.n, y.n) - 1e-9D and least(x.n - x.at, y.n - y.at) >= {t / (1 + t)}D * (x.n + y.n) - 1e-9D""")
+    order = F.col("x.rep") < F.col("y.rep")
+    side = lambda c: (F.when(order, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")), F.when(order, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")))
+    (a, b), (la, lb) = side("rep"), side("label")
+    return x.join(y, meet).select(a.alias("a"), b.alias("b"), la.alias("label_a"), lb.alias("label_b")).groupBy("a", "b", "label_a", "label_b").agg(F.count("*").alias("shared"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
