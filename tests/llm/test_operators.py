@@ -154,6 +154,13 @@ def test_edit_near_pairs(spark):
     assert pairs == {(0, 1)}
 
 
+def test_edit_near_pairs_of_one_bucket(spark):
+    """Texts of one family meet all others, not just the least and the next."""
+    texts = [prose(60, 3) + x for x in "abcdef"]
+    pairs = {(r["a"], r["b"]) for r in editprint.near_pairs(table(spark, texts)).collect()}
+    assert pairs == set(itertools.combinations(range(6), 2))
+
+
 @pytest.mark.parametrize("rule", tokencounts.RULES)
 def test_token_counts(spark, rule):
     texts = ["one two\nthree\n\nfour é🎉 five\n", "", None, "\n\n\n"]
