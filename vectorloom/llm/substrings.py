@@ -1,8 +1,8 @@
-"""Removes words of passages that occur earlier, by level-wise doubling.
+"""Removes words of passages that occur earlier, by one doubling step.
 
 Level 1 looks at windows of half the wanted length and needs only one of them for each window of that length: the one
 with the least hash among those inside it, so equal windows choose equal parts. What is repeated at one length alone
-is extended to twice that length and judged again, up to the wanted length or until no candidates survive.
+is extended to the wanted length and judged again: two levels in all, no loop over further ones.
 A repeated window's earliest place stays; of every other one the words go. Windows are judged on the input.
 
 Hashes at the last length have 96 bits, those that only propose candidates 64. Hot passages: counts and first places
