@@ -1,10 +1,10 @@
-"""Finds benchmark items inside documents: size-partitioned MinHash containment search, verified by exact shingle containment.
+"""Finds benchmark items inside documents: bottom-k MinHash containment search, verified by exact shingle containment.
 
 An item's shingles are its runs of five words (an item of fewer words is one shingle). Items fall into partitions by the
 binary logarithm of their number n of shingles. An item's signature is its bottom floor((1 - t) n) + 1 hash values: a
 document that holds at least the share t of the n shingles must hold one of them, so no match is lost whatever the
-document's length. Each partition has a bound, the greatest value in its signatures; a document's hashes above every
-bound go before the join. What remains proposes (document, item) pairs, and these are verified by counting
+document's length. A document's hashes above the greatest value in any signature go before the join; the partitions take no other
+part in it, so the smallest items set that bound and it lets nearly all hashes pass. What remains proposes (document, item) pairs, and these are verified by counting
 the item's shingles in the document exactly.
 
 Only DataFrame functions are used. Signatures are broadcast only after their rows have been counted and found
