@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import lines as L
 
-#: Features of one group up to which a fold inside the row is used; larger groups go through Arrow.
-FOLD_PAIRS = 5000
-
 
 def line_pairs(left: DataFrame, right: DataFrame, key: list[str], threshold: float, names: tuple[str, str] = ("pred", "gt")) -> DataFrame:
     """key, left and right id, distance and endpoint_error of pairs of lines (id, line) at most ``threshold`` apart.
