@@ -7,12 +7,14 @@ code point), ``last``, or ``most`` (the section with most of its code points; th
 compete). Tokens outside all sections count for section -1. So the sections' counts always add up to the text's tokens.
 
 Cases: null and empty texts have no tokens and no section; an empty line is a section of its line feed; repeated rows give
-repeated results; an empty table gives an empty result; special tokens' strings in a text are ordinary text.
+repeated results; an empty table gives an empty result; special tokens' strings in a text are ordinary text; runs of white
+space of any length are encoded apart from the splitting expression, whose stack they would exceed, with the ids that it would give.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +25,8 @@ from .arrowmap import arrow_map, texts_of
 from .textcore import code_points
 
 RULES = ("first", "last", "most")
+#: White space by Unicode's property, in runs that the splitting expression need not see whole.
+_LONG_SPACE = re.compile(r"[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 
 
 def default_vocabulary() -> str:
@@ -45,9 +49,19 @@ class Encoder:
         for token, rank in ranks.items():
             self.width[rank] = len(token)
 
+    def ids(self, text: str) -> list[int]:
+        """Ids of the text. Of a run of white space before a word, the expression makes one piece of all but its last character, and of a run at the end one piece."""
+        out, done = [], 0
+        for run in _LONG_SPACE.finditer(text):
+            stop = run.end() - (run.end() < len(text))
+            out += self.bpe.encode_ordinary(text[done : run.start()])
+            out += self.bpe._encode_single_piece(text[run.start() : stop])
+            done = stop
+        return out + self.bpe.encode_ordinary(text[done:])
+
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and the code points that each token begins at and ends before."""
-        ids = np.array(self.bpe.encode_ordinary(text), np.int64)
+        ids = np.array(self.ids(text), np.int64)
         end = np.cumsum(self.width[ids])
         start = end - self.width[ids]
         raw = np.frombuffer(text.encode(), np.uint8)
