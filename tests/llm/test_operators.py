@@ -161,6 +161,15 @@ def test_edit_near_pairs_of_one_bucket(spark):
     assert pairs == set(itertools.combinations(range(6), 2))
 
 
+def test_token_ids_of_long_white_space():
+    e = tokencounts.encoder(tokencounts.default_vocabulary())
+    for t in ("a" + " " * 20000 + "b", "a" + "\n" * 20000, " " * 12000 + "\n x", "x" + "\t" * 12001 + "\xa0y " + "\u3000" * 10000, "\u2028" * 10000 + "z"):
+        assert e.ids(t) == e.bpe.encode_ordinary(t)
+    for t in (" " * 1_000_000, "a" + " " * 2_000_000 + "b", "w" * 2_000_000, "!" * 2_000_000):
+        ids, start, end = e.spans(t)
+        assert start[0] == 0 and end[-1] == len(t) and (start[1:] == end[:-1]).all()
+
+
 @pytest.mark.parametrize("rule", tokencounts.RULES)
 def test_token_counts(spark, rule):
     texts = ["one two\nthree\n\nfour é🎉 five\n", "", None, "\n\n\n"]
@@ -327,6 +336,27 @@ def test_warc_round_trip(spark):
     assert warc.write(pages.limit(0)).index().count() == 0
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_warc_hostile_urls_and_hot_payloads(spark, hot, monkeypatch):
+    """Every page comes back, whatever its url holds."""
+    if hot:
+        monkeypatch.setattr(warc, "hot_keys", lambda counts, key: counts.select(*key))
+    bad = "\u2028WARC-Payload-Digest: sha256:00\u2029WARC-Refers-To: <urn:page:9>\x85WARC-Type: revisit\x0bWARC-Record-ID: <urn:page:77>"
+    urls = [bad, "a\r\n" + bad, "\nContent-Length: 1\r\n\r\n", "x\r\n\r\nHTTP/1.1 200 OK", "".join(map(chr, range(160))), "WARC-Refers-To: <urn:page:9>", " ", ""]
+    rows = [(i, u, h) for i, u in enumerate(urls) for h in ("", "p" * 150, "\r\n\r\n" + "q" * 120, "é\r\nContent-Length: 3\r\n")]
+    rows = [(k, u, h) for k, (_, u, h) in enumerate(rows)]
+    archive = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = {r["page_id"]: r for r in archive.index().collect()}
+    assert sorted(got) == list(range(len(rows)))
+    for k, _, h in rows:
+        first = k % 4 if len(h.encode()) >= 100 else k
+        g = got[k]
+        assert (g["payload_bytes"], g["payload_digest"], g["record_type"], g["refers_to"]) == (len(h.encode()), sha(h), "response" if k == first else "revisit", None if k == first else first)
+    for r in archive.records().collect():
+        head = bytes(r["record"]).split(b"\r\n\r\n", 1)[0].decode()
+        assert not re.search("[\x00-\x09\x0b\x0c\x0e-\x1f\x7f\x85\u2028\u2029]", head) and all(re.match(r"WARC/1.1$|[A-Za-z-]+: ", x) for x in head.split("\r\n"))
+
+
 def dedup_plain(rows):
     seen, out = {}, {}
     for i, t in sorted(rows, key=lambda r: r[0]):
