@@ -357,15 +357,46 @@ def test_warc_hostile_urls_and_hot_payloads(spark, hot, monkeypatch):
         assert not re.search("[\x00-\x09\x0b\x0c\x0e-\x1f\x7f\x85\u2028\u2029]", head) and all(re.match(r"WARC/1.1$|[A-Za-z-]+: ", x) for x in head.split("\r\n"))
 
 
-def dedup_plain(rows):
+def thue_morse(n):
+    x = "a"
+    for _ in range(n):
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_word_hashes_tell_thue_morse_words_apart():
+    a, b = thue_morse(10)
+    w = textcore.words([f"{a} {b} ab ba a b"], second=True)
+    assert len(set(w.hash.tolist())) == len(set(w.second.tolist())) == 6 and not set(w.hash.tolist()) & set(w.second.tolist())
+
+
+@pytest.mark.parametrize(("wide", "hot"), [(20, True), (3, False), (13, False), (45, False)])
+def test_substring_dedup_levels(spark, wide, hot, monkeypatch):
+    """Other window lengths, texts that differ in one word that a polynomial hash cannot tell apart, all keys hot, ids that null ones must not meet."""
+    if hot:
+        monkeypatch.setattr(substrings, "hot_keys", lambda counts, key: counts.select(*key))
+    assert substrings.levels(20) == [5, 10, 20] and substrings.levels(3) == [3] and substrings.levels(45) == [6, 12, 23, 45]
+    a, b = thue_morse(10)
+    line, tail = prose(12, 1), prose(12, 2)
+    p = prose(60, 3)
+    texts = [f"{line} {a} {tail}", f"{line} {b} {tail}", p, p[5:], p + " " + p, None, "x " * 100]
+    rows = [*enumerate(texts), (2**63 - 1, p)]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.dedup(table(spark, [t for _, t in rows], [i for i, _ in rows]), wide).collect()}
+    assert got == dedup_plain(rows, wide)
+    if wide == 20:
+        both = substrings.dedup(table(spark, [p, p], [None, 2**63 - 1])).collect()
+        assert {r["doc_id"]: r["n_removed"] for r in both} == {None: 60, 2**63 - 1: 0}
+
+
+def dedup_plain(rows, wide=20):
     seen, out = {}, {}
     for i, t in sorted(rows, key=lambda r: r[0]):
         w = WORD.findall(t or "")
         lost = [False] * len(w)
-        for k in range(len(w) - 19):
-            x = tuple(w[k : k + 20])
+        for k in range(len(w) - wide + 1):
+            x = tuple(w[k : k + wide])
             if x in seen:
-                lost[k : k + 20] = [True] * 20
+                lost[k : k + wide] = [True] * wide
             seen.setdefault(x, (i, k))
         out[i] = (len(w), sum(lost), sha(" ".join(a for a, no in zip(w, lost, strict=True) if not no)))
     return out

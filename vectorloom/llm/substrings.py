@@ -1,16 +1,18 @@
-"""Removes words of passages that occur earlier, by one doubling step.
+"""Removes words of passages that occur earlier, by level-wise doubling.
 
-Level 1 looks at windows of half the wanted length and needs only one of them for each window of that length: the one
-with the least hash among those inside it, so equal windows choose equal parts. What is repeated at one length alone
-is extended to the wanted length and judged again: two levels in all, no loop over further ones.
-A repeated window's earliest place stays; of every other one the words go. Windows are judged on the input.
+Levels go from a short length to the wanted one, each about twice the last (5, 10, 20 words). A level looks at windows of its length and needs
+only one of them for each window of the wanted length that is still a candidate: the one with the least hash among those inside it, so equal windows choose
+equal parts. Candidates whose part occurs once go; the others are extended to twice the length and looked at again, until the wanted
+length is reached or no candidate survives. At the wanted length all candidates are judged: a repeated window's earliest place stays; of every other
+one the words go. Windows are judged on the input.
 
-Hashes at the last length have 96 bits, those that only propose candidates 64. Hot passages: counts and first places
-are aggregated before the shuffle, and where places meet counts it is a join whose large partitions Spark splits.
+Word and window hashes at the wanted length have 128 bits, of two families of mixed numbers a character and place; those that only propose
+candidates have 64, where a collision just adds a candidate. Hot passages: counts and first places are aggregated before the shuffle, and where places
+meet counts, rows of hot keys are dealt to many tasks (``skew.join_one``).
 
 Cases: null and empty texts have no words; texts with fewer words than a window lose none; rows that repeat a doc_id
 and text do not count as earlier than one another; of rows with one doc_id and different texts, the one with the lesser hash
-is the earlier; a null doc_id counts as the greatest; an empty table gives an empty result.
+is the earlier; a null doc_id counts as greater than all others; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,74 +26,79 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowmap import arrow_map, texts_of
+from .skew import hot_keys, join_one
 from .storage import Workspace
 from .textcore import Words, blocks, mix, words
 
 WINDOW = 20
+#: No level is shorter.
+SHORTEST = 5
 _SPACES = re.compile("[\x20\x09-\x0d]+")
 _WORD = re.compile("[^\x20\x09-\x0d]+")
-_KEYS = {"id": "coalesce(doc_id, 9223372036854775807L)", "h": "hash(coalesce(text, ''))"}
+#: A text's name: whether its doc_id is null, its doc_id, and a hash that tells apart texts of one doc_id.
+_KEYS = {"none": "doc_id is null", "id": "coalesce(doc_id, 0L)", "h": "hash(coalesce(text, ''))"}
+_NAME = "none boolean, id long, h int"
 
 
-def windows(w: Words, n: int, mult: int = 0xD6E8FEB86659FD93) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each run of n words of the block, and whether it lies in one text. Built by doubling: a run's hash joins those of its halves."""
+def levels(wide: int) -> list[int]:
+    """Window lengths from the shortest to the wanted one."""
+    out = [wide]
+    while (out[0] + 1) // 2 >= SHORTEST:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
+
+
+def windows(base: np.ndarray, n: int, mult: int = 0xD6E8FEB86659FD93) -> np.ndarray:
+    """Hash of each run of n of the block's words (``base``: their hashes), built by doubling: a run's hash joins those of its halves."""
     if n == 1:
-        return w.hash, np.ones(len(w.hash), bool)
-    half, k = n // 2, len(w.hash) - n + 1
+        return base
+    half, k = n // 2, len(base) - n + 1
     if k <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    h = windows(w, half, mult)[0]
+        return np.zeros(0, np.uint64)
+    h = windows(base, half, mult)
     h = mix(h[: k + n - 2 * half] * np.uint64(mult) + h[half : half + k + n - 2 * half])
     if n % 2:
-        h = mix(h[:k] * np.uint64(mult) + w.hash[n - 1 :])
-    return h[:k], w.doc[:k] == w.doc[n - 1 :]
+        h = mix(h[:k] * np.uint64(mult) + base[n - 1 :])
+    return h[:k]
+
+
+def inside(w: Words, n: int) -> np.ndarray:
+    """Whether each run of n words lies in one text."""
+    k = max(0, len(w.doc) - n + 1)
+    return w.doc[:k] == w.doc[len(w.doc) - k :]
 
 
-def chosen(w: Words, n: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of ``wide`` words: which window of n words inside it has the least hash (the first of them). And the hashes of those."""
-    h, _ = windows(w, n)
-    k = len(w.hash) - wide + 1
+def chosen(h: np.ndarray, n: int, wide: int, total: int) -> np.ndarray:
+    """For each of a block's windows of ``wide`` words: which window of n words inside it has the least hash (the first of them); ``h``: their hashes."""
+    k = total - wide + 1
     if k <= 0:
-        return np.zeros(0, np.int64), h
+        return np.zeros(0, np.int64)
     least, at = h[:k].copy(), np.zeros(k, np.int64)
     for q in range(1, wide - n + 1):
         other = h[q : q + k]
         better = other < least
         np.copyto(least, other, where=better)
         at[better] = q
-    return at + np.arange(k), h
+    return at + np.arange(k)
 
 
 def _firsts(w: Words, n_docs: int) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(np.bincount(w.doc, minlength=n_docs))))
 
 
-def _propose(n: int, wide: int):
-    def kernel(b: pa.RecordBatch) -> dict:
-        texts, ids, hs = texts_of(b["text"]), b["id"].to_numpy(), b["h"].to_numpy()
-        out = []
-        for i, j in blocks(texts):
-            w = words(texts[i:j])
-            at, h = chosen(w, n, wide)
-            inside = w.doc[: len(at)] == w.doc[wide - 1 :]
-            at = np.unique(at[inside])
-            d = w.doc[at]
-            out.append((h[at].view(np.int64), ids[i + d], hs[i + d], at - _firsts(w, j - i)[d]))
-        c = [np.concatenate(x) for x in zip(*out, strict=True)]
-        return {"key": pa.array(c[0]), "id": pa.array(c[1]), "h": pa.array(c[2]), "at": pa.array(c[3].astype(np.int32))}
-
-    return kernel
-
-
 def _member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
     return np.isin(values, of) if len(of) else np.zeros(len(values), bool)
 
 
-def _candidates(w: Words, wide: int, n: int, hits: np.ndarray) -> np.ndarray:
-    """Places of windows of ``wide`` words of which the chosen part is among ``hits``; all in the block's numbers."""
-    at, _ = chosen(w, n, wide)
-    inside = w.doc[: len(at)] == w.doc[wide - 1 :]
-    return np.flatnonzero(inside & _member(at, hits))
+def _in_block(lists: list[np.ndarray], first: np.ndarray) -> np.ndarray:
+    """Places in texts as places in their block."""
+    return np.concatenate([x + f for x, f in zip(lists, first[:-1], strict=True)])
+
+
+def _candidates(w: Words, wide: int, n: int | None, hits: np.ndarray | None) -> np.ndarray:
+    """Places of windows of ``wide`` words whose chosen part of n words is among ``hits`` (n None: all); all in the block's numbers."""
+    ok = inside(w, wide)
+    return np.flatnonzero(ok if n is None else ok & _member(chosen(windows(w.hash, n), n, wide, len(w.hash)), hits))
 
 
 def _lists(column: pa.Array) -> list[np.ndarray]:
@@ -101,31 +108,66 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
     return np.split(values, np.cumsum(full)[:-1])
 
 
-def ordered(ids: np.ndarray) -> bool:
-    """Whether the texts of a block come in order of their ids, none twice."""
-    return bool((np.diff(ids) > 0).all())
+def _flag(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(bool)
 
 
-def _judge(wide: int, n: int):
+def _named(b: pa.RecordBatch, of: np.ndarray) -> dict:
+    """Names of the texts ``of`` which rows are."""
+    take = pa.array(of)
+    return {c: b[c].take(take) for c in ("none", "id", "h")}
+
+
+def _propose(before: int | None, n: int, wide: int):
     def kernel(b: pa.RecordBatch) -> dict:
-        texts, ids, hs, hits = texts_of(b["text"]), b["id"].to_numpy(), b["h"].to_numpy(), _lists(b["hits"])
-        out = []
+        texts = texts_of(b["text"])
+        hits = _lists(b["hits"]) if before else None
+        key, of, place = [], [], []
         for i, j in blocks(texts):
             w = words(texts[i:j])
             first = _firsts(w, j - i)
-            at = _candidates(w, wide, n, np.concatenate([x + f for x, f in zip(hits[i:j], first[:-1], strict=True)]))
-            # a window that its block has already shown is not first, but stays a candidate
-            full = windows(w, wide)[0]
-            at = at[np.sort(np.unique(full[at], return_index=True)[1])] if ordered(ids[i:j]) else at
-            d = w.doc[at]
-            out.append((full[at].view(np.int64), windows(w, wide, 0xA24BAED4963EE407)[0][at].astype(np.uint32).view(np.int32), ids[i + d], hs[i + d], at - first[d]))
-        c = [np.concatenate(x) for x in zip(*out, strict=True)]
-        return {"key": pa.array(c[0]), "key2": pa.array(c[1]), "id": pa.array(c[2]), "h": pa.array(c[3]), "at": pa.array(c[4].astype(np.int32))}
+            at = _candidates(w, wide, before, _in_block(hits[i:j], first) if before else None)
+            h = windows(w.hash, n)
+            at = np.unique(chosen(h, n, wide, len(w.hash))[at])
+            key.append(h[at].view(np.int64))
+            of.append(i + w.doc[at])
+            place.append(at - first[w.doc[at]])
+        return {"key": pa.array(np.concatenate(key))} | _named(b, np.concatenate(of)) | {"at": pa.array(np.concatenate(place).astype(np.int32))}
 
     return kernel
 
 
-def _remove(wide: int, n: int, texts_too: bool):
+def ordered(none: np.ndarray, ids: np.ndarray) -> bool:
+    """Whether the texts of a block come in order of their ids, none twice."""
+    return not none.any() and bool((np.diff(ids) > 0).all())
+
+
+def _judge(n: int | None, wide: int):
+    def kernel(b: pa.RecordBatch) -> dict:
+        texts, none, ids = texts_of(b["text"]), _flag(b["none"]), b["id"].to_numpy()
+        hits = _lists(b["hits"]) if n else None
+        key, key2, of, place = [], [], [], []
+        for i, j in blocks(texts):
+            w = words(texts[i:j], second=True)
+            first = _firsts(w, j - i)
+            at = _candidates(w, wide, n, _in_block(hits[i:j], first) if n else None)
+            one, two = windows(w.hash, wide)[at], windows(w.second, wide, 0xA24BAED4963EE407)[at]
+            if ordered(none[i:j], ids[i:j]):  # a window that its block has already shown is not first, but stays a candidate
+                order = np.lexsort((at, two, one))
+                new = np.ones(len(at), bool)
+                new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+                keep = np.sort(order[new])
+                at, one, two = at[keep], one[keep], two[keep]
+            key.append(one.view(np.int64))
+            key2.append(two.view(np.int64))
+            of.append(i + w.doc[at])
+            place.append(at - first[w.doc[at]])
+        return {"key": pa.array(np.concatenate(key)), "key2": pa.array(np.concatenate(key2))} | _named(b, np.concatenate(of)) | {"at": pa.array(np.concatenate(place).astype(np.int32))}
+
+    return kernel
+
+
+def _remove(n: int | None, wide: int, texts_too: bool):
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
 
     def kernel(b: pa.RecordBatch) -> dict:
@@ -135,10 +177,10 @@ def _remove(wide: int, n: int, texts_too: bool):
             w = words(texts[i:j])
             first = _firsts(w, j - i)
             lost = np.zeros(len(w.hash) + 1, np.int64)
-            here = np.concatenate([x + f for x, f in zip(hits[i:j], first[:-1], strict=True)])
-            if len(here):
+            here, there = _in_block(hits[i:j], first), _in_block(stay[i:j], first)
+            if len(here) or n is None:
                 at = _candidates(w, wide, n, here)
-                at = at[~_member(at, np.concatenate([x + f for x, f in zip(stay[i:j], first[:-1], strict=True)]))]
+                at = at[~_member(at, there)]
                 np.add.at(lost, at, 1)
                 np.add.at(lost, at + wide, -1)
             lost = np.cumsum(lost)[:-1] > 0
@@ -156,22 +198,29 @@ def _remove(wide: int, n: int, texts_too: bool):
     return kernel
 
 
-def repeated(docs: DataFrame, wide: int, space: Workspace) -> tuple[DataFrame, DataFrame, int]:
-    """By (id, h): ``hits``, places of repeated windows of n words; ``stay``, places of candidate windows of ``wide`` words that are first. And n."""
-    n = (wide + 1) // 2
-    schema = "key long, id long, h int, at int"
-    source = _KEYS | {"text": "text"}
-    parts = space.written(arrow_map(docs, source, schema, _propose(n, wide)), "parts")
-    often = parts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    hits = space.written(parts.join(often, "key").groupBy("id", "h").agg(F.collect_set("at").alias("hits")), "hits")
-    space.remove("parts")
-    space.release()
-    rows = docs.selectExpr(*(f"{e} AS {c}" for c, e in source.items())).join(hits, ["id", "h"])
-    judged = arrow_map(rows, {c: c for c in ("id", "h", "text", "hits")}, "key long, key2 int, id long, h int, at int", _judge(wide, n))
-    first = judged.groupBy("key", "key2").agg(F.min(F.struct("id", "at", "h")).alias("f"))
-    stay = space.written(first.groupBy(F.col("f.id").alias("id"), F.col("f.h").alias("h")).agg(F.collect_set("f.at").alias("stay")), "stay")
+def repeated(docs: DataFrame, wide: int, space: Workspace) -> tuple[DataFrame, DataFrame, int | None]:
+    """By text name: ``hits``, places of repeated windows of the last level before ``wide``; ``stay``, places of candidate windows of ``wide`` words that are first. And that level's length."""
+    name = list(_KEYS)
+    rows = docs.selectExpr(*(f"{e} AS {c}" for c, e in _KEYS.items()), "text")
+    hits, before = None, None
+    for n in levels(wide)[:-1]:
+        source = rows if hits is None else rows.join(hits, name)
+        parts = space.written(arrow_map(source, {c: c for c in source.columns}, f"key long, {_NAME}, at int", _propose(before, n, wide)), f"parts-{n}")
+        space.release()
+        often = space.written(parts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"often-{n}")
+        hot = space.written(hot_keys(often, ["key"]), f"hot-{n}")
+        hits = space.written(join_one(parts, often.select("key"), ["key"], hot).groupBy(name).agg(F.collect_set("at").alias("hits")), f"hits-{n}")
+        before = n
+        space.remove(f"parts-{n}")
+        space.release()
+        if hits.isEmpty():
+            break  # no candidate survives
+    source = rows if hits is None else rows.join(hits, name)
+    judged = arrow_map(source, {c: c for c in source.columns}, f"key long, key2 long, {_NAME}, at int", _judge(before, wide))
+    first = judged.groupBy("key", "key2").agg(F.min(F.struct(*name, "at")).alias("f"))
+    stay = space.written(first.select("f.*").groupBy(name).agg(F.collect_set("at").alias("stay")), "stay")
     space.release()
-    return hits, stay, n
+    return stay.select(*name, F.array().cast("array<int>").alias("hits")).limit(0) if hits is None else hits, stay, before
 
 
 def dedup(docs: DataFrame, wide: int = WINDOW, texts: bool = False, space: Workspace | None = None) -> DataFrame:
@@ -179,6 +228,6 @@ def dedup(docs: DataFrame, wide: int = WINDOW, texts: bool = False, space: Works
     space = space or Workspace(docs.sparkSession)
     hits, stay, n = repeated(docs, wide, space)
     none = F.array().cast("array<int>")
-    rows = docs.selectExpr("doc_id", *(f"{e} AS {c}" for c, e in _KEYS.items()), "text").join(hits.join(stay, ["id", "h"], "left"), ["id", "h"], "left")
+    rows = docs.selectExpr("doc_id", *(f"{e} AS {c}" for c, e in _KEYS.items()), "text").join(hits.join(stay, list(_KEYS), "full"), list(_KEYS), "left")
     rows = rows.select("doc_id", "text", F.coalesce("hits", none).alias("hits"), F.coalesce("stay", none).alias("stay"))
-    return arrow_map(rows, {c: c for c in rows.columns}, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts, _remove(wide, n, texts))
+    return arrow_map(rows, {c: c for c in rows.columns}, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts, _remove(n, wide, texts))

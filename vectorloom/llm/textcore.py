@@ -147,16 +147,23 @@ def blocks(texts: list[str], most: int = BLOCK_CHARS) -> Iterator[tuple[int, int
 
 @dataclass
 class Words:
-    """Words of a block: maximal runs of characters other than space and U+0009 to U+000D, unchanged."""
+    """Words of a block: maximal runs of characters other than space and U+0009 to U+000D, unchanged.
+
+    A word's hash is the sum of a mixed number for each of its characters and places, mixed once more; so no word is the other's hash by the
+    algebra of one multiplier. ``second`` is a further one, from other numbers for the same characters and places."""
 
     hash: np.ndarray  # of each word
     doc: np.ndarray
     start: np.ndarray  # in the block's code points
     end: np.ndarray
     base: np.ndarray
+    second: np.ndarray | None = None
+
 
+_SECOND = np.uint64(0x8CB92BA72F3D8DD7)
 
-def words(texts: list[str]) -> Words:
+
+def words(texts: list[str], second: bool = False) -> Words:
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
     cp = code_points("\n".join(texts))
     base = np.zeros(len(texts), np.int64)
@@ -165,13 +172,20 @@ def words(texts: list[str]) -> Words:
     edge = word.copy()
     edge[1:] &= ~word[:-1]
     start = np.flatnonzero(edge)
-    edge = word
+    edge = word.copy()
     edge[:-1] &= ~word[1:]
     end = np.flatnonzero(edge) + 1
-    power, inv = powers(len(cp) + 1)
-    sums = np.zeros(len(cp) + 1, np.uint64)
-    np.cumsum((cp + np.uint32(1)).astype(np.uint64) * power[: len(cp)], out=sums[1:])
-    return Words(mix((sums[end] - sums[start]) * inv[start]), np.searchsorted(base, start, "right") - 1, start, end, base)
+    doc = np.searchsorted(base, start, "right") - 1
+    if not len(start):
+        none = np.zeros(0, np.uint64)
+        return Words(none, doc, start, end, base, none)
+    size = end - start
+    at = np.cumsum(size) - size
+    own = cp[word].astype(np.uint64)
+    own |= (np.arange(len(own)) - np.repeat(at, size)).astype(np.uint64) << np.uint64(21)
+    own = mix(own)
+    total = np.add.reduceat(own, at) + size.astype(np.uint64)
+    return Words(mix(total), doc, start, end, base, mix(np.add.reduceat(mix(own ^ _SECOND), at) + size.astype(np.uint64)) if second else None)
 
 
 def shingles(w: Words, n_docs: int, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
