@@ -1,14 +1,16 @@
-"""Finds benchmark items inside documents: bottom-k MinHash containment search, verified by exact shingle containment.
+"""Finds benchmark items inside documents: size-partitioned MinHash containment search, verified by exact shingle containment.
 
-An item's shingles are its runs of five words (an item of fewer words is one shingle). Items fall into partitions by the
+An item's shingles are its runs of five words (an item of fewer words is one shingle). Items fall into partitions by shingle length and by the
 binary logarithm of their number n of shingles. An item's signature is its bottom floor((1 - t) n) + 1 hash values: a
 document that holds at least the share t of the n shingles must hold one of them, so no match is lost whatever the
-document's length. A document's hashes above the greatest value in any signature go before the join; the partitions take no other
-part in it, so the smallest items set that bound and it lets nearly all hashes pass. What remains proposes (document, item) pairs, and these are verified by counting
-the item's shingles in the document exactly.
+document's length. A partition's bound is the greatest value in its signatures. A document probes each partition with its hashes up to that
+partition's bound, and meets signatures by (partition, hash): the larger a partition's items, the fewer of a document's hashes it sees, and a short
+item's bound opens no other partition. What meets is a candidate pair; a candidate must hold enough of the item's hashes and then of its
+shingles themselves, compared as text.
 
 Only DataFrame functions are used. Signatures are broadcast only after their rows have been counted and found
-to be at most ``BROADCAST_ROWS``; beyond that the join shuffles.
+to be at most ``BROADCAST_ROWS``; beyond that the join shuffles, with documents dealt to ``SALTS`` copies of the signatures, so a shingle that
+most documents hold meets in many tasks.
 
 Cases: null and empty texts hold and are no items; rows that repeat a doc_id or an item_id report the best
 containment of any; rows with a null doc_id or item_id are not reported; ties all stay; empty tables give an empty result.
@@ -23,32 +25,42 @@ from .storage import Workspace
 
 WORDS, THRESHOLD = 5, 0.8
 BROADCAST_ROWS = 500_000
+SALTS = 16
 _SPLIT = "[\\x20\\x09-\\x0D]+"
 
 
-def _words(text: str) -> Column:
-    """Runs of characters other than space and U+0009 to U+000D, hashed."""
-    return F.expr(f"transform(filter(split({text}, r'{_SPLIT}'), w -> w <> ''), w -> xxhash64(w))")
+def _words(text: str = "text") -> Column:
+    """Runs of characters other than space and U+0009 to U+000D."""
+    return F.expr(f"filter(split({text}, r'{_SPLIT}'), w -> w <> '')")
+
+
+_HASHED = "transform(words, w -> xxhash64(w))"
+
+
+def _gram(n: int) -> str:
+    """SQL for the hash of the run of n words from place i of ``w``, their hashes."""
+    return f"xxhash64({n}, {', '.join(f'w[i + {k}]' for k in range(n))})"
 
 
 def _grams(n: int) -> str:
-    """SQL for the hashes of all runs of n words of the array ``w``."""
-    parts = ", ".join(f"w[i{' + ' + str(k) if k else ''}]" for k in range(n))
-    return f"if(size(w) < {n}, array(), transform(sequence(0, size(w) - {n}), i -> xxhash64({n}, {parts})))"
+    return f"if(size(w) < {n}, array(), transform(sequence(0, size(w) - {n}), i -> {_gram(n)}))"
+
+
+def _by_length(form, lengths, column: str = "length") -> str:
+    return f"CASE {column} {' '.join(f'WHEN {n} THEN {form(n)}' for n in lengths)} END"
 
 
 def item_shingles(items: DataFrame) -> DataFrame:
-    """item_id, size class, n and the sorted array of distinct shingle hashes of each item that has words, and its gram length."""
-    w = items.where("item_id is not null").select("item_id", _words("text").alias("w")).where("size(w) > 0")
-    length = F.least(F.size("w"), F.lit(WORDS)).alias("length")
-    short = F.expr(f"CASE size(w) {' '.join(f'WHEN {n} THEN {_grams(n)}' for n in range(1, WORDS))} ELSE {_grams(WORDS)} END")
-    return w.select("item_id", length, F.array_sort(F.array_distinct(short)).alias("all")).withColumn("n", F.size("all")).withColumn("part", F.floor(F.log2("n")).cast("int"))
+    """item_id, length (of a shingle in words), n, part, and the item's distinct shingles: ``texts``, and ``all``, their hashes in ascending order."""
+    w = items.where("item_id is not null").select("item_id", _words().alias("words")).where("size(words) > 0").withColumn("w", F.expr(_HASHED))
+    both = lambda n: f"array_distinct(transform(sequence(0, size(w) - {n}), i -> struct({_gram(n)} as h, array_join(slice(words, i + 1, {n}), ' ') as t)))"
+    own = w.withColumn("length", F.least(F.size("w"), F.lit(WORDS))).withColumn("s", F.expr(_by_length(both, range(1, WORDS + 1))))
+    return own.select("item_id", "length", F.size("s").alias("n"), F.expr("array_sort(s.h)").alias("all"), F.col("s.t").alias("texts")).withColumn("part", F.col("length") * 64 + F.floor(F.log2("n")).cast("int"))
 
 
-def _doc_shingles(docs: DataFrame, lengths: list[int]) -> DataFrame:
-    w = docs.where("doc_id is not null").select("doc_id", _words("text").alias("w"))
-    all_grams = f"concat({', '.join(_grams(n) for n in lengths)})" if len(lengths) > 1 else _grams(lengths[0])
-    return w.where(F.size("w") >= min(lengths)).select("doc_id", F.expr(all_grams).alias("grams"))
+def _hashed(docs: DataFrame, shortest: int) -> DataFrame:
+    """doc_id, words and w, their hashes, of texts that have enough words."""
+    return docs.where("doc_id is not null").select("doc_id", _words().alias("words")).where(F.size("words") >= shortest).withColumn("w", F.expr(_HASHED))
 
 
 def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, space: Workspace | None = None) -> DataFrame:
@@ -56,24 +68,35 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, s
     space = space or Workspace(docs.sparkSession)
     known = space.written(item_shingles(items), "items")
     needed = F.floor(F.col("n") * F.lit(1 - threshold) + 1e-9).cast("int") + 1
-    signed = space.written(known.select("item_id", "part", F.slice("all", 1, needed).alias("sig")), "signatures")
-    bounds = signed.groupBy("part").agg(F.max(F.element_at("sig", -1)).alias("bound"))
-    bound = bounds.agg(F.max("bound")).first()[0]
-    lengths = sorted(r[0] for r in known.select("length").distinct().collect())  # at most five numbers
-    if not lengths:
+    signed = space.written(known.select("item_id", "length", "part", F.slice("all", 1, needed).alias("sig")), "signatures")
+    # a row for each shingle length and binary logarithm of a size: a few dozen at most
+    parts = [tuple(r) for r in signed.groupBy("part", "length").agg(F.max(F.element_at("sig", -1)).alias("bound")).orderBy("part").collect()]
+    if not parts:
         return docs.where("false").select(F.col("doc_id").cast("long"), F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("n_shared"), F.lit(0).alias("n_shingles"), F.lit(0.0).alias("containment"))
-    keys = signed.select("item_id", F.explode("sig").alias("g"))
+    lengths = sorted({n for _, n, _ in parts})
+    grams = _hashed(docs, lengths[0]).select("doc_id", *(F.expr(_grams(n)).alias(f"grams{n}") for n in lengths))
+    probes = ", ".join(f"transform(filter(grams{n}, g -> g <= {bound}L), g -> struct({part} as part, g as g))" for part, n, bound in parts)
+    probed = grams.select("doc_id", F.explode(F.expr(f"concat({probes})")).alias("p")).select("doc_id", "p.part", "p.g")
+    keys = signed.select("item_id", "part", F.explode("sig").alias("g"))
     small = keys.count() <= BROADCAST_ROWS
-    keys = F.broadcast(keys) if small else keys
-    low = _doc_shingles(docs, lengths).select("doc_id", F.explode(F.expr(f"filter(grams, g -> g <= {bound}L)")).alias("g"))
-    pairs = space.written(low.join(keys, "g").select("doc_id", "item_id").distinct(), "candidates")
+    on = ["part", "g"]
+    if small:
+        keys = F.broadcast(keys)
+    else:
+        probed = probed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        keys = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        on.append("salt")
+    pairs = space.written(probed.join(keys, on).select("doc_id", "item_id").distinct(), "candidates")
     wanted = pairs.select("doc_id").distinct()
     few = wanted.count() <= BROADCAST_ROWS
-    held = _doc_shingles(docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), lengths).select("doc_id", F.array_distinct("grams").alias("grams"))
+    held = _hashed(docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), lengths[0])
     both = pairs.join(held, "doc_id").join(F.broadcast(known) if small else known, "item_id")
-    found = both.select("doc_id", "item_id", F.size(F.array_intersect("all", "grams")).alias("n_shared"), F.col("n").alias("n_shingles"))
-    found = found.where(F.col("n_shared") >= F.col("n_shingles") * threshold - 1e-9)
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_shingles")).alias("containment"), "n_shared", "n_shingles")).alias("m"))
+    enough = lambda c: F.col(c) >= F.col("n") * threshold - 1e-9
+    maybe = both.withColumn("hashes", F.size(F.array_intersect("all", F.expr(_by_length(_grams, lengths))))).where(enough("hashes"))
+    # texts of only those runs whose hash the item has
+    texts = lambda n: f"if(size(w) < {n}, array(), transform(filter(sequence(0, size(w) - {n}), i -> array_contains(all, {_gram(n)})), i -> array_join(slice(words, i + 1, {n}), ' ')))"
+    found = maybe.withColumn("n_shared", F.size(F.array_intersect("texts", F.expr(_by_length(texts, lengths))))).where(enough("n_shared"))
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n")).alias("containment"), "n_shared", F.col("n").alias("n_shingles"))).alias("m"))
     return best.select("doc_id", "item_id", "m.n_shared", "m.n_shingles", "m.containment")
 
 
