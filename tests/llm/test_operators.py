@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import json
 import random
 import re
 from collections import Counter
@@ -199,6 +200,12 @@ def test_tool_calls(spark):
     out = toolchat.formatted(df, {"f": {"n": "integer", "s": "string"}}).collect()
     got = {r["turn"]: (r["at"], r["step"], r["state"], r["valid"]) for r in out if r["conv_id"] == 1}
     assert got == {0: (0, 0, "said", None), 3: (3, 0, "call", "ok"), 1: (3, 1, "result", None), 4: (4, 0, "open", "kind:n"), 5: (5, 0, "repeated", "missing:n"), 6: (6, 0, "orphan", None), 7: (7, 0, "open", "unknown"), 8: (8, 0, "open", "invalid"), 9: (9, 0, "open", "extra:t")}
+    ties = [(1, 0, "call", "f", "x", '{"b": 1, "a": {"d": [1, 2], "c": "é"}}'), (1, 0, "call", "f", "x", "{}"), (1, 2, "call", "f", "y", '{"a":{"c":"é","d":[1,2]},"b":1}'), (1, 3, "call", "f", "z", '{"s": "abcd", "n": 5}'), (1, 4, "call", "f", "q", '{"s": "abc", "n": 1}'), (1, 5, "call", "f", "q2", '{"s": "abc", "n": 5, "n": 5}')]
+    tied = toolchat.formatted(spark.createDataFrame(ties, df.schema), {"f": {"n": "integer?>=3", "s": "string?<=3"}}).collect()
+    assert sorted(r["state"] for r in tied if r["turn"] == 0) == ["open", "repeated"]
+    content = {json.loads(r["message"])["content"] for r in tied if r["turn"] in (0, 2)}
+    assert content == {'{"a":{"c":"é","d":[1,2]},"b":1}', "{}"}
+    assert [r["valid"] for r in sorted(tied, key=lambda r: r["turn"])][-3:] == ["bounds:s", "bounds:n", "invalid"]
     chat = toolchat.transcript(toolchat.formatted(df, {})).where("conv_id = 1").first()["chat"]
     assert chat.startswith('{"messages":[{"content":"hi","role":"user","state":"said"},{"call_id":"x"')
     assert toolchat.formatted(df.limit(0), {"f": {}}).count() == 0
@@ -239,7 +246,7 @@ def shingle_set(t):
     return Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     passage = prose(60, 1)
     w = passage.split()
     w2 = list(w)
@@ -249,6 +256,8 @@ def test_decontamination(spark):
     got = {(r["doc_id"], r["item_id"]): r["n_shared"] for r in decontam.contained(docs, items).collect()}
     assert got == {(0, 0): 56, (1, 0): 51, (5, 4): 1}
     assert {r["doc_id"] for r in decontam.keep_clean(docs, items).collect()} == {2, 3, 4, 6}
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    assert {(r["doc_id"], r["item_id"]): r["n_shared"] for r in decontam.contained(docs, items).collect()} == got
     assert decontam.contained(docs, items.limit(0)).count() == 0 and decontam.contained(empty(spark), items).count() == 0
     assert decontam.contained(odd(spark), items).count() == 0
 
@@ -448,10 +457,10 @@ def test_oracles(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "conversations"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = queries.queries()[name](spark, SF)
     rel = c.sql(queries.oracle_sql()[name])
     assert sorted(df.columns) == sorted(rel.columns)
-    rows = {tuple(r[k] for k in df.columns) for r in df.collect()}
-    assert rows == {tuple(r[rel.columns.index(k)] for k in df.columns) for r in rel.fetchall()}
+    rows = Counter(tuple(r[k] for k in df.columns) for r in df.collect())
+    assert rows == Counter(tuple(r[rel.columns.index(k)] for k in df.columns) for r in rel.fetchall())

@@ -63,6 +63,15 @@ _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 #: Where SQL states the whole result. Random fields, tokenizers, embeddings and signatures are tested against brute force instead.
 SQL = {
+    "op5_tool_calls": r"""with c as (select conv_id, turn, coalesce(text, '') as t, coalesce(role = 'user', false) as is_call, coalesce(role = 'assistant', false) as is_result,
+  case role when 'user' then 'call' when 'assistant' then 'tool' else role end as role, case role when 'user' then turn when 'assistant' then turn - 1 end as asks from conversations),
+ w as (select *, case when is_call or is_result then 'reply' end as name, 'c' || conv_id || 't' || asks as call_id, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) as words from c),
+ l as (select conv_id, call_id, min(turn) filter (where is_call) as first, count(*) filter (where is_result) as results from w where call_id is not null group by all),
+ s as (select w.*, case when is_call and turn <> first then 'repeated' when is_call and results = 0 then 'open' when is_call then 'call' when is_result and first is null then 'orphan' when is_result then 'result' else 'said' end as state,
+  first, case when is_call then case when length(t) > 256 then 'bounds:question' when words < 3 then 'bounds:words' else 'ok' end end as valid,
+  case when is_call then '{"characters":' || length(t) || ',"question":' || cast(to_json(t) as varchar) || ',"words":' || words || '}' else t end as content from w left join l on w.conv_id = l.conv_id and w.call_id = l.call_id)
+ select conv_id, case when state = 'result' then first else turn end as at, case when state = 'result' then 1 else 0 end as step, turn, state, valid,
+  '{' || concat_ws(',', '"call_id":' || cast(to_json(call_id) as varchar), '"content":' || cast(to_json(content) as varchar), '"name":' || cast(to_json(name) as varchar), '"role":' || cast(to_json(role) as varchar), '"state":"' || state || '"', '"valid":"' || valid || '"') || '}' as message from s""",
     "op7_decontamination": f"""with grams as (select 'd' as side, doc_id as id, {_WORDS.format('text')} as w from documents union all select 'i', item_id, {_WORDS.format('text')} from benchmark),
  sh as (select distinct side, id, array_to_string(list_slice(w, k, k + least(len(w), 5) - 1), ' ') as s from (select *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as k from grams where len(w) > 0)),
  n as (select id, count(*) as n from sh where side = 'i' group by 1), hit as (select d.id as doc_id, i.id as item_id, count(*) as k from sh d join sh i on d.s = i.s and d.side = 'd' and i.side = 'i' group by all)
