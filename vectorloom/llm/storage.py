@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 class Workspace:
-    """A folder of its own under ``spark.checkpoint.dir``. A local folder is set only where the session names none, as in tests."""
+    """A folder of its own under ``spark.checkpoint.dir``. Where the session names none, a local folder serves a local master, as in tests; on a cluster that is an error, as executors would write where nobody reads."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not root:
             import tempfile
 
