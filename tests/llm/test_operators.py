@@ -76,6 +76,86 @@ def test_secret_base_spans():
     assert secrets.base_spans("") == []
 
 
+def base_plain(text):
+    """The base patterns, character by character."""
+    word = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def run(at, of):
+        while at < len(text) and text[at] in of:
+            at += 1
+        return at
+
+    def assign(at):
+        low = "".join(c.lower() if c.isascii() else "?" for c in text[at : at + 8])
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(name):
+                k = at + len(name)
+                k += text[k : k + 1] in ('"', "'")
+                k = run(k, " ")
+                if text[k : k + 1] not in (":", "="):
+                    continue
+                k = run(k + 1, " ")
+                k += text[k : k + 1] in ('"', "'")
+                end = run(k, word)
+                if end > k:
+                    return end, end - k >= 6
+        return None
+
+    def access(at):
+        end = run(at + 4, set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+        return (end, end - at >= 20) if text.startswith("AKIA", at) and end > at + 4 else None
+
+    def hexa(at):
+        end = run(at, "0123456789abcdef")
+        return (end, end - at >= 24) if end > at else None
+
+    out = []
+    for rank, find in enumerate((assign, access, hexa)):
+        at = 0
+        while at < len(text):
+            hit = find(at)
+            if hit and hit[1]:
+                out.append((at, rank, hit[0]))
+            at = hit[0] if hit else at + 1
+    return sorted(out)
+
+
+def test_secret_base_columns_against_brute_force(spark):
+    r = random.Random(8)
+    parts = ["password", "PassWd", "secret", "Token", "api_key", "APIKEY", "paſſword", "toKen", '"', "'", " ", "  ", "\t", ":", "=", "==", "abc", "abcdef", "A1+/_.=-", "AKIA", "AKIAAKIA", "Z9" * 8, "0af" * 7, "0af" * 9, "F0", "é", "\n", "."]
+    texts = [None, ""] + ["".join(r.choice(parts) for _ in range(r.randint(1, 14))) for _ in range(1500)]
+    got = by_id(secrets.SecretScan(secrets.fit_texts([])).spans(table(spark, texts)))
+    n = 0
+    for i, t in enumerate(texts):
+        want = base_plain(t or "")
+        n += len(want)
+        name = ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in want)
+        assert (got[i]["n_assign"], got[i]["n_access"], got[i]["n_hex"]) == tuple(sum(x[1] == k for x in want) for k in range(3)), t
+        assert got[i]["base_sha256"] == sha(name) and got[i]["spans"] == name
+    assert n > 300
+
+
+def test_secret_field_on_forms_it_has_not_seen(spark):
+    """Names that are not in the training data, values of several alphabets; clean texts stay clean; the sample does not depend on the layout."""
+    texts = [prose(60, i) + (f' token = "{hashlib.sha1(str(i).encode()).hexdigest()}" ' + prose(9, i) if i % 8 == 0 else "") for i in range(400)]
+    model = secrets.fit_texts(texts)
+    r = random.Random(3)
+    for form in ('passphrase = "{}"', "signing_key: '{}'", "dbcode = {}"):
+        hits = 0
+        for i in range(60):
+            value = "".join(r.choices("ABCDEFabcdef0123456789", k=24)) + "7"
+            text = prose(20, 900 + i) + " " + form.format(value) + " " + prose(20, 990 + i)
+            at = text.index(value)
+            hits += any(k == 3 and s <= at and at + len(value) <= e for s, k, e in secrets.scan_texts([text], model)[0])
+        assert hits >= 48, form
+    assert not any(secrets.scan_texts([prose(100, 5000 + i) for i in range(200)], model))
+    text = prose(20, 1) + ' password = "abcdef12$ghi90jkl34" ' + prose(20, 2)
+    assert "[SECRET]" in by_id(secrets.SecretScan(model).redact(table(spark, [text])))[0]["text"]
+    assert secrets.outside(2, 20, [(0, 0, 4), (6, 2, 8), (18, 1, 30)]) == [(4, 6), (8, 18)] and secrets.outside(2, 4, [(0, 0, 9)]) == []
+    df = table(spark, texts)
+    assert [r[0] for r in secrets.sample(df).collect()] == [r[0] for r in secrets.sample(df.repartition(7)).collect()]
+
+
 def test_secret_scan_cases(spark):
     texts = [prose(20, i) + f' token = "{hashlib.sha1(str(i).encode()).hexdigest()}" ' + prose(20, i + 99) for i in range(40)]
     model = secrets.fit_texts(texts + [prose(60, 500 + i) for i in range(60)])

@@ -153,8 +153,8 @@ def marginals(model: Model, emissions: np.ndarray, doc: np.ndarray, n_docs: int)
     return out / out.sum(1, keepdims=True)
 
 
-def fit(features: list[np.ndarray], gold: np.ndarray, doc: np.ndarray, n_docs: int, states: int, bits: int = 17, rounds: int = 30, rate: float = 0.2, l2: float = 1e-3) -> Model:
-    """Maximum likelihood by full-batch Adam. ``gold`` has each token's state."""
+def fit(features: list[np.ndarray], gold: np.ndarray, doc: np.ndarray, n_docs: int, states: int, bits: int = 17, rounds: int = 30, rate: float = 0.2, l2: float = 1e-3, dead: int | None = None) -> Model:
+    """Maximum likelihood by full-batch Adam. ``gold`` has each token's state; features with the value ``dead`` weigh nothing."""
     size = 1 << bits
     model = Model(np.zeros((size, states), np.float32), np.zeros((states, states)))
     idx = [(f & np.uint64(size - 1)).astype(np.int64) for f in features]
@@ -184,6 +184,8 @@ def fit(features: list[np.ndarray], gold: np.ndarray, doc: np.ndarray, n_docs: i
             for s in range(states):
                 g[:, s] += np.bincount(i, r[:, s], len(used))
         g -= l2 * w
+        if dead is not None:
+            g[used == dead & (size - 1)] = 0
         w += step(n, g, moments[0])
         q = fore[:-1, :, None] * np.exp(model.trans) * (rear * own)[1:, None, :]
         q /= q.sum((1, 2), keepdims=True)

@@ -2,8 +2,9 @@
 
 Features of a token: its own and its neighbours' words and shapes, pairs of shape and preceding word, and
 features of the file (size, share of digits and symbols). Viterbi decodes the best tag sequence of every whole
-text. The base patterns give spans of known form; the field is fitted on the spans which they find in a bounded
-sample and adds spans they miss (other names, other forms); base spans always stay.
+text. The base patterns give spans of known form. The field is fitted on a bounded sample of texts: on the spans which the patterns find there, and on secrets of
+many other names and forms that are put into texts of the sample (``planted``), while the words of names are left out of
+half of them, so it learns from shapes and surroundings. It adds spans that the patterns miss, and what goes on beyond a pattern's match; base spans always stay.
 
 Cases: a null or empty text has no spans; repeated rows give repeated results; rows keep their order within
 a partition; an empty table gives an empty result; a null ``doc_id`` is kept. Offsets are code points, end exclusive.
@@ -12,6 +13,7 @@ a partition; an empty table gives an empty result; a null ``doc_id`` is kept. Of
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from dataclasses import dataclass
 
@@ -33,7 +35,13 @@ OUTSIDE, BEGIN, INSIDE = range(3)
 #: Rows of the sample that the field is fitted on, and the longest text in it.
 SAMPLE_ROWS, SAMPLE_CHARS = 6000, 50_000
 #: Characters of texts with spans, and of others, that the field is fitted on.
-FIT_CHARS = 1_000_000
+FIT_CHARS = 600_000
+#: Texts of the sample that secrets are put into, and their characters.
+PLANT_TEXTS, PLANT_CHARS = 600, 500_000
+#: What a left-out word's features are: they weigh nothing.
+LEFT_OUT = np.uint64(1)
+_NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey", "pwd", "credential", "auth", "access_key", "private_key", "client_secret", "bearer")
+_ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", "abcdefghijklmnopqrstuvwxyz0123456789!$%#@*")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -48,9 +56,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def features(t, n_docs: int) -> list[np.ndarray]:
+def features(t, n_docs: int, left_out: np.ndarray | None = None) -> list[np.ndarray]:
     word, shape = t.word(), mix(shape_code(t) + np.uint64(1 << 40))
     salt = lambda x, k: mix(x + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))
+    known = np.ones(len(word), bool) if left_out is None else ~left_out
 
     def shifted(x: np.ndarray, by: int) -> np.ndarray:
         out = np.zeros_like(x)
@@ -61,12 +70,18 @@ def features(t, n_docs: int) -> list[np.ndarray]:
         return out
 
     before = [shifted(word, k) for k in (1, 2, 3)]
+    seen = [shifted(known.astype(np.int8), k) == 1 for k in (1, 2, 3)]
+    after, seen_after = shifted(word, -1), shifted(known.astype(np.int8), -1) == 1
+    if left_out is None:
+        seen, seen_after = [np.ones(len(word), bool)] * 3, np.ones(len(word), bool)
+    only = lambda x, ok: np.where(ok, x, LEFT_OUT)
     size = np.diff(np.append(t.base, len(t.cp) + 1))
     symbols = np.bincount(t.doc[t.end - t.start == 1], minlength=n_docs)
     digits = np.bincount(t.doc[(t.cp[t.start] >= 48) & (t.cp[t.start] < 58)], minlength=n_docs)
     level = lambda x: np.minimum(7, np.log2(1 + 512 * x / np.maximum(size, 1)).astype(np.int64))
     file = np.log2(size + 1).astype(np.int64) // 3 * 64 + level(symbols) * 8 + level(digits)
-    return [word, shape, salt(before[0], 1), salt(shifted(word, -1), 2), salt(shifted(shape, 1), 3), salt(shifted(shape, -1), 4), *(salt(shape + 3 * b, 5 + k) for k, b in enumerate(before)), salt(shape + file.astype(np.uint64)[t.doc], 9)]
+    pairs = [only(salt(shape + 3 * b, 5 + k), ok) for k, (b, ok) in enumerate(zip(before, seen, strict=True))]
+    return [only(word, known), shape, only(salt(before[0], 1), seen[0]), only(salt(after, 2), seen_after), salt(shifted(shape, 1), 3), salt(shifted(shape, -1), 4), *pairs, salt(shape + file.astype(np.uint64)[t.doc], 9), salt(3 * shape + shifted(shape, 1), 10), salt(5 * shifted(shape, 1) + shifted(shape, 2), 11)]
 
 
 def gold_tags(t, spans: list[list[tuple[int, int, int]]]) -> np.ndarray:
@@ -91,37 +106,84 @@ def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return out
 
 
+def planted(text: str, r: random.Random) -> tuple[str, list[tuple[int, int, int]], list[tuple[int, int]]]:
+    """``text`` with one to three secrets put between its words: the new text, the secrets' spans, and the spans of names to leave out."""
+    spaces = [m.start() for m in re.finditer(" ", text)]
+    cuts = sorted(r.sample(spaces, min(len(spaces), r.randint(1, 3))))
+    out, spans, names, at, size = [], [], [], 0, 0
+    for c in cuts:
+        out.append(text[at:c] + " ")
+        size += c - at + 1
+        at = c
+        name = r.choice(_NAMES)
+        name = r.choice((name, name.upper(), name.title(), r.choice(("my_", "db_", "x-", "user ")) + name))
+        quote = r.choice(("", '"', "'"))
+        value = "".join(r.choices(r.choice(_ALPHABETS), k=r.choice((12, 16, 20, 24, 32, 40, 64))))
+        if not any(x.isdigit() for x in value):
+            value += str(r.randint(10, 99))
+        head = name + r.choice((" = ", "=", ": ", ":", " => ", " := ", ": Bearer ")) + quote
+        spans.append((size, 0, size + len(head) + len(value)))
+        if r.random() < 0.5:
+            names.append((size, size + len(name)))
+        out.append(head + value + quote)
+        size += len(out[-1])
+    return "".join(out) + text[at:], spans, names
+
+
 def fit_texts(texts: list[str]) -> crf.Model:
-    """A field that has learned from the base patterns' spans: texts with spans, and as many others at most, but 200 at least; each kind up to FIT_CHARS."""
+    """A field that has learned from the base patterns' spans and from planted ones: texts with spans, and as many others at most, but 200 at least; each kind up to FIT_CHARS."""
     found = [merged(base_spans(t)) for t in texts]
     some = [i for i, f in enumerate(found) if f]
-    rest = [i for i, f in enumerate(found) if not f][: max(200, len(some))]
-    take = []
-    for kind in (some, rest):
+    clean = [i for i, f in enumerate(found) if not f]
+    take, spans, names = [], [], []
+    for kind in (some, clean[: max(200, len(some))]):
         size = 0
         for i in kind:
             if size <= FIT_CHARS:
-                take.append(i)
+                take.append(texts[i])
+                spans.append(found[i])
+                names.append([])
                 size += len(texts[i])
+    r, size = random.Random(11), 0
+    for i in clean[:PLANT_TEXTS]:
+        if size <= PLANT_CHARS:
+            t, own, left = planted(texts[i], r)
+            take.append(t)
+            spans.append(own)
+            names.append([(s, 0, e) for s, e in left])
+            size += len(t)
     if not take:
         return crf.Model(np.zeros((2, 3), np.float32), np.array([[0, -9, crf.FAR], [0, 0, 0], [0, 0, 0.0]]))
-    t = tokenize([texts[i] for i in take], True)
+    t = tokenize(take, True)
     if not len(t.start):
         return fit_texts([])
-    model = crf.fit(features(t, len(take)), gold_tags(t, [found[i] for i in take]), t.doc, len(take), 3)
+    model = crf.fit(features(t, len(take), gold_tags(t, names) != OUTSIDE), gold_tags(t, spans), t.doc, len(take), 3, rounds=60, l2=1e-2, dead=int(LEFT_OUT))
     model.trans[OUTSIDE, INSIDE] = crf.FAR
     return model
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """About SAMPLE_ROWS texts of at most SAMPLE_CHARS characters, chosen by a hash of the text's id."""
+    """About SAMPLE_ROWS texts of at most SAMPLE_CHARS characters, the first by a hash of doc_id and text, whatever the table's layout."""
     n = max(1, docs.count())
-    keep = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1.0, 1.2 * SAMPLE_ROWS / n) * 1_000_000))
-    return keep.where(F.length("text") <= SAMPLE_CHARS).select("text").limit(SAMPLE_ROWS)
+    h = F.xxhash64("doc_id", "text")
+    keep = docs.select("text", h.alias("h")).where(F.pmod("h", F.lit(1_000_000)) < int(min(1.0, 1.2 * SAMPLE_ROWS / n) * 1_000_000))
+    return keep.where(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("h"), "text").limit(SAMPLE_ROWS).select("text")
 
 
 def fit(docs: DataFrame) -> crf.Model:
-    return fit_texts(sorted(r[0] for r in sample(docs).toLocalIterator()))
+    return fit_texts([r[0] for r in sample(docs).collect()])
+
+
+def outside(start: int, end: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Parts of a span that no base span covers."""
+    out = []
+    for s, _, e in sorted(base):
+        if e <= start or s >= end:
+            continue
+        if s > start:
+            out.append((start, s))
+        start = max(start, e)
+    return [*out, (start, end)] if start < end else out
 
 
 def scan_texts(texts: list[str], model: crf.Model) -> list[list[tuple[int, int, int]]]:
@@ -144,8 +206,8 @@ def scan_texts(texts: list[str], model: crf.Model) -> list[list[tuple[int, int,
             d = t.doc[a]
             s, e = int(t.start[a] - t.base[d]), int(e - t.base[d])
             own = out[i + d]
-            if not any(x < e and s < y for x, _, y in own):
-                own.append((s, 3, e))
+            text = texts[i + d]
+            own += [(x, 3, y) for x, y in outside(s, e, [z for z in own if z[1] < 3]) if any(c.isalnum() for c in text[x:y])]
         for d in np.unique(t.doc[at]):
             out[i + d].sort()
     return out
