@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Order of boundary sides in canonical forms.
 SIDES = ("left", "top", "right", "bottom")
@@ -157,22 +161,64 @@ def resample(line: Column, interval: Column | float, most: Column | int, closed:
     return let(let(base, lambda b: F.struct(b.alias("base"), F.aggregate(segments(b), zero, grown).alias("cum"))), spread)
 
 
-def point_segment(p: Column, a: Column, b: Column) -> Column:
-    """Distance of a point to a segment."""
-    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-    sq = dx * dx + dy * dy
-    t = F.when(sq > 0, F.least(F.greatest(((p["x"] - a["x"]) * dx + (p["y"] - a["y"]) * dy) / F.when(sq > 0, sq).otherwise(1.0), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-    qx, qy = a["x"] + t * dx - p["x"], a["y"] + t * dy - p["y"]
-    return F.sqrt(qx * qx + qy * qy)
+#: Vertex and segment pairs that the distance kernel holds at once.
+_COMBINATIONS = 1_000_000
 
 
-def _directed(a: Column, b: Column) -> Column:
-    return let(segments(b), lambda all_b: F.array_max(F.transform(a, lambda p: F.array_min(F.transform(all_b, lambda g: point_segment(p, g["a"], g["b"]))))))
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Points of an Arrow array of lines: x, y, where each line's begin, and how many it has (a null line none)."""
+    size = np.asarray(pc.fill_null(pc.list_value_length(column), 0), np.int64)
+    points = column.flatten()
+    x, y = (np.asarray(points.field(i), np.float64) for i in (0, 1))
+    return x, y, np.cumsum(size) - size, size
+
+
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All of start, start + 1, ... for each of the sizes."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def _furthest(a: tuple, b: tuple) -> np.ndarray:
+    """For each pair of lines, the greatest distance of a vertex of the first to the second's segments."""
+    (ax, ay, a0, na), (bx, by, b0, nb) = a, b
+    pair = np.repeat(np.arange(len(na)), na)
+    at, parts = ranges(a0, na), nb[pair] - 1
+    near = np.empty(len(at))
+    ends = np.cumsum(parts)
+    low = 0
+    while low < len(at):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + _COMBINATIONS, "right")))
+        n = parts[low:high]
+        g = ranges(b0[pair[low:high]], n)
+        px, py = np.repeat(ax[at[low:high]], n), np.repeat(ay[at[low:high]], n)
+        dx, dy = bx[g + 1] - bx[g], by[g + 1] - by[g]
+        sq = dx * dx + dy * dy
+        t = np.clip(((px - bx[g]) * dx + (py - by[g]) * dy) / np.where(sq > 0, sq, 1), 0, 1)
+        gap = np.hypot(bx[g] + t * dx - px, by[g] + t * dy - py)
+        near[low:high] = np.minimum.reduceat(gap, np.cumsum(n) - n)
+        low = high
+    return np.maximum.reduceat(near, np.cumsum(na) - na) if len(near) else near
+
+
+def hausdorff_of(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Greatest distance of a vertex of either line to the other line; null if a line has fewer than two points."""
+    a, b = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (a, b))
+    one, two = flat(a), flat(b)
+    ok = (one[3] >= 2) & (two[3] >= 2)
+    x, y = ((v[0], v[1], v[2][ok], v[3][ok]) for v in (one, two))
+    out = np.zeros(len(ok))
+    out[ok] = np.maximum(_furthest(x, y), _furthest(y, x)) if ok.any() else 0
+    return pa.array(out, pa.float64(), mask=~ok)
+
+
+@F.arrow_udf(DoubleType())
+def _hausdorff(a: pa.Array, b: pa.Array) -> pa.Array:
+    return hausdorff_of(a, b)
 
 
 def hausdorff(a: Column, b: Column) -> Column:
-    """Greatest distance of a vertex of either line to the other line."""
-    return F.greatest(_directed(a, b), _directed(b, a))
+    """Greatest distance of a vertex of either line to the other line, by one NumPy pass over a batch of pairs."""
+    return _hausdorff(a, b)
 
 
 def endpoint_error(a: Column, b: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lines as L
+from .rounds import settled
 
 
 def line_pairs(left: DataFrame, right: DataFrame, key: list[str], threshold: float, names: tuple[str, str] = ("pred", "gt")) -> DataFrame:
@@ -23,9 +26,8 @@ def line_pairs(left: DataFrame, right: DataFrame, key: list[str], threshold: flo
         return out.withColumn("cx", F.explode(F.sequence(at("x0", -wide), at("x0", wide)))).withColumn("cy", F.explode(F.sequence(at("y0", -wide), at("y0", wide))))
 
     near = " and ".join(f"abs({a}_e.{c} - {b}_e.{c}) <= {threshold}" for c in ("x0", "y0", "x1", "y1"))
-    # the guard keeps the kernel from running before the cheap tests, whatever order the conjuncts are put in
-    far = F.when(F.expr(near), L.hausdorff(F.col(f"{a}_line"), F.col(f"{b}_line")))
-    pairs = dealt(left, a, threshold).join(dealt(right, b, 0.0), [*key, "cx", "cy"]).withColumn("distance", far).where(F.col("distance") <= threshold)
+    close = dealt(left, a, threshold).join(dealt(right, b, 0.0), [*key, "cx", "cy"]).where(near)
+    pairs = close.withColumn("distance", L.hausdorff(F.col(f"{a}_line"), F.col(f"{b}_line"))).where(F.col("distance") <= threshold)
     return pairs.select(*key, a, b, "distance", L.endpoint_error(F.col(f"{a}_line"), F.col(f"{b}_line")).alias("endpoint_error"))
 
 
@@ -47,26 +49,41 @@ def box_pairs(left: DataFrame, right: DataFrame, key: list[str], threshold: floa
 
 
 def greedy(pairs: DataFrame, key: list[str], order: list[Column], names: tuple[str, str] = ("pred", "gt"), carry: list[str] | None = None) -> DataFrame:
-    """One-to-one matches of each key: pairs in ascending ``order`` (then ids) are taken if neither side is taken yet."""
+    """One-to-one matches of each key: pairs in ascending ``order`` (then ids) are taken if neither side is taken yet.
+
+    In rounds: a pair that comes first among those of both its sides is taken whatever the others are, for no earlier pair can
+    take a side from it; pairs of taken sides go, and what is left is looked at again. Each side of each key is a group of its own, so work spreads by features, not by samples."""
     a, b = names
     carry = carry or []
-    one = F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), F.col(a), F.col(b), *carry)
-    groups = pairs.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("all"))
-    kind = groups.schema["all"].dataType.simpleString()
-    zero = F.array().cast(kind)
-    free = lambda acc, p: ~F.exists(acc, lambda m: (m[a] == p[a]) | (m[b] == p[b]))
-    taken = groups.select(*key, F.explode(F.aggregate("all", zero, lambda acc, p: F.when(free(acc, p), F.concat(acc, F.array(p))).otherwise(acc))).alias("m"))
-    return taken.select(*key, *(F.col(f"m.{c}").alias(c) for c in (a, b, *carry)))
+    rank = F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), F.col(a), F.col(b))
+    sides = [Window.partitionBy(*key, a), Window.partitionBy(*key, b)]
+    taken = lambda df: df.withColumns({f"_least{i}": F.min("_rank").over(w) for i, w in enumerate(sides)}).withColumn("_taken", (F.col("_rank") == F.col("_least0")) & (F.col("_rank") == F.col("_least1"))).drop("_least0", "_least1")
+    left = settled(taken(pairs.select(*key, a, b, *carry, rank.alias("_rank"))))
+    done = []
+    while True:
+        done.append(left.where("_taken").select(*key, a, b, *carry))
+        rest = left.withColumns({f"_gone{i}": F.max("_taken").over(w) for i, w in enumerate(sides)}).where("not _gone0 and not _gone1").drop("_gone0", "_gone1", "_taken")
+        left = settled(taken(rest))
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, done)
 
 
 def suppress(features: DataFrame, conflicts: DataFrame, key: list[str]) -> DataFrame:
-    """Greedy suppression: features (key, id, size) by size and then id, both descending, stay unless one that stays conflicts (key, a, b; either way round). A key's only feature always stays.
-    What is folded is each conflicting feature with its conflicts, so features without any never meet in a row."""
-    both = conflicts.select(*key, "a", "b").union(conflicts.select(*key, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    tied = both.groupBy(*key, F.col("a").alias("id")).agg(F.collect_list("b").alias("foes"))
-    rows = features.join(tied, [*key, "id"], "left")
-    lone = rows.where("foes is null").select(*key, "id")
-    groups = rows.where("foes is not null").groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("s"), (-F.col("id")).alias("i"), "id", "foes"))).alias("all"))
-    zero = F.array().cast(f"array<{features.schema['id'].dataType.simpleString()}>")
-    kept = F.aggregate("all", zero, lambda acc, f: F.when(F.arrays_overlap(acc, f["foes"]), acc).otherwise(F.concat(acc, F.array(f["id"]))))
-    return lone.unionByName(groups.select(*key, F.explode(kept).alias("id")))
+    """Greedy suppression: features (key, id, size) by size and then id, both descending, stay unless one that stays conflicts (key, a, b; either way round).
+
+    In rounds over the conflicts, each led by its first feature: features that no conflict makes second stay, those that they lead go, and
+    with these all conflicts that they take part in. Features without conflicts are never moved."""
+    place = F.struct(-F.col("size"), -F.col("id"))
+    rank = features.select(*key, "id", place.alias("r"))
+    side = lambda n: rank.select(*key, F.col("id").alias(n), F.col("r").alias(f"r{n}"))
+    both = conflicts.select(*key, "a", "b").join(side("a"), [*key, "a"]).join(side("b"), [*key, "b"]).where("a <> b")
+    first = F.col("ra") < F.col("rb")
+    left = settled(both.select(*key, F.when(first, F.col("a")).otherwise(F.col("b")).alias("lead"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("id")).distinct())
+    gone = []
+    while not left.isEmpty():
+        led = left.select(*key, F.col("id").alias("lead")).distinct()
+        out = settled(left.join(led, [*key, "lead"], "left_anti").select(*key, "id").distinct())
+        gone.append(out)
+        left = settled(left.join(out, [*key, "id"], "left_anti").join(out.withColumnRenamed("id", "lead"), [*key, "lead"], "left_anti"))
+    kept = features.select(*key, "id")
+    return kept.join(reduce(DataFrame.unionByName, gone), [*key, "id"], "left_anti") if gone else kept

@@ -26,7 +26,7 @@ from fx_point where feature_id % 11 <> 0""",
     "fx_box": """select r.sample_id, o_orderkey as feature_id,
        (o_orderkey*37) % (r.width - 200) as x0, (o_orderkey*53) % (r.height - 200) as y0,
        (o_orderkey*37) % (r.width - 200) + 20 + o_orderkey % 150 as x1, (o_orderkey*53) % (r.height - 200) + 20 + o_orderkey % 90 as y1
-from orders join fx_raster r on o_orderkey % 5 = r.sample_id where o_orderkey < 2000""",
+from orders join fx_raster r on o_orderkey % 5 = r.sample_id""",
 }
 _NEEDS = {"fx_raster": (), "fx_mask": ("fx_raster",), "fx_point": (), "fx_pred": ("fx_point",), "fx_box": ("fx_raster",)}
 

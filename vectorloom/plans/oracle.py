@@ -72,11 +72,11 @@ def _dist(where: str) -> str:
 
 
 def _greedy(pairs: str, order: str) -> str:
-    """A recursive fold over the ranked pairs of each sample, remembering who is taken."""
+    """Rounds over each sample's ranked pairs: a pair that is the first of both its sides is taken, and pairs of taken sides go."""
+    least = "min(k) over (partition by sample_id, pred) as kp, min(k) over (partition by sample_id, gt) as kg"
     return f"""ord as (select *, row_number() over (partition by sample_id order by {order}, pred, gt) as k from {pairs}),
-fold as (select sample_id, cast(0 as bigint) as k, cast([] as bigint[]) as ps, cast([] as bigint[]) as gs, false as taken, cast(null as bigint) as pred, cast(null as bigint) as gt from (select distinct sample_id from ord)
- union all select o.sample_id, o.k, case when ok then list_append(f.ps, o.pred) else f.ps end, case when ok then list_append(f.gs, o.gt) else f.gs end, ok, o.pred, o.gt
- from fold f join ord o on o.sample_id = f.sample_id and o.k = f.k + 1 cross join lateral (select not list_contains(f.ps, o.pred) and not list_contains(f.gs, o.gt) as ok) q),
+fold as (select sample_id, pred, gt, k, kp = k and kg = k as taken from (select *, {least} from ord)
+ union all select sample_id, pred, gt, k, kp = k and kg = k from (select *, {least} from (select *, max(taken) over (partition by sample_id, pred) as tp, max(taken) over (partition by sample_id, gt) as tg from fold) where not tp and not tg)),
 matched as (select o.* from fold f join ord o using (sample_id, k) where f.taken)"""
 
 
@@ -84,7 +84,7 @@ matched as (select o.* from fold f join ord o using (sample_id, k) where f.taken
 NEAR = """and exists (select 1 from (select min(px) a, max(px) b, min(py) c, max(py) d from fx_point x where x.sample_id = g.sample_id and x.feature_id = g.feature_id) e where p.ax between e.a - 6 and e.b + 6 and p.ay between e.c - 6 and e.d + 6)"""
 MATCH = _dist(NEAR) + ", close_pairs as (select * from dist where distance <= 6), " + _greedy("close_pairs", "round(distance, 9), round(endpoint_error, 9)")
 
-BOXES = """gtb as (select sample_id, cast(feature_id as bigint) as id, cast(x0 as bigint) as x0, cast(y0 as bigint) as y0, cast(x1 as bigint) as x1, cast(y1 as bigint) as y1 from fx_box where feature_id % 5 <> 4),
+BOXES = """gtb as (select sample_id, cast(feature_id as bigint) as id, cast(x0 as bigint) as x0, cast(y0 as bigint) as y0, cast(x1 as bigint) as x1, cast(y1 as bigint) as y1 from fx_box),
 prb as (select sample_id, id, x0 + id % 7 as x0, y0, x1 + id % 7 as x1, y1 from gtb)"""
 
 
@@ -159,9 +159,15 @@ SQL: dict[str, str] = {
  n as (select sample_id, (select count(*) from prb where prb.sample_id = r.sample_id) as pc, (select count(*) from gtb where gtb.sample_id = r.sample_id) as gc, coalesce(k, 0) as k, mi, acc from fx_raster r left join m using (sample_id)), v as (select *, k / greatest(pc, 1) as p, k / greatest(gc, 1) as r from n)
  select sample_id, round(p, 6) + 0.0 as precision, round(r, 6) + 0.0 as recall, round(case when p + r <= 1e-9 then 0 else 2*p*r/(p+r) end, 6) + 0.0 as f1, round(coalesce(mi, 0.0), 6) + 0.0 as mean_iou, round(coalesce(acc, 0.0), 6) + 0.0 as property_acc, pc as pred_count, gc as gt_count from v""",
     "dedup_nms": f"""{W('fx_box').replace('with ', 'with recursive ', 1)}, {BOXES}, {_iou('gtb', 'gtb', 'and p.id <> g.id', 0.5)}, sz as (select sample_id, id, row_number() over (partition by sample_id order by (x1-x0)*(y1-y0) desc, id desc) as k from gtb),
- foe as (select sample_id, pred as id, list(gt) as foes from iou group by all), o as (select sz.*, coalesce(foes, []) as foes from sz left join foe using (sample_id, id)),
- fold as (select sample_id, cast(0 as bigint) as k, cast([] as bigint[]) as kept from (select distinct sample_id from o) union all select f.sample_id, o.k, case when list_has_any(f.kept, o.foes) then f.kept else list_append(f.kept, o.id) end from fold f join o on o.sample_id = f.sample_id and o.k = f.k + 1)
- select sample_id, unnest(arg_max(kept, k)) as id from fold group by sample_id""",
+ foe as (select i.sample_id, a.id, a.k, b.k as other from iou i join sz a on a.sample_id = i.sample_id and a.id = i.pred join sz b on b.sample_id = i.sample_id and b.id = i.gt),
+ -- a row for each side of a conflict; a side whose number is below all its foes' stays, and its foes go
+ fold as (select sample_id, k, other, false as out from foe union all select sample_id, k, other, out from (
+   select *, sum(cast(out as int)) over (partition by sample_id, least(k, other), greatest(k, other)) > cast(out as int) as other_out from (
+    select *, max(led) over (partition by sample_id, k) as out from (
+     select *, max(first) over (partition by sample_id, least(k, other), greatest(k, other)) and not first as led from (
+      select sample_id, k, other, k < min(other) over (partition by sample_id, k) as first from fold where not out)))) where out or not other_out),
+ gone as (select distinct sample_id, k from fold where out)
+ select sample_id, id from sz anti join gone using (sample_id, k)""",
     "finite_mean": f"{W('fx_point')} select 'a' as name, round(avg(cast(px as double)) filter (where feature_id % 5 <> 0), 4) + 0.0 as mean from fx_point union all select 'b', round(avg(cast(py as double)) filter (where feature_id % 3 <> 0), 4) + 0.0 from fx_point",
     "parse_rate": f"{W('fx_point')} select sample_id, count(*) as tile_count, count(*) filter (where feature_id % 4 <> 0) as decoded_ok_count, count(*) filter (where feature_id % 3 > 0) as non_empty_tiles, round(count(*) filter (where feature_id % 4 <> 0) / count(*), 6) + 0.0 as rate from fx_point group by 1",
     "parse_success_rate": f"{W('fx_point')} select round(avg(r), 6) + 0.0 as parse_success_rate from (select count(*) filter (where feature_id % 4 <> 0) / count(*) as r from fx_point group by sample_id)",
