@@ -12,7 +12,7 @@ from vectorloom.functions import lines as L
 from vectorloom.functions import polygons as G
 from vectorloom.functions import props as P
 from vectorloom.operators import pieces, tokens
-from vectorloom.streaming.tiled import Memory, join_lines
+from vectorloom.streaming.tiled import Memory
 
 SQUARE = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
 
@@ -93,6 +93,26 @@ def test_polygon_clip():
     assert len(G.clip([SQUARE, inner], (-1.0, -1.0, 9.0, 9.0))[0]) == 2
 
 
+def test_polygon_clip_with_holes_that_cut():
+    ten = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]
+    block = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+    two = G.clip([ten, block(4.0, 1.0, 6.0, 9.0)], (-1.0, 3.0, 11.0, 7.0))
+    assert sorted(abs(G.ring_area(p[0])) for p in two) == [16, 16] and all(len(p) == 1 for p in two)
+    notch = G.clip([ten, block(4.0, 4.0, 6.0, 9.0)], (-1.0, 3.0, 11.0, 7.0))
+    assert [(abs(G.ring_area(p[0])), len(p)) for p in notch] == [(34, 1)]
+    kept = G.clip([ten, block(1.0, 1.0, 2.0, 2.0), block(7.0, 4.0, 8.0, 5.0)], (-1.0, 3.0, 11.0, 7.0))
+    assert [len(p) for p in kept] == [2]
+    rnd = random.Random(7)
+    for _ in range(60):
+        ring = lambda r, n: [(10 + r * rnd.uniform(0.7, 1) * math.cos(2 * math.pi * i / n), 10 + r * rnd.uniform(0.7, 1) * math.sin(2 * math.pi * i / n)) for i in range(n)]
+        rings = [ring(8, rnd.randint(5, 9)), ring(3, rnd.randint(3, 6))]
+        box = (rnd.uniform(0, 9), rnd.uniform(0, 9), rnd.uniform(11, 20), rnd.uniform(11, 20))
+        if not G.simple(rings[0]) or not G.simple(rings[1]) or G.overlap([rings[0]], [rings[1]])[2] < G.overlap([rings[1]], [rings[1]])[0] - 1e-9:
+            continue
+        area = sum(abs(G.ring_area(p[0])) - sum(abs(G.ring_area(h)) for h in p[1:]) for p in G.clip(rings, box))
+        assert area == pytest.approx(G.overlap(rings, [block(*box)])[2], abs=1e-6)
+
+
 def test_polygon_clip_area_against_overlap():
     rnd = random.Random(5)
     for _ in range(60):
@@ -118,10 +138,40 @@ def test_json_recovery():
     assert P.parse("{'a': true}") == {"a": True}
     assert P.parse("{“a”：1}") == {"_raw_text": "{“a”：1}"}
     assert P.parse_relaxed("{“a”：1，}") == {"a": 1}
-    assert P.parse_relaxed("a: 1") == {"a": 1}
+    assert P.parse_relaxed('"a": 1，') == {"a": 1} and P.parse_relaxed("'a': NULL") == {"a": None} and P.parse_relaxed("a: 1") == {"_raw_text": "a: 1"}
+    assert P.parse("{'a': TRUE, 'b': null,}") == {"a": True, "b": None} and P.parse('{"a"：1，}') == {"a": 1} and P.parse(None) == {}
     assert P.parse("nonsense") == {"_raw_text": "nonsense"}
-    assert P.coerce_collection({"type": "Feature"})["features"] == [{"type": "Feature"}]
-    assert P.coerce_collection({"a": 1}) is None
+    deep = '{"a":' * 100_000
+    assert P.first_object(deep) is None and P.parse(deep) == {"_raw_text": deep} and P.parse_relaxed(deep)["_raw_text"] == deep and P.first_object("{" * 100_000) is None
+
+
+def test_collections(spark):
+    crs = {"type": "name", "properties": {"name": P.CRS84}}
+    feature = {"type": "Feature", "properties": {"b": 1, "a": None}, "geometry": None}
+    cases = [
+        ({"type": "FeatureCollection", "features": [feature], "x": 1}, {"type": "FeatureCollection", "name": "L", "crs": crs, "features": [feature], "x": 1}),
+        ({"type": "FeatureCollection", "features": [], "name": "N", "crs": {"q": 1}}, {"type": "FeatureCollection", "features": [], "name": "N", "crs": {"q": 1}}),
+        (feature, {"type": "FeatureCollection", "name": "L", "crs": crs, "features": [feature]}),
+        ({"features": [feature], "name": ""}, {"type": "FeatureCollection", "name": "L", "crs": crs, "features": [feature]}),
+        ({"features": [], "name": 'q"', "crs": None}, {"type": "FeatureCollection", "name": 'q"', "crs": None, "features": []}),
+        ({"type": "FeatureCollection"}, None), ({"type": "FeatureCollection", "features": {}}, None), ({"a": 1}, None), ([1], None),
+    ]
+    rows = [(i, json.dumps(c)) for i, (c, _) in enumerate(cases)] + [(98, "no json"), (99, None)]
+    got = {r["i"]: r["c"] for r in spark.createDataFrame(rows, "i long, t string").select("i", P.collection(F.col("t"), "L").alias("c")).collect()}
+    for i, (_, want) in enumerate(cases):
+        assert (got[i] and json.loads(got[i])) == want
+    assert got[98] is None and got[99] is None
+
+
+def test_typed_equality_in_columns(spark):
+    values = [None, True, False, 0, 1, 2, 1.0, 1.5, 1.5000001, 1e3, "1", "1.5", "x", "", [1], [2], {"k": 1}, {"k": None}]
+    sides = [{"w": v} for v in values] + [{}, {"v": 1}, {"w": 1, "v": "a"}, {"v": "a", "w": True}]
+    rows = [(i, j, json.dumps(a), json.dumps(b)) for i, a in enumerate(sides) for j, b in enumerate(sides)]
+    df = spark.createDataFrame([*rows, (-1, 0, None, "{}"), (-2, 0, "no json", "no json"), (-3, 0, "[1]", "[1]")], "i long, j long, a string, b string")
+    got = {(r["i"], r["j"]): r["same"] for r in df.select("i", "j", P.props_equal(F.col("a"), F.col("b")).alias("same")).collect()}
+    assert all(got[i, j] == P.equal(sides[i], sides[j]) for i in range(len(sides)) for j in range(len(sides)))
+    assert [got[k, 0] for k in (-1, -2, -3)] == [None, False, False]
+    assert df.where("i < 0").select(P.canonical_udf("a").alias("c"), P.first_object_udf("a").alias("f"), P.parse_udf("a").alias("p")).count() == 3
 
 
 def test_grammar():
@@ -137,18 +187,38 @@ def test_grammar():
     assert tokens.walk([t["obj"]], "linestring", 2, 64)[0] == "invalid:start"
 
 
-def test_join_lines():
-    old = [(0.0, 0.0), (1.0, 0.0)]
-    assert join_lines(old, [(1.5, 0.0), (3.0, 0.0)], 1.0) == [*old, (3.0, 0.0)]
-    assert join_lines(old, [(3.0, 0.0), (1.5, 0.0)], 1.0) == [*old, (3.0, 0.0)]
-    assert join_lines(old, [(-3.0, 0.0), (-0.5, 0.0)], 1.0) == [(-3.0, 0.0), *old]
-    assert join_lines(old, [(-0.5, 0.0), (-3.0, 0.0)], 1.0) == [(-3.0, 0.0), *old]
-    assert join_lines(old, [(9.0, 9.0), (8.0, 8.0)], 1.0) is None
+def merged_plain(features, tolerance=3.0):
+    """First fit over all lines, every pair of ends by name."""
+    out = []
+    for props, new in features:
+        for k, (known, old) in enumerate(out):
+            ends = {"end-start": math.dist(old[-1], new[0]), "end-end": math.dist(old[-1], new[-1]), "start-end": math.dist(old[0], new[-1]), "start-start": math.dist(old[0], new[0])}
+            best = min(ends, key=ends.get)
+            if P.equal(known, props) and ends[best] <= tolerance:
+                back = list(reversed(new))
+                out[k] = known, {"end-start": old + new[1:], "end-end": old + back[1:], "start-end": new[:-1] + old, "start-start": back[:-1] + old}[best]
+                break
+        else:
+            out.append((props, new))
+    return out
+
+
+def test_memory_against_first_fit():
+    import numpy as np
+
+    r = random.Random(4)
+    kinds = [{"a": 1}, {"a": 1.0000001}, {"a": True}, {"a": "x"}, {"a": None}, {"a": "1"}, {"b": 1}]
+    for _ in range(60):
+        features = [(r.choice(kinds), [(float(r.randint(0, 14)), float(r.randint(0, 14))) for _ in range(r.randint(2, 4))]) for _ in range(25)]
+        m = Memory(2.0)
+        for p, line in features:
+            m.add(p, np.array(line))
+        assert [(p, [tuple(q) for q in x]) for p, x, _ in m.features] == [(p, x) for p, x in merged_plain(features, 2.0)]
+        assert sum(n for _, _, n in m.features) == 25
     m = Memory()
-    m.add({"a": 1}, old)
-    m.add({"a": 2}, [(1.0, 0.0), (2.0, 0.0)])
-    m.add({"a": 1}, [(2.0, 0.0), (5.0, 0.0)])
-    assert [(len(x[1]), x[2]) for x in m.lines] == [(3, 2), (2, 1)] and json.dumps(m.lines)
+    for _ in range(2):
+        m.add({}, np.array([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)]), joins=False)
+    assert len(m.features) == 2
 
 
 def test_image_turns_follow_points(spark):

@@ -66,11 +66,24 @@ def test_config():
     assert config.expand({"a": ["${X:-1}", "${Y}", "${Z:-}"]}, {"Y": "q"}) == {"a": ["1", "q", ""]}
     assert config.expand("${NO}", {}) == "${NO}"
     assert [config.flag(v, True) for v in ("off", "", None, "maybe", "YES", False)] == [False, False, True, True, True, False]
-    tasks = config.load_tasks([{"name": "Lane", "geometry_type": "LineString", "min_points_per_feature": 1}, {"name": "x", "enabled": "false"}])
-    assert [(t.name, t.min_points) for t in tasks] == [("lane", 2)]
-    for bad in (lambda: config.load_tasks([{"name": "p", "geometry_type": "point"}]), lambda: config.find_task(tasks, "q")):
+    assert config.expand(["${A}", "${A:-d}", "x${B:-}${C:-c}y", "${1}${A}", "${", "${A:d}"], {"A": ""}) == ["", "", "xcy", "${1}", "${", "${A:d}"]
+    line = {"geometry_type": "LineString", "prompt_template": " p ", "min_points_per_feature": 1}
+    tasks = config.load_tasks({"tasks": {" Lane": line, "area": {"geometry_type": "polygon", "prompt_template": "q", "max_features": None}}})
+    assert [(t.name, t.collection, t.prompt, t.min_points, t.max_features) for t in tasks] == [("lane", "Lane", "p", 2, 0), ("area", "area", "q", 3, 0)]
+    assert [t.name for t in config.enabled(tasks, {"data": {"task_enable": {"lane": " False "}}})] == ["area"] and len(config.load_tasks({})) == 2
+    for bad in (lambda: config.load_tasks({"tasks": {"p": {"geometry_type": "point"}}}), lambda: config.find_task(tasks, "q"), lambda: config.build({"data": {}}, "v", "eval"), lambda: config.load("/nowhere.yaml")):
         with pytest.raises(config.CodedError):
             bad()
+    tree = {"data": {"dataset_root": "/d", "image_relpath": "i.tif", "image_size": "512", "label_relpaths": {"lane": "l", "intersection": "x"}}, "tiling": {"train": {"overlap_px": 100, "max_tiles_per_sample": 4}}}
+    b = config.build(tree, "train", "train")
+    assert (b.image_size, b.tiling.tile, b.tiling.keep_margin, b.tiling.max_tiles, b.tiling.min_pixels, b.filter_by_mask, b.labels["lane"]) == (512, 2048, 50, 4, 1024, True, "l")
+    assert not config.build(tree, "val", "eval").filter_by_mask and not config.stage_tiling({}, "probe").on
+
+    def stop():
+        raise KeyboardInterrupt
+
+    told = []
+    assert [config.run(j, told.append) for j in (lambda: None, stop, lambda: config.find_task(tasks, "q"), lambda: 1 / 0)] == [0, 130, 1, 1] and told[1].startswith("[VL-1304]") and "cause=" in told[2]
     inner = config.CodedError("VL-1", "in")
     assert str(config.CodedError("VL-2", "out", inner)) == "[VL-1] in"
     assert config.stage_tiling({}, "train").min_ratio == 0.002 and config.stage_tiling({}, "predict").fallback

@@ -13,11 +13,12 @@ ROWS = [(1, 0, 1, '{"a":1}', [[0, 0], [10, 0]]), (1, 1, 2, '{"a":1}', [[11, 0],
 def test_stream_equals_batch(spark, tmp_path):
     rows = spark.createDataFrame([(k, t, f, p, json.dumps(x)) for k, t, f, p, x in ROWS], "sample_id long, tile_index long, feature_id long, props string, pts string")
     line = F.transform(F.from_json("pts", "array<array<double>>"), lambda p: L.point(p[0], p[1]))
+    rows = rows.withColumn("line", line).drop("pts")
     box = {f"keep_{c}": F.lit(v) for c, v in (("x0", -100), ("y0", -100), ("x1", 100), ("y1", 100))}
-    batch = merge_tiles(rows.withColumn("line", line).withColumns(box), ["sample_id"])
+    batch = merge_tiles(rows.withColumns(box), ["sample_id"])
     want = {(r["sample_id"], r["n"], r["p"]) for r in batch.groupBy("sample_id").agg(F.count("*").alias("n"), F.sum("n_points").alias("p")).collect()}
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = merge_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "sample_id")
+    stream = merge_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "sample_id", idle_ms=3_600_000)
     q = stream.writeStream.format("memory").queryName("merged").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(90)
     assert {tuple(r) for r in spark.table("merged").collect()} == want == {(1, 2, 5), (2, 1, 2)}

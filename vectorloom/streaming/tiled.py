@@ -3,81 +3,157 @@
 from __future__ import annotations
 
 import json
+import math
+from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lines as L
 from ..functions import props as P
 
-Line = list[tuple[float, float]]
+TOLERANCE = 3.0
 
 
-def join_lines(old: Line, new: Line, tolerance: float) -> Line | None:
-    """Both lines as one where two of their ends meet within the tolerance: the closest pair of ends, in a fixed order if equal. The new line's end at the joint goes."""
-    if len(old) < 2 or len(new) < 2:
-        return None
-    gap = lambda p, q: ((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2) ** 0.5
-    ways = (
-        (gap(old[-1], new[0]), lambda: old + new[1:]),
-        (gap(old[-1], new[-1]), lambda: old + new[-2::-1]),
-        (gap(old[0], new[-1]), lambda: new[:-1] + old),
-        (gap(old[0], new[0]), lambda: new[::-1][:-1] + old),
-    )
-    best = min(range(4), key=lambda i: ways[i][0])
-    return ways[best][1]() if ways[best][0] <= tolerance else None
+def _bucket(properties: dict) -> tuple:
+    """Equal for properties that are alike: their names, and the values that cannot be alike to another kind's (texts that are no number, and null)."""
+    plain = lambda v: v is None or (isinstance(v, str) and math.isnan(P._number(v)))
+    return tuple((k, properties[k]) if plain(properties[k]) else (k,) for k in sorted(properties))
 
 
 class Memory:
-    """What has been predicted so far: each line extends the first one with equal properties that it meets, else it is new."""
-
-    def __init__(self, tolerance: float = 3.0, lines: list | None = None):
-        self.tolerance = tolerance
-        self.lines: list[tuple[dict, Line, int]] = lines or []
-
-    def add(self, properties: dict, line: Line) -> None:
-        for i, (known, old, parts) in enumerate(self.lines):
-            if P.equal(known, properties):
-                joined = old if old == line else join_lines(old, line, self.tolerance)
-                if joined is not None:
-                    self.lines[i] = known, joined, parts + 1
-                    return
-        self.lines.append((properties, line, 1))
+    """What has been predicted so far. A line extends the first one with like properties that an end of it meets within the tolerance, else it is new; rings are always new.
 
+    Lines are found by their properties' bucket and the grid cells round their ends, so a line meets only those that lie near its own ends."""
 
-def merge_tiles(rows: DataFrame, key: list[str], tolerance: float = 3.0) -> DataFrame:
-    """key, props, line, n_points, n_parts of merged lines. ``rows``: key, tile_index, feature_id, props, line and the tile's keep box; features whose
-    mean vertex lies outside the keep box go first. Tiles of one key follow one another, so a key is one task; keys are independent."""
-    kept = rows.where(L.inside(L.center(F.col("line")), F.col("keep_x0"), F.col("keep_y0"), F.col("keep_x1"), F.col("keep_y1")))
-    slim = kept.select(*key, "tile_index", "feature_id", "props", F.to_json(F.transform("line", lambda p: F.array(p["x"], p["y"]))).alias("pts"))
-    schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in key) + ", props string, line string, n_points long, n_parts long"
+    def __init__(self, tolerance: float = TOLERANCE):
+        self.tolerance = tolerance
+        self.features: list[tuple[dict, np.ndarray, int]] = []  # properties, points, number of parts
+        self.ends: dict[tuple, set[int]] = defaultdict(set)
+
+    def _cells(self, properties: dict, points: np.ndarray) -> list[tuple]:
+        size = max(self.tolerance, 1e-9)
+        name = _bucket(properties)
+        return [(name, int(x // size), int(y // size)) for x, y in points[[0, -1]]]
+
+    def _meeting(self, properties: dict, points: np.ndarray) -> Iterator[tuple[int, bool, bool]]:
+        """Lines that the points' ends meet, oldest first: number, whether at its end, and whether the points must be turned to go on from there."""
+        near = {n for name, x, y in self._cells(properties, points) for i in (-1, 0, 1) for j in (-1, 0, 1) for n in self.ends.get((name, x + i, y + j), ())}
+        for n in sorted(near):
+            known, old, _ = self.features[n]
+            if not P.equal(known, properties):
+                continue
+            # at the old line's end first; there its own way round first, at the beginning turned first
+            ways = [(math.dist(old[-at_end], points[-turned]), at_end, turned) for at_end, turned in ((1, 0), (1, 1), (0, 1), (0, 0))]
+            gap, at_end, turned = min(ways, key=lambda w: w[0])
+            if gap <= self.tolerance:
+                yield n, bool(at_end), bool(turned)
+
+    def add(self, properties: dict, points: np.ndarray, joins: bool = True) -> None:
+        met = next(self._meeting(properties, points), None) if joins and len(points) > 1 else None
+        if met is None:
+            self._put(len(self.features), properties, points, 1)
+            return
+        n, at_end, turned = met
+        known, old, parts = self.features[n]
+        onward = (points[::-1] if turned else points)[1:]  # from the joint away; the joint's own vertex goes
+        for cell in self._cells(known, old):
+            self.ends[cell].discard(n)
+        self._put(n, known, np.concatenate([old, onward] if at_end else [onward[::-1], old]), parts + 1)
+
+    def _put(self, n: int, properties: dict, points: np.ndarray, parts: int) -> None:
+        self.features[n : n + 1] = [(properties, points, parts)]
+        if len(points) > 1:
+            for cell in self._cells(properties, points):
+                self.ends[cell].add(n)
+
+
+def _xy(line: Column) -> tuple[Column, Column]:
+    return F.transform(line, lambda p: p["x"]).alias("xs"), F.transform(line, lambda p: p["y"]).alias("ys")
+
+
+def _points(xs: str = "xs", ys: str = "ys") -> Column:
+    return F.zip_with(xs, ys, L.point)
+
+
+def _rows(features: list[tuple[dict, np.ndarray, int]]) -> dict:
+    return {"props": [P.canonical(p) for p, _, _ in features], "xs": [x[:, 0] for _, x, _ in features], "ys": [x[:, 1] for _, x, _ in features], "n_parts": [n for _, _, n in features]}
+
+
+def kept(features: DataFrame) -> DataFrame:
+    """Predictions (line, or rings where there are) whose mean vertex lies in their tile's half-open keep box (keep_x0 ... keep_y1); a tile without a box keeps all."""
+    vertices = F.coalesce(F.flatten("rings"), F.col("line")) if "rings" in features.columns else F.col("line")
+    return features.where(F.col("keep_x0").isNull() | L.inside(L.center(vertices), F.col("keep_x0"), F.col("keep_y0"), F.col("keep_x1"), F.col("keep_y1")))
+
+
+def fold(features: DataFrame, key: list[str], tolerance: float = TOLERANCE, joins: bool = True, tiles: DataFrame | None = None) -> DataFrame:
+    """key, tile_index, place, props, line, n_parts of the features (key, tile_index, feature_id, props, line) merged in the order of tiles. Rows with a null tile_index are the final features.
+    ``tiles`` (key, tile_index, x0, y0, x1, y1) asks for memory as it is when a tile begins, too: rows with the tile's index, of features whose envelope meets its box.
+
+    Tiles of one key follow one another, so a key is one group; keys are independent, and what comes before and after the fold is not grouped."""
+    slim = features.select(*key, "tile_index", "feature_id", "props", *_xy(F.col("line")), *(F.lit(None).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
+    if tiles is not None:
+        asks = tiles.select(*key, "tile_index", F.lit(None).cast(features.schema["feature_id"].dataType).alias("feature_id"), F.lit(None).cast("string").alias("props"), *(F.lit(None).cast("array<double>").alias(c) for c in ("xs", "ys")), *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
+        slim = slim.unionByName(asks)
+    schema = ", ".join(f"{k} {features.schema[k].dataType.simpleString()}" for k in key) + ", tile_index long, place long, props string, xs array<double>, ys array<double>, n_parts long"
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         memory = Memory(tolerance)
-        for r in frame.sort_values(["tile_index", "feature_id"]).itertuples():
-            memory.add(json.loads(r.props), [tuple(p) for p in json.loads(r.pts)])
-        out = [(P.canonical(p), json.dumps(line), len(line), n) for p, line, n in memory.lines]
-        done = pd.DataFrame(out, columns=["props", "line", "n_points", "n_parts"])
+        out = []
+
+        def show(tile: int | None, numbers: list[int]) -> None:
+            part = pd.DataFrame(_rows([memory.features[n] for n in numbers]))
+            part.insert(0, "tile_index", pd.array([tile] * len(numbers), "Int64"))
+            part.insert(1, "place", numbers)
+            out.append(part)
+
+        # a tile's question comes before its answers
+        order = frame.assign(answer=frame["props"].notna()).sort_values(["tile_index", "answer", "feature_id"])
+        for r in order.itertuples():
+            if r.answer:
+                memory.add(json.loads(r.props), np.column_stack([r.xs, r.ys]).astype(float), joins)
+            else:
+                meets = [n for n, (_, x, _) in enumerate(memory.features) if x[:, 0].max() >= r.x0 and x[:, 0].min() < r.x1 and x[:, 1].max() >= r.y0 and x[:, 1].min() < r.y1]
+                show(int(r.tile_index), meets)
+        show(None, list(range(len(memory.features))))
+        done = pd.concat(out, ignore_index=True)
         for i, k in enumerate(key):
             done.insert(i, k, frame[k].iloc[0])
         return done
 
-    return slim.groupBy(*key).applyInPandas(run, schema)
+    return slim.groupBy(*key).applyInPandas(run, schema).withColumn("line", _points()).drop("xs", "ys")
 
 
-def merge_stream(rows: DataFrame, key: str, tolerance: float = 3.0) -> DataFrame:
-    """The same merge over a stream of tiles (key, tile_index, feature_id, props, pts): state is the merged lines of a key, and each trigger puts out how many it has. Within a trigger tiles are merged in
-    order; across triggers in order of arrival, and a key's tiles must arrive in scan order for the batch's result."""
+def merge_tiles(rows: DataFrame, key: list[str], tolerance: float = TOLERANCE) -> DataFrame:
+    """key, props, line, n_points, n_parts of merged lines. ``rows``: key, tile_index, feature_id, props, line and the tile's keep box; features whose
+    mean vertex lies outside the keep box go first."""
+    merged = fold(kept(rows), key, tolerance)
+    return merged.select(*key, "props", "line", F.size("line").cast("long").alias("n_points"), "n_parts")
+
+
+def merge_stream(rows: DataFrame, key: str, tolerance: float = TOLERANCE, idle_ms: int | None = None) -> DataFrame:
+    """The same merge over a stream of tiles (key, tile_index, feature_id, props, line): state is a key's merged features, as arrays, and each trigger puts out how many it has. Within a trigger tiles are merged in
+    order; across triggers in order of arrival, and a key's tiles must arrive in scan order for the batch's result. A key without new tiles for ``idle_ms`` milliseconds gives up its state."""
     kind = rows.schema[key].dataType.simpleString()
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else []
-        memory = Memory(tolerance, [(p, [tuple(x) for x in line], n) for p, line, n in held])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        memory = Memory(tolerance)
+        if state.exists:
+            for n, (p, x, y, parts) in enumerate(zip(*state.get, strict=True)):
+                memory._put(n, json.loads(p), np.column_stack([x, y]), parts)
         for r in pd.concat(list(frames)).sort_values(["tile_index", "feature_id"]).itertuples():
-            memory.add(json.loads(r.props), [tuple(p) for p in json.loads(r.pts)])
-        state.update((json.dumps(memory.lines),))
-        yield pd.DataFrame({key: [k[0]], "n_lines": [len(memory.lines)], "n_points": [sum(len(x[1]) for x in memory.lines)]})
-
-    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, n_lines long, n_points long", "lines string", "update", "NoTimeout")
+            memory.add(json.loads(r.props), np.column_stack([r.xs, r.ys]).astype(float))
+        held = _rows(memory.features)
+        state.update((held["props"], [x.tolist() for x in held["xs"]], [y.tolist() for y in held["ys"]], held["n_parts"]))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame({key: [k[0]], "n_lines": [len(memory.features)], "n_points": [sum(len(x) for _, x, _ in memory.features)]})
+
+    slim = rows.select(key, "tile_index", "feature_id", "props", *_xy(F.col("line")))
+    return slim.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, n_lines long, n_points long", "props array<string>, xs array<array<double>>, ys array<array<double>>, n_parts array<long>", "update", "ProcessingTimeTimeout" if idle_ms else "NoTimeout")
