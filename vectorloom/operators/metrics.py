@@ -106,8 +106,32 @@ def padded(rows: DataFrame, key: list[str], tokens: str, pad: int) -> DataFrame:
     return rows.withColumn("padded", F.concat(F.col(tokens), fill(pad))).withColumn("mask", F.concat(F.transform(F.col(tokens), lambda _: F.lit(1)), fill(0)))
 
 
-def memory_risk(runs: DataFrame, rules: list[tuple[str, Column, int]]) -> DataFrame:
-    """``runs`` with score (sum of the points of the rules that hold), level (low, medium from 6, high from 10) and reasons."""
+def memory_risk(runs: DataFrame, rules: list[tuple[str, Column, int]], advice: dict[str, str] | None = None) -> DataFrame:
+    """``runs`` with score (sum of the points of the rules that hold), level (low, medium from 6, high from 10), reasons, and suggestions: the advice on each reason, each once, in the rules' order."""
     score = sum((F.when(test, points).otherwise(0) for _, test, points in rules), F.lit(0))
-    reasons = F.filter(F.array(*(F.when(test, F.lit(name)) for name, test, _ in rules)), lambda x: x.isNotNull())
-    return runs.withColumn("score", score).withColumn("level", F.when(F.col("score") >= 10, "high").when(F.col("score") >= 6, "medium").otherwise("low")).withColumn("reasons", reasons)
+    held = lambda value: F.filter(F.array(*(F.when(test, F.lit(value(name))) for name, test, _ in rules)), lambda x: x.isNotNull())
+    out = runs.withColumn("score", score).withColumn("level", F.when(F.col("score") >= 10, "high").when(F.col("score") >= 6, "medium").otherwise("low"))
+    return out.withColumn("reasons", held(lambda n: n)).withColumn("suggestions", F.array_distinct(held(lambda n: (advice or {}).get(n))))
+
+
+def parameter_summary(parameters: DataFrame) -> DataFrame:
+    """total, trainable and share of a model's values; ``parameters``: n_values, trainable."""
+    out = parameters.agg(F.coalesce(F.sum("n_values"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.when(F.col("trainable"), F.col("n_values"))), F.lit(0)).alias("n_trainable"))
+    return out.withColumn("share", F.round(F.col("n_trainable") / F.greatest("total", F.lit(1)), 6))
+
+
+def stitched_counts(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
+    """key, n_patch and n_stitched: features before and after near-duplicates go."""
+    n = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
+    return n(before, "n_patch").join(n(after, "n_stitched"), key, "left").fillna(0, ["n_stitched"])
+
+
+def grouped_indices(items: DataFrame) -> DataFrame:
+    """sample_id and its items' idx in the order of tile_index, task_order and idx."""
+    rows = items.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("tile_index", "task_order", "idx"))).alias("all"))
+    return rows.select("sample_id", F.transform("all", lambda x: x["idx"]).alias("indices"))
+
+
+def best_tokens(scores: DataFrame, key: list[str], token: str, score: str) -> DataFrame:
+    """key and the token with the greatest score, the least token if equal: greedy choice."""
+    return scores.groupBy(key).agg(F.min(F.struct((-F.col(score)).alias("s"), F.col(token).alias("t")))["t"].alias("token"))

@@ -57,3 +57,8 @@ def round_robin(epochs: DataFrame, samples: DataFrame) -> DataFrame:
     n = samples.select("sample_id", (F.row_number().over(Window.orderBy("sample_id")) - 1).alias("turn"))
     total = n.agg(F.count("*").alias("n_samples"))
     return epochs.join(F.broadcast(total)).withColumn("turn", (F.col("epoch") - 1) % F.col("n_samples")).join(n, "turn").select("epoch", "sample_id")
+
+
+def sample_dir(path: Column, inside: str) -> Column:
+    """The folder of the sample that an image lies in, ``inside`` being the image's own path there."""
+    return F.regexp_extract(path, "^(.*?)/" + "/".join(["[^/]+"] * (inside.count("/") + 1)) + "$", 1)

@@ -140,3 +140,19 @@ def without_empty(tiles: DataFrame, features: DataFrame, allow_empty: bool = Fal
         return tiles
     key = ["sample_id", "candidate_index"]
     return tiles.join(features_in_tiles(tiles, features).select(key).distinct(), key, "left_semi")
+
+
+def for_stage(rasters: DataFrame, mask: DataFrame | None, tile: int, overlap: int, margin: int, min_ratio: float = 0.0, min_pixels: int = 0, max_tiles: int = 0, fallback: bool = True, search_box: bool = False, pad: int = 32, on: bool = True) -> DataFrame:
+    """Selected tiles of a stage in scan order. Off, a raster is one tile. ``search_box`` looks only at the reviewed blocks' extent, padded (a raster without any is searched whole);
+    without a mask (as when predicting) all tiles pass a ratio of 0."""
+    if not on:
+        return scan_order(whole(rasters))
+    if search_box and mask is not None:
+        box = mask_box(mask).select("sample_id", *(F.col(c).cast("long").alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")))
+        rows = rasters.join(box, "sample_id", "left")
+        region = expand_box([F.col(f"b{c}") for c in ("x0", "y0", "x1", "y1")], pad, F.col("width").cast("long"), F.col("height").cast("long"))
+        made = generate(rows.withColumns({f"s{i}": c for i, c in enumerate(region)}), tile, overlap, margin, [f"s{i}" for i in range(4)])
+    else:
+        made = generate(rasters, tile, overlap, margin)
+    measured = mask_stats(made, mask) if mask is not None else made.withColumns({"mask_pixels": F.lit(0).cast("long"), "mask_ratio": F.lit(0.0)})
+    return scan_order(audit(measured, min_ratio, min_pixels, max_tiles, fallback).where("selected"))

@@ -419,10 +419,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         batch_plan, batch_counts, lr_schedule, shift_accuracy, running_best, weighted_loss, export_cap, capped_pieces, cache_key, prompt_meta, json_recover, canonical_props, props_equal,
         augment_square, feature_replicas, round_robin, token_codec_roundtrip, grammar_mask, geojson_roundtrip, tiled_replay_predict,
     )
-    return {f.__name__: f for f in names}
+    from .more import QUERIES
+
+    return {f.__name__: f for f in (*names, *QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
+    from .more_oracle import SQL as MORE
     from .oracle import SQL
 
-    return dict(SQL)
+    return SQL | MORE
