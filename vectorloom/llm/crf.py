@@ -154,12 +154,17 @@ def marginals(model: Model, emissions: np.ndarray, doc: np.ndarray, n_docs: int)
 
 
 def fit(features: list[np.ndarray], gold: np.ndarray, doc: np.ndarray, n_docs: int, states: int, bits: int = 17, rounds: int = 30, rate: float = 0.2, l2: float = 1e-3, dead: int | None = None) -> Model:
-    """Maximum likelihood by full-batch Adam. ``gold`` has each token's state; features with the value ``dead`` weigh nothing."""
+    """Maximum likelihood by full-batch Adam, which empties ``features``. ``gold`` has each token's state; features with the value ``dead`` weigh nothing."""
     size = 1 << bits
     model = Model(np.zeros((size, states), np.float32), np.zeros((states, states)))
-    idx = [(f & np.uint64(size - 1)).astype(np.int64) for f in features]
-    used = np.unique(np.concatenate(idx))
-    idx = [np.searchsorted(used, i) for i in idx]
+    # features are let go one by one, as they are turned into narrow places of the weights in use
+    idx, seen_buckets = [], np.zeros(size, bool)
+    while features:
+        idx.append((features.pop(0) & np.uint64(size - 1)).astype(np.int32))
+        seen_buckets[idx[-1]] = True
+    used = np.flatnonzero(seen_buckets)
+    rank = (np.cumsum(seen_buckets) - 1).astype(np.int32)
+    idx = [rank[i] for i in idx]
     w = np.zeros((len(used), states))
     moments = [np.zeros((2, *x.shape)) for x in (w, model.trans)]
 

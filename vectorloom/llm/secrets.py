@@ -33,11 +33,11 @@ KEYWORDS = ("passw", "secret", "token", "api_key", "apikey")
 KINDS = ("assign", "access", "hex", "crf")
 OUTSIDE, BEGIN, INSIDE = range(3)
 #: Rows of the sample that the field is fitted on, and the longest text in it.
-SAMPLE_ROWS, SAMPLE_CHARS = 6000, 50_000
+SAMPLE_ROWS, SAMPLE_CHARS = 3000, 50_000
 #: Characters of texts with spans, and of others, that the field is fitted on.
-FIT_CHARS = 600_000
+FIT_CHARS = 400_000
 #: Texts of the sample that secrets are put into, and their characters.
-PLANT_TEXTS, PLANT_CHARS = 600, 500_000
+PLANT_TEXTS, PLANT_CHARS = 400, 300_000
 #: What a left-out word's features are: they weigh nothing.
 LEFT_OUT = np.uint64(1)
 _NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey", "pwd", "credential", "auth", "access_key", "private_key", "client_secret", "bearer")
