@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .arrowmap import arrow_map, texts_of
 from .graph import components
+from .skew import hot_keys, join_one
 from .storage import Workspace
 from .textcore import blocks, mix, shingles, words
 
@@ -127,17 +130,40 @@ def _shingled(text: str | None) -> np.ndarray:
     return np.sort(shingles(words([text or ""]), 1, WORDS)[0])
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _coded(text: str | None) -> np.ndarray:
+    """A text's shingles, the k-th occurrence of one told apart from the others, so the weighted likeness is that of plain sets."""
+    x = _shingled(text)
+    nth = np.arange(len(x)) - np.searchsorted(x, x)
+    return np.where(nth > 0, mix(x + mix(nth.astype(np.uint64))), x)
+
+
+@dataclass(frozen=True)
+class Measure:
+    """How two texts are compared: what is read from a text, the likeness of two readings, a text as a plain set of tokens, and the least Jaccard likeness of two such sets whose texts reach a threshold."""
+
+    read: Callable[[str | None], np.ndarray]
+    likeness: Callable[[np.ndarray, np.ndarray], float]
+    tokens: Callable[[str | None], np.ndarray]
+    jaccard: Callable[[float], float]
+
+
+SHINGLES = Measure(_shingled, likeness, _coded, lambda t: t)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, measure: Measure = SHINGLES) -> DataFrame:
     """(a, b, likeness) for pairs (a, b) of documents ``docs`` (id, text)."""
     texts = docs.select("id", "text")
-    full = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
+    hot = lambda c: hot_keys(pairs.groupBy(c).agg(F.count("*").alias("n")), [c])
+    side = lambda c: texts.toDF(c, f"text_{c}")
+    half = join_one(pairs.select("a", "b"), side("b"), ["b"], hot("b"), by=["a", "b"])
+    full = join_one(half, side("a"), ["a"], hot("a"), by=["a", "b"]).select("a", "b", "text_a", "text_b")
 
     def kernel(b: pa.RecordBatch) -> dict:
         out, last, x = [], None, None
         for a, s, t in zip(b["a"].to_pylist(), b["text_a"].to_pylist(), b["text_b"].to_pylist(), strict=True):
             if x is None or a != last:
-                x, last = _shingled(s), a
-            out.append(likeness(x, _shingled(t)))
+                x, last = measure.read(s), a
+            out.append(measure.likeness(x, measure.read(t)))
         return {"a": b["a"], "b": b["b"], "likeness": pa.array(out, pa.float64())}
 
     return arrow_map(full, {c: c for c in full.columns}, "a long, b long, likeness double", kernel)
@@ -155,13 +181,13 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, space: Workspace | No
     return rows.unionByName(sketch.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("copy_of")))
 
 
-def joined(reps: DataFrame, docs: DataFrame, threshold: float, space: Workspace) -> DataFrame:
+def joined(reps: DataFrame, docs: DataFrame, threshold: float, space: Workspace, measure: Measure = SHINGLES) -> DataFrame:
     """(id, label): the least of each representative's class. Classes connect all that share a bucket and have a likeness of at least the threshold."""
     buckets = reps.select("rep", F.explode("bands").alias("key"))
     pivot = lambda *by: F.min(F.struct(F.xxhash64("rep", *by).alias("h"), "rep"))["rep"]
     pivots = F.array_distinct(F.array(F.min("rep"), pivot(), pivot("key")))
-    size = buckets.groupBy("key").agg(F.count("*").alias("n"), pivots.alias("pivots")).where("n > 1")
-    members = space.written(buckets.join(size, "key"), "members")
+    size = space.written(buckets.groupBy("key").agg(F.count("*").alias("n"), pivots.alias("pivots")).where("n > 1"), "sizes")
+    members = space.written(join_one(buckets, size, ["key"], space.written(hot_keys(size, ["key"]), "hot")), "members")
     small = members.where(F.col("n") <= ALL_PAIRS).groupBy("key").agg(F.array_sort(F.collect_list("rep")).alias("all"))
     # all pairs of a bucket of bounded size: each with those behind it
     pairs = small.select(F.posexplode("all").alias("at", "a"), "all").select("a", F.explode(F.expr("slice(all, at + 2, size(all))")).alias("b"))
@@ -169,7 +195,7 @@ def joined(reps: DataFrame, docs: DataFrame, threshold: float, space: Workspace)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
     wanted = space.written(pairs.union(star).distinct(), "pairs")
     space.release()
-    done = space.written(verified(wanted, texts), "verified")
+    done = space.written(verified(wanted, texts, measure), "verified")
     space.release()
     near = done.where(F.col("likeness") >= threshold).select("a", "b")
     # large buckets whose texts the pivots have not joined into one class
@@ -179,18 +205,18 @@ def joined(reps: DataFrame, docs: DataFrame, threshold: float, space: Workspace)
     left = space.written(large.join(apart, "key").select("rep", "label").distinct(), "left")
     if left.isEmpty():
         return named
-    maybe = space.written(crossing(left, texts, threshold, space).join(wanted, ["a", "b"], "left_anti"), "crossing")
+    maybe = space.written(crossing(left, texts, threshold, space, measure).join(wanted, ["a", "b"], "left_anti"), "crossing")
     space.release()
     # the likeliest partner of a text in each other class goes first; then only pairs whose classes are still two
     ends = maybe.select("a", "b", F.col("a").alias("me"), F.col("label_b").alias("other"), "shared").union(maybe.select("a", "b", "b", "label_a", "shared"))
     best = ends.groupBy("me", "other").agg(F.max(F.struct("shared", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-    tried = space.written(_joined(best, maybe, texts, threshold), "tried")
+    tried = space.written(_joined(best, maybe, texts, threshold, measure), "tried")
     met = components(tried.where("near").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")), space, "second")
     now = lambda c: met.select(F.col("id").alias(f"label_{c}"), F.col("label").alias(f"now_{c}"))
     rest = maybe.join(now("a"), "label_a", "left").join(now("b"), "label_b", "left").where(F.coalesce("now_a", "label_a") != F.coalesce("now_b", "label_b"))
     rest = space.written(rest.select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     space.release()
-    found = space.written(_joined(rest, maybe, texts, threshold), "found")
+    found = space.written(_joined(rest, maybe, texts, threshold, measure), "found")
     space.release()
     # one edge for each two classes says as much as all links between them
     edges = tried.union(found).where("near").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct()
@@ -200,31 +226,26 @@ def joined(reps: DataFrame, docs: DataFrame, threshold: float, space: Workspace)
     return every.join(last, F.col("label") == F.col("old"), "left").select("id", F.coalesce("new", "label").alias("label"))
 
 
-def _joined(pairs: DataFrame, known: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _joined(pairs: DataFrame, known: DataFrame, texts: DataFrame, threshold: float, measure: Measure) -> DataFrame:
     """a, b, label_a, label_b of ``pairs``, and whether they are near."""
-    done = verified(pairs, texts).groupBy("a", "b").agg((F.max("likeness") >= threshold).alias("near"))
+    done = verified(pairs, texts, measure).groupBy("a", "b").agg((F.max("likeness") >= threshold).alias("near"))
     return done.join(known, ["a", "b"]).select("a", "b", "label_a", "label_b", "near")
 
 
-def _tokens(b: pa.RecordBatch) -> dict:
-    """Each text's shingles, the k-th occurrence of one told apart from the others, so the weighted likeness is that of plain sets."""
-    out = []
-    for t in b["text"].to_pylist():
-        x = _shingled(t)
-        nth = np.arange(len(x)) - np.searchsorted(x, x)
-        out.append(np.where(nth > 0, mix(x + mix(nth.astype(np.uint64))), x).view(np.int64))
-    return {c: b[c] for c in ("rep", "h", "label")} | {"n": pa.array([len(x) for x in out], pa.int32()), "tokens": pa.array(out, pa.list_(pa.int64()))}
-
-
-def crossing(left: DataFrame, texts: DataFrame, threshold: float, space: Workspace) -> DataFrame:
+def crossing(left: DataFrame, texts: DataFrame, threshold: float, space: Workspace, measure: Measure = SHINGLES) -> DataFrame:
     """a, b, label_a, label_b with a < b, and how many of their rarest tokens they share: pairs of different label among ``left`` (rep, label) that may be alike enough; none that is gets lost.
 
     Tokens are ordered from the rarest to the most common. Of two texts of n <= m tokens, alike enough, at least t m and 2t / (1 + t) n
     tokens are common, so the first common one is among the first m - t m + 1 of the larger and n - 2t / (1 + t) n + 1 of the smaller text, and
     enough tokens come after it in both. Of the label that most texts with a token have, none is compared with another."""
-    t = threshold
+    t = measure.jaccard(threshold)
+
+    def tokens(b: pa.RecordBatch) -> dict:
+        out = [measure.tokens(x).view(np.int64) for x in b["text"].to_pylist()]
+        return {c: b[c] for c in ("rep", "h", "label")} | {"n": pa.array([len(x) for x in out], pa.int32()), "tokens": pa.array(out, pa.list_(pa.int64()))}
+
     rows = left.join(texts.withColumnRenamed("id", "rep"), "rep").withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["rep", "h"])
-    listed = space.written(arrow_map(rows, {c: c for c in ("rep", "h", "label", "text")}, "rep long, h long, label long, n int, tokens array<long>", _tokens), "tokens")
+    listed = space.written(arrow_map(rows, {c: c for c in ("rep", "h", "label", "text")}, "rep long, h long, label long, n int, tokens array<long>", tokens), "tokens")
     each = listed.select("rep", "h", "label", "n", F.explode("tokens").alias("token"))
     often = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = each.join(often, "token").groupBy("rep", "h", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("all"))
