@@ -118,8 +118,7 @@ class Encoder:
             return [], np.zeros((0, 2), np.int64), ""
         normal, source = self.normalise(text)
         ids = self.lib.encode(text)
-        decoded = b"".join([self.surface[i] for i in ids]).decode("utf-8", "replace")
-        decoded = decoded[1:] if self.dummy and decoded[:1] == " " else decoded
+        decoded = self.lib.decode(ids)
         end = np.cumsum(self.width[ids], dtype=np.int64) - len(self.dummy)
         if SPACE in normal:  # in the text itself it has three bytes, as a surface one
             true = np.array([len(c.encode()) for c in normal], np.int64)
