@@ -196,21 +196,20 @@ def test_toxicity_held_out_and_cases(spark):
     assert kept == {1, 2}
 
 
-def test_edit_distance_against_plain():
-    def plain(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, z in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != z)))
-            row = new
-        return row[-1]
+def linked(n, near):
+    """The least number of each component."""
+    label = list(range(n))
 
-    r = random.Random(1)
-    for _ in range(200):
-        a, b = ("".join(r.choice("abc") for _ in range(r.randint(0, 12))) for _ in range(2))
-        m = r.randint(0, 8)
-        assert editprint.edit_distance(a, b, m) == min(plain(a, b), m + 1)
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, j in itertools.combinations(range(n), 2):
+        if near(i, j):
+            a, b = sorted((root(i), root(j)))
+            label[b] = a
+    return {i: root(i) for i in range(n)}
 
 
 def test_fingerprints(spark):
@@ -229,17 +228,30 @@ def test_fingerprints(spark):
     assert one["near_next"] == 1 and one["edited_sha256"] == sha("aba")
 
 
-def test_edit_near_pairs(spark):
-    a = prose(60, 1)
-    pairs = {(r["a"], r["b"]) for r in editprint.near_pairs(table(spark, [a, a[:100] + "zz" + a[101:], prose(60, 2), a, None])).collect()}
-    assert pairs == {(0, 1)}
-
-
-def test_edit_near_pairs_of_one_bucket(spark):
-    """Texts of one family meet all others, not just the least and the next."""
-    texts = [prose(60, 3) + x for x in "abcdef"]
-    pairs = {(r["a"], r["b"]) for r in editprint.near_pairs(table(spark, texts)).collect()}
-    assert pairs == set(itertools.combinations(range(6), 2))
+def edited(text, share, seed):
+    r, out = random.Random(seed), list(text)
+    for _ in range(int(share * len(text))):
+        k = r.randrange(len(out))
+        out[k : k + 1] = r.choice(([], [r.choice("abcdefghij")], [out[k], r.choice("abcdefghij")]))
+    return "".join(out)
+
+
+@pytest.mark.parametrize("all_pairs", [16, 2])
+def test_edit_classes_against_brute_force(spark, all_pairs, monkeypatch):
+    """Families of edited texts, in small buckets and in ones that are searched by rare tokens: all links between texts that share a bucket, and nearly all of all."""
+    monkeypatch.setattr(dartminhash, "ALL_PAIRS", all_pairs)
+    texts = [edited(prose(120, f), share, 100 * f + c) for f in range(8) for c, share in enumerate((0, 0, 0.001, 0.003, 0.006, 0.01, 0.03))]
+    texts += [prose(100 + 10 * k, 700 + k) for k in range(10)] + ["", None, "a", "a", "ab", prose(3, 9)]
+    prints = [editprint.fingerprint(t or "") for t in texts]
+    x = [editprint._read(p) for p in prints]
+    alike = lambda i, j: prints[i] == prints[j] or editprint.agreement(x[i], x[j]) >= 0.8
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if alike(i, j)]
+    got = {r["doc_id"]: r["class_id"] for r in editprint.near(table(spark, texts)).collect()}
+    want = linked(len(texts), alike)
+    assert len(pairs) > 60 and all(got[i] == got[j] for i, j in pairs) and got == want
+    keys = [set(editprint.band_keys(p)) for p in prints]
+    assert sum(bool(keys[i] & keys[j]) or prints[i] == prints[j] for i, j in pairs) >= 0.98 * len(pairs)
+    assert len(editprint.near(odd(spark)).collect()) == 10 and editprint.near(empty(spark)).count() == 0
 
 
 def test_token_ids_of_long_white_space():
@@ -403,6 +415,32 @@ def test_near_duplicates_in_large_buckets(spark):
     assert {x["doc_id"]: x["class_id"] for x in dartminhash.classes(table(spark, texts)).collect()} == dict(enumerate(label))
 
 
+def test_near_duplicates_of_hub_chain_and_boilerplate(spark):
+    """A text that is near to each of two hundred that are far from one another; a chain of small edits; pairs in shared boilerplate."""
+    base = prose(400, 1)
+    hub = [base] + [base + " " + prose(95, 100 + k) for k in range(200)]
+    words = prose(200, 2).split()
+    chain = []
+    for k in range(40):
+        words[5 * k : 5 * k + 5] = prose(5, 300 + k).split()
+        chain.append(" ".join(words))
+    shared = prose(300, 3)
+    plate = [f"{shared} {prose(70, 400 + k // 2)} {prose(20, 500 + k)}" for k in range(60)]
+    texts = [*hub, *chain, *plate]
+    order = list(range(len(texts)))
+    random.Random(5).shuffle(order)
+    sets = [shingle_set(texts[i]) for i in order]
+    size = [sum(s.values()) for s in sets]
+
+    def near(i, j):
+        low = sum((sets[i] & sets[j]).values())
+        return low >= 0.8 * (size[i] + size[j] - low)
+
+    got = {r["doc_id"]: r["class_id"] for r in dartminhash.classes(table(spark, [texts[i] for i in order])).collect()}
+    want = linked(len(texts), near)
+    assert got == want and len({want[order.index(i)] for i in range(201)}) == 1 and len({want[order.index(i)] for i in range(201, 241)}) == 1
+
+
 def test_warc_round_trip(spark):
     big = "<html>" + "x" * 200
     rows = [(3, "http://a/\r\nb", big), (1, None, big), (2, "http://c", None), (4, "u", "short"), (5, "u", "short"), (None, "n", big), (6, "é", "ü🎉" * 60), (1, None, big)]

@@ -24,7 +24,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return editprint.fingerprints(table(spark, sf_dir, "documents"))
+    return editprint.near(table(spark, sf_dir, "documents"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
