@@ -50,6 +50,92 @@ def test_tiff(spark, tmp_path, compress):
         tiff.Tiff(b"no tiff")
 
 
+def lzw(data):
+    """TIFF's LZW, bit by bit."""
+    bits, width = "", 9
+    table, word = {bytes([i]): i for i in range(256)}, b""
+    bits += format(256, f"0{width}b")
+    for c in data:
+        if word + bytes([c]) in table:
+            word += bytes([c])
+            continue
+        bits += format(table[word], f"0{width}b")
+        table[word + bytes([c])] = len(table) + 2
+        if len(table) + 2 in (512, 1024, 2048):
+            width += 1
+        word = bytes([c])
+        if len(table) + 2 >= 4094:
+            bits += format(table[word], f"0{width}b") + format(256, f"0{width}b")
+            table, word, width = {bytes([i]): i for i in range(256)}, b"", 9
+    bits += (format(table[word], f"0{width}b") if word else "") + format(257, f"0{width}b")
+    bits += "0" * (-len(bits) % 8)
+    return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8))
+
+
+def test_lzw_and_floats_and_big_files():
+    import random
+
+    r = random.Random(1)
+    for data in (b"", b"a", b"ab" * 4000, bytes(r.choice(b"abc") for _ in range(30000)), bytes(r.randrange(256) for _ in range(9000))):
+        assert tiff._lzw(lzw(data)) == data
+    px = np.random.default_rng(1).normal(size=(4, 3)).astype("<f4")
+    raw = px.tobytes()
+    tags = [(256, 3, 3), (257, 3, 4), (258, 3, 32), (259, 3, 1), (273, 16, 0), (277, 3, 1), (278, 3, 4), (279, 16, len(raw)), (339, 3, 3)]
+    at = 16 + 8 + 20 * len(tags) + 8
+    body = b"".join(struct.pack("<HHQQ", t, k, 1, at if t == 273 else v) for t, k, v in tags)
+    t = tiff.Tiff(struct.pack("<2sHHHQQ", b"II", 43, 8, 0, 16, len(tags)) + body + b"\0" * 8 + raw)
+    assert t.meta["dtype"] == "float32" and (t.read([1])[:, :, 0] == px).all()
+
+
+def test_windows_and_png(spark, tmp_path):
+    from vectorloom.functions import images
+
+    px = np.random.default_rng(2).integers(0, 255, (7, 5, 3), np.uint8)
+    (tmp_path / "0.tif").write_bytes(write_tiff(px))
+    df = tiff.files(spark, str(tmp_path / "0.tif"))
+    path = df.first()["path"]
+    boxes = spark.createDataFrame([(path, 0, 0, 0, 5, 7), (path, 1, 2, 3, 9, 9)], "path string, tile_index long, x0 long, y0 long, x1 long, y1 long")
+    got = {r["tile_index"]: np.frombuffer(r["pixels"], "<f4").reshape(r["height"], r["width"], 3) for r in tiff.windows(df, boxes, [3, 2, 1]).collect()}
+    assert (got[0] == px[:, :, ::-1]).all() and (got[1] == px[3:, 2:, ::-1]).all()
+    for data, back in ((images.png(px), px), (images.png(np.moveaxis(px, -1, 0) / 255.0, True), px)):
+        at = data.index(b"IDAT")
+        rows = zlib.decompress(data[at + 4 : at + 4 + struct.unpack(">I", data[at - 4 : at])[0]])
+        assert abs(np.frombuffer(rows, np.uint8).reshape(7, 16)[:, 1:].reshape(7, 5, 3).astype(int) - back).max() <= 1
+
+
+def test_exports(spark, tmp_path):
+    from vectorloom.sources import exports
+
+    assert exports.settings({}) == exports.Exports() and exports.settings({"artifact_export": {"enabled": "yes", "max_samples_per_batch": "3"}}).max_samples_per_batch == 3
+    tile = spark.createDataFrame([("s", i, i % 2 == 0, "r", 0, 0, 9, 9, 0, 0, 9, 9, 0.5, 40) for i in range(5)], "sample_id string, candidate_index long, selected boolean, reason string, x0 long, y0 long, x1 long, y1 long, keep_x0 long, keep_y0 long, keep_x1 long, keep_y1 long, mask_ratio double, mask_pixels long")
+    told = json.loads(exports.audit(tile).first()["text"])
+    assert [t["candidate_index"] for t in told] == list(range(5)) and told[0]["bbox"] == [0, 0, 9, 9]
+    assert [r["folder"] for r in exports.patches(tile, exports.Exports(max_patch_images_per_sample=3)).orderBy("candidate_index").collect()] == ["selected", "discarded", "selected"]
+    assert exports.patches(tile, exports.Exports(save_kept_patches=False)).count() == 2
+    said = spark.createDataFrame([("s", 0, "raw é", None), ("s", 1, None, "{}")], "sample_id string, tile_index long, text string, found string")
+    fc = spark.createDataFrame([("s", 1, "kept", '{"b":1,"a":"é"}'), ("s", 0, "pred", None)], "sample_id string, tile_index long, kind string, geojson string")
+    rows = exports.tile_files(said, fc, "lane").unionByName(exports.failures(said)).unionByName(exports.sample_files(fc.where("tile_index = 1").drop("tile_index"), "Lane"))
+    assert sorted(r["artifact"] for r in rows.collect()) == ["Lane.kept.geojson", "tile_0000.pred.parse_failed.json", "tile_geojson/lane/tile_0000.pred.raw.txt", "tile_geojson/lane/tile_0001.kept.geojson", "tile_geojson/lane/tile_0001.pred.raw.txt"]
+    exports.write(rows, str(tmp_path / "out"))
+    back = {r["artifact"]: r["value"] for r in spark.read.text(str(tmp_path / "out"), wholetext=True).collect()}
+    assert len(back) == 5 and json.loads(back["Lane.kept.geojson"]) == {"b": 1, "a": "é"} and back["Lane.kept.geojson"].startswith('{\n  "b": 1')
+    items = spark.createDataFrame([("s", "lane", b, p, "q", "st", "t", "m", "[]", None) for b in range(2) for p in range(2)], "sample_id string, task string, batch long, place long, prompt string, state string, target string, target_meta string, state_items string, target_items string")
+    assert exports.batch_files(items, exports.Exports(), "train").count() == 0
+    assert {r["artifact"].rsplit("/", 1)[0] for r in exports.batch_files(items, exports.Exports(enabled=True), "train").collect()} == {"00001/00_s_lane"}
+
+
+def test_inputs_and_labels(spark):
+    paths = ["/d/val/a/patch_tif/0.tif", "/d/val/b/other.tif", "/d/val/b/label_check_crop/Lane.geojson", "/d/val/a/label_check_crop/Lane.geojson", "/x/2.tif", "/x/1.tif", "/x/y/3.tif", "/x/1.png"]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    name = lambda d: [r["sample_id"] for r in d.collect()]
+    assert name(tables.inputs(df, image="/q/z.w.tif")) == ["z.w"] and name(tables.inputs(df, folder="/x/")) == ["1", "2"] and name(tables.inputs(df, folder="/x", pattern="1.*")) == ["1", "1"]
+    assert name(tables.inputs(df, root="/d", splits=(None, "test", "val"))) == ["a"]
+    with pytest.raises(config.CodedError):
+        tables.inputs(df, root="/d", splits=("test",))
+    found = tables.samples(df, cut_first=False)
+    assert [tuple(r) for r in tables.labelled(found, {"lane": "label_check_crop/Lane.geojson", "x": "label_check_crop/No.geojson"}).collect()] == [("val", "a", "lane")]
+
+
 def test_geojson_polygons_and_wrong_types(spark):
     ring = [[116.63, 40.078], [116.631, 40.078], [116.631, 40.079], [116.63, 40.078]]
     fc = {"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"Id": "a"}, "geometry": {"type": "Polygon", "coordinates": [ring]}}, {"type": "Feature", "properties": None, "geometry": {"type": "Polygon", "coordinates": ring}}, {"type": "Feature", "properties": {}, "geometry": {"type": "LineString", "coordinates": ring}}]}

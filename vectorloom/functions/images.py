@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 
 
@@ -39,3 +42,19 @@ def turned(image: np.ndarray, rot: int, h: bool, v: bool) -> np.ndarray:
     out = np.rot90(image, rot)
     out = out[:, ::-1] if h else out
     return out[::-1] if v else out
+
+
+def png(px: np.ndarray, planes_first: bool = False) -> bytes:
+    """A PNG file of an image: height x width x 1 or 3 with values up to 255, or planes first with values up to 1 (or 255, if any is greater)."""
+    if planes_first:
+        px = np.moveaxis(px, 0, -1)
+        px = px * 255 if px.size and px.max() <= 1 else px
+    px = np.clip(px, 0, 255).astype(np.uint8)
+    h, w, n = px.shape
+    rows = b"".join(b"\0" + row.tobytes() for row in px)
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    head = struct.pack(">IIBBBBB", w, h, 8, {1: 0, 3: 2}[n], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")

@@ -130,6 +130,7 @@ def _mapped(f):
 first_object_udf = _mapped(first_object)
 parse_udf = _mapped(lambda t: canonical(parse(t)))
 parse_relaxed_udf = _mapped(lambda t: canonical(parse_relaxed(t)))
+indented_udf = _mapped(lambda t: json.dumps(json.loads(t), ensure_ascii=False, indent=2))
 canonical_udf = _mapped(lambda t: (lambda o: None if o is None else canonical(o))(_object(json.loads, t)))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import lines as L
 from ..functions import props as P
 from ..operators import match, metrics, prepare
+from ..operators.rounds import settled
 from ..sources import geojson
 from ..streaming import tiled
 
@@ -35,17 +36,18 @@ def predict(answers: DataFrame, tiles: DataFrame, rasters: DataFrame, name: str,
     dropped. ``tiles``: as ``tiles.scan_order`` gives them. ``places`` rounds pixels."""
     from ..operators.tiles import state_regions
 
-    read = parsed(answers, name)
+    read = settled(parsed(answers, name))
     box = tiles.select("sample_id", "tile_index", *(f"keep_{c}" for c in prepare.BOX))
     ground = F.broadcast(rasters.select("sample_id", "a", "c", "e", "f"))
     texts = read.where("found is not null").select("sample_id", "tile_index", F.col("found").alias("text")).join(ground, "sample_id")
     features = geojson.ingest(texts, "linestring", 2, raster_crs, source_crs).join(box, ["sample_id", "tile_index"]).withColumnRenamed("source_index", "feature_id")
     if places is not None:
         features = features.withColumn("line", F.transform("line", lambda p: L.point(F.round(p["x"], places), F.round(p["y"], places))))
+    features = settled(features)
     kept = tiled.kept(features)
     strips = state_regions(tiles, margin)
     asking = strips.select("sample_id", "tile_index", *prepare.BOX).distinct()
-    folded = tiled.fold(kept, ["sample_id"], tiles=asking)
+    folded = settled(tiled.fold(kept, ["sample_id"], tiles=asking))
     merged = folded.where("tile_index is null").select("sample_id", F.col("place").alias("id"), "props", "line", "n_parts")
     memory = folded.where("tile_index is not null").join(asking, ["sample_id", "tile_index"])
     number = lambda df, n: df.groupBy("sample_id", "tile_index").agg(F.count("*").alias(n))

@@ -51,10 +51,6 @@ def ingest(texts: DataFrame, geometry: str, least: int, raster_crs: str, source_
     return rows.withColumn("rings", whole).where(F.size("rings") >= 1).withColumn("line", F.col("rings")[0]).where(F.size("line") >= least).drop("feature", "coordinates")
 
 
-def _number(x: Column) -> Column:
-    return F.to_json(F.array(x))
-
-
 def emit(features: DataFrame, key: list[str], name: str, geometry: str, raster_crs: str, target_crs: str = C.CRS84, with_z: bool = True) -> DataFrame:
     """key, geojson: one feature collection a key from features (props, line or rings, and the raster's a, c, e, f). Rings are closed again."""
 
@@ -72,6 +68,8 @@ def emit(features: DataFrame, key: list[str], name: str, geometry: str, raster_c
     return rows.select(*key, F.concat(F.lit(head), F.array_join(F.transform("all", lambda x: x["f"]), ","), F.lit("]}")).alias("geojson"))
 
 
-def write(collections: DataFrame, key: str, path: str) -> None:
-    """One folder a key with its collection as text; Spark's committer makes the write atomic."""
-    collections.select(key, F.col("geojson").alias("value")).write.partitionBy(key).mode("overwrite").text(path)
+def write(collections: DataFrame, key: str, path: str, indent: bool = False) -> None:
+    """One folder a key with its collection as text, indented if asked for; Spark's committer makes the write atomic."""
+    from ..functions.props import indented_udf
+
+    collections.select(key, (indented_udf("geojson") if indent else F.col("geojson")).alias("value")).write.partitionBy(key).mode("overwrite").text(path)

@@ -42,3 +42,34 @@ def cache_counts(items: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     """total, existing and missing keys."""
     j = items.select(key).distinct().join(stored.select(key, F.lit(True).alias("hit")).distinct(), key, "left")
     return j.agg(F.count("*").alias("total"), F.count("hit").alias("existing"), (F.count("*") - F.count("hit")).alias("missing"))
+
+
+def labelled(found: DataFrame, labels: dict[str, str]) -> DataFrame:
+    """sample_id and task for each label file (task -> path inside a sample) that a sample of ``samples`` has: tasks without a label are left out."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(t).alias("task"), F.lit(p).alias("file")) for t, p in labels.items())))
+    return found.select("split", "sample_id", "files", pairs.alias("l")).where(F.array_contains("files", F.col("l.file"))).select("split", "sample_id", F.col("l.task").alias("task"))
+
+
+def inputs(paths: DataFrame, image: str | None = None, folder: str | None = None, pattern: str = "*.tif", root: str = "", splits: tuple[str | None, ...] = (), relpath: str = "patch_tif/0.tif") -> DataFrame:
+    """sample_id, image_path of what to predict, from a listing (path): one image; else a folder's files by pattern; else the images of the first split that has any folder.
+    Images are named by their file, those of a split by their sample's folder; no such split is an error."""
+    import re
+
+    from .config import CodedError
+
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    if image:
+        return paths.sparkSession.createDataFrame([(image,)], "path string").select(stem.alias("sample_id"), F.col("path").alias("image_path"))
+    if folder:
+        base = folder.rstrip("/")
+        name = re.escape(pattern).replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
+        here = F.col("path").startswith(f"{base}/") & F.substring("path", len(base) + 2, 1 << 30).rlike(f"^{name}$")
+        return paths.where(here).select(stem.alias("sample_id"), F.col("path").alias("image_path")).orderBy("image_path")
+    for split in splits:
+        if split:
+            top = f"{root.rstrip('/')}/{split}/"
+            inside = paths.where(F.col("path").startswith(top))
+            if not inside.isEmpty():
+                rest = F.substring("path", len(top) + 1, 1 << 30)
+                return inside.where(F.regexp_extract(rest, "^[^/]+/(.*)$", 1) == relpath).select(F.substring_index(rest, "/", 1).alias("sample_id"), F.col("path").alias("image_path")).orderBy("sample_id")
+    raise CodedError("VL-1102", f"no split of {[s for s in splits if s]} under {root}")

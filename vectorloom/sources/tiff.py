@@ -1,5 +1,5 @@
 """GeoTIFF rasters from binary files: headers, windows of bands and review masks as runs. Baseline TIFF: strips or tiles, chunky or planar, without
-compression or with Deflate or PackBits, unsigned 8 and 16 bit samples."""
+compression or with Deflate, PackBits or LZW, unsigned 8, 16 and 32 bit and floating samples; classic and big files."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ from .config import CodedError
 
 # TIFF tags and type sizes.
 WIDTH, HEIGHT, BITS, COMPRESSION, STRIP_AT, SAMPLES, ROWS, STRIP_SIZE, PLANAR, PREDICTOR = 256, 257, 258, 259, 273, 277, 278, 279, 284, 317
-TILE_W, TILE_H, TILE_AT, TILE_SIZE, SCALE, TIEPOINT, MATRIX, GEO_KEYS = 322, 323, 324, 325, 33550, 33922, 34264, 34735
+TILE_W, TILE_H, TILE_AT, TILE_SIZE, SCALE, TIEPOINT, MATRIX, GEO_KEYS, FORMAT = 322, 323, 324, 325, 33550, 33922, 34264, 34735, 339
 _SIZE = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 11: "f", 12: "d", 16: "Q"}
 
 
@@ -32,18 +32,23 @@ class Tiff:
         if self.data[:2] not in (b"II", b"MM"):
             raise CodedError("VL-1201", "not a TIFF file")
         self.order = "<" if self.data[:2] == b"II" else ">"
-        magic, at = struct.unpack_from(self.order + "HI", self.data, 2)
-        if magic != 42:
+        (magic,) = struct.unpack_from(self.order + "H", self.data, 2)
+        if magic not in (42, 43):
             raise CodedError("VL-1201", f"unsupported TIFF version {magic}")
-        (n,) = struct.unpack_from(self.order + "H", self.data, at)
+        # big files have wider numbers: of entries, of an entry's values, and of places
+        number, place, step = ("H", "I", 12) if magic == 42 else ("Q", "Q", 20)
+        (at,) = struct.unpack_from(self.order + place, self.data, 4 if magic == 42 else 8)
+        (n,) = struct.unpack_from(self.order + number, self.data, at)
+        first = at + struct.calcsize(number)
         for i in range(n):
-            tag, kind, count = struct.unpack_from(self.order + "HHI", self.data, at + 2 + 12 * i)
+            tag, kind = struct.unpack_from(self.order + "HH", self.data, first + step * i)
+            (count,) = struct.unpack_from(self.order + place, self.data, first + step * i + 4)
             if kind not in _SIZE:
                 continue
             fmt = self.order + _SIZE[kind] * count
-            where = at + 2 + 12 * i + 8
-            if struct.calcsize(fmt) > 4:
-                (where,) = struct.unpack_from(self.order + "I", self.data, where)
+            where = first + step * i + 4 + struct.calcsize(place)
+            if struct.calcsize(fmt) > struct.calcsize(place):
+                (where,) = struct.unpack_from(self.order + place, self.data, where)
             self.tags[tag] = struct.unpack_from(fmt, self.data, where)
 
     def one(self, tag: int, default=None):
@@ -59,10 +64,11 @@ class Tiff:
             sx, sy = self.tags.get(SCALE, (1.0, 1.0))[:2]
             px, py, _, x, y = self.tags.get(TIEPOINT, (0.0,) * 6)[:5]
             a, b, c, d, e, f = sx, 0.0, x - px * sx, 0.0, -sy, y + py * sy
+        kind = {1: "uint", 2: "int", 3: "float"}[self.one(FORMAT, 1)]
         keys = self.tags.get(GEO_KEYS, ())
         codes = {keys[i]: keys[i + 3] for i in range(4, len(keys) - 3, 4) if keys[i + 1] == 0}
         epsg = codes.get(3072, codes.get(2048))
-        return {"width": self.one(WIDTH), "height": self.one(HEIGHT), "bands": self.one(SAMPLES, 1), "dtype": f"uint{self.one(BITS, 8)}", "crs": f"EPSG:{epsg}" if epsg else "", "a": float(a), "b": float(b), "c": float(c), "d": float(d), "e": float(e), "f": float(f)}
+        return {"width": self.one(WIDTH), "height": self.one(HEIGHT), "bands": self.one(SAMPLES, 1), "dtype": f"{kind}{self.one(BITS, 8)}", "crs": f"EPSG:{epsg}" if epsg else "", "a": float(a), "b": float(b), "c": float(c), "d": float(d), "e": float(e), "f": float(f)}
 
     def _block(self, at: int, size: int) -> bytes:
         raw, how = self.data[at : at + size], self.one(COMPRESSION, 1)
@@ -70,6 +76,8 @@ class Tiff:
             return raw
         if how in (8, 32946):
             return zlib.decompress(raw)
+        if how == 5:
+            return _lzw(raw)
         if how == 32773:
             out, i = bytearray(), 0
             while i < len(raw):
@@ -90,7 +98,7 @@ class Tiff:
         x0, y0, x1, y1 = box or (0, 0, w, h)
         x0, y0 = min(max(0, x0), w - 1), min(max(0, y0), h - 1)
         x1, y1 = max(x0 + 1, min(w, x1)), max(y0 + 1, min(h, y1))
-        kind = np.dtype(self.order + {8: "u1", 16: "u2"}[self.one(BITS, 8)])
+        kind = np.dtype(m["dtype"]).newbyteorder(self.order)
         planar = self.one(PLANAR, 1) == 2
         tiled = TILE_AT in self.tags
         bw, bh = (self.one(TILE_W), self.one(TILE_H)) if tiled else (w, min(h, self.one(ROWS, h)))
@@ -113,6 +121,32 @@ class Tiff:
         return out
 
 
+def _lzw(raw: bytes) -> bytes:
+    """LZW as TIFF has it: codes from the high bit on, of 9 bits at first; 256 empties the table, 257 ends; codes widen one entry early."""
+    out = bytearray()
+    table: list[bytes] = []
+    width, held, bits, last = 9, 0, 0, b""
+    for byte in raw:
+        held, bits = held << 8 | byte, bits + 8
+        while bits >= width:
+            code = held >> (bits - width) & ((1 << width) - 1)
+            bits -= width
+            held &= (1 << bits) - 1
+            if code == 257:
+                return bytes(out)
+            if code == 256:
+                table, width, last = [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
+                continue
+            word = table[code] if code < len(table) else last + last[:1]
+            if last:
+                table.append(last + word[:1])
+                if len(table) + 1 in (512, 1024, 2048):
+                    width += 1
+            out += word
+            last = word
+    return bytes(out)
+
+
 def files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """path and content of binary files."""
     return spark.read.format("binaryFile").load(paths).select("path", "content")
@@ -129,6 +163,24 @@ def raster_meta(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "path string, width long, height long, bands long, dtype string, crs string, a double, b double, c double, d double, e double, f double")
 
 
+def windows(df: DataFrame, tiles: DataFrame, bands: list[int]) -> DataFrame:
+    """path, tile_index, height, width, pixels of each file's tiles (path, tile_index, x0, y0, x1, y1): the bands of the window, row by row, as single precision numbers.
+    A file travels once, with the list of its tiles; of the file only the blocks that a window meets are decoded."""
+    from pyspark.sql import functions as F
+
+    listed = tiles.groupBy("path").agg(F.collect_list(F.struct("tile_index", "x0", "y0", "x1", "y1")).alias("tiles"))
+
+    def run(batches):
+        for b in batches:
+            for path, content, boxes in zip(b["path"].to_pylist(), b["content"].to_pylist(), b["tiles"].to_pylist(), strict=True):
+                opened = Tiff(content)
+                for t in boxes:
+                    px = opened.read(bands, (t["x0"], t["y0"], t["x1"], t["y1"])).astype("<f4")
+                    yield pa.RecordBatch.from_pydict({"path": [path], "tile_index": pa.array([t["tile_index"]], pa.int64()), "height": pa.array([px.shape[0]], pa.int64()), "width": pa.array([px.shape[1]], pa.int64()), "pixels": pa.array([px.tobytes()], pa.binary())})
+
+    return df.join(listed, "path").mapInArrow(run, "path string, tile_index long, height long, width long, pixels binary")
+
+
 def mask_runs(df: DataFrame, threshold: int = 127) -> DataFrame:
     """path, y, x0, x1: runs of pixels of band 1 above the threshold, so a mask costs rows by its outline and not by its area."""
 
