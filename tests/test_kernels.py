@@ -187,6 +187,33 @@ def test_grammar():
     assert tokens.walk([t["obj"]], "linestring", 2, 64)[0] == "invalid:start"
 
 
+@pytest.mark.parametrize("geometry", ["linestring", "polygon"])
+def test_token_codec(spark, geometry):
+    """What is decoded is what was encoded, up to the bins: points, rings, cuts, source and properties, in canonical order."""
+    r = random.Random(6)
+    size, bins = 256, 640
+    near = lambda v: round(v / (size - 1) * (bins - 1)) / (bins - 1) * (size - 1)
+    ring = lambda n: [(r.uniform(0, 255), r.uniform(0, 255)) for _ in range(n)]
+    sides = ["none", "left", "top", "right", "bottom", "internal"]
+    rows = []
+    for i in range(30):
+        rings = [ring(r.randint(3, 6)) for _ in range(r.randint(1, 3))] if geometry == "polygon" else [ring(r.randint(2, 6))]
+        rows.append((1, rings[0], rings, r.choice(["local", "state"]), r.choice(sides), r.choice(sides), json.dumps({"Id": f"é{i} <eos>", "k": [1, None]}, ensure_ascii=False)))
+    kind = "array<struct<x:double,y:double>>"
+    df = spark.createDataFrame(rows, f"k int, line {kind}, rings array<{kind}>, source string, cut_in string, cut_out string, props string")
+    ids = tokens.encode_items(df, ["k"], size, bins, geometry).first()["ids"]
+    items, saw = tokens.decode(ids, geometry, 3 if geometry == "polygon" else 2, size, bins)
+    assert saw and len(items) == 30
+    order = sorted(rows, key=lambda x: (x[1][0][1], x[1][0][0], x[1][-1][1], x[1][-1][0], len(x[1]), x[6]))
+    for got, (_, line, rings, source, cut_in, cut_out, props) in zip(items, order):
+        assert (got["source"], got["cut_in"], got["cut_out"]) == (source, cut_in, cut_out)
+        assert got["parsed"] == json.loads(props) and got["parse_ok"]
+        parts = got["rings"] if geometry == "polygon" else [got["points"]]
+        for a, b in zip(parts, rings if geometry == "polygon" else [line], strict=True):
+            assert [tuple(round(v, 6) for v in q) for q in a] == [(round(near(x), 6), round(near(y), 6)) for x, y in b]
+    assert tokens.decode(ids[:-40], geometry, 2, size, bins)[1] and tokens.decode([], geometry, 2, size, bins) == ([], False)
+
+
 def merged_plain(features, tolerance=3.0):
     """First fit over all lines, every pair of ends by name."""
     out = []

@@ -78,9 +78,12 @@ def any_inside(line: Column, x0: Column, y0: Column, x1: Column, y1: Column) ->
 def boundary_side(p: Column, size: Column | int, tolerance: float = 1.5) -> Column:
     """The nearest side of the square within the tolerance; ties go left, top, right, bottom; else none."""
     edge = (F.lit(size) if isinstance(size, int) else size) - 1
-    d = F.array(*(F.struct(x.alias("d"), F.lit(i).alias("o"), F.lit(s).alias("s")) for i, (s, x) in enumerate(zip(SIDES, (F.abs(p["x"]), F.abs(p["y"]), F.abs(edge - p["x"]), F.abs(edge - p["y"])), strict=True))))
-    least = F.array_min(d)
-    return F.when(least["d"] <= tolerance, least["s"]).otherwise("none")
+
+    def nearest(q: Column) -> Column:
+        gaps = zip(SIDES, (F.abs(q["x"]), F.abs(q["y"]), F.abs(edge - q["x"]), F.abs(edge - q["y"])), strict=True)
+        return F.array_min(F.array(*(F.struct(x.alias("d"), F.lit(i).alias("o"), F.lit(s).alias("s")) for i, (s, x) in enumerate(gaps))))
+
+    return let(let(p, nearest), lambda m: F.when(m["d"] <= tolerance, m["s"]).otherwise("none"))
 
 
 def boundary_sides(line: Column, size: Column | int, tolerance: float = 1.5) -> Column:
@@ -89,23 +92,19 @@ def boundary_sides(line: Column, size: Column | int, tolerance: float = 1.5) ->
 
 
 def _rank(side: Column) -> Column:
-    out = F.lit(RANK["none"])
-    for s, r in RANK.items():
-        out = F.when(side == s, r).otherwise(out)
-    return out
+    return F.create_map(*(F.lit(x) for pair in RANK.items() for x in pair))[side]
 
 
 def canonical_line(line: Column, size: Column | int) -> Column:
     """Reversed if its end comes before its start by (side, x, y)."""
     key = lambda p: F.struct(_rank(boundary_side(p, size)).alias("r"), p["x"].alias("x"), p["y"].alias("y"))
-    first, last = line[0], F.element_at(line, -1)
-    return F.when(key(last) < key(first), F.reverse(line)).otherwise(line)
+    return let(line, lambda pts: F.when(key(F.element_at(pts, -1)) < key(pts[0]), F.reverse(pts)).otherwise(pts))
 
 
 def canonical_line_lex(line: Column) -> Column:
     """Reversed if its end comes before its start by (y, x)."""
     key = lambda p: F.struct(p["y"].alias("y"), p["x"].alias("x"))
-    return F.when(key(F.element_at(line, -1)) < key(line[0]), F.reverse(line)).otherwise(line)
+    return let(line, lambda pts: F.when(key(F.element_at(pts, -1)) < key(pts[0]), F.reverse(pts)).otherwise(pts))
 
 
 def canonical_ring(ring: Column) -> Column:

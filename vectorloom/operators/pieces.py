@@ -103,14 +103,15 @@ def keep_centered(features: DataFrame, box: list[Column]) -> DataFrame:
 
 def targets(features: DataFrame, size: int) -> DataFrame:
     """Target items of line features in uv: canonical line, cut_in, cut_out and source."""
-    line = L.canonical_line(F.col("line"), size)
     # the flags belong to the first and last place of the feature, whichever way its points run
-    side = lambda p, cut: F.when(L.boundary_side(p, size) != "none", L.boundary_side(p, size)).otherwise(F.when(cut, "internal").otherwise("none"))
-    out = features.withColumn("canonical", line).withColumn("cut_in", side(line[0], F.col("cut_start"))).withColumn("cut_out", side(F.element_at(line, -1), F.col("cut_end")))
-    return out.withColumn("source", F.when(F.col("cut_in").isin("left", "top"), "state").otherwise("local")).drop("line").withColumnRenamed("canonical", "line")
+    named = lambda side, cut: F.when(side != "none", side).when(cut, "internal").otherwise("none")
+    side = lambda p, cut: L.let(L.boundary_side(p, size), lambda s: named(s, cut))
+    ends = L.let(L.canonical_line(F.col("line"), size), lambda pts: F.struct(pts.alias("line"), side(pts[0], F.col("cut_start")).alias("cut_in"), side(F.element_at(pts, -1), F.col("cut_end")).alias("cut_out")))
+    out = features.withColumn("_target", ends).drop("line").select("*", "_target.line", "_target.cut_in", "_target.cut_out").drop("_target")
+    return out.withColumn("source", F.when(F.col("cut_in").isin("left", "top"), "state").otherwise("local"))
 
 
 def state_items(features: DataFrame, size: int, most: int) -> DataFrame:
     """One anchor row for each of a feature's touched left and top sides: side and sampled line."""
     sides = F.filter(L.boundary_sides(F.col("line"), size), lambda s: s.isin("left", "top"))
-    return features.withColumn("side", F.explode(sides)).withColumn("line", L.anchors(L.canonical_line(F.col("line"), size), most))
+    return features.withColumn("side", F.explode(sides)).withColumn("line", L.let(L.canonical_line(F.col("line"), size), lambda pts: L.anchors(pts, most)))

@@ -97,4 +97,6 @@ SQL = {
     "geojson_roundtrip": f"""{W('fx_point')}, g as (select sample_id, feature_id, pt, sqrt(pow(px - lag(px) over w, 2) + pow(py - lag(py) over w, 2)) as d from fx_point window w as (partition by sample_id, feature_id order by pt))
  select sample_id, 'L' || feature_id as id, count(*) as n_points, round(sum(coalesce(d, 0)), 3) + 0.0 as length from g group by sample_id, feature_id having count(*) >= 2""",
     "grammar_mask": f"{W('fx_point')}, {_LINES} select sample_id, feature_id, 'end' as state from ln",
+    "token_codec_roundtrip": f"""{W('fx_point')}, {MOD}, it as (select sample_id, feature_id, n, max(case when i = 0 then y end) as ay, max(case when i = 0 then x end) as ax, max(case when i = n - 1 then y end) as zy, max(case when i = n - 1 then x end) as zx, '{{"Id":"L' || feature_id || '"}}' as p from canon group by all)
+ select sample_id, count(*) as n_items, true as saw_object, arg_min(p, (ay, ax, zy, zx, n, p)) as first_props from it group by 1""",
 }
