@@ -47,45 +47,66 @@ def utm_zone(crs: str) -> tuple[int, bool] | None:
     raise ValueError(f"unsupported coordinate system: {crs}")
 
 
-def to_utm(lon: Column, lat: Column, zone: int, north: bool = True) -> tuple[Column, Column]:
-    """Easting and northing."""
-    phi, lam = F.radians(lat), F.radians(lon - (6 * zone - 183))
-    s = F.sin(phi)
-    t = F.sinh(F.atanh(s) - F.lit(_E) * F.atanh(F.lit(_E) * s))
-    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
-    x, y = eta, xi
-    for j, a in enumerate(_ALPHA, 1):
-        x = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        y = y + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return FALSE_EASTING + SCALE * _A * x, (0.0 if north else FALSE_NORTHING_SOUTH) + SCALE * _A * y
-
-
-def from_utm(east: Column, northing: Column, zone: int, north: bool = True) -> tuple[Column, Column]:
-    """Longitude and latitude."""
-    xi = (northing - (0.0 if north else FALSE_NORTHING_SOUTH)) / (SCALE * _A)
-    eta = (east - FALSE_EASTING) / (SCALE * _A)
-    x, e = xi, eta
-    for j, b in enumerate(_BETA, 1):
-        x = x - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        e = e - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    chi = F.asin(F.sin(x) / F.cosh(e))
-    # the conformal latitude's series
+def _inline(value: Column, use):
+    return use(value)
+
+
+def _to_utm(lon: Column, lat: Column, zone: int, north: bool, let) -> Column:
+    """Struct x, y of easting and northing; ``let`` names parts that are used more than once."""
+
+    def grid(q: Column) -> Column:
+        xi, eta = q["xi"], q["eta"]
+        x, y = eta, xi
+        for j, a in enumerate(_ALPHA, 1):
+            x = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+            y = y + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        return F.struct((FALSE_EASTING + SCALE * _A * x).alias("x"), ((0.0 if north else FALSE_NORTHING_SOUTH) + SCALE * _A * y).alias("y"))
+
+    sphere = lambda v: F.struct(F.atan2(v["t"], F.cos(v["l"])).alias("xi"), F.atanh(F.sin(v["l"]) / F.sqrt(1 + v["t"] * v["t"])).alias("eta"))
+    conformal = lambda v: F.struct(F.sinh(F.atanh(v["s"]) - F.lit(_E) * F.atanh(F.lit(_E) * v["s"])).alias("t"), v["l"].alias("l"))
+    first = F.struct(F.sin(F.radians(lat)).alias("s"), F.radians(lon - (6 * zone - 183)).alias("l"))
+    return let(first, lambda a: let(conformal(a), lambda b: let(sphere(b), grid)))
+
+
+def _from_utm(east: Column, northing: Column, zone: int, north: bool, let) -> Column:
+    """Struct x, y of longitude and latitude."""
     n = _N
+    # the conformal latitude's series
     delta = (2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630)
-    phi = chi
-    for j, d in enumerate(delta, 1):
-        phi = phi + d * F.sin(2 * j * chi)
-    return F.degrees(F.atan2(F.sinh(e), F.cos(x))) + (6 * zone - 183), F.degrees(phi)
 
+    def sphere(q: Column) -> Column:
+        x, e = q["xi"], q["eta"]
+        for j, b in enumerate(_BETA, 1):
+            x = x - b * F.sin(2 * j * q["xi"]) * F.cosh(2 * j * q["eta"])
+            e = e - b * F.cos(2 * j * q["xi"]) * F.sinh(2 * j * q["eta"])
+        return F.struct(x.alias("x"), e.alias("e"))
 
-def project(x: Column, y: Column, source: str, target: str) -> tuple[Column, Column]:
-    """From one supported system to another, x (lon) before y (lat)."""
+    def place(v: Column) -> Column:
+        phi = v["chi"]
+        for j, d in enumerate(delta, 1):
+            phi = phi + d * F.sin(2 * j * v["chi"])
+        return F.struct((F.degrees(F.atan2(F.sinh(v["e"]), F.cos(v["x"]))) + (6 * zone - 183)).alias("x"), F.degrees(phi).alias("y"))
+
+    chi = lambda v: F.struct(F.asin(F.sin(v["x"]) / F.cosh(v["e"])).alias("chi"), v["x"].alias("x"), v["e"].alias("e"))
+    first = F.struct(((northing - (0.0 if north else FALSE_NORTHING_SOUTH)) / (SCALE * _A)).alias("xi"), ((east - FALSE_EASTING) / (SCALE * _A)).alias("eta"))
+    return let(first, lambda a: let(sphere(a), lambda b: let(chi(b), place)))
+
+
+def projected(x: Column, y: Column, source: str, target: str, let=_inline) -> Column:
+    """Struct x, y from one supported system to another, x (lon) before y (lat). Inside higher-order functions pass ``lines.let``, as parts are not shared there."""
     a, b = utm_zone(source), utm_zone(target)
+    here = F.struct(x.alias("x"), y.alias("y"))
     if a == b:
-        return x, y
-    if a is not None:
-        x, y = from_utm(x, y, *a)
-    return (x, y) if b is None else to_utm(x, y, *b)
+        return here
+    if a is not None and b is not None:
+        return let(_from_utm(x, y, *a, let), lambda p: _to_utm(p["x"], p["y"], *b, let))
+    return _from_utm(x, y, *a, let) if b is None else _to_utm(x, y, *b, let)
+
+
+def project(x: Column, y: Column, source: str, target: str) -> tuple[Column, Column]:
+    """``projected`` as two columns."""
+    p = projected(x, y, source, target)
+    return p["x"], p["y"]
 
 
 def pixel_to_world(x: Column, y: Column, t: list[Column]) -> tuple[Column, Column]:

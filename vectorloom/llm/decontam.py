@@ -74,9 +74,11 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, s
     if not parts:
         return docs.where("false").select(F.col("doc_id").cast("long"), F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("n_shared"), F.lit(0).alias("n_shingles"), F.lit(0.0).alias("containment"))
     lengths = sorted({n for _, n, _ in parts})
-    grams = _hashed(docs, lengths[0]).select("doc_id", *(F.expr(_grams(n)).alias(f"grams{n}") for n in lengths))
-    probes = ", ".join(f"transform(filter(grams{n}, g -> g <= {bound}L), g -> struct({part} as part, g as g))" for part, n, bound in parts)
-    probed = grams.select("doc_id", F.explode(F.expr(f"concat({probes})")).alias("p")).select("doc_id", "p.part", "p.g")
+    # what no partition of a shingle length looks at goes first, in one pass
+    most = {n: max(bound for _, m, bound in parts if m == n) for n in lengths}
+    low = _hashed(docs, lengths[0]).select("doc_id", *(F.expr(f"filter({_grams(n)}, g -> g <= {most[n]}L)").alias(f"low{n}") for n in lengths))
+    probes = ", ".join(f"transform({f'low{n}' if bound == most[n] else f'filter(low{n}, g -> g <= {bound}L)'}, g -> struct({part} as part, g as g))" for part, n, bound in parts)
+    probed = low.select("doc_id", F.explode(F.expr(f"concat({probes})")).alias("p")).select("doc_id", "p.part", "p.g")
     keys = signed.select("item_id", "part", F.explode("sig").alias("g"))
     small = keys.count() <= BROADCAST_ROWS
     on = ["part", "g"]

@@ -34,8 +34,7 @@ def ingest(texts: DataFrame, geometry: str, least: int, raster_crs: str, source_
 
     def pixels(pts: Column) -> Column:
         def one(p: Column) -> Column:
-            x, y = C.project(p[0], p[1], source_crs, raster_crs)
-            return L.point(*C.world_to_pixel(x, y, _affine()))
+            return L.let(C.projected(p[0], p[1], source_crs, raster_crs, L.let), lambda q: L.point(*C.world_to_pixel(q["x"], q["y"], _affine())))
 
         return F.transform(F.filter(pts, lambda p: F.size(p) >= 2), one)
 
@@ -55,8 +54,8 @@ def emit(features: DataFrame, key: list[str], name: str, geometry: str, raster_c
     """key, geojson: one feature collection a key from features (props, line or rings, and the raster's a, c, e, f). Rings are closed again."""
 
     def place(p: Column) -> Column:
-        x, y = C.project(*C.pixel_to_world(p["x"], p["y"], _affine()), raster_crs, target_crs)
-        return F.array(x, y, F.lit(0.0)) if with_z else F.array(x, y)
+        world = L.let(F.struct(*(c.alias(n) for c, n in zip(C.pixel_to_world(p["x"], p["y"], _affine()), "xy", strict=True))), lambda w: C.projected(w["x"], w["y"], raster_crs, target_crs, L.let))
+        return L.let(world, lambda q: F.array(q["x"], q["y"], F.lit(0.0)) if with_z else F.array(q["x"], q["y"]))
 
     if geometry == "linestring":
         body = F.to_json(F.transform(F.col("line"), place))
