@@ -10,6 +10,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lines import let
+
 # Fixed values of the WGS 84 ellipsoid and of the transverse Mercator grid.
 SEMI_MAJOR = 6378137.0
 FLATTENING = 1 / 298.257223563
@@ -47,12 +49,18 @@ def utm_zone(crs: str) -> tuple[int, bool] | None:
     raise ValueError(f"unsupported coordinate system: {crs}")
 
 
-def _inline(value: Column, use):
-    return use(value)
+def zone_of(crs: Column) -> Column:
+    """``utm_zone`` row by row: struct zone (0: geographic) and north; a name that is not supported is an error, null stays null."""
+    name = F.upper(F.trim(crs))
+    number = F.substring(name, 9, 2).try_cast("int")
+    grid = name.rlike("^EPSG:32[67][0-9]{2}$") & number.between(1, 60)
+    system = lambda zone, north: F.struct(zone.cast("int").alias("zone"), north.alias("north"))
+    wrong = F.raise_error(F.concat(F.lit("unsupported coordinate system: "), crs)).cast("struct<zone:int,north:boolean>")
+    return F.when(crs.isNull(), F.lit(None)).when(name.isin(*(c.upper() for c in GEOGRAPHIC)), system(F.lit(0), F.lit(True))).when(grid, system(number, F.substring(name, 8, 1) == "6")).otherwise(wrong)
 
 
-def _to_utm(lon: Column, lat: Column, zone: int, north: bool, let) -> Column:
-    """Struct x, y of easting and northing; ``let`` names parts that are used more than once."""
+def _to_utm(lon: Column, lat: Column, zone: Column, north: Column) -> Column:
+    """Struct x, y of easting and northing. Parts that are used more than once are named, so an expression stays as long as the formula."""
 
     def grid(q: Column) -> Column:
         xi, eta = q["xi"], q["eta"]
@@ -60,7 +68,7 @@ def _to_utm(lon: Column, lat: Column, zone: int, north: bool, let) -> Column:
         for j, a in enumerate(_ALPHA, 1):
             x = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
             y = y + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        return F.struct((FALSE_EASTING + SCALE * _A * x).alias("x"), ((0.0 if north else FALSE_NORTHING_SOUTH) + SCALE * _A * y).alias("y"))
+        return F.struct((FALSE_EASTING + SCALE * _A * x).alias("x"), (F.when(north, 0.0).otherwise(FALSE_NORTHING_SOUTH) + SCALE * _A * y).alias("y"))
 
     sphere = lambda v: F.struct(F.atan2(v["t"], F.cos(v["l"])).alias("xi"), F.atanh(F.sin(v["l"]) / F.sqrt(1 + v["t"] * v["t"])).alias("eta"))
     conformal = lambda v: F.struct(F.sinh(F.atanh(v["s"]) - F.lit(_E) * F.atanh(F.lit(_E) * v["s"])).alias("t"), v["l"].alias("l"))
@@ -68,7 +76,7 @@ def _to_utm(lon: Column, lat: Column, zone: int, north: bool, let) -> Column:
     return let(first, lambda a: let(conformal(a), lambda b: let(sphere(b), grid)))
 
 
-def _from_utm(east: Column, northing: Column, zone: int, north: bool, let) -> Column:
+def _from_utm(east: Column, northing: Column, zone: Column, north: Column) -> Column:
     """Struct x, y of longitude and latitude."""
     n = _N
     # the conformal latitude's series
@@ -88,22 +96,31 @@ def _from_utm(east: Column, northing: Column, zone: int, north: bool, let) -> Co
         return F.struct((F.degrees(F.atan2(F.sinh(v["e"]), F.cos(v["x"]))) + (6 * zone - 183)).alias("x"), F.degrees(phi).alias("y"))
 
     chi = lambda v: F.struct(F.asin(F.sin(v["x"]) / F.cosh(v["e"])).alias("chi"), v["x"].alias("x"), v["e"].alias("e"))
-    first = F.struct(((northing - (0.0 if north else FALSE_NORTHING_SOUTH)) / (SCALE * _A)).alias("xi"), ((east - FALSE_EASTING) / (SCALE * _A)).alias("eta"))
+    first = F.struct(((northing - F.when(north, 0.0).otherwise(FALSE_NORTHING_SOUTH)) / (SCALE * _A)).alias("xi"), ((east - FALSE_EASTING) / (SCALE * _A)).alias("eta"))
     return let(first, lambda a: let(sphere(a), lambda b: let(chi(b), place)))
 
 
-def projected(x: Column, y: Column, source: str, target: str, let=_inline) -> Column:
-    """Struct x, y from one supported system to another, x (lon) before y (lat). Inside higher-order functions pass ``lines.let``, as parts are not shared there."""
-    a, b = utm_zone(source), utm_zone(target)
-    here = F.struct(x.alias("x"), y.alias("y"))
-    if a == b:
-        return here
-    if a is not None and b is not None:
-        return let(_from_utm(x, y, *a, let), lambda p: _to_utm(p["x"], p["y"], *b, let))
-    return _from_utm(x, y, *a, let) if b is None else _to_utm(x, y, *b, let)
+def projected(x: Column, y: Column, source: Column | str, target: Column | str) -> Column:
+    """Struct x, y from one supported system to another, x (lon) before y (lat). A system is a name, or a column of names where it differs from row to row."""
+    here = lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))
+    start = F.struct(x.alias("x"), y.alias("y"))
+    if isinstance(source, str) and isinstance(target, str):
+        a, b = ((F.lit(z[0]), F.lit(z[1])) if z else None for z in (utm_zone(source), utm_zone(target)))
+        if utm_zone(source) == utm_zone(target):
+            return here({"x": x, "y": y})
+        ground = here({"x": x, "y": y}) if a is None else _from_utm(x, y, *a)
+        return ground if b is None else let(ground, lambda p: _to_utm(p["x"], p["y"], *b))
+    zone = lambda crs: zone_of(F.lit(crs) if isinstance(crs, str) else crs)
+
+    def moved(v: Column) -> Column:
+        p, a, b = v["p"], v["a"], v["b"]
+        ground = F.when(a["zone"] == 0, here(p)).otherwise(_from_utm(p["x"], p["y"], a["zone"], a["north"]))
+        return F.when(a == b, here(p)).otherwise(let(ground, lambda g: F.when(b["zone"] == 0, g).otherwise(_to_utm(g["x"], g["y"], b["zone"], b["north"]))))
+
+    return let(F.struct(start.alias("p"), zone(source).alias("a"), zone(target).alias("b")), moved)
 
 
-def project(x: Column, y: Column, source: str, target: str) -> tuple[Column, Column]:
+def project(x: Column, y: Column, source: Column | str, target: Column | str) -> tuple[Column, Column]:
     """``projected`` as two columns."""
     p = projected(x, y, source, target)
     return p["x"], p["y"]

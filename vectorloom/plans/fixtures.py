@@ -15,6 +15,11 @@ from (select r.sample_id, r.width, r.height,
              cast((cast(floor(p_partkey/5) as bigint)*7 + p_size) % cast(ceil(r.width/64) as bigint) as bigint) as cx,
              cast((p_size*3 + cast(floor(p_partkey/25) as bigint)) % cast(ceil(r.height/64) as bigint) as bigint) as cy
       from part join fx_raster r on p_partkey % 5 = r.sample_id) t""",
+    "fx_review": """select distinct sample_id, 64*cx as x0, 64*cy as y0, least(64*cx+64, width) as x1, least(64*cy+64, height) as y1
+from (select r.sample_id, r.width, r.height,
+             10 + cast((cast(floor(p_partkey/5) as bigint)*7 + p_size) % (cast(ceil(r.width/64) as bigint) - 10) as bigint) as cx,
+             7 + cast((p_size*3 + cast(floor(p_partkey/25) as bigint)) % (cast(ceil(r.height/64) as bigint) - 7) as bigint) as cy
+      from part join fx_raster r on p_partkey % 5 = r.sample_id) t""",
     "fx_point": """select sample_id, user_id*100 + grp as feature_id, user_id, grp, seq - 10*grp as pt,
        (user_id*97 + 13*grp) % 1500 + cast(sum(event_id*7 % 41) over (partition by user_id, grp order by seq rows unbounded preceding) as bigint) as px,
        (user_id*61 + 29*grp) % 1200 + cast(sum(event_id*13 % 41 - 20) over (partition by user_id, grp order by seq rows unbounded preceding) as bigint) as py
@@ -28,7 +33,7 @@ from fx_point where feature_id % 11 <> 0""",
        (o_orderkey*37) % (r.width - 200) + 20 + o_orderkey % 150 as x1, (o_orderkey*53) % (r.height - 200) + 20 + o_orderkey % 90 as y1
 from orders join fx_raster r on o_orderkey % 5 = r.sample_id""",
 }
-_NEEDS = {"fx_raster": (), "fx_mask": ("fx_raster",), "fx_point": (), "fx_pred": ("fx_point",), "fx_box": ("fx_raster",)}
+_NEEDS = {"fx_raster": (), "fx_mask": ("fx_raster",), "fx_review": ("fx_raster",), "fx_point": (), "fx_pred": ("fx_point",), "fx_box": ("fx_raster",)}
 
 
 def closure(*names: str) -> list[str]:

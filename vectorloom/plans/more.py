@@ -77,6 +77,21 @@ def world_geometries(s, d):
     return _exploded(prepare.to_world(_lines(s, d), _raster(s, d)), ["sample_id", "feature_id"], n=4)
 
 
+def mixed_crs(s, d):
+    """Lines of one table in three coordinate systems, each text's own, into rasters of two: no system is named outside the rows."""
+    from ..sources import geojson
+
+    p = view(s, d, "fx_point")
+    own = F.when(F.col("feature_id") % 3 == 0, "EPSG:32650").when(F.col("feature_id") % 3 == 1, "EPSG:32651").otherwise(C.CRS84)
+    p = p.withColumn("crs", own).withColumn("q", C.projected(F.col("px") * 0.001 + 116.0, F.col("py") * 0.001 + 39.0, F.lit("EPSG:4326"), F.col("crs")))
+    lines = p.groupBy("sample_id", "feature_id", "crs").agg(L.points(F.col("pt"), F.col("q.x"), F.col("q.y")).alias("line"))
+    told = F.to_json(F.transform("line", lambda v: F.array(v["x"], v["y"])))
+    text = F.concat(F.lit('{"type":"FeatureCollection","crs":{"type":"name","properties":{"name":"'), F.col("crs"), F.lit('"}},"features":[{"type":"Feature","properties":{},"geometry":{"type":"LineString","coordinates":'), told, F.lit("}}]}"))
+    ground = _raster(s, d).withColumn("raster_crs", F.when(F.col("sample_id") % 2 == 0, UTM).otherwise("EPSG:32651"))
+    texts = lines.select("sample_id", "feature_id", text.alias("text")).join(ground, "sample_id")
+    return _exploded(geojson.ingest(texts, "linestring", 2, F.col("raster_crs")), ["sample_id", "feature_id"], n=2)
+
+
 def shifted_lines(s, d):
     rows = _lines(s, d).join(F.broadcast(_raster(s, d).select("sample_id", "width", "height")), "sample_id")
     return _exploded(rows.withColumn("line", synthesis.shifted(F.col("line"), F.lit(300), F.lit(-200), F.col("width"), F.col("height"))), ["sample_id", "feature_id"])
@@ -94,7 +109,7 @@ def any_vertex_inside(s, d):
 
 def stage_tiles(s, d):
     """Training tiles: searched in the padded extent of the review, by coverage."""
-    t = tiles.for_stage(_raster(s, d), view(s, d, "fx_mask").where("x0 >= 640 and y0 >= 448"), TILE, OVERLAP, MARGIN, 0.2, 150_000, 3, False, True, 32)
+    t = tiles.for_stage(_raster(s, d), view(s, d, "fx_review"), TILE, OVERLAP, MARGIN, 0.02, 150_000, 3, False, True, 32)
     return t.select("sample_id", "tile_index", "x0", "y0", "x1", "y1", "mask_pixels")
 
 
@@ -224,7 +239,7 @@ def task_prompts(s, d):
 
 
 def state_texts(s, d):
-    e = _envelopes(s, d).where("rx0 < 400").select("sample_id", "feature_id", F.when(F.col("feature_id") % 2 == 0, "left").otherwise("top").alias("side"), F.array(L.point(F.col("rx0"), F.col("ry0")), L.point(F.col("rx1"), F.col("ry1"))).alias("line"))
+    e = _envelopes(s, d).select("sample_id", "feature_id", F.when(F.col("feature_id") % 2 == 0, "left").otherwise("top").alias("side"), F.array(L.point(F.col("rx0"), F.col("ry0")), L.point(F.col("rx1"), F.col("ry1"))).alias("line"))
     one = e.select("sample_id", "feature_id", prompts.state_text(F.when(F.col("feature_id") % 3 == 0, F.array().cast("array<struct<side:string,line:array<struct<x:double,y:double>>>>")).otherwise(F.array(F.struct("side", "line"))), F.lit("{}")).alias("text"))
     return one
 
@@ -297,7 +312,7 @@ def sample_dirs(s, d):
 
 
 QUERIES = (
-    clamped_points, canonical_line_lex, sorted_features, expanded_boxes, rings_equal, world_geometries, shifted_lines, grid_offsets, any_vertex_inside, stage_tiles, prediction_tiles, feature_strip_join,
+    clamped_points, canonical_line_lex, sorted_features, expanded_boxes, rings_equal, world_geometries, mixed_crs, shifted_lines, grid_offsets, any_vertex_inside, stage_tiles, prediction_tiles, feature_strip_join,
     prepare_features, prepare_state, prepare_polygons, ring_targets, items_from_uv, dedup_lines, predict_replay, collect_state, evaluate, evaluate_report, feature_collections, parsed_props, relaxed_props, truth_flags,
     task_prompts, state_texts, target_texts, raw_dumps, cut_counts, memory_risks, parameter_summary, stitched_counts, grouped_indices, best_tokens, truncated_tokens, prediction_audit, sample_dirs,
 )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .fixtures import with_clause as W
-from .oracle import BOXES, ENV, HIT, MOD, SCAN, STATS, TILES, _dist, _greedy, NEAR  # noqa: I001
+from .oracle import BOXES, ENV, HIT, MOD, SCAN, STATS, TILES, _dist, _greedy, NEAR, utm_sql  # noqa: I001
 
 _LINES = "ln as (select sample_id, feature_id, count(*) as n, min(pt) as lo, max(pt) as hi from fx_point group by all having count(*) >= 2)"
 
@@ -16,7 +16,7 @@ _CRS = '{"type":"name","properties":{"name":"urn:ogc:def:crs:OGC:1.3:CRS84"}}'
 _EVENT = "(select *, cast(user_id as varchar) as u from events)"
 
 #: Tiles along one axis of a region.
-_REGION = """m as (select * from fx_mask where x0 >= 640 and y0 >= 448), bx as (select sample_id, min(x0) as b0, min(y0) as b1, max(x1) as b2, max(y1) as b3 from m group by 1),
+_REGION = """m as (select * from fx_review), bx as (select sample_id, min(x0) as b0, min(y0) as b1, max(x1) as b2, max(y1) as b3 from m group by 1),
 reg as (select r.sample_id, cast(width as bigint) as width, cast(height as bigint) as height, coalesce(greatest(0, b0 - 32), 0) as rx0, coalesce(greatest(0, b1 - 32), 0) as ry0, coalesce(least(width, b2 + 32), width) as rx1, coalesce(least(height, b3 + 32), height) as ry1 from fx_raster r left join bx using (sample_id)),
 k as (select cast(event_id as bigint) as n from events where event_id < 20),
 xs as (select distinct sample_id, width, height, case when rx1 - rx0 <= 768 then least(rx0, greatest(width - 768, 0)) else least(rx0 + 576 * n, rx1 - 768) end as x0 from reg cross join k where n = 0 or rx0 + 576 * (n - 1) < rx1 - 768),
@@ -24,7 +24,7 @@ ys as (select distinct sample_id, case when ry1 - ry0 <= 768 then least(ry0, gre
 t as (select *, least(width, x0 + 768) as x1, least(height, y0 + 768) as y1 from xs join ys using (sample_id)),
 st as (select t.sample_id, t.x0, t.y0, t.x1, t.y1, cast(coalesce(sum(greatest(0, least(t.x1, m.x1) - greatest(t.x0, m.x0)) * greatest(0, least(t.y1, m.y1) - greatest(t.y0, m.y0))), 0) as bigint) as mask_pixels
  from t left join m on m.sample_id = t.sample_id group by all),
-sel as (select *, row_number() over (partition by sample_id order by mask_pixels / ((x1 - x0) * (y1 - y0)) desc, mask_pixels desc, y0, x0) as place from st where mask_pixels / ((x1 - x0) * (y1 - y0)) >= 0.2 or mask_pixels >= 150000)"""
+sel as (select *, row_number() over (partition by sample_id order by mask_pixels / ((x1 - x0) * (y1 - y0)) desc, mask_pixels desc, y0, x0) as place from st where mask_pixels / ((x1 - x0) * (y1 - y0)) >= 0.02 or mask_pixels >= 150000)"""
 
 _KEPT = f"""{SCAN}, {ENV}, mid as (select sample_id, feature_id, avg(px) as mx, avg(py) as my from fx_point group by all having count(*) >= 2),
 said as (select s.sample_id, s.tile_index, m.feature_id, mx >= keep_x0 and mx < keep_x1 and my >= keep_y0 and my < keep_y1 as kept from scan s join env e on e.sample_id = s.sample_id and {HIT} join mid m on m.sample_id = e.sample_id and m.feature_id = e.feature_id)"""
@@ -48,10 +48,12 @@ SQL = {
     "expanded_boxes": f"{W('fx_raster')}, {TILES} select sample_id, candidate_index, case when candidate_index % 3 > 0 then greatest(0, x0 - 50) else 0 end as ex0, case when candidate_index % 3 > 0 then greatest(0, y0 - 50) else 0 end as ey0, case when candidate_index % 3 > 0 then least(width, x1 + 50) else width end as ex1, case when candidate_index % 3 > 0 then least(height, y1 + 50) else height end as ey1 from tiles",
     "rings_equal": f"{W('fx_box')}, {BOXES} select sample_id, id, abs((x0 + (id % 9) * 0.01::double) - x0) <= 1e-3 + 1e-5 * abs(x0) and abs((x1 + (id % 9) * 0.01::double) - x1) <= 1e-3 + 1e-5 * abs(x1) as same from gtb",
     "world_geometries": f"{W('fx_raster', 'fx_point')}, {_LINES} select sample_id, feature_id, pt - lo as i, round(a * px + c, 4) + 0.0 as x, round(e * py + f, 4) + 0.0 as y from fx_point join ln using (sample_id, feature_id) join fx_raster using (sample_id)",
+    "mixed_crs": f"""{W('fx_point', 'fx_raster')}, {_LINES}, g as (select sample_id, feature_id, pt - lo as i, px * cast(0.001 as double) + 116 as lon, py * cast(0.001 as double) + 39 as lat, case when sample_id % 2 = 0 then 117 else 123 end as middle from fx_point join ln using (sample_id, feature_id)),
+ {utm_sql('g', 'middle')} select sample_id, feature_id, i, round((east - c) / a, 2) + 0.0 as x, round((north - f) / e, 2) + 0.0 as y from utm join fx_raster using (sample_id)""",
     "shifted_lines": f"{W('fx_raster', 'fx_point')}, {_LINES} select sample_id, feature_id, pt - lo as i, cast(least(greatest(px + 300, 0), width - 1) as double) as x, cast(least(greatest(py - 200, 0), height - 1) as double) as y from fx_point join ln using (sample_id, feature_id) join fx_raster using (sample_id)",
     "grid_offsets": f"{W('fx_raster', 'fx_point')}, f as (select distinct sample_id, feature_id from fx_point) select sample_id, feature_id, round((feature_id % 30 % 6) * (width / 6) + 0.35::double * (width / 6), 4) + 0.0 as dx, round((feature_id % 30 // 6) * (height / 5) + 0.35::double * (height / 5), 4) + 0.0 as dy from f join fx_raster using (sample_id)",
     "any_vertex_inside": f"{W('fx_point')}, {_LINES} select sample_id, feature_id, bool_or(px >= 200 and px < 1000 and py >= 150 and py < 800) as inside from fx_point join ln using (sample_id, feature_id) group by all",
-    "stage_tiles": f"{W('fx_raster', 'fx_mask')}, {_REGION} select sample_id, row_number() over (partition by sample_id order by y0, x0) - 1 as tile_index, x0, y0, x1, y1, mask_pixels from sel where place <= 3",
+    "stage_tiles": f"{W('fx_raster', 'fx_review')}, {_REGION} select sample_id, row_number() over (partition by sample_id order by y0, x0) - 1 as tile_index, x0, y0, x1, y1, mask_pixels from sel where place <= 3",
     "prediction_tiles": f"{W('fx_raster')}, {SCAN} select sample_id, tile_index, x0, y0, x1, y1 from scan where sample_id % 2 = 0 union all select sample_id, 0, 0, 0, width, height from fx_raster where sample_id % 2 = 1",
     "feature_strip_join": f"""{W('fx_raster', 'fx_point')}, {SCAN}, {ENV}, {_LINES}, strips as (select sample_id, tile_index, 0 as strip, x0, y0, least(x1, x0 + 128) as x1, y1 from scan where has_left union all select sample_id, tile_index, 1, x0, y0, x1, least(y1, y0 + 128) from scan where has_top)
  select s.sample_id, tile_index, strip, e.feature_id from strips s join env e on e.sample_id = s.sample_id and {HIT} join ln on ln.sample_id = e.sample_id and ln.feature_id = e.feature_id""",
@@ -74,7 +76,7 @@ SQL = {
     "relaxed_props": f"""select event_id, {_turns("'{\"a\":1,\"b\":' || u || '}'", "'{\"b\":' || u || '}'", "'{\"b\":' || u || '}'", "'{\"_raw_text\":\"b is ' || u || '\"}'")} as props from {_EVENT}""",
     "truth_flags": f"select event_id, {_turns('true', 'false', 'false', 'false', 'false')} as a, {_turns('true', 'false', 'false', 'false', 'true')} as b from events",
     "task_prompts": f"{W('fx_raster')}, {SCAN} select sample_id, tile_index, 'GeoMeta ' || x0 || ' Find lanes. Write JSON.' || case when has_left or has_top then ' Continue the features in the state.' else '' end as prompt from scan",
-    "state_texts": f"""{W('fx_point')}, {ENV} select sample_id, feature_id, case when feature_id % 3 = 0 then 'State none' else 'State anchors=1' || chr(10) || 'idx=000 side=' || case when feature_id % 2 = 0 then 'left' else 'top' end || ' points=' || rx0 || '.0,' || ry0 || '.0;' || rx1 || '.0,' || ry1 || '.0' || chr(10) || 'StateGeoJSON {{}}' end as text from env where rx0 < 400""",
+    "state_texts": f"""{W('fx_point')}, {ENV} select sample_id, feature_id, case when feature_id % 3 = 0 then 'State none' else 'State anchors=1' || chr(10) || 'idx=000 side=' || case when feature_id % 2 = 0 then 'left' else 'top' end || ' points=' || rx0 || '.0,' || ry0 || '.0;' || rx1 || '.0,' || ry1 || '.0' || chr(10) || 'StateGeoJSON {{}}' end as text from env""",
     "target_texts": f"""{W('fx_point')}, {MOD}, e as (select sample_id, feature_id, max(case when i = 0 then side end) as a, max(case when i = n - 1 then side end) as z from canon group by all),
  t as (select sample_id, feature_id, case when a <> 'none' then a when feature_id % 3 = 0 then 'internal' else 'none' end as cut_in, case when z <> 'none' then z when feature_id % 2 = 0 then 'internal' else 'none' end as cut_out from e)
  select sample_id, feature_id, 'Targets features=1' || chr(10) || 'idx=000 cut_in=' || cut_in || ' cut_out=' || cut_out || chr(10) || '{{}}' as text from t""",

@@ -88,6 +88,14 @@ BOXES = """gtb as (select sample_id, cast(feature_id as bigint) as id, cast(x0 a
 prb as (select sample_id, id, x0 + id % 7 as x0, y0, x1 + id % 7 as x1, y1 from gtb)"""
 
 
+def utm_sql(table: str, middle: str) -> str:
+    """Table ``utm``: the rows of a table with lon and lat, and their easting and northing about a middle meridian, north of the equator."""
+    series = lambda f, g: " + ".join(f"{a!r} * {f}({2 * j} * xi) * {g}({2 * j} * eta)" for j, a in enumerate(_ALPHA, 1))
+    return f"""utm_t as (select *, radians(lon - {middle}) as lam, sinh(atanh(sin(radians(lat))) - {_E!r} * atanh({_E!r} * sin(radians(lat)))) as t from {table}),
+ utm_x as (select *, atan2(t, cos(lam)) as xi, atanh(sin(lam) / sqrt(1 + t*t)) as eta from utm_t),
+ utm as (select *, 500000 + cast(0.9996 as double) * {_A!r} * (eta + {series('cos', 'sinh')}) as east, cast(0.9996 as double) * {_A!r} * (xi + {series('sin', 'cosh')}) as north from utm_x)"""
+
+
 def _iou(a: str, b: str, extra: str, least: float) -> str:
     w = "least(p.x1, g.x1) - greatest(p.x0, g.x0)"
     h = "least(p.y1, g.y1) - greatest(p.y0, g.y0)"
@@ -185,10 +193,8 @@ SQL: dict[str, str] = {
     "json_recover": "select event_id, replace(replace(props, ': ', ':'), ', ', ',') as found from events",
     "canonical_props": """select event_id, '{"a":"' || event_type || '","m":[1,null],"z":' || user_id || '}' as props from events""",
     "props_equal": "select event_id, event_id % 4 = user_id % 4 as same from events",
-    "utm_roundtrip": f"""{W('fx_point')}, g as (select sample_id, feature_id, pt, px * cast(0.001 as double) + 116 as lon, py * cast(0.001 as double) + 39 as lat from fx_point),
- t as (select *, radians(lon - 117) as lam, sinh(atanh(sin(radians(lat))) - {_E!r} * atanh({_E!r} * sin(radians(lat)))) as t from g), x as (select *, atan2(t, cos(lam)) as xi, atanh(sin(lam) / sqrt(1 + t*t)) as eta from t)
- select sample_id, feature_id, pt, round(500000 + cast(0.9996 as double) * {_A!r} * (eta + {' + '.join(f'{a!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)' for j, a in enumerate(_ALPHA, 1))}), 4) + 0.0 as east,
- round(cast(0.9996 as double) * {_A!r} * (xi + {' + '.join(f'{a!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)' for j, a in enumerate(_ALPHA, 1))}), 4) + 0.0 as north, round(lon, 7) + 0.0 as lon, round(lat, 7) + 0.0 as lat from x""",
+    "utm_roundtrip": f"""{W('fx_point')}, g as (select sample_id, feature_id, pt, px * cast(0.001 as double) + 116 as lon, py * cast(0.001 as double) + 39 as lat from fx_point), {utm_sql('g', '117')}
+ select sample_id, feature_id, pt, round(east, 4) + 0.0 as east, round(north, 4) + 0.0 as north, round(lon, 7) + 0.0 as lon, round(lat, 7) + 0.0 as lat from utm""",
     "augment_square": f"""{W('fx_point')}, {MOD}, t as (select sample_id, feature_id, pt - lo as i, case feature_id % 4 when 1 then y when 2 then 255 - x when 3 then 255 - y else x end as tx, case feature_id % 4 when 1 then 255 - x when 2 then 255 - y when 3 then x else y end as ty from mod_pt)
  select sample_id, feature_id, i, case when feature_id % 3 = 0 then 255 - tx else tx end as x, case when feature_id % 5 = 0 then 255 - ty else ty end as y from t""",
     "feature_replicas": f"""{W('fx_point')}, f as (select sample_id, feature_id, row_number() over (partition by sample_id order by feature_id) - 1 as i, count(*) over (partition by sample_id) as n from (select distinct sample_id, feature_id from fx_point))

@@ -24,22 +24,25 @@ def detect_crs(text: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(F.get_json_object(text, "$.crs.properties.name")), F.lit("")), F.lit(C.CRS84))
 
 
-def ingest(texts: DataFrame, geometry: str, least: int, raster_crs: str, source_crs: str = C.CRS84) -> DataFrame:
+def ingest(texts: DataFrame, geometry: str, least: int, raster_crs: Column | str, source_crs: Column | str | None = None) -> DataFrame:
     """Rows of ``texts`` (text and the raster's a, c, e, f) as features: props (JSON) and line in pixels; for polygons rings, the outer first, without closing vertices.
-    Features of another geometry, and those with too few points, go; texts that are no GeoJSON give none."""
+    Features of another geometry, and those with too few points, go; texts that are no GeoJSON give none. Without ``source_crs`` each text's own system counts (``detect_crs``); either system may be a column."""
     keep = [c for c in texts.columns if c != "text"]
-    features = texts.select(*keep, F.posexplode(F.from_json(F.get_json_object("text", "$.features"), "array<string>")).alias("source_index", "feature"))
+    if source_crs is None:
+        texts, source_crs = texts.withColumn("_crs", detect_crs(F.col("text"))), F.col("_crs")
+    own = [c for c in texts.columns if c not in (*keep, "text")]
+    features = texts.select(*keep, *own, F.posexplode(F.from_json(F.get_json_object("text", "$.features"), "array<string>")).alias("source_index", "feature"))
     kind = F.lower(F.get_json_object("feature", "$.geometry.type"))
     rows = features.where(kind == geometry).withColumn("props", F.coalesce(F.get_json_object("feature", "$.properties"), F.lit("{}"))).withColumn("coordinates", F.get_json_object("feature", "$.geometry.coordinates"))
 
     def pixels(pts: Column) -> Column:
         def one(p: Column) -> Column:
-            return L.let(C.projected(p[0], p[1], source_crs, raster_crs, L.let), lambda q: L.point(*C.world_to_pixel(q["x"], q["y"], _affine())))
+            return L.let(C.projected(p[0], p[1], source_crs, raster_crs), lambda q: L.point(*C.world_to_pixel(q["x"], q["y"], _affine())))
 
         return F.transform(F.filter(pts, lambda p: F.size(p) >= 2), one)
 
     if geometry == "linestring":
-        return rows.withColumn("line", pixels(F.from_json("coordinates", "array<array<double>>"))).where(F.size("line") >= least).drop("feature", "coordinates")
+        return rows.withColumn("line", pixels(F.from_json("coordinates", "array<array<double>>"))).where(F.size("line") >= least).drop("feature", "coordinates", *own)
     deep = F.from_json("coordinates", "array<array<array<double>>>")
     # two levels: the polygon is one bare ring
     flat = F.array(F.from_json("coordinates", "array<array<double>>"))
@@ -47,14 +50,14 @@ def ingest(texts: DataFrame, geometry: str, least: int, raster_crs: str, source_
     close = lambda a, b: (F.abs(a["x"] - b["x"]) <= 1e-6) & (F.abs(a["y"] - b["y"]) <= 1e-6)
     opened = F.transform(rings, lambda r: F.when((F.size(r) > 1) & close(r[0], F.try_element_at(r, F.lit(-1))), F.slice(r, F.lit(1), F.greatest(F.size(r) - 1, F.lit(1)))).otherwise(r))
     whole = F.filter(opened, lambda r: F.size(r) >= 3)
-    return rows.withColumn("rings", whole).where(F.size("rings") >= 1).withColumn("line", F.col("rings")[0]).where(F.size("line") >= least).drop("feature", "coordinates")
+    return rows.withColumn("rings", whole).where(F.size("rings") >= 1).withColumn("line", F.col("rings")[0]).where(F.size("line") >= least).drop("feature", "coordinates", *own)
 
 
-def emit(features: DataFrame, key: list[str], name: str, geometry: str, raster_crs: str, target_crs: str = C.CRS84, with_z: bool = True) -> DataFrame:
+def emit(features: DataFrame, key: list[str], name: str, geometry: str, raster_crs: Column | str, target_crs: str = C.CRS84, with_z: bool = True) -> DataFrame:
     """key, geojson: one feature collection a key from features (props, line or rings, and the raster's a, c, e, f). Rings are closed again."""
 
     def place(p: Column) -> Column:
-        world = L.let(F.struct(*(c.alias(n) for c, n in zip(C.pixel_to_world(p["x"], p["y"], _affine()), "xy", strict=True))), lambda w: C.projected(w["x"], w["y"], raster_crs, target_crs, L.let))
+        world = L.let(F.struct(*(c.alias(n) for c, n in zip(C.pixel_to_world(p["x"], p["y"], _affine()), "xy", strict=True))), lambda w: C.projected(w["x"], w["y"], raster_crs, target_crs))
         return L.let(world, lambda q: F.array(q["x"], q["y"], F.lit(0.0)) if with_z else F.array(q["x"], q["y"]))
 
     if geometry == "linestring":
