@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dartminhash, decontam, editprint, secrets, spm, substrings, tokencounts, toolchat, toxicity, warc
+from . import codes, dartminhash, decontam, editprint, linededup, ranked, secrets, spm, substrings, tokencounts, toolchat, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,8 +55,27 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(table(spark, sf_dir, "embeddings")).drop("refined")
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_edit_fingerprint, op4_token_counts, op5_tool_calls, op6_sentencepiece, op7_decontamination, op8_dartminhash, op9_warc, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_edit_fingerprint, op4_token_counts, op5_tool_calls, op6_sentencepiece, op7_decontamination, op8_dartminhash, op9_warc, op10_substring_dedup, op11_code_compression, op12_line_dedup, op13_lexical_search)}
+
+
+def _rounds(n: int) -> str:
+    """Codebooks b1 ... bn, each from the one before: parts go to their nearest entries, which move to the mean."""
+    one = """a{k} as materialized (select vec_id, part, min(d * 16 + entry) % 16 as entry, min(d * 16 + entry) // 16 as d from (select vec_id, part, entry, sum((x - y) * (x - y)) as d from v join b{k} using (part, pos) group by all) group by all)"""
+    move = """b{m} as materialized (select part, entry, pos, cast(coalesce((s - (s % n + n) % n) // n, y) as bigint) as y from b{k} left join (select part, entry, pos, cast(sum(x) as bigint) as s, count(*) as n from v join a{k} using (vec_id, part) group by all) using (part, entry, pos))"""
+    return ", ".join(one.format(k=k) + ("" if k == n else ", " + move.format(k=k, m=k + 1)) for k in range(n + 1))
 
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -84,6 +103,21 @@ SQL = {
  mark as (select w.doc_id, w.i, word, coalesce(max(a.i) over (partition by w.doc_id order by w.i rows between 19 preceding and current row) is not null, false) as gone from w left join again a on a.doc_id = w.doc_id and a.i = w.i),
  out as (select doc_id, count(*) as n_words, count(*) filter (where gone) as n_removed, string_agg(word, ' ' order by i) filter (where not gone) as kept from mark group by 1)
  select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join out using (doc_id)""".replace("select d.doc_id, coalesce", "select doc_id, coalesce"),
+    "op11_code_compression": f"""with e as (select * from embeddings where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+ v as materialized (select vec_id, label, (i - 1) // (len(embedding) // 8) as part, (i - 1) % (len(embedding) // 8) as pos, cast(floor(4096 * cast(embedding[i] as double)) as bigint) as x from (select *, unnest(range(1, len(embedding) + 1)) as i from e)),
+ b0 as materialized (select part, entry, pos, x as y from v join (select vec_id, row_number() over (order by vec_id) - 1 as entry from e order by vec_id limit 16) using (vec_id)),
+ {_rounds(6)}, c as (select vec_id, string_agg(printf('%02x', entry), '' order by part) as code, cast(sum(d) as bigint) as error from a6 group by 1)
+ select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, (select sha256(string_agg(y, ',' order by part, entry, pos)) from b6) as codebooks_sha256 from c join e using (vec_id)""",
+    "op12_line_dedup": """with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents), l as (select doc_id, unnest(ls) as line, unnest(range(len(ls))) as pos from d),
+ k as (select *, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as key from l),
+ g as (select key, max(doc_id) as top from k where length(key) >= 20 group by 1 having count(distinct doc_id) >= 3), m as (select k.*, coalesce(doc_id <> top, false) as gone from k left join g using (key))
+ select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256 from m group by 1""",
+    "op13_lexical_search": r"""with t as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as w from documents),
+ i as (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as w from benchmark),
+ p as (select doc_id, w, count(*) as tf from t group by all), n as (select doc_id, cast(sum(tf) as bigint) as n from p group by 1), a as (select count(*) as nn, cast(sum(n) as bigint) as l from n),
+ f as (select w, cast(floor(1000 * ln((2 * nn + 2)::double / (2 * count(*) + 1))) as bigint) as wt from p cross join a where w in (select w from i) group by w, nn),
+ s as (select item_id, doc_id, cast(sum(wt * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // l)))) as bigint) as score from i join f using (w) join p using (w) join n using (doc_id) cross join a group by all),
+ r as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank, doc_id, score from s where score > 0) select * from r where rank <= 20""",
 }
 
 
