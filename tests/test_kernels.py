@@ -4,6 +4,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,6 @@ from vectorloom.functions import lines as L
 from vectorloom.functions import polygons as G
 from vectorloom.functions import props as P
 from vectorloom.operators import pieces, tokens
-from vectorloom.streaming.tiled import Memory
 
 SQUARE = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
 
@@ -72,6 +72,62 @@ def test_hausdorff(spark):
     assert value(a, L.hausdorff(F.col("line"), other((0, 0), (5, 0)))) == 5
 
 
+def plain_overlap(a, b):
+    """Areas of both polygons and of their intersection, by slabs between all heights that matter."""
+    edges = lambda rings: [((*p, *q) if p[1] < q[1] else (*q, *p)) for r in rings for p, q in zip(r, r[1:] + r[:1]) if p[1] != q[1]]
+    at = lambda e, y: e[0] + (e[2] - e[0]) * (y - e[1]) / (e[3] - e[1])
+    ea, eb = edges(a), edges(b)
+    ys = {y for e in ea + eb for y in (e[1], e[3])}
+    for i, e in enumerate(ea + eb):
+        for f in (ea + eb)[:i]:
+            low, high = max(e[1], f[1]), min(e[3], f[3])
+            if low < high:
+                p, q = at(e, low) - at(f, low), at(e, high) - at(f, high)
+                if p * q < 0:
+                    ys.add(low + (high - low) * p / (p - q))
+    out = [0.0, 0.0, 0.0]
+    for low, high in zip(sorted(ys), sorted(ys)[1:]):
+        mid = (low + high) / 2
+        spans = []
+        for es in (ea, eb):
+            x = sorted(at(e, mid) for e in es if e[1] <= low and e[3] >= high)
+            spans.append(list(zip(x[::2], x[1::2])))
+        out[0] += (high - low) * sum(q - p for p, q in spans[0])
+        out[1] += (high - low) * sum(q - p for p, q in spans[1])
+        out[2] += (high - low) * sum(max(0.0, min(p[1], q[1]) - max(p[0], q[0])) for p in spans[0] for q in spans[1])
+    return out
+
+
+def test_sweep_against_slabs(monkeypatch):
+    rnd = random.Random(3)
+
+    def ring(x, y, r, n):
+        return [(x + r * rnd.uniform(0.3, 1) * math.cos(2 * math.pi * i / n), y + r * rnd.uniform(0.3, 1) * math.sin(2 * math.pi * i / n)) for i in range(n)]
+
+    grid = lambda: [(float(rnd.randint(0, 6)), float(rnd.randint(0, 6))) for _ in range(rnd.randint(3, 8))]
+    pairs = [([ring(5, 5, 6, rnd.randint(3, 12)), ring(5, 5, 2, 5)], [ring(7, 6, 5, rnd.randint(3, 12))]) for _ in range(60)]
+    pairs += [([grid()], [grid(), grid()]) for _ in range(60)] + [([], [grid()]), (None, [grid()]), ([[(1.0, 1.0)]], [grid()])]
+    for most in (5, 1_000_000):
+        monkeypatch.setattr(G, "COMBINATIONS", most)
+        areas, both, crossed = G.swept(G.polygons([a for a, _ in pairs]), G.polygons([b for _, b in pairs]))
+        for k, (a, b) in enumerate(pairs):
+            assert [*areas[k], both[k]] == pytest.approx(plain_overlap(a or [], b), abs=1e-7)
+    turn = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    for k, (a, _) in enumerate(pairs):
+        es = list(zip(a[0], a[0][1:] + a[0][:1])) if a else []
+        assert crossed[k, 0] == any(turn(*e, f[0]) * turn(*e, f[1]) < 0 and turn(*f, e[0]) * turn(*f, e[1]) < 0 for i, e in enumerate(es) for f in es[:i])
+
+
+def test_clip_column_takes_whole_rings_as_they_are():
+    box = [np.full(7, v) for v in (0.0, 0.0, 4.0, 4.0)]
+    box[0][5] = np.nan
+    bow = [(0, 0), (2, 2), (2, 0), (0, 2)]
+    rows = [[SQUARE], [[(9, 9), (10, 9), (10, 10)]], [[(2, 2), (6, 2), (6, 6), (2, 6)]], [bow], None, [SQUARE], []]
+    got = G.clip_of(G.polygons(rows), box).to_pylist()
+    area = lambda r: abs(G.ring_area([(p["x"], p["y"]) for p in r]))
+    assert [None if g is None else [[area(r) for r in p] for p in g] for g in got] == [[[16.0]], [], [[4.0]], [], None, None, []]
+
+
 def test_polygon_iou():
     shift = lambda r, d: [(x + d, y) for x, y in r]
     assert G.iou([SQUARE], [SQUARE]) == pytest.approx(1)
@@ -107,10 +163,10 @@ def test_polygon_clip_with_holes_that_cut():
         ring = lambda r, n: [(10 + r * rnd.uniform(0.7, 1) * math.cos(2 * math.pi * i / n), 10 + r * rnd.uniform(0.7, 1) * math.sin(2 * math.pi * i / n)) for i in range(n)]
         rings = [ring(8, rnd.randint(5, 9)), ring(3, rnd.randint(3, 6))]
         box = (rnd.uniform(0, 9), rnd.uniform(0, 9), rnd.uniform(11, 20), rnd.uniform(11, 20))
-        if not G.simple(rings[0]) or not G.simple(rings[1]) or G.overlap([rings[0]], [rings[1]])[2] < G.overlap([rings[1]], [rings[1]])[0] - 1e-9:
+        if not G.simple(rings[0]) or not G.simple(rings[1]) or plain_overlap([rings[0]], [rings[1]])[2] < plain_overlap([rings[1]], [rings[1]])[0] - 1e-9:
             continue
         area = sum(abs(G.ring_area(p[0])) - sum(abs(G.ring_area(h)) for h in p[1:]) for p in G.clip(rings, box))
-        assert area == pytest.approx(G.overlap(rings, [block(*box)])[2], abs=1e-6)
+        assert area == pytest.approx(plain_overlap(rings, [block(*box)])[2], abs=1e-6)
 
 
 def test_polygon_clip_area_against_overlap():
@@ -123,7 +179,7 @@ def test_polygon_clip_area_against_overlap():
         box = (rnd.uniform(0, 9), rnd.uniform(0, 9), rnd.uniform(11, 20), rnd.uniform(11, 20))
         square = [(box[0], box[1]), (box[2], box[1]), (box[2], box[3]), (box[0], box[3])]
         area = sum(abs(G.ring_area(p[0])) for p in G.clip([ring], box))
-        assert area == pytest.approx(G.overlap([ring], [square])[2], abs=1e-6)
+        assert area == pytest.approx(plain_overlap([ring], [square])[2], abs=1e-6)
 
 
 @pytest.mark.parametrize(("a", "b", "same"), [({"w": 1}, {"w": 1.0}, True), ({"w": None}, {"w": None}, True), ({"w": 3.5}, {"w": 3.5000001}, True), ({"w": 3.5}, {"w": None}, False), ({"w": 1}, {"w": "1"}, False), ({"w": 1}, {}, False), ({"w": 1.5}, {"w": "x"}, False)])
@@ -214,40 +270,6 @@ def test_token_codec(spark, geometry):
     assert tokens.decode(ids[:-40], geometry, 2, size, bins)[1] and tokens.decode([], geometry, 2, size, bins) == ([], False)
 
 
-def merged_plain(features, tolerance=3.0):
-    """First fit over all lines, every pair of ends by name."""
-    out = []
-    for props, new in features:
-        for k, (known, old) in enumerate(out):
-            ends = {"end-start": math.dist(old[-1], new[0]), "end-end": math.dist(old[-1], new[-1]), "start-end": math.dist(old[0], new[-1]), "start-start": math.dist(old[0], new[0])}
-            best = min(ends, key=ends.get)
-            if P.equal(known, props) and ends[best] <= tolerance:
-                back = list(reversed(new))
-                out[k] = known, {"end-start": old + new[1:], "end-end": old + back[1:], "start-end": new[:-1] + old, "start-start": back[:-1] + old}[best]
-                break
-        else:
-            out.append((props, new))
-    return out
-
-
-def test_memory_against_first_fit():
-    import numpy as np
-
-    r = random.Random(4)
-    kinds = [{"a": 1}, {"a": 1.0000001}, {"a": True}, {"a": "x"}, {"a": None}, {"a": "1"}, {"b": 1}]
-    for _ in range(60):
-        features = [(r.choice(kinds), [(float(r.randint(0, 14)), float(r.randint(0, 14))) for _ in range(r.randint(2, 4))]) for _ in range(25)]
-        m = Memory(2.0)
-        for p, line in features:
-            m.add(p, np.array(line))
-        assert [(p, [tuple(q) for q in x]) for p, x, _ in m.features] == [(p, x) for p, x in merged_plain(features, 2.0)]
-        assert sum(n for _, _, n in m.features) == 25
-    m = Memory()
-    for _ in range(2):
-        m.add({}, np.array([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)]), joins=False)
-    assert len(m.features) == 2
-
-
 def test_image_turns_follow_points(spark):
     import numpy as np
 

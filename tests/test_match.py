@@ -36,7 +36,8 @@ def test_suppression_against_fold(spark):
             want.add((k, i))
     features = spark.createDataFrame([(k, i, s) for (k, i), s in size.items()], "k long, id long, size long")
     conflicts = spark.createDataFrame([(k, b, a) for k, a, b in foes], "k long, a long, b long")
-    assert {tuple(x) for x in match.suppress(features, conflicts, ["k"]).collect()} == want
+    for whole in (10_000, 20, 0):  # all components at once, some, none
+        assert {tuple(x) for x in match.suppress(features, conflicts, ["k"], whole).collect()} == want
     assert match.suppress(features, conflicts.limit(0), ["k"]).count() == 80
 
 
@@ -60,3 +61,45 @@ def test_hausdorff_against_plain(monkeypatch):
             assert got is None
         else:
             assert abs(got - max(far(a, b), far(b, a))) < 1e-9
+
+
+def test_components_against_union_find(spark):
+    from vectorloom.operators.components import components
+    from vectorloom.operators.rounds import Steps
+
+    r = random.Random(5)
+    rows = [(k, r.randrange(300), r.randrange(300)) for k in (1, 2) for _ in range(150)] + [(3, i, i + 1) for i in range(200)] + [(4, 0, i) for i in range(1, 80)] + [(5, 7, 7)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for k, a, b in rows:
+        if a != b:
+            x, y = find((k, a)), find((k, b))
+            root[max(x, y)] = min(x, y)
+    edges = spark.createDataFrame(rows, "k long, a long, b long")
+    got = {(x["k"], x["id"]): (x["k"], x["label"]) for x in components(edges, ["k"], Steps(spark)).collect()}
+    assert got == {x: find(x) for x in root}
+
+
+def test_polygon_pairs_against_all(spark):
+    from vectorloom.functions import polygons as G
+
+    r = random.Random(6)
+
+    def star(n):
+        x, y, s = r.uniform(-300, 600), r.uniform(-300, 600), r.uniform(5, 200)
+        ring = lambda f: [(x + s * f * r.uniform(0.5, 1) * math.cos(2 * math.pi * i / n), y + s * f * r.uniform(0.5, 1) * math.sin(2 * math.pi * i / n)) for i in range(n)]
+        return [ring(1.0)] + ([ring(0.2)] if r.random() < 0.4 else [])
+
+    rows = [(k, i, star(r.randint(3, 9))) for k in (1, 2) for i in range(60)]
+    rows += [(k, 100 + i, [[(x + 3, y - 2) for x, y in ring] for ring in p]) for k, i, p in rows[::3]]
+    rows += [(1, 300, []), (1, 301, [[(0, 0), (20, 20), (20, 0), (0, 20)]]), (1, 302, [[(0, 0), (20, 0), (20, 20), (0, 20)]]), (1, 303, [[(0, 0), (20, 0), (20, 20), (0, 20), (0, 0)]])]
+    df = spark.createDataFrame([(k, i, [[(float(x), float(y)) for x, y in ring] for ring in p]) for k, i, p in rows], "k long, id long, rings array<array<struct<x:double,y:double>>>")
+    want = {(k, i, j): G.iou(p, q) for k, i, p in rows for m, j, q in rows if k == m and p and q}
+    want = {x: v for x, v in want.items() if v is not None and v >= 0.3}
+    got = {(x["k"], x["pred"], x["gt"]): x["iou"] for x in match.polygon_pairs(df, df, ["k"], 0.3).collect()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)

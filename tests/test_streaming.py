@@ -1,24 +1,109 @@
-"""The stream merges tiles as the batch does."""
+"""Merging by components and ranked lists, against first fit in plain Python."""
 
 import json
+import math
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from vectorloom.functions import lines as L
-from vectorloom.streaming.tiled import merge_stream, merge_tiles
-
-ROWS = [(1, 0, 1, '{"a":1}', [[0, 0], [10, 0]]), (1, 1, 2, '{"a":1}', [[11, 0], [20, 0]]), (1, 1, 3, '{"a":2}', [[11, 0], [20, 0]]), (2, 0, 4, '{"a":1}', [[0, 0], [5, 5]])]
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    rows = spark.createDataFrame([(k, t, f, p, json.dumps(x)) for k, t, f, p, x in ROWS], "sample_id long, tile_index long, feature_id long, props string, pts string")
-    line = F.transform(F.from_json("pts", "array<array<double>>"), lambda p: L.point(p[0], p[1]))
-    rows = rows.withColumn("line", line).drop("pts")
-    box = {f"keep_{c}": F.lit(v) for c, v in (("x0", -100), ("y0", -100), ("x1", 100), ("y1", 100))}
-    batch = merge_tiles(rows.withColumns(box), ["sample_id"])
-    want = {(r["sample_id"], r["n"], r["p"]) for r in batch.groupBy("sample_id").agg(F.count("*").alias("n"), F.sum("n_points").alias("p")).collect()}
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = merge_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "sample_id", idle_ms=3_600_000)
-    q = stream.writeStream.format("memory").queryName("merged").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(90)
-    assert {tuple(r) for r in spark.table("merged").collect()} == want == {(1, 2, 5), (2, 1, 2)}
+from vectorloom.functions import props as P
+from vectorloom.streaming import tiled
+
+SCHEMA = "sample_id long, tile_index long, feature_id long, props string, pts array<array<double>>"
+
+
+def merged_plain(features, tolerance=3.0):
+    """First fit over all lines, every pair of ends by name: properties, points, number of parts."""
+    out = []
+    for props, new in features:
+        for k, (known, old, n) in enumerate(out):
+            if len(old) < 2 or len(new) < 2:
+                continue
+            ends = {"end-start": math.dist(old[-1], new[0]), "end-end": math.dist(old[-1], new[-1]), "start-end": math.dist(old[0], new[-1]), "start-start": math.dist(old[0], new[0])}
+            best = min(ends, key=ends.get)
+            if P.equal(known, props) and ends[best] <= tolerance:
+                back = list(reversed(new))
+                out[k] = known, {"end-start": old + new[1:], "end-end": old + back[1:], "start-end": new[:-1] + old, "start-start": back[:-1] + old}[best], n + 1
+                break
+        else:
+            out.append((props, new, 1))
+    return out
+
+
+def frame(spark, rows):
+    df = spark.createDataFrame([(k, t, f, json.dumps(p), [list(map(float, v)) for v in x]) for k, t, f, p, x in rows], SCHEMA)
+    return df.withColumn("line", F.transform("pts", lambda p: L.point(p[0], p[1]))).drop("pts")
+
+
+def plain(rows):
+    """By sample, what is merged in the order of tiles."""
+    out = {}
+    for k in {r[0] for r in rows}:
+        out[k] = [(P.canonical(p), [tuple(map(float, v)) for v in x], n) for p, x, n in merged_plain([(p, x) for _, _, _, p, x in sorted((r for r in rows if r[0] == k), key=lambda r: r[1:3])])]
+    return out
+
+
+def told(rows):
+    out = {}
+    for r in sorted(rows, key=lambda r: r["place"]):
+        out.setdefault(r["sample_id"], []).append((r["props"], [(p["x"], p["y"]) for p in r["line"]], r["n_parts"]))
+    return out
+
+
+def roads(r, n):
+    """Long roads cut into lines that arrive in any order and either way round, and some that branch or close."""
+    rows = []
+    for road in range(n):
+        x, y = r.randint(0, 4000), 60 * road
+        pieces = []
+        for _ in range(r.randint(1, 14)):
+            line = [(x + 10 * k, y + r.choice((0, 1))) for k in range(r.randint(2, 4))]
+            x = line[-1][0] + r.choice((0, 0, 1, 2, 3, 4))
+            pieces.append(line)
+            y = line[-1][1]
+        rows += [({"road": road % 3, "w": 1.5}, p if r.random() < 0.6 else p[::-1]) for p in pieces]
+    rows += [({"ring": 1}, [(0, 9000), (50, 9000)]), ({"ring": 1}, [(50, 9000), (50, 9050)]), ({"ring": 1}, [(50, 9050), (0, 9000)])]
+    rows += [({"fork": 1}, [(0, 9500), (50, 9500)])] + [({"fork": 1}, [(50, 9500), (90, 9400 + 60 * k)]) for k in range(3)]
+    rows += [({"near": 1 + k * 6e-7}, [(10 * k, 9900), (10 * k + 10, 9900)]) for k in range(4)] + [({"point": 1}, [(5, 9950)]), ({"point": 1}, [(5, 9950), (9, 9950)]), ({"nan": math.nan}, [(0, 9980), (9, 9980)]), ({"nan": math.nan}, [(9, 9980), (20, 9980)])]
+    r.shuffle(rows)
+    return rows
+
+
+def test_fold_against_first_fit(spark):
+    r = random.Random(4)
+    kinds = [{"a": 1}, {"a": 1.0000001}, {"a": True}, {"a": "x"}, {"a": None}, {"a": "1"}, {"b": 1}]
+    rows = []
+    for k in range(12):  # crowded: everything meets everything
+        for f in range(25):
+            rows.append((k, r.randint(0, 6), f, r.choice(kinds), [(r.randint(0, 14), r.randint(0, 14)) for _ in range(r.randint(2, 4))]))
+    for k in range(20, 24):
+        for f, (p, line) in enumerate(roads(r, 25)):
+            rows.append((k, r.randint(0, 9), f, p, line))
+    got = tiled.fold(frame(spark, rows), ["sample_id"]).where("tile_index is null").collect()
+    assert told(got) == plain(rows)
+    assert [r["n_parts"] for r in tiled.fold(frame(spark, rows[:9]), ["sample_id"], joins=False).collect()] == [1] * 9
+    assert tiled.fold(frame(spark, rows).limit(0), ["sample_id"]).count() == 0
+
+
+def test_runs_need_no_fold(spark, monkeypatch):
+    """Long plain chains are ranked, not folded."""
+    monkeypatch.setattr(tiled.Ends, "add", None)
+    r = random.Random(8)
+    order = list(range(90))
+    r.shuffle(order)
+    rows = [(1, t, i, {"a": 1}, [(10 * i, 0), (10 * i + 10, 0)] if i % 3 else [(10 * i + 10, 0), (10 * i, 0)]) for i, t in enumerate(order)]
+    assert told(tiled.fold(frame(spark, rows), ["sample_id"]).collect()) == plain(rows)
+
+
+def test_memory_when_a_tile_begins(spark):
+    r = random.Random(5)
+    rows = [(k, r.randint(0, 9), f, p, line) for k in (1, 2) for f, (p, line) in enumerate(roads(r, 12))]
+    asks = [(k, t, x, y, x + 900, y + 400) for k in (1, 2) for t, (x, y) in enumerate((r.randint(0, 3000), r.randint(0, 900)) for _ in range(10))]
+    tiles = spark.createDataFrame(asks, "sample_id long, tile_index long, x0 long, y0 long, x1 long, y1 long")
+    got = tiled.fold(frame(spark, rows), ["sample_id"], tiles=tiles).where("tile_index is not null").collect()
+    for k, t, x0, y0, x1, y1 in asks:
+        before = plain([q for q in rows if q[0] == k and q[1] < t]).get(k, [])
+        meets = lambda line: max(p[0] for p in line) >= x0 and min(p[0] for p in line) < x1 and max(p[1] for p in line) >= y0 and min(p[1] for p in line) < y1  # noqa: B023, E731
+        assert told([g for g in got if g["sample_id"] == k and g["tile_index"] == t]).get(k, []) == [f for f in before if meets(f[1])]

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lines as L
-from .rounds import settled
+from ..functions import polygons
+from .components import components
+from .rounds import Steps
 
 
 def line_pairs(left: DataFrame, right: DataFrame, key: list[str], threshold: float, names: tuple[str, str] = ("pred", "gt")) -> DataFrame:
@@ -48,42 +51,102 @@ def box_pairs(left: DataFrame, right: DataFrame, key: list[str], threshold: floa
     return p.select(*key, a, b, (F.col("inter") / (size(a) + size(b) - F.col("inter"))).alias("iou")).where(F.col("iou") >= threshold)
 
 
+def polygon_pairs(left: DataFrame, right: DataFrame, key: list[str], threshold: float, names: tuple[str, str] = ("pred", "gt"), cell: float = 256.0) -> DataFrame:
+    """key, left and right id and iou of polygons (id, rings; the first ring is the outer one, the rest holes) that overlap with at least ``threshold`` (over 0).
+    Polygons are dealt to the grid cells of their envelope, and a pair meets in the cell of its envelopes' overlap's least corner. The envelopes' overlap bounds the intersection and the larger area the
+    union, so only pairs that these let through are swept."""
+    a, b = names
+
+    def dealt(df: DataFrame, n: str) -> DataFrame:
+        areas = F.transform("rings", L.area)
+        size = F.element_at(areas, 1) - F.aggregate(F.slice(areas, 2, F.size(areas)), F.lit(0.0), lambda s, x: s + x)
+        out = df.where(F.size("rings") >= 1).select(*key, F.col("id").alias(n), F.col("rings").alias(f"{n}_rings"), L.envelope(F.col("rings")[0]).alias(f"{n}_e"), size.alias(f"{n}_size"))
+        at = lambda c: F.floor(F.col(f"{n}_e.{c}") / cell).cast("long")
+        return out.withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
+
+    low = lambda c: F.greatest(f"{a}_e.{c}", f"{b}_e.{c}")
+    wide = lambda lo, hi: F.least(f"{a}_e.{hi}", f"{b}_e.{hi}") - low(lo)
+    met = dealt(left, a).join(dealt(right, b), [*key, "cx", "cy"]).where((wide("x0", "x1") > 0) & (wide("y0", "y1") > 0))
+    met = met.where((F.floor(low("x0") / cell) == F.col("cx")) & (F.floor(low("y0") / cell) == F.col("cy")))
+    met = met.where(wide("x0", "x1") * wide("y0", "y1") >= threshold * F.greatest(f"{a}_size", f"{b}_size") - 1e-6)
+    return met.select(*key, a, b, polygons.iou_column(F.col(f"{a}_rings"), F.col(f"{b}_rings")).alias("iou")).where(F.col("iou") >= threshold)
+
+
 def greedy(pairs: DataFrame, key: list[str], order: list[Column], names: tuple[str, str] = ("pred", "gt"), carry: list[str] | None = None) -> DataFrame:
     """One-to-one matches of each key: pairs in ascending ``order`` (then ids) are taken if neither side is taken yet.
 
     In rounds: a pair that comes first among those of both its sides is taken whatever the others are, for no earlier pair can
-    take a side from it; pairs of taken sides go, and what is left is looked at again. Each side of each key is a group of its own, so work spreads by features, not by samples."""
+    take a side from it; pairs of taken sides go, and what is left is looked at again. Each side of each key is a group of its own, so work spreads by features, not by samples. Taken pairs add up in one table."""
     a, b = names
     carry = carry or []
+    steps = Steps(pairs.sparkSession)
     rank = F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), F.col(a), F.col(b))
     sides = [Window.partitionBy(*key, a), Window.partitionBy(*key, b)]
     taken = lambda df: df.withColumns({f"_least{i}": F.min("_rank").over(w) for i, w in enumerate(sides)}).withColumn("_taken", (F.col("_rank") == F.col("_least0")) & (F.col("_rank") == F.col("_least1"))).drop("_least0", "_least1")
-    left = settled(taken(pairs.select(*key, a, b, *carry, rank.alias("_rank"))))
-    done = []
+    left = steps.kept(taken(pairs.select(*key, a, b, *carry, rank.alias("_rank"))), "round-0")
+    n = 0
     while True:
-        done.append(left.where("_taken").select(*key, a, b, *carry))
+        done = steps.append(left.where("_taken").select(*key, a, b, *carry), "taken")
         rest = left.withColumns({f"_gone{i}": F.max("_taken").over(w) for i, w in enumerate(sides)}).where("not _gone0 and not _gone1").drop("_gone0", "_gone1", "_taken")
-        left = settled(taken(rest))
+        n += 1
+        left = steps.kept(taken(rest), f"round-{n}")
+        steps.drop(f"round-{n - 1}")
         if left.isEmpty():
-            return reduce(DataFrame.unionByName, done)
+            return done
+
 
+#: Conflicts of one component up to which it is folded as a whole, within one task; larger ones go in rounds.
+WHOLE = 20_000
 
-def suppress(features: DataFrame, conflicts: DataFrame, key: list[str]) -> DataFrame:
+
+def _folded(key: list[str]):
+    """Ids that go, from conflicts in the order of component and leader: a leader that still stands takes its conflict's other side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, gone = None, set()
+        for batch in batches:
+            out = []
+            of, lead, ids = ([tuple(r.values()) for r in batch.select([*key, "label"]).to_pylist()], *(batch[c].to_pylist() for c in ("lead", "id")))
+            for i, (group, x, y) in enumerate(zip(of, lead, ids, strict=True)):
+                if group != at:
+                    at, gone = group, set()
+                if x not in gone and y not in gone:
+                    gone.add(y)
+                    out.append(i)
+            yield batch.select([*key, "id"]).take(pa.array(out, pa.int64()))
+
+    return run
+
+
+def suppress(features: DataFrame, conflicts: DataFrame, key: list[str], whole: int = WHOLE) -> DataFrame:
     """Greedy suppression: features (key, id, size) by size and then id, both descending, stay unless one that stays conflicts (key, a, b; either way round).
 
-    In rounds over the conflicts, each led by its first feature: features that no conflict makes second stay, those that they lead go, and
-    with these all conflicts that they take part in. Features without conflicts are never moved."""
+    Conflicts fall into connected components, which do not touch one another. Those of at most ``whole`` conflicts are folded one after the other as they stream through a task, sorted by leader. Larger ones go in rounds, each led by its first
+    features: those that no conflict makes second stay, those that they lead go, and with these all conflicts that they take part in. Features without conflicts are never moved."""
+    steps = Steps(features.sparkSession)
     place = F.struct(-F.col("size"), -F.col("id"))
     rank = features.select(*key, "id", place.alias("r"))
     side = lambda n: rank.select(*key, F.col("id").alias(n), F.col("r").alias(f"r{n}"))
     both = conflicts.select(*key, "a", "b").join(side("a"), [*key, "a"]).join(side("b"), [*key, "b"]).where("a <> b")
     first = F.col("ra") < F.col("rb")
-    left = settled(both.select(*key, F.when(first, F.col("a")).otherwise(F.col("b")).alias("lead"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("id")).distinct())
-    gone = []
+    every = steps.kept(both.select(*key, F.when(first, F.col("a")).otherwise(F.col("b")).alias("lead"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("id"), F.least("ra", "rb").alias("r")).distinct(), "conflicts")
+    kept = features.select(*key, "id")
+    if every.isEmpty():
+        return kept
+    label = components(every.select(*key, F.col("lead").alias("a"), F.col("id").alias("b")), key, steps)
+    named = every.join(label.withColumnRenamed("id", "lead"), [*key, "lead"])
+    size = named.groupBy(*key, "label").agg(F.count("*").alias("n"))
+    named = steps.kept(named.join(size, [*key, "label"]), "named")
+    fold = named.where(F.col("n") <= whole).select(*key, "label", "r", "lead", "id").repartition(*key, "label").sortWithinPartitions(*key, "label", "r", "id")
+    out = fold.select(*key, "label", "lead", "id").mapInArrow(_folded(key), fold.select(*key, "id").schema)
+    gone = steps.append(out, "gone")
+    left = steps.kept(named.where(F.col("n") > whole).select(*key, "lead", "id"), "round-0")
+    n = 0
     while not left.isEmpty():
         led = left.select(*key, F.col("id").alias("lead")).distinct()
-        out = settled(left.join(led, [*key, "lead"], "left_anti").select(*key, "id").distinct())
-        gone.append(out)
-        left = settled(left.join(out, [*key, "id"], "left_anti").join(out.withColumnRenamed("id", "lead"), [*key, "lead"], "left_anti"))
-    kept = features.select(*key, "id")
-    return kept.join(reduce(DataFrame.unionByName, gone), [*key, "id"], "left_anti") if gone else kept
+        out = steps.kept(left.join(led, [*key, "lead"], "left_anti").select(*key, "id").distinct(), f"out-{n}")
+        gone = steps.append(out, "gone")
+        n += 1
+        left = steps.kept(left.join(out, [*key, "id"], "left_anti").join(out.withColumnRenamed("id", "lead"), [*key, "lead"], "left_anti"), f"round-{n}")
+        steps.drop(f"round-{n - 1}", f"out-{n - 1}")
+    return kept.join(gone, [*key, "id"], "left_anti")

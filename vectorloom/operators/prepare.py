@@ -92,12 +92,10 @@ def rings_equal(a: Column, b: Column) -> Column:
 
 def _cut_rings(rows: DataFrame, box: list[str], least: int) -> DataFrame:
     """One row a piece of each polygon inside its box; ``clipped`` where the piece is not the whole polygon."""
-    text = F.to_json(F.transform("rings", lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"]))))
-    parts = rows.withColumn("parts", polygons.clip_udf(text, *(F.col(c).cast("double") for c in box))).select("*", F.posexplode("parts").alias("piece", "part")).drop("parts")
-    new = F.transform(F.from_json("part", "array<array<array<double>>>"), lambda r: F.transform(r, lambda p: L.point(p[0], p[1])))
-    cut = parts.withColumn("new", new).where(F.size(F.col("new")[0]) >= least)
+    parts = rows.withColumn("parts", polygons.clip_column(F.col("rings"), [F.col(c) for c in box])).select("*", F.posexplode("parts").alias("piece", "new")).drop("parts")
+    cut = parts.where(F.size(F.col("new")[0]) >= least)
     cut = cut.withColumn("clipped", F.col("clipped") | ~rings_equal(F.col("rings"), F.col("new")))
-    return cut.withColumn("rings", F.col("new")).withColumn("order", _then("piece")).drop("piece", "part", "new", *box)
+    return cut.withColumn("rings", F.col("new")).withColumn("order", _then("piece")).drop("piece", "new", *box)
 
 
 def areas(features: DataFrame, tiles: DataFrame, least: int = 3, interval: float | None = None, most: int = 0, ratios: DataFrame | None = None, strips: DataFrame | None = None) -> DataFrame:

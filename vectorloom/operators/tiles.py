@@ -122,14 +122,14 @@ def items(samples: DataFrame, tasks: DataFrame, tiles: DataFrame, labels: DataFr
     return work.join(tiles, "sample_id")
 
 
-def features_in_tiles(tiles: DataFrame, features: DataFrame, cell: int = 512) -> DataFrame:
+def features_in_tiles(tiles: DataFrame, features: DataFrame, cell: int = 512, key: list[str] | None = None) -> DataFrame:
     """Tile and feature pairs whose envelopes (rx0, ry0, rx1, ry1, closed) meet the half-open tile: low sides count, high sides do not."""
     f = features.withColumns({c: F.col(c).cast("double") for c in ("rx0", "ry0", "rx1", "ry1")})
     a = _cells(tiles, cell, ("x0", "y0", "x1", "y1"))
     # a closed envelope reaches the cell that its high corner lies in
     last = lambda c: F.floor(F.col(c) / cell).cast("long")
     b = f.withColumn("cx", F.explode(F.sequence(last("rx0"), last("rx1")))).withColumn("cy", F.explode(F.sequence(last("ry0"), last("ry1"))))
-    hit = a.join(b, ["sample_id", "cx", "cy"]).where("not (rx1 < x0 or rx0 >= x1 or ry1 < y0 or ry0 >= y1)")
+    hit = a.join(b, [*(key or ["sample_id"]), "cx", "cy"]).where("not (rx1 < x0 or rx0 >= x1 or ry1 < y0 or ry0 >= y1)")
     corner = (F.floor(F.greatest(F.col("x0").cast("double"), F.col("rx0")) / cell) == F.col("cx")) & (F.floor(F.greatest(F.col("y0").cast("double"), F.col("ry0")) / cell) == F.col("cy"))
     return hit.where(corner).drop("cx", "cy")
 
