@@ -162,3 +162,67 @@ def test_empty_tables(spark):
     docs, items = table(spark, [(1, "a b"), (2, "b")]), spark.createDataFrame([(1, "b")], "item_id long, text string")
     assert [tuple(x)[:3] for x in ranked.search(docs, items).collect()] == [(1, 1, 2), (1, 2, 1)]
     assert ranked.search(docs.limit(0), items).count() == 0 and ranked.search(docs, items.limit(0)).count() == 0
+
+
+def test_samples_at_any_size():
+    from vectorloom.llm import sampling
+
+    assert sampling.bound(10, 10) is None and sampling.bound(10, 3) is None
+    for n in (11, 10**6, 10**9, 4 * 10**9, 10**12, 10**15):
+        taken = sampling.bound(10, n) + (1 << 63)
+        assert 0 < taken < 1 << 64 and abs(taken / (1 << 64) * n - 10) < 1e-3
+
+
+def test_samples_of_huge_tables_are_not_empty(spark, monkeypatch):
+    """With the counts of a table of 1e12 rows the share of hashes is small but there; a sample that still comes out empty is an error, not a field that knows nothing."""
+    from vectorloom.llm import secrets
+
+    docs = table(spark, [(i, f"plain text {i}") for i in range(50)])
+    monkeypatch.setattr(secrets, "bound", lambda wanted, n: -(1 << 63) + (wanted << 64) // 10**12)
+    with pytest.raises(ValueError):
+        secrets.fit(docs)
+    assert secrets.sample(docs.limit(0)).count() == 0
+
+
+def test_toxicity_against_plain_recursion(spark):
+    """The query's scores by forward and backward recursion in plain Python and a logistic function, from texts alone."""
+    from vectorloom.llm import queries, toxicity
+    from vectorloom.llm.textcore import tokenize
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    assert model.field is not None
+    got = {r["doc_id"]: r for r in queries.op2_toxicity(spark, sf).collect()}
+    assert len(got) == docs.count()
+    trans = model.field.trans
+    soft = lambda *x: max(x) + math.log(sum(math.exp(v - max(x)) for v in x))
+    for doc, text in docs.select("doc_id", "text").collect():
+        t = tokenize([text or ""])
+        e = model.field.emissions(toxicity.features(t)) if len(t.start) else np.zeros((0, 2))
+        n, ahead, back = len(e), [], []
+        for k in range(n):
+            ahead.append([e[k][s] + (soft(*(ahead[-1][p] + trans[p][s] for p in (0, 1))) if k else 0) for s in (0, 1)])
+        for k in reversed(range(n)):
+            back.insert(0, [soft(*(trans[s][q] + e[k + 1][q] + back[0][q] for q in (0, 1))) if k < n - 1 else 0.0 for s in (0, 1)])
+        p = [1 / (1 + math.exp((ahead[k][0] + back[k][0]) - (ahead[k][1] + back[k][1]))) for k in range(n)]
+        z = model.coef[0] + model.coef[1] * math.log1p(sum(x for x in p if x > 0.01)) + model.coef[2] * max((x for x in p if x > 0.01), default=0.0)
+        want = 1 / (1 + math.exp(-max(-35.0, min(35.0, z))))
+        assert abs(got[doc]["score"] - want) < 1e-4
+        assert got[doc]["predicted"] == int(got[doc]["score"] >= 0.3)
+
+
+def test_one_text_stands_for_a_repeated_id(spark):
+    """Of the texts of one doc_id only the least by SHA-256 counts, however often and in what order its rows come."""
+    from vectorloom.llm import dartminhash
+
+    r = random.Random(2)
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(60))
+    one, two = text(), text()
+    least, other = sorted((one, two), key=lambda t: hashlib.sha256(t.encode()).digest()[:16])
+    near = lambda t: t + " tail"
+    rows = [(1, near(least)), (2, near(other)), (5, one), (5, two), (5, other), (5, least)]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        got = {x["doc_id"]: x["class_id"] for x in dartminhash.classes(table(spark, rows).repartition(3)).collect()}
+        assert got == {1: 1, 2: 2, 5: 1}

@@ -14,7 +14,7 @@ that differs from bucket to bucket. That joins most of a family of copies. Large
 (``crossing``): two texts alike enough share one of the rarest shingles of both, so all links between classes are found; pairs within one class need no comparison.
 
 Cases: null and empty texts link only to their exact copies (null counts as empty); texts under five words are one shingle;
-rows that repeat a doc_id are one document (of its texts, the one with the least hash stands for it); rows with a null
+rows that repeat a doc_id are one document (of its texts, the one with the least SHA-256 stands for it); rows with a null
 doc_id are documents of no class (class_id null); an empty table gives an empty result.
 """
 
@@ -112,7 +112,7 @@ def _sketch(b: pa.RecordBatch) -> dict:
         some = np.bincount(doc, minlength=j - i) > 0
         k = band_keys(signatures(*elements(h, doc), j - i))
         keys += [row if ok else None for row, ok in zip(k, some, strict=True)]
-    return {"doc_id": b["doc_id"], "copy": pa.array([hashlib.sha256(t.encode()).digest()[:16] for t in texts], pa.binary()), "bands": pa.array(keys, pa.list_(pa.int64()))}
+    return {"doc_id": b["doc_id"], "h": b["h"], "copy": pa.array([hashlib.sha256(t.encode()).digest()[:16] for t in texts], pa.binary()), "bands": pa.array(keys, pa.list_(pa.int64()))}
 
 
 def likeness(x: np.ndarray, y: np.ndarray) -> float:
@@ -150,13 +150,16 @@ class Measure:
 SHINGLES = Measure(_shingled, likeness, _coded, lambda t: t)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, measure: Measure = SHINGLES) -> DataFrame:
-    """(a, b, likeness) for pairs (a, b) of documents ``docs`` (id, text)."""
-    texts = docs.select("id", "text")
-    hot = lambda c: hot_keys(pairs.groupBy(c).agg(F.count("*").alias("n")), [c])
-    side = lambda c: texts.toDF(c, f"text_{c}")
-    half = join_one(pairs.select("a", "b"), side("b"), ["b"], hot("b"), by=["a", "b"])
-    full = join_one(half, side("a"), ["a"], hot("a"), by=["a", "b"]).select("a", "b", "text_a", "text_b")
+def verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, measure: Measure = SHINGLES) -> DataFrame:
+    """(a, b, likeness) for pairs (a, b) of documents ``docs`` (id, h, text). ``names`` (id, h): which of an id's texts stands for it; rows that repeat it with the same text count once."""
+    full = pairs.select("a", "b")
+    for c in ("b", "a"):
+        hot = hot_keys(pairs.groupBy(c).agg(F.count("*").alias("n")), [c])
+        full = join_one(full, names.select(F.col("id").alias(c), F.col("h").alias(f"h_{c}")), [c], hot, by=["a", "b"])
+    for c in ("b", "a"):
+        hot = hot_keys(full.groupBy(c, f"h_{c}").agg(F.count("*").alias("n")), [c, f"h_{c}"])
+        full = join_one(full, docs.select(F.col("id").alias(c), F.col("h").alias(f"h_{c}"), F.col("text").alias(f"text_{c}")), [c, f"h_{c}"], hot, by=["a", "b"])
+    full = full.select("a", "b", "text_a", "text_b")
 
     def kernel(b: pa.RecordBatch) -> dict:
         out, last, x = [], None, None
@@ -169,54 +172,61 @@ def verified(pairs: DataFrame, docs: DataFrame, measure: Measure = SHINGLES) ->
     return arrow_map(full, {c: c for c in full.columns}, "a long, b long, likeness double", kernel)
 
 
+HASH = "xxhash64(coalesce(text, ''))"
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, space: Workspace | None = None) -> DataFrame:
     """One row a document: doc_id, class_id (the least doc_id of its class), copy_of (the least doc_id of its exact copies)."""
     space = space or Workspace(docs.sparkSession)
-    sketch = space.written(arrow_map(docs, {"doc_id": "doc_id", "text": "text"}, "doc_id long, copy binary, bands array<long>", _sketch), "sketch")
-    known = sketch.where("doc_id is not null")
-    reps = space.written(known.groupBy("copy").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("copy", F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands")), "reps")
-    named = joined(reps, docs, threshold, space)
+    sketch = space.written(arrow_map(docs, {"doc_id": "doc_id", "text": "text", "h": HASH}, "doc_id long, h long, copy binary, bands array<long>", _sketch), "sketch")
+    # of a doc_id's texts the least one stands for it, here and everywhere after
+    known = sketch.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("copy", "h", "bands")).alias("t")).select("doc_id", "t.*")
+    known = space.written(known, "known")
+    reps = space.written(known.groupBy("copy").agg(F.min(F.struct("doc_id", "h", "bands")).alias("r"), F.count("*").alias("n")).select("copy", F.col("r.doc_id").alias("rep"), F.col("r.h").alias("h"), F.col("r.bands").alias("bands"), "n"), "reps")
+    named = joined(reps, docs.withColumn("h", F.expr(HASH)), threshold, space)
     class_of = reps.select("copy", "rep").join(named.select(F.col("id").alias("rep"), "label"), "rep", "left").select("copy", "rep", F.coalesce("label", "rep").alias("class_id"))
-    rows = known.groupBy("doc_id").agg(F.min("copy").alias("copy")).join(class_of, "copy").select("doc_id", "class_id", F.col("rep").alias("copy_of"))
+    rows = join_one(known.select("doc_id", "copy"), class_of, ["copy"], hot_keys(reps, ["copy"])).select("doc_id", "class_id", F.col("rep").alias("copy_of"))
     return rows.unionByName(sketch.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("copy_of")))
 
 
 def joined(reps: DataFrame, docs: DataFrame, threshold: float, space: Workspace, measure: Measure = SHINGLES) -> DataFrame:
-    """(id, label): the least of each representative's class. Classes connect all that share a bucket and have a likeness of at least the threshold."""
+    """(id, label): the least of each representative's (rep, h, bands) class; ``docs``: doc_id, h, text. Classes connect all that share a bucket and have a likeness of at least the threshold."""
     buckets = reps.select("rep", F.explode("bands").alias("key"))
     pivot = lambda *by: F.min(F.struct(F.xxhash64("rep", *by).alias("h"), "rep"))["rep"]
     pivots = F.array_distinct(F.array(F.min("rep"), pivot(), pivot("key")))
     size = space.written(buckets.groupBy("key").agg(F.count("*").alias("n"), pivots.alias("pivots")).where("n > 1"), "sizes")
-    members = space.written(join_one(buckets, size, ["key"], space.written(hot_keys(size, ["key"]), "hot")), "members")
+    hot = space.written(hot_keys(size, ["key"]), "hot")
+    members = space.written(join_one(buckets, size, ["key"], hot), "members")
     small = members.where(F.col("n") <= ALL_PAIRS).groupBy("key").agg(F.array_sort(F.collect_list("rep")).alias("all"))
     # all pairs of a bucket of bounded size: each with those behind it
     pairs = small.select(F.posexplode("all").alias("at", "a"), "all").select("a", F.explode(F.expr("slice(all, at + 2, size(all))")).alias("b"))
     star = members.where(F.col("n") > ALL_PAIRS).select("rep", F.explode("pivots").alias("p")).where("rep <> p").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
+    names = reps.select(F.col("rep").alias("id"), "h")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "h", "text")
     wanted = space.written(pairs.union(star).distinct(), "pairs")
     space.release()
-    done = space.written(verified(wanted, texts, measure), "verified")
+    done = space.written(verified(wanted, texts, names, measure), "verified")
     space.release()
     near = done.where(F.col("likeness") >= threshold).select("a", "b")
     # large buckets whose texts the pivots have not joined into one class
     named = components(near, space, "first")
     large = members.where(F.col("n") > ALL_PAIRS).select("key", "rep").join(named.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
     apart = large.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    left = space.written(large.join(apart, "key").select("rep", "label").distinct(), "left")
+    left = space.written(join_one(large, apart, ["key"], hot).select("rep", "label").distinct(), "left")
     if left.isEmpty():
         return named
-    maybe = space.written(crossing(left, texts, threshold, space, measure).join(wanted, ["a", "b"], "left_anti"), "crossing")
+    maybe = space.written(crossing(left, texts, names, threshold, space, measure).join(wanted, ["a", "b"], "left_anti"), "crossing")
     space.release()
     # the likeliest partner of a text in each other class goes first; then only pairs whose classes are still two
     ends = maybe.select("a", "b", F.col("a").alias("me"), F.col("label_b").alias("other"), "shared").union(maybe.select("a", "b", "b", "label_a", "shared"))
     best = ends.groupBy("me", "other").agg(F.max(F.struct("shared", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-    tried = space.written(_joined(best, maybe, texts, threshold, measure), "tried")
+    tried = space.written(_joined(best, maybe, texts, names, threshold, measure), "tried")
     met = components(tried.where("near").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")), space, "second")
     now = lambda c: met.select(F.col("id").alias(f"label_{c}"), F.col("label").alias(f"now_{c}"))
     rest = maybe.join(now("a"), "label_a", "left").join(now("b"), "label_b", "left").where(F.coalesce("now_a", "label_a") != F.coalesce("now_b", "label_b"))
     rest = space.written(rest.select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     space.release()
-    found = space.written(_joined(rest, maybe, texts, threshold, measure), "found")
+    found = space.written(_joined(rest, maybe, texts, names, threshold, measure), "found")
     space.release()
     # one edge for each two classes says as much as all links between them
     edges = tried.union(found).where("near").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct()
@@ -226,13 +236,13 @@ def joined(reps: DataFrame, docs: DataFrame, threshold: float, space: Workspace,
     return every.join(last, F.col("label") == F.col("old"), "left").select("id", F.coalesce("new", "label").alias("label"))
 
 
-def _joined(pairs: DataFrame, known: DataFrame, texts: DataFrame, threshold: float, measure: Measure) -> DataFrame:
+def _joined(pairs: DataFrame, known: DataFrame, texts: DataFrame, names: DataFrame, threshold: float, measure: Measure) -> DataFrame:
     """a, b, label_a, label_b of ``pairs``, and whether they are near."""
-    done = verified(pairs, texts, measure).groupBy("a", "b").agg((F.max("likeness") >= threshold).alias("near"))
+    done = verified(pairs, texts, names, measure).groupBy("a", "b").agg((F.max("likeness") >= threshold).alias("near"))
     return done.join(known, ["a", "b"]).select("a", "b", "label_a", "label_b", "near")
 
 
-def crossing(left: DataFrame, texts: DataFrame, threshold: float, space: Workspace, measure: Measure = SHINGLES) -> DataFrame:
+def crossing(left: DataFrame, texts: DataFrame, names: DataFrame, threshold: float, space: Workspace, measure: Measure = SHINGLES) -> DataFrame:
     """a, b, label_a, label_b with a < b, and how many of their rarest tokens they share: pairs of different label among ``left`` (rep, label) that may be alike enough; none that is gets lost.
 
     Tokens are ordered from the rarest to the most common. Of two texts of n <= m tokens, alike enough, at least t m and 2t / (1 + t) n
@@ -244,11 +254,11 @@ def crossing(left: DataFrame, texts: DataFrame, threshold: float, space: Workspa
         out = [measure.tokens(x).view(np.int64) for x in b["text"].to_pylist()]
         return {c: b[c] for c in ("rep", "h", "label")} | {"n": pa.array([len(x) for x in out], pa.int32()), "tokens": pa.array(out, pa.list_(pa.int64()))}
 
-    rows = left.join(texts.withColumnRenamed("id", "rep"), "rep").withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["rep", "h"])
+    rows = left.join(names.withColumnRenamed("id", "rep"), "rep").join(texts.withColumnRenamed("id", "rep"), ["rep", "h"]).dropDuplicates(["rep"])
     listed = space.written(arrow_map(rows, {c: c for c in ("rep", "h", "label", "text")}, "rep long, h long, label long, n int, tokens array<long>", tokens), "tokens")
     each = listed.select("rep", "h", "label", "n", F.explode("tokens").alias("token"))
     often = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = each.join(often, "token").groupBy("rep", "h", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("all"))
+    shared = join_one(each, often, ["token"], hot_keys(often, ["token"], "df"), by=["rep", "token"]).groupBy("rep", "h", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("all"))
     # tokens that no other text has come before these
     shared = shared.withColumn("own", F.col("n") - F.size("all")).withColumn("probe", F.expr(f"int(n - ceil({t}D * n - 1e-9D) + 1)"))
     spread = shared.select("rep", "label", "n", "own", F.posexplode(F.expr("slice(all, 1, greatest(probe - own, 0))")).alias("k", "s"))
@@ -256,7 +266,8 @@ def crossing(left: DataFrame, texts: DataFrame, threshold: float, space: Workspa
     places = space.written(at, "places")
     space.release()
     labels = places.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    mixed = space.written(places.join(labels.select("token", "main"), "token"), "mixed")
+    busy = hot_keys(places.groupBy("token").agg(F.count("*").alias("n")), ["token"])
+    mixed = space.written(join_one(places, labels.select("token", "main"), ["token"], busy, by=["rep", "token"]), "mixed")
     x, y = mixed.where("label <> main").alias("x"), mixed.alias("y")
     meet = F.expr(f"""x.token = y.token and x.label <> y.label and (x.n <= y.n and x.first or y.n <= x.n and y.first)
         and least(x.n, y.n) >= {t}D * greatest(x.n, y.n) - 1e-9D and least(x.n - x.at, y.n - y.at) >= {t / (1 + t)}D * (x.n + y.n) - 1e-9D""")

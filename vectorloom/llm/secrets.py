@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from . import crf
 from .arrowmap import arrow_map, texts_of
+from .sampling import below, bound
 from .textcore import blocks, mix, shape_code, tokenize
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -38,6 +39,8 @@ SAMPLE_ROWS, SAMPLE_CHARS = 3000, 50_000
 FIT_CHARS = 400_000
 #: Texts of the sample that secrets are put into, and their characters.
 PLANT_TEXTS, PLANT_CHARS = 400, 300_000
+#: Code points that a span of the field has at least, as the values of assignments do.
+LEAST = 6
 #: What a left-out word's features are: they weigh nothing.
 LEFT_OUT = np.uint64(1)
 _NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey", "pwd", "credential", "auth", "access_key", "private_key", "client_secret", "bearer")
@@ -164,14 +167,17 @@ def fit_texts(texts: list[str]) -> crf.Model:
 
 def sample(docs: DataFrame) -> DataFrame:
     """About SAMPLE_ROWS texts of at most SAMPLE_CHARS characters, the first by a hash of doc_id and text, whatever the table's layout."""
-    n = max(1, docs.count())
     h = F.xxhash64("doc_id", "text")
-    keep = docs.select("text", h.alias("h")).where(F.pmod("h", F.lit(1_000_000)) < int(min(1.0, 1.2 * SAMPLE_ROWS / n) * 1_000_000))
+    keep = docs.select("text", h.alias("h")).where(below(F.col("h"), bound(SAMPLE_ROWS * 6 // 5, docs.count())))
     return keep.where(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("h"), "text").limit(SAMPLE_ROWS).select("text")
 
 
 def fit(docs: DataFrame) -> crf.Model:
-    return fit_texts([r[0] for r in sample(docs).collect()])
+    """A field fitted on the sample. A table that has texts to fit on, but of which the sample took none, is an error."""
+    texts = [r[0] for r in sample(docs).collect()]
+    if not texts and not docs.where(F.length("text") <= SAMPLE_CHARS).isEmpty():
+        raise ValueError("the sample to fit on is empty")
+    return fit_texts(texts)
 
 
 def outside(start: int, end: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -205,6 +211,8 @@ def scan_texts(texts: list[str], model: crf.Model) -> list[list[tuple[int, int,
         for a, e in zip(at, end, strict=True):
             d = t.doc[a]
             s, e = int(t.start[a] - t.base[d]), int(e - t.base[d])
+            if e - s < LEAST:
+                continue
             own = out[i + d]
             text = texts[i + d]
             own += [(x, 3, y) for x, y in outside(s, e, [z for z in own if z[1] < 3]) if any(c.isalnum() for c in text[x:y])]

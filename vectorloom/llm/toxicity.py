@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from . import crf
 from .arrowmap import arrow_map, texts_of
+from .sampling import below, bound
 from .textcore import blocks, mix, tokenize
 
 #: The sample: so many toxic and clean rows at most, each of at most so many characters.
@@ -155,9 +156,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Learns from a sample of the labelled rows that aren't held out, chosen by a hash of their id."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).alias("y"))
     count = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    share = {y: min(1.0, most / max(1, count.get(y, 0))) for y, most in ((False, SAMPLE_CLEAN), (True, SAMPLE_TOXIC))}
-    cut = F.when(F.col("y"), int(share[True] * 1e6)).otherwise(int(share[False] * 1e6))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < cut)
+    most = {False: SAMPLE_CLEAN, True: SAMPLE_TOXIC}
+    share = {y: min(1.0, most[y] / max(1, count.get(y, 0))) for y in most}
+    cut = {y: bound(most[y], count.get(y, 0)) for y in most}
+    h = F.xxhash64("doc_id")
+    chosen = known.where((F.col("y") & below(h, cut[True])) | (~F.col("y") & below(h, cut[False])))
+    if count and chosen.isEmpty():
+        raise ValueError("the sample to fit on is empty")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen.limit(2 * (SAMPLE_CLEAN + SAMPLE_TOXIC))), "doc_id").where(F.length("text") <= SAMPLE_CHARS).select("text", "y").limit(2 * (SAMPLE_CLEAN + SAMPLE_TOXIC))
     kept = sorted({(r["text"], r["y"]) for r in rows.toLocalIterator()})
     return fit_texts([t for t, _ in kept], [y for _, y in kept], (share[False], share[True]))
