@@ -45,8 +45,9 @@ def length(line: Column) -> Column:
 
 
 def area(ring: Column) -> Column:
-    """Of an open ring, by the shoelace rule."""
-    closed = F.concat(ring, F.slice(ring, 1, 1))
+    """Of an open ring, by the shoelace rule about its first point, so it is exact far from the origin, too."""
+    moved = F.transform(ring, lambda p: F.struct((p["x"] - ring[0]["x"]).alias("x"), (p["y"] - ring[0]["y"]).alias("y")))
+    closed = F.concat(moved, F.slice(moved, 1, 1))
     return F.abs(F.aggregate(segments(closed), F.lit(0.0), lambda s, g: s + g["a"]["x"] * g["b"]["y"] - g["b"]["x"] * g["a"]["y"])) / 2
 
 

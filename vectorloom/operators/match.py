@@ -51,6 +51,12 @@ def box_pairs(left: DataFrame, right: DataFrame, key: list[str], threshold: floa
     return p.select(*key, a, b, (F.col("inter") / (size(a) + size(b) - F.col("inter"))).alias("iou")).where(F.col("iou") >= threshold)
 
 
+def ring_area(rings: Column) -> Column:
+    """Area of a polygon: its outer ring's without its holes'."""
+    areas = F.transform(rings, L.area)
+    return F.element_at(areas, 1) - F.aggregate(F.slice(areas, 2, F.greatest(F.size(areas) - 1, F.lit(0))), F.lit(0.0), lambda s, x: s + x)
+
+
 def polygon_pairs(left: DataFrame, right: DataFrame, key: list[str], threshold: float, names: tuple[str, str] = ("pred", "gt"), cell: float = 256.0) -> DataFrame:
     """key, left and right id and iou of polygons (id, rings; the first ring is the outer one, the rest holes) that overlap with at least ``threshold`` (over 0).
     Polygons are dealt to the grid cells of their envelope, and a pair meets in the cell of its envelopes' overlap's least corner. The envelopes' overlap bounds the intersection and the larger area the
@@ -58,9 +64,7 @@ def polygon_pairs(left: DataFrame, right: DataFrame, key: list[str], threshold:
     a, b = names
 
     def dealt(df: DataFrame, n: str) -> DataFrame:
-        areas = F.transform("rings", L.area)
-        size = F.element_at(areas, 1) - F.aggregate(F.slice(areas, 2, F.size(areas)), F.lit(0.0), lambda s, x: s + x)
-        out = df.where(F.size("rings") >= 1).select(*key, F.col("id").alias(n), F.col("rings").alias(f"{n}_rings"), L.envelope(F.col("rings")[0]).alias(f"{n}_e"), size.alias(f"{n}_size"))
+        out = df.where(F.size("rings") >= 1).select(*key, F.col("id").alias(n), F.col("rings").alias(f"{n}_rings"), L.envelope(F.col("rings")[0]).alias(f"{n}_e"), ring_area(F.col("rings")).alias(f"{n}_size"))
         at = lambda c: F.floor(F.col(f"{n}_e.{c}") / cell).cast("long")
         return out.withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
 

@@ -104,7 +104,10 @@ def areas(features: DataFrame, tiles: DataFrame, least: int = 3, interval: float
     rows = ranked(features.select("sample_id", "feature_id", "props", "rings", F.col("rings")[0].alias("line")), least).withColumn("clipped", F.lit(False))
     if ratios is not None:
         rows = rows.join(ratios.where("ok").select("sample_id", "feature_id", "partial"), ["sample_id", "feature_id"]).withColumn("clipped", F.col("partial")).drop("partial")
-    rows = _cut_rings(_near(rows, F.col("line"), tiles), BOX, least)
+    return _areas_done(_cut_rings(_near(rows, F.col("line"), tiles), BOX, least), least, interval, most, strips)
+
+
+def _areas_done(rows: DataFrame, least: int, interval: float | None, most: int, strips: DataFrame | None) -> DataFrame:
     if strips is not None:
         rows = _cut_rings(_in_strips(rows, F.col("rings")[0], strips), STRIP, least).withColumn("clipped", F.lit(True))
     whole = F.filter(F.transform("rings", lambda r: spaced(r, interval, True)), lambda r: F.size(r) >= least)
@@ -113,9 +116,12 @@ def areas(features: DataFrame, tiles: DataFrame, least: int = 3, interval: float
 
 
 def state(memory: DataFrame, strips: DataFrame, least: int = 2, interval: float | None = None, most: int = 0) -> DataFrame:
-    """What a tile is told of its predecessors: memory rows of a tile (sample_id, tile_index, place, props, line and the tile's x0 ... y1), oldest first, clipped to the tile and then to its strips.
+    """What a tile is told of its predecessors: memory rows of a tile (sample_id, tile_index, place, props, line, rings for polygons, and the tile's x0 ... y1), oldest first, clipped to the tile and then to its strips.
     Tiles without strips are told nothing."""
     rows = memory.where(F.size("line") >= least).withColumn("order", F.array(F.col("place").cast("long"))).withColumn("feature_id", F.col("place"))
+    if "rings" in memory.columns:
+        rows = rows.withColumn("clipped", F.lit(False)).select(*TILE, "feature_id", "props", "line", "rings", "clipped", "order", *BOX)
+        return _areas_done(_cut_rings(rows, BOX, least), least, interval, most, strips).drop("clipped")
     flags = rows.withColumn("cut_start", F.lit(False)).withColumn("cut_end", F.lit(False))
     return _lines_done(_clipped(flags.select(*TILE, "feature_id", "props", "line", "cut_start", "cut_end", "order", *BOX), BOX, least), least, interval, most, strips).drop("cut_start", "cut_end", "clipped")
 
@@ -142,7 +148,7 @@ def to_world(features: DataFrame, rasters: DataFrame, least: int = 2) -> DataFra
     move = lambda p: L.point(*C.pixel_to_world(p["x"], p["y"], affine))
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
     sound = (F.size("line") >= least) & F.forall("line", lambda p: finite(p["x"]) & finite(p["y"]))
-    rows = features.where(sound).join(F.broadcast(rasters.select("sample_id", "a", "c", "e", "f")), "sample_id").withColumn("line", F.transform("line", move))
+    rows = features.where(sound).join(rasters.select("sample_id", "a", "c", "e", "f"), "sample_id").withColumn("line", F.transform("line", move))
     if "rings" in features.columns:
         rows = rows.withColumn("rings", F.transform("rings", lambda r: F.transform(r, move)))
     return rows.drop("a", "c", "e", "f")

@@ -1,4 +1,4 @@
-"""Whole jobs: predictions from a model's answers, and their evaluation."""
+"""Whole jobs: predictions from a model's answers, their files, and their evaluation."""
 
 from __future__ import annotations
 
@@ -8,16 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lines as L
+from ..functions import prompts
 from ..functions import props as P
 from ..operators import match, metrics, prepare
-from ..operators.rounds import settled
-from ..sources import geojson
+from ..operators.rounds import Steps
+from ..sources import config as C
+from ..sources import exports, geojson
 from ..streaming import tiled
 
 
 @dataclass
 class Prediction:
-    """``tiles``: sample_id, tile_index, decoded_ok, n_features, n_kept; ``merged`` and ``final``: sample_id, id, props, line, n_parts before and after near-duplicates go; ``state``: what each tile was told."""
+    """``tiles``: sample_id, tile_index, decoded_ok, n_features, n_kept; ``merged`` and ``final``: sample_id, id, props, line (rings for polygons), n_parts before and after near-duplicates go; ``state``: what each tile was told."""
 
     tiles: DataFrame
     merged: DataFrame
@@ -31,59 +33,117 @@ def parsed(answers: DataFrame, name: str) -> DataFrame:
     return found.withColumn("decoded_ok", F.col("found").isNotNull() | (F.trim(F.coalesce("text", F.lit(""))) == ""))
 
 
-def predict(answers: DataFrame, tiles: DataFrame, rasters: DataFrame, name: str, raster_crs: str, source_crs: str, margin: int = 128, interval: float | None = None, most: int = 32, distance: float = 1.0, places: int | None = None) -> Prediction:
-    """Line features of the answers to each tile (a table replays a model): the answer's collection in pixels, what lies in the keep box merged tile by tile in scan order, and near-duplicates within ``distance`` metres
-    dropped. ``tiles``: as ``tiles.scan_order`` gives them. ``places`` rounds pixels."""
+def predict(answers: DataFrame, tiles: DataFrame, rasters: DataFrame, name: str, raster_crs: str, source_crs: str | None, margin: int = 128, interval: float | None = None, most: int = 32, distance: float = 1.0, places: int | None = None, geometry: str = "linestring", least: int | None = None, iou: float = 0.5) -> Prediction:
+    """Features of the answers to each tile (a table replays a model): the answer's collection in pixels, what lies in the keep box merged tile by tile in scan order (lines; a polygon is always a new feature), and near-duplicates
+    dropped: lines within ``distance`` metres, polygons that overlap with at least ``iou``. ``tiles``: as ``tiles.scan_order`` gives them. ``places`` rounds pixels. Without ``source_crs`` an answer's own system counts."""
     from ..operators.tiles import state_regions
 
-    read = settled(parsed(answers, name))
+    steps = Steps(answers.sparkSession)
+    area = geometry == "polygon"
+    least = least or (3 if area else 2)
+    read = steps.kept(parsed(answers, name), "read")
     box = tiles.select("sample_id", "tile_index", *(f"keep_{c}" for c in prepare.BOX))
-    ground = F.broadcast(rasters.select("sample_id", "a", "c", "e", "f"))
-    texts = read.where("found is not null").select("sample_id", "tile_index", F.col("found").alias("text")).join(ground, "sample_id")
-    features = geojson.ingest(texts, "linestring", 2, raster_crs, source_crs).join(box, ["sample_id", "tile_index"]).withColumnRenamed("source_index", "feature_id")
+    texts = read.where("found is not null").select("sample_id", "tile_index", F.col("found").alias("text")).join(rasters.select("sample_id", "a", "c", "e", "f"), "sample_id")
+    features = geojson.ingest(texts, geometry, least, raster_crs, source_crs).join(box, ["sample_id", "tile_index"]).withColumnRenamed("source_index", "feature_id")
     if places is not None:
-        features = features.withColumn("line", F.transform("line", lambda p: L.point(F.round(p["x"], places), F.round(p["y"], places))))
-    features = settled(features)
+        rounded = lambda p: L.point(F.round(p["x"], places), F.round(p["y"], places))
+        features = features.withColumn("line", F.transform("line", rounded))
+        features = features.withColumn("rings", F.transform("rings", lambda r: F.transform(r, rounded))) if area else features
+    features = steps.kept(features, "features")
     kept = tiled.kept(features)
     strips = state_regions(tiles, margin)
     asking = strips.select("sample_id", "tile_index", *prepare.BOX).distinct()
-    folded = settled(tiled.fold(kept, ["sample_id"], tiles=asking))
-    merged = folded.where("tile_index is null").select("sample_id", F.col("place").alias("id"), "props", "line", "n_parts")
+    folded = steps.kept(tiled.fold(kept, ["sample_id"], joins=not area, tiles=asking), "folded")
+    shape = ["line", "rings"] if area else ["line"]
+    merged = folded.where("tile_index is null").select("sample_id", F.col("place").alias("id"), "props", *shape, "n_parts")
     memory = folded.where("tile_index is not null").join(asking, ["sample_id", "tile_index"])
     number = lambda df, n: df.groupBy("sample_id", "tile_index").agg(F.count("*").alias(n))
     per_tile = read.select("sample_id", "tile_index", "decoded_ok").join(number(features, "n_features"), ["sample_id", "tile_index"], "left").join(number(kept, "n_kept"), ["sample_id", "tile_index"], "left").fillna(0, ["n_features", "n_kept"])
-    return Prediction(per_tile, merged, dedup_lines(merged, rasters, distance), prepare.state(memory, strips, 2, interval, most))
+    final = dedup_areas(merged, rasters, iou) if area else dedup_lines(merged, rasters, distance)
+    return Prediction(per_tile, merged, final, prepare.state(memory, strips, least, interval, most))
+
+
+def _without(features: DataFrame, world: DataFrame, size: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``features`` without those that a larger one with equal properties makes a near-duplicate (``pairs``: sample_id, a, b). A sample with at most one sound geometry (``world``) keeps all its rows; otherwise unsound ones go."""
+    side = lambda n: world.select("sample_id", F.col("id").alias(n), F.col("props").alias(f"props_{n}"))
+    foes = pairs.where("a < b").select("sample_id", "a", "b").join(side("a"), ["sample_id", "a"]).join(side("b"), ["sample_id", "b"]).where(P.props_equal(F.col("props_a"), F.col("props_b")))
+    stay = match.suppress(size, foes, ["sample_id"])
+    several = size.groupBy("sample_id").agg(F.count("*").alias("n")).where("n > 1").select("sample_id")
+    judged = features.join(several, "sample_id", "left_semi").join(stay, ["sample_id", "id"], "left_semi")
+    return judged.unionByName(features.join(several, "sample_id", "left_anti"))
 
 
 def dedup_lines(features: DataFrame, rasters: DataFrame, distance: float = 1.0) -> DataFrame:
-    """Features (sample_id, id, props, line in pixels) without near-duplicates: of lines with equal properties within ``distance`` metres (Hausdorff), the longest stays, of equally long ones the last.
-    A sample with at most one sound geometry keeps all its rows; otherwise unsound ones go."""
+    """Features (sample_id, id, props, line in pixels) without near-duplicates: of lines with equal properties within ``distance`` metres (Hausdorff), the longest stays, of equally long ones the last."""
     world = prepare.to_world(features, rasters)
     # world coordinates are large, so equal lengths differ in their last digits
-    sizes = world.select("sample_id", "id", F.round(L.length(F.col("line")), 6).alias("size"))
-    pairs = match.line_pairs(world, world, ["sample_id"], distance, ("a", "b")).where("a < b").select("sample_id", "a", "b")
-    side = lambda n: world.select("sample_id", F.col("id").alias(n), F.col("props").alias(f"props_{n}"))
-    foes = pairs.join(side("a"), ["sample_id", "a"]).join(side("b"), ["sample_id", "b"]).where(P.props_equal(F.col("props_a"), F.col("props_b")))
-    stay = match.suppress(sizes, foes, ["sample_id"])
-    several = sizes.groupBy("sample_id").agg(F.count("*").alias("n")).where("n > 1").select("sample_id")
-    judged = features.join(F.broadcast(several), "sample_id", "left_semi").join(stay, ["sample_id", "id"], "left_semi")
-    return judged.unionByName(features.join(F.broadcast(several), "sample_id", "left_anti"))
+    size = world.select("sample_id", "id", F.round(L.length(F.col("line")), 6).alias("size"))
+    return _without(features, world, size, match.line_pairs(world, world, ["sample_id"], distance, ("a", "b")))
 
 
-def evaluate(pred: DataFrame, gt: DataFrame, rasters: DataFrame, tiles: DataFrame, distance: float = 2.0) -> DataFrame:
-    """The lane measures of each sample that has ground truth (sample_id, id, props, line in pixels), with parse_ok_rate: predictions and ground truth match one to one within ``distance`` metres."""
-    p, g = prepare.to_world(pred, rasters), prepare.to_world(gt, rasters)
-    pairs = match.line_pairs(p, g, ["sample_id"], distance)
-    taken = match.greedy(pairs, ["sample_id"], [F.round("distance", 6), F.round("endpoint_error", 6)], carry=["distance", "endpoint_error"])
+def dedup_areas(features: DataFrame, rasters: DataFrame, iou: float = 0.5, cell: float = 64.0) -> DataFrame:
+    """Features (sample_id, id, props, line and rings in pixels) without near-duplicates: of polygons with equal properties that overlap with at least ``iou``, the largest stays, of equally large ones the last."""
+    world = prepare.to_world(features, rasters, 3)
+    # world coordinates are large, so equal areas differ in their last digits
+    size = world.select("sample_id", "id", F.round(match.ring_area(F.col("rings")), 3).alias("size"))
+    return _without(features, world, size, match.polygon_pairs(world, world, ["sample_id"], iou, ("a", "b"), cell))
+
+
+def _evaluated(p: DataFrame, g: DataFrame, pairs: DataFrame, order: list, carry: list[str], tiles: DataFrame, scores) -> DataFrame:
+    taken = match.greedy(pairs, ["sample_id"], order, carry=carry)
     side = lambda df, n: df.select("sample_id", F.col("id").alias(n), F.col("props").alias(f"props_{n}"))
     matches = taken.join(side(p, "pred"), ["sample_id", "pred"]).join(side(g, "gt"), ["sample_id", "gt"]).withColumn("same_props", P.props_equal(F.col("props_pred"), F.col("props_gt")))
-    samples = gt.select("sample_id").distinct()
     rates = metrics.parse_rates(tiles, ["sample_id"]).select("sample_id", F.col("rate").alias("parse_ok_rate"))
-    return metrics.lane_scores(samples, p, g, matches, ["sample_id"]).join(rates, "sample_id", "left").fillna(0.0, ["parse_ok_rate"])
+    return scores(g.select("sample_id").distinct(), p, g, matches, ["sample_id"]).join(rates, "sample_id", "left").fillna(0.0, ["parse_ok_rate"])
+
+
+def evaluate(pred: DataFrame, gt: DataFrame, rasters: DataFrame, tiles: DataFrame, distance: float = 2.0) -> DataFrame:
+    """The lane measures of each sample that has ground truth (sample_id, id, props, line in pixels), with parse_ok_rate: predictions and ground truth match one to one within ``distance`` metres."""
+    p, g = prepare.to_world(pred, rasters), prepare.to_world(gt, rasters)
+    order = [F.round("distance", 6), F.round("endpoint_error", 6)]
+    return _evaluated(p, g, match.line_pairs(p, g, ["sample_id"], distance), order, ["distance", "endpoint_error"], tiles, metrics.lane_scores)
+
+
+def evaluate_areas(pred: DataFrame, gt: DataFrame, rasters: DataFrame, tiles: DataFrame, iou: float = 0.3, cell: float = 64.0) -> DataFrame:
+    """The polygon measures of each sample that has ground truth (sample_id, id, props, line and rings in pixels), with parse_ok_rate: predictions and ground truth match one to one where they overlap with at least ``iou``."""
+    p, g = prepare.to_world(pred, rasters, 3), prepare.to_world(gt, rasters, 3)
+    return _evaluated(p, g, match.polygon_pairs(p, g, ["sample_id"], iou, cell=cell), [-F.round("iou", 9)], ["iou"], tiles, metrics.polygon_scores)
 
 
 def report(scores: DataFrame) -> DataFrame:
     """name, mean: every measure's mean over the samples where it is finite, and parse_success_rate."""
-    names = ["precision", "recall", "f1", "mean_hausdorff", "mean_endpoint_error", "property_acc", "pred_count", "gt_count", "unmatched_pred", "unmatched_gt"]
+    names = [c for c in scores.columns if c not in ("sample_id", "parse_ok_rate")]
     means = metrics.finite_means(scores.select(*(F.col(n).cast("double").alias(n) for n in names)), names)
     return means.unionByName(metrics.success_rate(scores.withColumnRenamed("parse_ok_rate", "rate")).select(F.lit("parse_success_rate").alias("name"), F.col("parse_success_rate").alias("mean")))
+
+
+def predict_files(config: dict, answers: DataFrame, tiles: DataFrame, rasters: DataFrame, raster_crs: str, path: str, target_crs: str = geojson.C.CRS84) -> DataFrame:
+    """A prediction from its configuration to files under ``path``: for each enabled task and each sample its collection, the answers as they came, and what each tile decoded to. ``answers``: sample_id, task, tile_index, text.
+    Returns the summary, a row a sample and task: tile_count, decoded_ok_count, non_empty_tiles, n_final, output. A task that decodes nothing for a sample gets a file that says so instead of a collection, and after all files are written it is an error."""
+    post = config.get("postprocess", {})
+    state = config.get("state_update", {})
+    steps = Steps(answers.sparkSession)
+    told = None
+    for task in C.enabled(C.load_tasks(config.get("serialization")), config):
+        own = answers.where(F.lower("task") == task.name).select("sample_id", "tile_index", "text")
+        p = predict(own, tiles, rasters, task.collection, raster_crs, None, int(state.get("border_margin_px", 96)), None, int(state.get("max_features", 32)), float(post.get("line_dedup_distance_m", 1.0)), None, task.geometry, task.min_points, float(post.get("polygon_dedup_iou", 0.5)))
+        final = steps.kept(p.final, f"final-{task.name}")
+        rates = metrics.parse_rates(p.tiles, ["sample_id"]).drop("rate")
+        counts = final.groupBy("sample_id").agg(F.count("*").alias("n_final"))
+        output = F.when(F.col("decoded_ok_count") > 0, F.lit(f"{task.collection}.geojson"))
+        summary = rates.join(counts, "sample_id", "left").fillna(0, ["n_final"]).select("sample_id", F.lit(task.name).alias("task"), "tile_count", "decoded_ok_count", "non_empty_tiles", "n_final", output.alias("output"))
+        told = steps.append(summary, "summary")
+        collections = geojson.emit(final.join(rasters.select("sample_id", "a", "c", "e", "f"), "sample_id"), ["sample_id"], task.collection, task.geometry, raster_crs, target_crs)
+        none = F.lit(geojson.empty(task.collection, target_crs))
+        ok = summary.where("output is not null").select("sample_id").join(collections, "sample_id", "left").select("sample_id", F.lit(f"{task.collection}.geojson").alias("artifact"), F.coalesce("geojson", none).alias("text"))
+        failed = summary.where("output is null").select("sample_id", F.lit(f"{task.collection}.parse_failed.json").alias("artifact"), F.to_json(F.struct("task", "tile_count", "decoded_ok_count", "non_empty_tiles")).alias("text"))
+        raw = own.groupBy("sample_id").agg(prompts.raw_dump(F.col("tile_index"), F.col("text")).alias("text")).select("sample_id", F.lit(f"{task.collection}.raw_before_json.txt").alias("artifact"), "text")
+        exports.write(ok.unionByName(failed).unionByName(raw), f"{path}/files/{task.name}")
+        p.tiles.withColumn("task", F.lit(task.name)).write.mode("append").json(f"{path}/tiles")
+    if told is None:
+        raise C.CodedError("VL-1302", "no task is enabled")
+    told.write.mode("overwrite").json(f"{path}/summary")
+    silent = told.where("output is null").select("sample_id", "task").orderBy("sample_id", "task").limit(20).collect()
+    if silent:
+        raise C.CodedError("VL-1701", "nothing could be decoded for " + ", ".join(f"{r['task']} of {r['sample_id']}" for r in silent))
+    return told

@@ -9,7 +9,7 @@ from ..functions import coords as C
 from ..functions import lines as L
 from ..functions import prompts
 from ..functions import props as P
-from ..operators import metrics, pieces, prepare, synthesis, tiles
+from ..operators import match, metrics, pieces, prepare, synthesis, tiles
 from . import jobs
 from .fixtures import view
 from .queries import MARGIN, OVERLAP, TILE, _boxes, _decoded, _envelopes, _exploded, _hits, _lines, _mod_lines, _r, _tiles
@@ -147,6 +147,59 @@ def prepare_polygons(s, d):
     return out.select("sample_id", "tile_index", "feature_id", "clipped", _r(L.area(F.col("line")), 4).alias("area"))
 
 
+def _ribbons(s, d, name: str = "fx_point") -> DataFrame:
+    """Walks widened to polygons that are no rectangles and not convex: sample_id, id, rings, line (the outer ring), x from place to place at least one further."""
+    rows = _lines(s, d, name, F.col("px") + F.col("pt"), F.col("py"))
+    wide = (15 + F.col("feature_id") % 40).cast("double")
+    ring = F.concat("line", F.reverse(F.transform("line", lambda p: L.point(p["x"], p["y"] + wide))))
+    return rows.select("sample_id", F.col("feature_id").alias("id"), F.array(ring).alias("rings"), ring.alias("line"))
+
+
+def ring_iou(s, d):
+    """Moved ribbons against ribbons: pairs that overlap by three tenths."""
+    return match.polygon_pairs(_ribbons(s, d, "fx_pred"), _ribbons(s, d), ["sample_id"], 0.3).select("sample_id", "pred", "gt", _r(F.col("iou")).alias("iou"))
+
+
+def _changed(s, d) -> DataFrame:
+    return view(s, d, "fx_pred").groupBy("sample_id", F.col("feature_id").alias("id")).agg(F.max("prop_changed").alias("c"))
+
+
+def _ring_scores(s, d) -> DataFrame:
+    told = lambda c: F.format_string('{"Id":%d,"Changed":%d}', "id", c)
+    pred = _ribbons(s, d, "fx_pred").join(_changed(s, d), ["sample_id", "id"]).withColumn("props", told(F.col("c"))).drop("c")
+    return jobs.evaluate_areas(pred, _ribbons(s, d).withColumn("props", told(F.lit(0))), _raster(s, d), _decoded(s, d))
+
+
+def ring_metrics(s, d):
+    """Polygon measures in metres, by sample."""
+    return _ring_scores(s, d).select("sample_id", *(_r(F.col(c), 5).alias(c) for c in ("precision", "recall", "f1", "mean_iou", "property_acc", "parse_ok_rate")), "pred_count", "gt_count")
+
+
+def ring_report(s, d):
+    return jobs.report(_ring_scores(s, d)).select("name", _r(F.col("mean"), 4).alias("mean"))
+
+
+def ring_dedup(s, d):
+    """Ribbons and their moved copies under one Id each: of two that overlap by seven tenths the larger stays, or the last."""
+    own = lambda name, k: _ribbons(s, d, name).select("sample_id", (F.col("id") * 2 + k).alias("id"), F.format_string('{"Id":"L%d"}', "id").alias("props"), "line", "rings")
+    return jobs.dedup_areas(own("fx_point", 0).unionByName(own("fx_pred", 1)), _raster(s, d), 0.7).select("sample_id", "id")
+
+
+def predict_areas(s, d):
+    """Answers with polygons to final features, counted by sample; tiles three after a multiple of five are answered by prose that is cut off."""
+    from ..sources import geojson
+
+    scan, ribbons = _scan(s, d), _ribbons(s, d)
+    e = ribbons.withColumn("e", L.envelope(F.col("line"))).select("sample_id", "id", *(F.col(f"e.{c}").alias(f"r{c}") for c in prepare.BOX))
+    near = tiles.features_in_tiles(scan, e).select("sample_id", "tile_index", "id").join(ribbons, ["sample_id", "id"]).withColumn("props", F.format_string('{"Id":"L%d"}', "id"))
+    told = geojson.emit(near.join(_raster(s, d), "sample_id"), ["sample_id", "tile_index"], "Intersection", "polygon", UTM, UTM)
+    text = F.when(F.col("tile_index") % 5 == 3, "Answer {cut: ").otherwise(F.coalesce("geojson", F.lit("")))
+    said = scan.select("sample_id", "tile_index").join(told, ["sample_id", "tile_index"], "left").select("sample_id", "tile_index", text.alias("text"))
+    p = jobs.predict(said, scan, _raster(s, d), "Intersection", UTM, UTM, places=6, geometry="polygon")
+    per = p.tiles.groupBy("sample_id").agg(F.count_if("decoded_ok").alias("decoded_ok_count"), F.sum("n_features").alias("n_pred"), F.sum("n_kept").alias("n_kept"))
+    return per.join(p.final.groupBy("sample_id").agg(F.count("*").alias("n_final")), "sample_id", "left").fillna(0, ["n_final"])
+
+
 def ring_targets(s, d):
     turned = F.transform(_ring("x0"), lambda r: F.concat(F.slice(r, F.col("id").cast("int") % 4 + 1, 4), F.slice(r, F.lit(1), F.col("id").cast("int") % 4)))
     rows = prepare.ring_targets(_boxes(s, d).withColumn("rings", turned).withColumn("clipped", F.col("id") % 2 == 0), 256)
@@ -313,6 +366,6 @@ def sample_dirs(s, d):
 
 QUERIES = (
     clamped_points, canonical_line_lex, sorted_features, expanded_boxes, rings_equal, world_geometries, mixed_crs, shifted_lines, grid_offsets, any_vertex_inside, stage_tiles, prediction_tiles, feature_strip_join,
-    prepare_features, prepare_state, prepare_polygons, ring_targets, items_from_uv, dedup_lines, predict_replay, collect_state, evaluate, evaluate_report, feature_collections, parsed_props, relaxed_props, truth_flags,
+    prepare_features, prepare_state, prepare_polygons, ring_iou, ring_metrics, ring_report, ring_dedup, predict_areas, ring_targets, items_from_uv, dedup_lines, predict_replay, collect_state, evaluate, evaluate_report, feature_collections, parsed_props, relaxed_props, truth_flags,
     task_prompts, state_texts, target_texts, raw_dumps, cut_counts, memory_risks, parameter_summary, stitched_counts, grouped_indices, best_tokens, truncated_tokens, prediction_audit, sample_dirs,
 )

@@ -40,7 +40,35 @@ _EVAL = f"""{W('fx_pred', 'fx_raster').replace('with ', 'with recursive ', 1)},
  n as (select g.sample_id, gc, coalesce(pc, 0) as pc, coalesce(k, 0) as k, md, me, acc, rate from (select sample_id, count(*) as gc from ge group by 1) g left join (select sample_id, count(*) as pc from pe group by 1) q on q.sample_id = g.sample_id left join m on m.sample_id = g.sample_id left join pr on pr.sample_id = g.sample_id),
  v as (select *, k / greatest(pc, 1) as p, k / greatest(gc, 1) as r from n), w as (select *, case when p + r <= 1e-9 then 0 else 2 * p * r / (p + r) end as f from v)"""
 
+#: Ribbons lie between a line that goes right and itself higher up, so two of them overlap, over a stretch in which both lines are straight, by the integral of a trapezoid over their distance.
+_RIBBON = """rg as (select sample_id, feature_id as id, pt, px + pt as x, py as y, 15 + feature_id % 40 as h, lead(px + pt) over w as x1, lead(py) over w as y1 from fx_point window w as (partition by sample_id, feature_id order by pt)),
+rp as (select sample_id, feature_id as id, pt, px + pt as x, py as y, 15 + feature_id % 40 as h, lead(px + pt) over w as x1, lead(py) over w as y1 from fx_pred window w as (partition by sample_id, feature_id order by pt)),
+ag as (select sample_id, id, sum((x1 - x) * h) as size from rg where x1 is not null group by all), ap as (select sample_id, id, sum((x1 - x) * h) as size from rp where x1 is not null group by all),
+st as (select p.sample_id, p.id as pred, g.id as gt, greatest(p.x, g.x) as lo, least(p.x1, g.x1) as hi, p.h as hp, g.h as hg, p.x as px, p.y as py, (p.y1 - p.y) / (p.x1 - p.x) as ps, g.x as gx, g.y as gy, (g.y1 - g.y) / (g.x1 - g.x) as gs
+ from rp p join rg g on p.sample_id = g.sample_id {extra} and p.x < g.x1 and g.x < p.x1 where p.x1 is not null and g.x1 is not null),
+dd as (select *, (gy + gs * (lo - gx)) - (py + ps * (lo - px)) as d0, (gy + gs * (hi - gx)) - (py + ps * (hi - px)) as d1, -hg as a, least(0, hp - hg) as b, greatest(0, hp - hg) as c, hp as e, least(hp, hg) as m from st),
+gg as (select *, pow(least(greatest(d0, a), b) - a, 2) / 2 + m * (least(greatest(d0, b), c) - b) + (pow(e - c, 2) - pow(e - least(greatest(d0, c), e), 2)) / 2 as g0,
+ pow(least(greatest(d1, a), b) - a, 2) / 2 + m * (least(greatest(d1, b), c) - b) + (pow(e - c, 2) - pow(e - least(greatest(d1, c), e), 2)) / 2 as g1 from dd),
+ov as (select sample_id, pred, gt, sum((hi - lo) * case when abs(d1 - d0) < 1e-9 then greatest(0, least(hp, d0 + hg) - greatest(0, d0)) else (g1 - g0) / (d1 - d0) end) as shared from gg group by all),
+riou as (select sample_id, pred, gt, shared / (ap.size + ag.size - shared) as iou from ov join ap using (sample_id) join ag using (sample_id) where ap.id = pred and ag.id = gt)"""
+
+_RINGS = f"""{W('fx_pred', 'fx_raster').replace('with ', 'with recursive ', 1)}, {_RIBBON.format(extra='')}, ok_iou as (select * from riou where iou >= 0.3), {_greedy('ok_iou', '-round(iou, 9)')}, ch as (select sample_id, feature_id, max(prop_changed) as c from fx_pred group by all),
+ m as (select x.sample_id, count(*) as k, avg(iou) as mi, avg(case when c = 0 and pred = gt then 1.0 else 0.0 end) as acc from matched x join ch on ch.sample_id = x.sample_id and ch.feature_id = x.pred group by 1),
+ pr as (select sample_id, count(*) filter (where feature_id % 4 <> 0) / count(*) as rate from fx_point group by 1),
+ n as (select g.sample_id, gc, coalesce(pc, 0) as pc, coalesce(k, 0) as k, mi, acc, rate from (select sample_id, count(*) as gc from ag group by 1) g left join (select sample_id, count(*) as pc from ap group by 1) q on q.sample_id = g.sample_id left join m on m.sample_id = g.sample_id left join pr on pr.sample_id = g.sample_id),
+ v as (select *, k / greatest(pc, 1) as p, k / greatest(gc, 1) as r from n), w as (select *, case when p + r <= 1e-9 then 0 else 2 * p * r / (p + r) end as f from v)"""
+
 SQL = {
+    "ring_iou": f"{W('fx_pred')}, {_RIBBON.format(extra='')} select sample_id, pred, gt, round(iou, 6) + 0.0 as iou from riou where iou >= 0.3",
+    "ring_metrics": f"""{_RINGS} select sample_id, round(p, 5) + 0.0 as precision, round(r, 5) + 0.0 as recall, round(f, 5) + 0.0 as f1, round(coalesce(mi, 0.0), 5) + 0.0 as mean_iou, round(coalesce(acc, 0.0), 5) + 0.0 as property_acc, round(coalesce(rate, 0.0), 5) + 0.0 as parse_ok_rate, pc as pred_count, gc as gt_count from w""",
+    "ring_report": f"""{_RINGS}, u as (select 'precision' as name, p as v from w union all select 'recall', r from w union all select 'f1', f from w union all select 'mean_iou', coalesce(mi, 0.0) from w union all select 'property_acc', coalesce(acc, 0.0) from w
+ union all select 'pred_count', pc from w union all select 'gt_count', gc from w union all select 'parse_success_rate', coalesce(rate, 0.0) from w) select name, round(avg(cast(v as double)), 4) + 0.0 as mean from u group by 1""",
+    "ring_dedup": f"""{W('fx_pred')}, {_RIBBON.format(extra='and p.id = g.id')}, every as (select sample_id, 2 * id as id from ag union all select sample_id, 2 * id + 1 from ap)
+ select sample_id, id from every e where not exists (select 1 from riou i where i.sample_id = e.sample_id and 2 * i.gt = e.id and iou >= 0.7)""",
+    "predict_areas": f"""{W('fx_raster', 'fx_point')}, {SCAN}, env as (select sample_id, feature_id, min(px + pt) as rx0, min(py) as ry0, max(px + pt) as rx1, max(py + 15 + feature_id % 40) as ry1, avg(px + pt) as mx, avg(py + (15 + feature_id % 40) / 2) as my from fx_point group by all having count(*) >= 2),
+ said as (select s.sample_id, s.tile_index, e.feature_id, mx >= keep_x0 and mx < keep_x1 and my >= keep_y0 and my < keep_y1 as kept from scan s join env e on e.sample_id = s.sample_id and {HIT}),
+ a as (select s.sample_id, s.tile_index, s.tile_index % 5 <> 3 as ok, count(d.feature_id) filter (where s.tile_index % 5 <> 3) as n, count(*) filter (where d.kept and s.tile_index % 5 <> 3) as k from scan s left join said d on d.sample_id = s.sample_id and d.tile_index = s.tile_index group by all)
+ select sample_id, count(*) filter (where ok) as decoded_ok_count, cast(sum(n) as bigint) as n_pred, cast(sum(k) as bigint) as n_kept, (select count(distinct feature_id) from said d where d.sample_id = a.sample_id and kept and tile_index % 5 <> 3) as n_final from a group by 1""",
     "clamped_points": f"{W('fx_point')} select sample_id, feature_id, pt, round(least(greatest(px * 0.3::double - 20, 0), 255), 6) + 0.0 as u, round(least(greatest(py * 0.3::double - 20, 0), 255), 6) + 0.0 as v from fx_point",
     "canonical_line_lex": f"{W('fx_point')}, {MOD}, e as (select a.sample_id, a.feature_id, (b.y, b.x) < (a.y, a.x) as turned from mod_pt a join mod_pt b using (sample_id, feature_id) where a.pt = a.lo and b.pt = b.hi) select sample_id, feature_id, case when turned then hi - pt else pt - lo end as i, x, y from mod_pt join e using (sample_id, feature_id)",
     "sorted_features": f"""{W('fx_point')}, {_LINES}, e as (select l.sample_id, l.feature_id, n, a.py as ay, a.px as ax, z.py as zy, z.px as zx, '{{"Id":"L' || l.feature_id || '"}}' as p from ln l join fx_point a on a.sample_id = l.sample_id and a.feature_id = l.feature_id and a.pt = lo join fx_point z on z.sample_id = l.sample_id and z.feature_id = l.feature_id and z.pt = hi)

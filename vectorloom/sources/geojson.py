@@ -53,6 +53,15 @@ def ingest(texts: DataFrame, geometry: str, least: int, raster_crs: Column | str
     return rows.withColumn("rings", whole).where(F.size("rings") >= 1).withColumn("line", F.col("rings")[0]).where(F.size("line") >= least).drop("feature", "coordinates", *own)
 
 
+def _head(name: str, crs: str) -> str:
+    return f'{{"type":"FeatureCollection","name":"{name}","crs":{{"type":"name","properties":{{"name":"{crs}"}}}},"features":['
+
+
+def empty(name: str, crs: str = C.CRS84) -> str:
+    """A collection without features."""
+    return _head(name, crs) + "]}"
+
+
 def emit(features: DataFrame, key: list[str], name: str, geometry: str, raster_crs: Column | str, target_crs: str = C.CRS84, with_z: bool = True) -> DataFrame:
     """key, geojson: one feature collection a key from features (props, line or rings, and the raster's a, c, e, f). Rings are closed again."""
 
@@ -65,7 +74,7 @@ def emit(features: DataFrame, key: list[str], name: str, geometry: str, raster_c
     else:
         body = F.to_json(F.transform(F.col("rings"), lambda r: F.transform(F.concat(r, F.slice(r, 1, 1)), place)))
     one = F.concat(F.lit('{"type":"Feature","properties":'), F.col("props"), F.lit(f',"geometry":{{"type":"{_TYPE[geometry]}","coordinates":'), body, F.lit("}}"))
-    head = f'{{"type":"FeatureCollection","name":"{name}","crs":{{"type":"name","properties":{{"name":"{target_crs}"}}}},"features":['
+    head = _head(name, target_crs)
     rows = features.select(*key, F.struct("props", one.alias("f")).alias("one")).groupBy(key).agg(F.array_sort(F.collect_list("one")).alias("all"))
     return rows.select(*key, F.concat(F.lit(head), F.array_join(F.transform("all", lambda x: x["f"]), ","), F.lit("]}")).alias("geojson"))
 
