@@ -107,3 +107,52 @@ def test_memory_when_a_tile_begins(spark):
         before = plain([q for q in rows if q[0] == k and q[1] < t]).get(k, [])
         meets = lambda line: max(p[0] for p in line) >= x0 and min(p[0] for p in line) < x1 and max(p[1] for p in line) >= y0 and min(p[1] for p in line) < y1  # noqa: B023, E731
         assert told([g for g in got if g["sample_id"] == k and g["tile_index"] == t]).get(k, []) == [f for f in before if meets(f[1])]
+
+
+@pytest.fixture
+def rocks(spark):
+    from vectorloom.streaming.ordered import ROCKS
+
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, ROCKS)
+    yield
+    spark.conf.unset(name)
+
+
+def streamed(spark, folder, groups, patience="1 hour", lateness="1 hour"):
+    """Parts of tiles (sample, index, seconds, [(feature, props, line)]) that come group by group."""
+    from vectorloom.streaming.ordered import merge_stream
+
+    import datetime
+
+    schema = "sample_id long, tile_index long, ts timestamp, features array<struct<feature_id:long,props:string,line:array<struct<x:double,y:double>>>>"
+    for n, group in enumerate(groups):
+        at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+        rows = [(k, t, at(s), [(f, json.dumps(p), [(float(x), float(y)) for x, y in line]) for f, p, line in fs]) for k, t, s, fs in group]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/in/{n:03d}")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    q = merge_stream(source, "sample_id", patience=patience, lateness=lateness).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    return sorted(tuple(r) for r in spark.read.parquet(f"{folder}/out").collect())
+
+
+def test_stream_restores_scan_order(spark, rocks, tmp_path):
+    """Tiles shuffled over triggers give the batch's parts."""
+    r = random.Random(9)
+    lines = [(k, r.randint(0, 7), f, p, line) for k in (1, 2) for f, (p, line) in enumerate(roads(r, 8)) if not any(v != v for v in p.values())]
+    tiles = [(k, t, t, sorted(((f, p, line) for q, u, f, p, line in lines if (q, u) == (k, t)), key=lambda x: x[0])) for k in (1, 2) for t in range(8)]
+    r.shuffle(tiles)
+    got = streamed(spark, str(tmp_path), [tiles[i : i + 3] for i in range(0, len(tiles), 3)])
+    rows = frame(spark, lines)
+    rows = rows.select("sample_id", F.struct(F.col("tile_index").alias("tile"), F.col("feature_id").alias("feature")).alias("id"), P.canonical_udf("props").alias("props"), "line").withColumn("bucket", tiled._bucket_udf("props"))
+    from vectorloom.operators.rounds import Steps
+
+    want = tiled.parts(rows, ["sample_id"], 3.0, Steps(spark)).collect()
+    assert got == sorted((w["sample_id"], *w["id"], *w["founder"], w["at"], w["flip"], False) for w in want)
+
+
+def test_stream_goes_on_without_a_lost_tile(spark, rocks, tmp_path):
+    one = lambda i: [(i, {"a": 1}, [(10 * i, 0), (10 * i + 10, 0)])]
+    groups = [[(1, 0, 0, one(0))], [(1, 2, 1, one(1))], [(2, 0, 500, [])], [(2, 1, 1000, [])], [(1, 1, 1001, one(7))]]
+    got = streamed(spark, str(tmp_path), groups, patience="60 seconds", lateness="1 second")
+    assert got == [(1, 0, 0, 0, 0, 0, False, False), (1, 1, 7, 1, 7, 0, False, True), (1, 2, 1, 0, 0, 1, False, False)]
