@@ -230,20 +230,6 @@ def test_typed_equality_in_columns(spark):
     assert df.where("i < 0").select(P.canonical_udf("a").alias("c"), P.first_object_udf("a").alias("f"), P.parse_udf("a").alias("p")).count() == 3
 
 
-def test_grammar():
-    t = tokens.TOKEN
-    ids = [t["map_bos"], t["obj"], t["line"], t["src_local"], t["cut_in_none"], t["cut_out_none"]]
-    assert tokens.walk([], "linestring", 2, 64)[1] == ["map_bos"]
-    assert tokens.walk(ids, "linestring", 2, 64) == ("cut_out", ["pt"])
-    one = ids + [t["pt"], tokens.COORD, tokens.COORD + 1]
-    assert tokens.walk(one, "linestring", 2, 64) == ("point", ["pt"])
-    two = one + one[-3:]
-    assert tokens.walk(two, "linestring", 2, 64) == ("point", ["pt", "done_prop"])
-    assert tokens.walk(two + [t["prop"], 65, t["prop_end"], t["obj_end"], tokens.EOS], "linestring", 2, 64)[0] == "end"
-    assert tokens.walk([t["obj"]], "linestring", 2, 64)[0] == "invalid:start"
-
-
-@pytest.mark.parametrize("geometry", ["linestring", "polygon"])
 def test_token_codec(spark, geometry):
     """What is decoded is what was encoded, up to the bins: points, rings, cuts, source and properties, in canonical order."""
     r = random.Random(6)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import coords as C
+from ..functions.lines import let
 
 # The control tokens in the order of their ids, which follow the bytes (0-255), padding and end.
 CONTROL = (
@@ -156,48 +156,99 @@ GRAMMAR = {
 }
 
 
-def token_class(t: int, geometry: str, bins: int) -> str:
-    if t < 256:
-        return "byte"
-    if t == EOS:
-        return "eos"
-    if COORD <= t < COORD + bins:
-        return "coord"
-    name = next((k for k, v in TOKEN.items() if v == t), "other")
-    for p in ("src", "cut_in", "cut_out"):
-        if name.startswith(p + "_"):
-            return p
-    if name == ("line" if geometry == "linestring" else "poly"):
-        return "geometry"
-    return {"ring": "done_ring" if geometry == "polygon" else "other", "prop": "done_prop"}.get(name, name)
-
-
-def walk(ids: list[int], geometry: str, least: int, bins: int, most_objects: int = 0) -> tuple[str, list[str]]:
-    """The state after the ids (or where they break the grammar) and the token classes that may follow."""
-    state, points, objects = "start", 0, 0
-
-    def allowed() -> list[str]:
-        out = [c for c in GRAMMAR[state] if not c.startswith("done_") or points >= least]
-        if geometry != "polygon":
-            out = [c for c in out if c != "done_ring"]
-        return [c for c in out if c != "obj" or not most_objects or objects < most_objects]
-
-    for t in ids:
-        c = token_class(t, geometry, bins)
-        if c not in allowed():
-            return f"invalid:{state}", allowed()
-        new = GRAMMAR[state][c]
-        points = points + 1 if new == "point" else 0 if new in ("ring", "map") else points
-        objects += c == "obj"
-        state = new
-    return state, allowed()
-
-
-def grammar_state(ids: str, geometry: str, least: int, bins: int) -> Column:
-    """State of each id array."""
-
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: walk(list(x), geometry, least, bins)[0])
-
-    return run(ids)
+STATES = list(GRAMMAR)
+CLASSES = sorted({c for row in GRAMMAR.values() for c in row}) + ["other"]
+
+
+def _class_of(geometry: str) -> dict[int, str]:
+    """Class of each control token and of the end."""
+    out = {EOS: "eos"}
+    for name, t in TOKEN.items():
+        kind = next((p for p in ("src", "cut_in", "cut_out") if name.startswith(f"{p}_")), None)
+        shape = "geometry" if name == ("line" if geometry == "linestring" else "poly") else None
+        done = {"prop": "done_prop"} | ({"ring": "done_ring"} if geometry == "polygon" else {})
+        out[t] = kind or shape or done.get(name) or (name if name in ("map_bos", "obj", "obj_end", "pt", "prop_end") else "other")
+    return out
+
+
+def _moves() -> list[int]:
+    """The grammar as one table: at state x class, the next state, or -1."""
+    return [STATES.index(GRAMMAR[s][c]) if c in GRAMMAR[s] else -1 for s in STATES for c in CLASSES]
+
+
+def token_class(t: Column, geometry: str, bins: int) -> Column:
+    """Number of a token's class."""
+    number = CLASSES.index
+    known = F.create_map(*(F.lit(x) for t, c in _class_of(geometry).items() for x in (t, number(c))))
+    return F.when(t < 256, number("byte")).when(t.between(COORD, COORD + bins - 1), number("coord")).otherwise(F.coalesce(F.try_element_at(known, t), F.lit(number("other"))))
+
+
+def walked(ids: Column, geometry: str, least: int, bins: int, most_objects: int = 0) -> Column:
+    """Struct state (number), points, objects and broken after an id array, by one pass over the table of moves: a token that may not follow breaks it, and the state stays where it was. ``least``: points that a line or ring has at least;
+    ``most_objects`` (0: any number) closes the map."""
+    L_ = CLASSES.index
+    table = F.array(*(F.lit(m) for m in _moves()))
+    done = [L_(c) for c in CLASSES if c.startswith("done_")]
+    fresh = [STATES.index(s) for s in ("ring", "map")]
+
+    def step(a: Column, t: Column) -> Column:
+        def moved(v: Column) -> Column:
+            c, to = v["c"], v["to"]
+            early = c.isin(done) & (a["points"] < least)
+            full = (c == L_("obj")) & F.lit(most_objects > 0) & (a["objects"] >= most_objects)
+            broken = a["broken"] | (to < 0) | early | full
+            points = F.when(to == STATES.index("point"), a["points"] + 1).when(to.isin(fresh), 0).otherwise(a["points"])
+            return F.when(broken, F.struct(a["state"].alias("state"), a["points"].alias("points"), a["objects"].alias("objects"), F.lit(True).alias("broken"))).otherwise(
+                F.struct(to.alias("state"), points.alias("points"), (a["objects"] + F.when(c == L_("obj"), 1).otherwise(0)).alias("objects"), F.lit(False).alias("broken"))
+            )
+
+        cls = let(token_class(t, geometry, bins), lambda c: F.struct(c.alias("c"), F.get(table, a["state"] * len(CLASSES) + c).alias("to")))
+        return let(cls, moved)
+
+    start = F.struct(F.lit(STATES.index("start")).alias("state"), F.lit(0).alias("points"), F.lit(0).alias("objects"), F.lit(False).alias("broken"))
+    return F.aggregate(ids, start, step)
+
+
+def grammar_state(ids: Column, geometry: str, least: int, bins: int, most_objects: int = 0) -> Column:
+    """Name of the state that an id array ends in, or ``invalid:`` and where it breaks the grammar."""
+    name = lambda w: F.get(F.array(*(F.lit(s) for s in STATES)), w["state"])
+    return let(walked(ids, geometry, least, bins, most_objects), lambda w: F.concat(F.when(w["broken"], "invalid:").otherwise(""), name(w)))
+
+
+def may_follow(walk: Column, token: Column, geometry: str, least: int, bins: int, most_objects: int = 0) -> Column:
+    """Whether a token may follow what has been ``walked``; after a broken walk, what might have stood there."""
+    c = token_class(token, geometry, bins)
+    to = F.get(F.array(*(F.lit(m) for m in _moves())), walk["state"] * len(CLASSES) + c)
+    early = c.isin([CLASSES.index(x) for x in CLASSES if x.startswith("done_")]) & (walk["points"] < least)
+    full = (c == CLASSES.index("obj")) & F.lit(most_objects > 0) & (walk["objects"] >= most_objects)
+    return (to >= 0) & ~early & ~full
+
+
+def chosen(scores: DataFrame, key: list[str], k: int = 1, temperature: float = 1.0, seed: int = 0, said: DataFrame | None = None, penalty: float = 1.0, no_end: Column | None = None) -> DataFrame:
+    """key and the next token of each key among scored ones (key, token, score, and ``allowed`` where only some may follow).
+
+    Tokens that were ``said`` (key, token) lose by a ``penalty`` over 1: positive scores are divided by it, others multiplied. ``no_end``: where the end is too early. Of the ``k`` best scores (the least token of equal
+    ones first) one is drawn by its share of the exponentials, by Gumbel's rule: the greatest score plus noise that hashes of seed, key and token make, so a draw can be repeated and no row waits for another. k = 1 takes the best."""
+    rows = scores
+    if said is not None and penalty > 1:
+        seen = said.select(*key, "token").distinct().withColumn("_said", F.lit(True))
+        lower = F.when(F.col("score") > 0, F.col("score") / penalty).otherwise(F.col("score") * penalty)
+        rows = rows.join(seen, [*key, "token"], "left").withColumn("score", F.when(F.col("_said"), lower).otherwise(F.col("score"))).drop("_said")
+    if temperature > 1e-6:
+        rows = rows.withColumn("score", F.col("score") / temperature)
+    if no_end is not None:
+        rows = rows.where(~(no_end & (F.col("token") == EOS)))
+    if "allowed" in rows.columns:
+        # where nothing may follow, the grammar says nothing
+        rows = rows.withColumn("_any", F.max("allowed").over(Window.partitionBy(*key))).where(F.col("allowed") | ~F.col("_any")).drop("_any")
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "token"))
+    rows = rows.withColumn("_rank", rank).where(F.col("_rank") <= max(1, k))
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key, "token"), 11) + 0.5) * 2.0**-53
+    drawn = F.col("score") - F.log(-F.log(u)) if k > 1 else F.col("score")
+    return rows.groupBy(*key).agg(F.max_by("token", F.struct(drawn.alias("s"), -F.col("token"))).alias("token"))
+
+
+def limits(most: Column, least: Column, prefix: Column, context: int = 4096) -> tuple[Column, Column]:
+    """How many tokens to generate at most and at least: as asked for, or, where 0 asks for no limit, what a context has left behind its prefix (one at least)."""
+    room = F.when(most > 0, most).otherwise(F.greatest(F.lit(1), F.lit(context) - prefix - 1))
+    return room, F.least(F.greatest(least, F.lit(0)), room)

@@ -180,9 +180,9 @@ def ring_report(s, d):
 
 
 def ring_dedup(s, d):
-    """Ribbons and their moved copies under one Id each: of two that overlap by seven tenths the larger stays, or the last."""
+    """Ribbons and their moved copies under one Id each: of two that overlap by 0.69 the larger stays, or the last."""
     own = lambda name, k: _ribbons(s, d, name).select("sample_id", (F.col("id") * 2 + k).alias("id"), F.format_string('{"Id":"L%d"}', "id").alias("props"), "line", "rings")
-    return jobs.dedup_areas(own("fx_point", 0).unionByName(own("fx_pred", 1)), _raster(s, d), 0.7).select("sample_id", "id")
+    return jobs.dedup_areas(own("fx_point", 0).unionByName(own("fx_pred", 1)), _raster(s, d), 0.69).select("sample_id", "id")
 
 
 def predict_areas(s, d):

@@ -64,7 +64,7 @@ SQL = {
     "ring_report": f"""{_RINGS}, u as (select 'precision' as name, p as v from w union all select 'recall', r from w union all select 'f1', f from w union all select 'mean_iou', coalesce(mi, 0.0) from w union all select 'property_acc', coalesce(acc, 0.0) from w
  union all select 'pred_count', pc from w union all select 'gt_count', gc from w union all select 'parse_success_rate', coalesce(rate, 0.0) from w) select name, round(avg(cast(v as double)), 4) + 0.0 as mean from u group by 1""",
     "ring_dedup": f"""{W('fx_pred')}, {_RIBBON.format(extra='and p.id = g.id')}, every as (select sample_id, 2 * id as id from ag union all select sample_id, 2 * id + 1 from ap)
- select sample_id, id from every e where not exists (select 1 from riou i where i.sample_id = e.sample_id and 2 * i.gt = e.id and iou >= 0.7)""",
+ select sample_id, id from every e where not exists (select 1 from riou i where i.sample_id = e.sample_id and 2 * i.gt = e.id and iou >= 0.69)""",
     "predict_areas": f"""{W('fx_raster', 'fx_point')}, {SCAN}, env as (select sample_id, feature_id, min(px + pt) as rx0, min(py) as ry0, max(px + pt) as rx1, max(py + 15 + feature_id % 40) as ry1, avg(px + pt) as mx, avg(py + (15 + feature_id % 40) / 2) as my from fx_point group by all having count(*) >= 2),
  said as (select s.sample_id, s.tile_index, e.feature_id, mx >= keep_x0 and mx < keep_x1 and my >= keep_y0 and my < keep_y1 as kept from scan s join env e on e.sample_id = s.sample_id and {HIT}),
  a as (select s.sample_id, s.tile_index, s.tile_index % 5 <> 3 as ok, count(d.feature_id) filter (where s.tile_index % 5 <> 3) as n, count(*) filter (where d.kept and s.tile_index % 5 <> 3) as k from scan s left join said d on d.sample_id = s.sample_id and d.tile_index = s.tile_index group by all)
@@ -126,7 +126,11 @@ SQL = {
  select sample_id, '{{"Id":"L' || feature_id || '"}}' as props, n + (n_parts - 1) * (n - 1) as n_points, n_parts from k join ln using (sample_id, feature_id)""",
     "geojson_roundtrip": f"""{W('fx_point')}, g as (select sample_id, feature_id, pt, sqrt(pow(px - lag(px) over w, 2) + pow(py - lag(py) over w, 2)) as d from fx_point window w as (partition by sample_id, feature_id order by pt))
  select sample_id, 'L' || feature_id as id, count(*) as n_points, round(sum(coalesce(d, 0)), 3) + 0.0 as length from g group by sample_id, feature_id having count(*) >= 2""",
-    "grammar_mask": f"{W('fx_point')}, {_LINES} select sample_id, feature_id, 'end' as state from ln",
+    "grammar_mask": f"""{W('fx_point')}, {_LINES} select sample_id, feature_id, case feature_id % 6 when 5 then 'invalid:start' when 2 then 'invalid:geometry' when 3 then 'invalid:point_y'
+ else case when n < 6 then 'invalid:point' when feature_id % 6 = 0 then 'end' when feature_id % 6 = 1 then 'map' else 'invalid:closing' end end as state from ln""",
+    "chosen_tokens": f"""{W('fx_point')}, r as (select user_id, grp, pt as token, ((px * 7919 + py * 104729) % 1000 - 500)::double as score, px % 3 > 0 as ok from fx_point), q as (select *, case when token % 2 = 1 then score when score > 0 then score / 2 else score * 2 end as s, bool_or(ok) over (partition by user_id, grp) as any_ok from r)
+ select user_id, grp, arg_min(token, (-s, token)) as token from q where ok or not any_ok group by all""",
+    "token_limits": "with t as (select event_id, case when event_id % 3 = 0 then greatest(1, 4096 - user_id * 40 - 1) else event_id % 3 * 256 end as most, greatest(event_id % 11 - 2, 0) as l from events) select event_id, most, least(l, most) as least from t",
     "token_codec_roundtrip": f"""{W('fx_point')}, {MOD}, it as (select sample_id, feature_id, n, max(case when i = 0 then y end) as ay, max(case when i = 0 then x end) as ax, max(case when i = n - 1 then y end) as zy, max(case when i = n - 1 then x end) as zx, '{{"Id":"L' || feature_id || '"}}' as p from canon group by all)
  select sample_id, count(*) as n_items, true as saw_object, arg_min(p, (ay, ax, zy, zx, n, p)) as first_props from it group by 1""",
 }

@@ -374,8 +374,31 @@ def grammar_mask(s, d):
 
     lines = _mod_lines(s, d).withColumn("cut_start", F.lit(False)).withColumn("cut_end", F.lit(False))
     t = pieces.targets(lines, 256).withColumn("props", F.lit("{}"))
+    ids, n = F.col("ids"), F.size("ids")
+    # in turns: whole; without its end; with the end inside; a point without its second coordinate; a source where an object's end belongs; bytes first
+    forms = [ids, F.slice(ids, F.lit(1), n - 1), F.concat(F.slice(ids, 1, 3), F.array(F.lit(tokens.EOS)), F.slice(ids, F.lit(4), n - 3)), F.concat(F.slice(ids, 1, 8), F.slice(ids, F.lit(10), n - 9)), F.concat(F.slice(ids, F.lit(1), n - 2), F.slice(ids, 4, 1)), F.concat(F.array(F.lit(65)), ids)]
+    form = F.lit(None).cast("array<int>")
+    for k, f in enumerate(forms):
+        form = F.when(F.col("feature_id") % len(forms) == k, f).otherwise(form)
     coded = tokens.encode_items(t, ["sample_id", "feature_id"], 256, 640)
-    return coded.select("sample_id", "feature_id", tokens.grammar_state("ids", "linestring", 2, 640).alias("state"))
+    return coded.select("sample_id", "feature_id", tokens.grammar_state(form, "linestring", 6, 640).alias("state"))
+
+
+def chosen_tokens(s, d):
+    """The best token of each walk's points after a penalty on what was said and what may follow."""
+    from ..operators import tokens
+
+    p = view(s, d, "fx_point").select("user_id", "grp", F.col("pt").alias("token"), ((F.col("px") * 7919 + F.col("py") * 104729) % 1000 - 500).cast("double").alias("score"), (F.col("px") % 3 > 0).alias("allowed"))
+    said = p.where("token % 2 = 0").select("user_id", "grp", "token")
+    return tokens.chosen(p, ["user_id", "grp"], said=said, penalty=2.0)
+
+
+def token_limits(s, d):
+    from ..operators import tokens
+
+    e = s.read.parquet(f"{d}/events.parquet")
+    most, least = tokens.limits((F.col("event_id") % 3 * 256).cast("long"), F.col("event_id") % 11 - 2, F.col("user_id") * 40)
+    return e.select("event_id", most.cast("long").alias("most"), least.cast("long").alias("least"))
 
 
 def geojson_roundtrip(s, d):
@@ -417,7 +440,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         mask_inside_ratio, line_mask_islands, affine_world, utm_roundtrip, letterbox_uv, quantise_bins, resample_polyline, boundary_side, canonical_line, canonical_ring, anchors, target_items,
         line_clip_bbox, cut_flags, hausdorff_pairs, greedy_match, lane_metrics, polygon_iou, polygon_iou_kernel, polygon_clip, polygon_metrics, dedup_nms, finite_mean, parse_rate, parse_success_rate,
         batch_plan, batch_counts, lr_schedule, shift_accuracy, running_best, weighted_loss, export_cap, capped_pieces, cache_key, prompt_meta, json_recover, canonical_props, props_equal,
-        augment_square, feature_replicas, round_robin, token_codec_roundtrip, grammar_mask, geojson_roundtrip, tiled_replay_predict,
+        augment_square, feature_replicas, round_robin, token_codec_roundtrip, grammar_mask, chosen_tokens, token_limits, geojson_roundtrip, tiled_replay_predict,
     )
     from .more import QUERIES
 
