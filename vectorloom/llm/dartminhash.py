@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -150,14 +151,15 @@ class Measure:
 SHINGLES = Measure(_shingled, likeness, _coded, lambda t: t)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, measure: Measure = SHINGLES) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, space: Workspace, measure: Measure = SHINGLES) -> DataFrame:
     """(a, b, likeness) for pairs (a, b) of documents ``docs`` (id, h, text). ``names`` (id, h): which of an id's texts stands for it; rows that repeat it with the same text count once."""
     full = pairs.select("a", "b")
     for c in ("b", "a"):
         hot = hot_keys(pairs.groupBy(c).agg(F.count("*").alias("n")), [c])
         full = join_one(full, names.select(F.col("id").alias(c), F.col("h").alias(f"h_{c}")), [c], hot, by=["a", "b"])
+    full = named = space.written(full, f"named-{uuid.uuid4().hex}")
     for c in ("b", "a"):
-        hot = hot_keys(full.groupBy(c, f"h_{c}").agg(F.count("*").alias("n")), [c, f"h_{c}"])
+        hot = hot_keys(named.groupBy(c, f"h_{c}").agg(F.count("*").alias("n")), [c, f"h_{c}"])
         full = join_one(full, docs.select(F.col("id").alias(c), F.col("h").alias(f"h_{c}"), F.col("text").alias(f"text_{c}")), [c, f"h_{c}"], hot, by=["a", "b"])
     full = full.select("a", "b", "text_a", "text_b")
 
@@ -205,7 +207,7 @@ def joined(reps: DataFrame, docs: DataFrame, threshold: float, space: Workspace,
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "h", "text")
     wanted = space.written(pairs.union(star).distinct(), "pairs")
     space.release()
-    done = space.written(verified(wanted, texts, names, measure), "verified")
+    done = space.written(verified(wanted, texts, names, space, measure), "verified")
     space.release()
     near = done.where(F.col("likeness") >= threshold).select("a", "b")
     # large buckets whose texts the pivots have not joined into one class
@@ -220,13 +222,13 @@ def joined(reps: DataFrame, docs: DataFrame, threshold: float, space: Workspace,
     # the likeliest partner of a text in each other class goes first; then only pairs whose classes are still two
     ends = maybe.select("a", "b", F.col("a").alias("me"), F.col("label_b").alias("other"), "shared").union(maybe.select("a", "b", "b", "label_a", "shared"))
     best = ends.groupBy("me", "other").agg(F.max(F.struct("shared", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-    tried = space.written(_joined(best, maybe, texts, names, threshold, measure), "tried")
+    tried = space.written(_joined(best, maybe, texts, names, threshold, space, measure), "tried")
     met = components(tried.where("near").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")), space, "second")
     now = lambda c: met.select(F.col("id").alias(f"label_{c}"), F.col("label").alias(f"now_{c}"))
     rest = maybe.join(now("a"), "label_a", "left").join(now("b"), "label_b", "left").where(F.coalesce("now_a", "label_a") != F.coalesce("now_b", "label_b"))
     rest = space.written(rest.select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     space.release()
-    found = space.written(_joined(rest, maybe, texts, names, threshold, measure), "found")
+    found = space.written(_joined(rest, maybe, texts, names, threshold, space, measure), "found")
     space.release()
     # one edge for each two classes says as much as all links between them
     edges = tried.union(found).where("near").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct()
@@ -236,9 +238,9 @@ def joined(reps: DataFrame, docs: DataFrame, threshold: float, space: Workspace,
     return every.join(last, F.col("label") == F.col("old"), "left").select("id", F.coalesce("new", "label").alias("label"))
 
 
-def _joined(pairs: DataFrame, known: DataFrame, texts: DataFrame, names: DataFrame, threshold: float, measure: Measure) -> DataFrame:
+def _joined(pairs: DataFrame, known: DataFrame, texts: DataFrame, names: DataFrame, threshold: float, space: Workspace, measure: Measure) -> DataFrame:
     """a, b, label_a, label_b of ``pairs``, and whether they are near."""
-    done = verified(pairs, texts, names, measure).groupBy("a", "b").agg((F.max("likeness") >= threshold).alias("near"))
+    done = verified(pairs, texts, names, space, measure).groupBy("a", "b").agg((F.max("likeness") >= threshold).alias("near"))
     return done.join(known, ["a", "b"]).select("a", "b", "label_a", "label_b", "near")
 
 
@@ -257,8 +259,9 @@ def crossing(left: DataFrame, texts: DataFrame, names: DataFrame, threshold: flo
     rows = left.join(names.withColumnRenamed("id", "rep"), "rep").join(texts.withColumnRenamed("id", "rep"), ["rep", "h"]).dropDuplicates(["rep"])
     listed = space.written(arrow_map(rows, {c: c for c in ("rep", "h", "label", "text")}, "rep long, h long, label long, n int, tokens array<long>", tokens), "tokens")
     each = listed.select("rep", "h", "label", "n", F.explode("tokens").alias("token"))
-    often = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = join_one(each, often, ["token"], hot_keys(often, ["token"], "df"), by=["rep", "token"]).groupBy("rep", "h", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("all"))
+    often = space.written(each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "often")
+    common = space.written(hot_keys(often, ["token"], "df"), "common")
+    shared = join_one(each, often, ["token"], common, by=["rep", "token"]).groupBy("rep", "h", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("all"))
     # tokens that no other text has come before these
     shared = shared.withColumn("own", F.col("n") - F.size("all")).withColumn("probe", F.expr(f"int(n - ceil({t}D * n - 1e-9D) + 1)"))
     spread = shared.select("rep", "label", "n", "own", F.posexplode(F.expr("slice(all, 1, greatest(probe - own, 0))")).alias("k", "s"))
@@ -266,7 +269,7 @@ def crossing(left: DataFrame, texts: DataFrame, names: DataFrame, threshold: flo
     places = space.written(at, "places")
     space.release()
     labels = places.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    busy = hot_keys(places.groupBy("token").agg(F.count("*").alias("n")), ["token"])
+    busy = space.written(hot_keys(places.groupBy("token").agg(F.count("*").alias("n")), ["token"]), "busy")
     mixed = space.written(join_one(places, labels.select("token", "main"), ["token"], busy, by=["rep", "token"]), "mixed")
     x, y = mixed.where("label <> main").alias("x"), mixed.alias("y")
     meet = F.expr(f"""x.token = y.token and x.label <> y.label and (x.n <= y.n and x.first or y.n <= x.n and y.first)
