@@ -187,3 +187,41 @@ def test_tables(spark, tmp_path):
     assert tuple(tables.cache_counts(spark.range(9).toDF("k"), spark.read.parquet(path), "k").first()) == (9, 5, 4)
     tables.append_metrics(spark.createDataFrame([(1, 0.5)], "epoch long, train_loss double"), str(tmp_path / "m"))
     assert tables.read_metrics(spark, str(tmp_path / "m")).first()["train_loss"] == 0.5
+
+
+def test_block_source(spark, tmp_path):
+    """Blocks are planned into partitions, filters reach the plan, a window reads only its blocks, and windows come out whole."""
+    from vectorloom.sources import rasters
+
+    r = np.random.default_rng(2)
+    images = {f"{n}.tif": r.integers(0, 255, (400, 300, 3)).astype(np.uint8) for n in "ab"}
+    for name, px in images.items():
+        (tmp_path / name).write_bytes(write_tiff(px, rows=8))
+    (tmp_path / "notes.txt").write_text("no raster")
+    # in this process, where reads can be counted
+    reader = rasters.GeoTiffReader({"path": str(tmp_path), "bands": "1,2,3", "partitionBytes": "60000"})
+    rest = list(reader.pushFilters([rasters.LessThan(("y0",), 216), rasters.GreaterThan(("y1",), 200), rasters.EqualTo(("path",), str(tmp_path / "a.tif")), rasters.EqualTo(("block",), 3)]))
+    assert [f.attribute for f in rest] == [("block",)]
+    parts = reader.partitions()
+    assert [p.path for p in parts] == [str(tmp_path / "a.tif")] and [b[0] for b in parts[0].blocks] == [25, 26]
+    opened = []
+    ranges = rasters.Ranges
+    try:
+        rasters.Ranges = lambda path: opened.append(ranges(path)) or opened[-1]
+        assert len(list(reader.read(parts[0]))) == 2
+    finally:
+        rasters.Ranges = ranges
+    assert opened[0].fetched <= rasters.HEAD + 2 * 8 * 300 * 3 < 400 * 300 * 3
+    whole = rasters.GeoTiffReader({"path": str(tmp_path), "partitionBytes": "60000"}).partitions()
+    assert len(whole) > 10 and sum(len(p.blocks) for p in whole) == 100
+    # as Spark reads it
+    spark.dataSource.register(rasters.GeoTiff)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    df = spark.read.format("geotiff").option("bands", "3,1").option("partitionBytes", "60000").load(str(tmp_path))
+    assert df.count() == 100 and df.where("y0 < 16").count() == 4 and df.where("block = 3 and y0 < 100").count() == 2
+    boxes = [(str(tmp_path / n), k, *b) for n in images for k, b in enumerate([(0, 0, 300, 400), (17, 5, 60, 77), (299, 399, 300, 400)])]
+    tiles = spark.createDataFrame(boxes, "path string, tile_index long, x0 long, y0 long, x1 long, y1 long")
+    got = {(g["path"], g["tile_index"]): np.frombuffer(g["pixels"], "<f4").reshape(g["height"], g["width"], 2) for g in rasters.windows(df, tiles, 2).collect()}
+    assert len(got) == 6
+    for path, k, x0, y0, x1, y1 in boxes:
+        assert (got[path, k] == images[path.split("/")[-1]][y0:y1, x0:x1][:, :, [2, 0]]).all()

@@ -12,6 +12,19 @@ def task_prompt(meta: Column, example: Column, base: Column, rule: Column, has_s
     return F.concat_ws(" ", full(meta), full(example), full(base), full(rule), F.when(has_state, "Continue the features in the state."))
 
 
+#: How a prompt ends with and without state, unless the configuration says otherwise.
+WITH_STATE, WITHOUT_STATE = "Anchors of features that earlier patches cut follow; write down only what goes on here.", "No earlier patch has cut features of this one."
+
+
+def configured(task, config: dict, meta: Column, has_state: Column) -> Column:
+    """A task's prompt as the ``prompt`` section of a configuration wants it: the place (unless ``include_geospatial_context`` is off), the task's own text, and the suffix for tiles with and without state. ``task``: a ``config.Task``."""
+    section = config.get("prompt", {})
+    on = str(section.get("include_geospatial_context", True)).strip().lower() in ("true", "1", "yes", "on")
+    ends = F.when(has_state, str(section.get("with_state_suffix", WITH_STATE)).strip()).otherwise(str(section.get("without_state_suffix", WITHOUT_STATE)).strip())
+    full = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return F.concat_ws(" ", full(meta) if on else F.lit(None).cast("string"), full(F.lit(task.prompt)), full(ends))
+
+
 def anchor_lines(items: Column) -> Column:
     """``idx=000 side=left points=..`` for each of an array of anchors (side, line)."""
     place = lambda p: F.concat(F.format_string("%.1f", p["x"]), F.lit(","), F.format_string("%.1f", p["y"]))

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,12 +109,74 @@ def padded(rows: DataFrame, key: list[str], tokens: str, pad: int) -> DataFrame:
     return rows.withColumn("padded", F.concat(F.col(tokens), fill(pad))).withColumn("mask", F.concat(F.transform(F.col(tokens), lambda _: F.lit(1)), fill(0)))
 
 
-def memory_risk(runs: DataFrame, rules: list[tuple[str, Column, int]], advice: dict[str, str] | None = None) -> DataFrame:
-    """``runs`` with score (sum of the points of the rules that hold), level (low, medium from 6, high from 10), reasons, and suggestions: the advice on each reason, each once, in the rules' order."""
-    score = sum((F.when(test, points).otherwise(0) for _, test, points in rules), F.lit(0))
-    held = lambda value: F.filter(F.array(*(F.when(test, F.lit(value(name))) for name, test, _ in rules)), lambda x: x.isNotNull())
-    out = runs.withColumn("score", score).withColumn("level", F.when(F.col("score") >= 10, "high").when(F.col("score") >= 6, "medium").otherwise("low"))
-    return out.withColumn("reasons", held(lambda n: n)).withColumn("suggestions", F.array_distinct(held(lambda n: (advice or {}).get(n))))
+@dataclass(frozen=True)
+class Rule:
+    """A step of a setting that costs memory: the setting's column, the test, its points, how the reason ends (None: with the setting's value), and advice."""
+
+    setting: str
+    test: Callable[[Column], Column]
+    points: int | Callable[[Column], Column]
+    told: str | None = None
+    advice: str | None = None
+    name: str | None = None
+
+
+def _steps(setting: str, *steps: tuple, name: str | None = None) -> list[Rule]:
+    """Rules of one setting of which at most one holds: the first whose test does."""
+    out, before = [], []
+    for test, *rest in steps:
+        out.append(Rule(setting, (lambda test, earlier: lambda c: test(c) & ~reduce(lambda x, y: x | y(c), earlier, F.lit(False)))(test, tuple(before)), *rest, name=name))
+        before.append(test)
+    return out
+
+
+def _over(n: int) -> Callable[[Column], Column]:
+    return lambda c: c > n
+
+
+def _from(n: int) -> Callable[[Column], Column]:
+    return lambda c: c >= n
+
+
+def _is(value) -> Callable[[Column], Column]:
+    return lambda c: c == value
+
+
+# Settings, thresholds, points and wording of the risk table.
+RISKS = [
+    *_steps("llm_train_mode", (_is("full"), 5, None, "switch to LoRA if possible"), (_is("lora"), 1)),
+    *_steps("image_size", (_from(448), 3, None, "reduce image_size to 336 or 288"), (_from(384), 2), (_from(336), 1)),
+    *_steps("target_max_tokens", (_is(0), 3, "unlimited", "set target_max_tokens to 1024 or lower"), (_over(1024), 2)),
+    *_steps("state_max_tokens", (_is(0), 2, "unlimited", "set state_max_tokens to 512 or lower"), (_over(512), 1)),
+    *_steps("prompt_max_tokens", (_is(0), 1, "unlimited")),
+    *_steps("lane_max_features", (_is(0), 1, "unlimited", "cap lane.max_features"), (_over(64), 1), name="lane.max_features"),
+    *_steps("intersection_max_features", (_is(0), 1, "unlimited", "cap intersection.max_features"), (_over(32), 1), name="intersection.max_features"),
+    *_steps("state_max_features", (_over(16), 1), name="state_update.max_features"),
+    *_steps("batch_size", (_over(1), lambda c: F.greatest(F.lit(2), c), None, "keep batch_size at 1")),
+    *_steps("amp", (_is(False), 2, "false", "enable amp")),
+    *_steps("gradient_checkpointing", (_is(False), 2, "false", "enable gradient checkpointing")),
+]
+LEVELS = {"high": 10, "medium": 6}
+
+
+def memory_risk(runs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """``runs`` (a column for each setting that the rules name) with score, the sum of the points of the rules that hold; level; reasons; and suggestions: the advice on each reason, each once, in the rules' order. Settings that are null count as 0, false or no mode."""
+    rules = RISKS if rules is None else rules
+    zero = {"string": "", "boolean": False}
+    value = lambda r: F.coalesce(F.lower(F.trim(r.setting)) if runs.schema[r.setting].dataType.typeName() == "string" else F.col(r.setting), F.lit(zero.get(runs.schema[r.setting].dataType.typeName(), 0)))
+    points = lambda r: r.points(value(r)) if callable(r.points) else F.lit(r.points)
+    held = lambda of: F.filter(F.array(*(F.when(r.test(value(r)), of(r)) for r in rules)), lambda x: x.isNotNull())
+    reason = lambda r: F.concat(F.lit(f"{r.name or r.setting}="), value(r).cast("string") if r.told is None else F.lit(r.told))
+    out = runs.withColumn("score", reduce(lambda x, y: x + y, (F.when(r.test(value(r)), points(r)).otherwise(0) for r in rules), F.lit(0)).cast("long"))
+    level = F.lit("low")
+    for name, least in sorted(LEVELS.items(), key=lambda x: x[1]):
+        level = F.when(F.col("score") >= least, name).otherwise(level)
+    return out.withColumn("level", level).withColumn("reasons", held(reason)).withColumn("suggestions", F.array_distinct(held(lambda r: F.lit(r.advice).cast("string"))))
+
+
+def in_batches(items: DataFrame, size: int, numbers: list[int]) -> DataFrame:
+    """The items of some of each sample's batches."""
+    return batches(items, size).where(F.col("batch").isin(numbers))
 
 
 def parameter_summary(parameters: DataFrame) -> DataFrame:

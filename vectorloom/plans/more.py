@@ -272,18 +272,32 @@ def feature_collections(s, d):
     return _event_texts(s, d, *forms).select("event_id", P.collection(F.col("text"), "Lane").alias("found"))
 
 
+def _spoilt(s, d, *marks: str) -> DataFrame:
+    """Events as JSON of their own fields, then spoilt in turns: single quotes, a comma too many, marks of another script, no braces, cut off."""
+    e = s.read.parquet(f"{d}/events.parquet")
+    text = F.concat(F.lit('{"u": '), F.col("user_id").cast("string"), F.lit(', "t": "'), F.col("event_type"), F.lit('", "n": ['), (F.col("event_id") % 10).cast("string"), F.lit("]}"))
+    turn = F.col("event_id") % 6
+    wide = text
+    for a, b in zip(marks[::2], marks[1::2], strict=True):
+        wide = F.replace(wide, F.lit(a), F.lit(b))
+    spoilt = F.when(turn == 0, text).when(turn == 1, F.replace(text, F.lit('"'), F.lit("'"))).when(turn == 2, F.replace(text, F.lit("]}"), F.lit(" , ], }"))).when(turn == 3, wide)
+    return e.select("event_id", spoilt.when(turn == 4, F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(F.substring(text, F.lit(1), F.length(text) - 4)).alias("text"))
+
+
 def parsed_props(s, d):
-    forms = ('{"b": %d, "a": 1}', "{'b': %d, 'a': TRUE, 'c': null,}", '{"b"：%d，}', "b is %d", "")
-    return _event_texts(s, d, *forms).select("event_id", P.parse_udf("text").alias("props"))
+    return _spoilt(s, d, ":", "：", ",", "，").select("event_id", P.parse_udf("text").alias("props"))
 
 
 def relaxed_props(s, d):
-    forms = ('“b”：%d；“a”：1', "{‘b’：%d，}", '"b": %d', "b is %d")
-    return _event_texts(s, d, *forms).select("event_id", P.parse_relaxed_udf("text").alias("props"))
+    return _spoilt(s, d, ":", "：", ",", "；", '"', "“").select("event_id", P.parse_relaxed_udf("text").alias("props"))
 
 
 def truth_flags(s, d):
-    return _event_texts(s, d, " Yes", "0", "", "off", "maybe%d").select("event_id", P.truth(F.col("text"), False).alias("a"), P.truth(F.col("text"), True).alias("b"))
+    """Flags from words of the events' types and numbers: what is no flag takes the default."""
+    e = s.read.parquet(f"{d}/events.parquet")
+    word = F.element_at(F.array(*(F.lit(w) for w in ("yes", "no", "on", "off", "true", "false", "1", "0", ""))), (F.col("event_id") % 9 + 1).cast("int"))
+    text = F.when(F.col("user_id") % 4 == 0, F.upper(word)).when(F.col("user_id") % 4 == 1, F.concat(F.lit(" "), word)).when(F.col("user_id") % 4 == 2, F.col("event_type")).otherwise((F.col("event_id") % 3).cast("string"))
+    return e.select("event_id", P.truth(text, False).alias("a"), P.truth(text, True).alias("b"))
 
 
 def task_prompts(s, d):
@@ -315,11 +329,32 @@ def cut_counts(s, d):
 
 
 def memory_risks(s, d):
-    e = s.read.parquet(f"{d}/events.parquet").select("event_id", (F.col("user_id") % 10).alias("batch"), (F.col("event_id") % 7).alias("depth"), (F.col("event_id") % 3).alias("mode"))
-    rules = [("large batch", F.col("batch") >= 5, 4), ("deep", F.col("depth") >= 3, 3), ("full tuning", F.col("mode") == 0, 5)]
-    advice = {"large batch": "use smaller batches", "deep": "use fewer layers", "full tuning": "use smaller batches"}
-    out = metrics.memory_risk(e, rules, advice)
-    return out.select("event_id", F.col("score").cast("long").alias("score"), "level", F.array_join("reasons", ";").alias("reasons"), F.array_join("suggestions", ";").alias("suggestions"))
+    """Runs with settings from parts' attributes, by the risk table."""
+    p, k = s.read.parquet(f"{d}/part.parquet"), F.col("p_partkey")
+    mode = F.when(k % 3 == 0, "full").when(k % 3 == 1, " LoRA").otherwise("frozen")
+    runs = p.select(
+        k, mode.alias("llm_train_mode"), (F.col("p_size") * 10).alias("image_size"), (k % 4 * 512).alias("target_max_tokens"), (F.col("p_size") % 3 * 400).alias("state_max_tokens"), (k % 2 * 128).alias("prompt_max_tokens"), (k % 5 * 30).alias("lane_max_features"),
+        (F.col("p_size") % 4 * 15).alias("intersection_max_features"), (k % 7 * 4).alias("state_max_features"), (F.col("p_size") % 4).alias("batch_size"), (k % 2 == 0).alias("amp"), (F.col("p_retailprice") > 1400).alias("gradient_checkpointing"),
+    )
+    out = metrics.memory_risk(runs)
+    return out.select("p_partkey", "score", "level", F.array_join("reasons", ";").alias("reasons"), F.array_join("suggestions", ";").alias("suggestions"))
+
+
+def subset_batches(s, d):
+    """The items of each sample's second and fourth batch."""
+    items = _envelopes(s, d).select("sample_id", (F.col("feature_id") % 50).alias("tile_index"), F.lit(0).alias("task_order"), F.col("feature_id").alias("idx"))
+    return metrics.in_batches(items, 16, [1, 3]).select("sample_id", "idx", "batch", "place")
+
+
+def configured_prompts(s, d):
+    """Prompts of the default tasks from a configuration."""
+    from ..sources import config
+
+    lane, crossing = config.DEFAULT_TASKS
+    c = {"prompt": {"with_state_suffix": " Go on. ", "include_geospatial_context": True}}
+    t = _scan(s, d)
+    state, meta = F.col("has_left") | F.col("has_top"), F.concat(F.lit("Place "), F.col("x0").cast("string"))
+    return t.select("sample_id", "tile_index", prompts.configured(lane, c, meta, state).alias("lane"), prompts.configured(crossing, {"prompt": {"include_geospatial_context": "no"}}, meta, state).alias("crossing"))
 
 
 def parameter_summary(s, d):
@@ -367,5 +402,5 @@ def sample_dirs(s, d):
 QUERIES = (
     clamped_points, canonical_line_lex, sorted_features, expanded_boxes, rings_equal, world_geometries, mixed_crs, shifted_lines, grid_offsets, any_vertex_inside, stage_tiles, prediction_tiles, feature_strip_join,
     prepare_features, prepare_state, prepare_polygons, ring_iou, ring_metrics, ring_report, ring_dedup, predict_areas, ring_targets, items_from_uv, dedup_lines, predict_replay, collect_state, evaluate, evaluate_report, feature_collections, parsed_props, relaxed_props, truth_flags,
-    task_prompts, state_texts, target_texts, raw_dumps, cut_counts, memory_risks, parameter_summary, stitched_counts, grouped_indices, best_tokens, truncated_tokens, prediction_audit, sample_dirs,
+    task_prompts, state_texts, target_texts, raw_dumps, cut_counts, memory_risks, subset_batches, configured_prompts, parameter_summary, stitched_counts, grouped_indices, best_tokens, truncated_tokens, prediction_audit, sample_dirs,
 )

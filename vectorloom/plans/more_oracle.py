@@ -15,6 +15,10 @@ def _turns(*values: str) -> str:
 _CRS = '{"type":"name","properties":{"name":"urn:ogc:def:crs:OGC:1.3:CRS84"}}'
 _EVENT = "(select *, cast(user_id as varchar) as u from events)"
 
+#: What is meant by each spoilt text, and the two forms that stay text.
+_SPOILT = """with f as (select event_id, event_id % 6 as turn, '{"n":[' || event_id % 10 || '],"t":"' || event_type || '","u":' || user_id || '}' as right_form,
+ '"u": ' || user_id || ', "t": "' || event_type || '", "n": [' || event_id % 10 || ']' as inner_text, '{"u": ' || user_id || ', "t": "' || event_type || '", "n":' as cut from events)"""
+
 #: Tiles along one axis of a region.
 _REGION = """m as (select * from fx_review), bx as (select sample_id, min(x0) as b0, min(y0) as b1, max(x1) as b2, max(y1) as b3 from m group by 1),
 reg as (select r.sample_id, cast(width as bigint) as width, cast(height as bigint) as height, coalesce(greatest(0, b0 - 32), 0) as rx0, coalesce(greatest(0, b1 - 32), 0) as ry0, coalesce(least(width, b2 + 32), width) as rx1, coalesce(least(height, b3 + 32), height) as ry1 from fx_raster r left join bx using (sample_id)),
@@ -100,9 +104,10 @@ SQL = {
  union all select 'pred_count', pc from w union all select 'gt_count', gc from w union all select 'unmatched_pred', pc - k from w union all select 'unmatched_gt', gc - k from w union all select 'parse_success_rate', coalesce(rate, 0.0) from w)
  select name, round(avg(cast(v as double)), 4) + 0.0 as mean from u where v is not null group by 1""",
     "feature_collections": f"""select event_id, {_turns(f"""'{{"name":"Lane","crs":{_CRS},"features":[{{"k":' || u || '}}],"type":"FeatureCollection"}}'""", f"""'{{"type":"FeatureCollection","name":"Lane","crs":{_CRS},"features":[{{"properties":{{"k":' || u || '}},"type":"Feature"}}]}}'""", f"""'{{"type":"FeatureCollection","name":"N","crs":{_CRS},"features":[' || u || ']}}'""", "null", "null")} as found from {_EVENT}""",
-    "parsed_props": f"""select event_id, {_turns("'{\"a\":1,\"b\":' || u || '}'", "'{\"a\":true,\"b\":' || u || ',\"c\":null}'", "'{\"b\":' || u || '}'", "'{\"_raw_text\":\"b is ' || u || '\"}'", "'{}'")} as props from {_EVENT}""",
-    "relaxed_props": f"""select event_id, {_turns("'{\"a\":1,\"b\":' || u || '}'", "'{\"b\":' || u || '}'", "'{\"b\":' || u || '}'", "'{\"_raw_text\":\"b is ' || u || '\"}'")} as props from {_EVENT}""",
-    "truth_flags": f"select event_id, {_turns('true', 'false', 'false', 'false', 'false')} as a, {_turns('true', 'false', 'false', 'false', 'true')} as b from events",
+    "parsed_props": f"""{_SPOILT} select event_id, case turn when 4 then '{{"_raw_text":' || cast(to_json(inner_text) as varchar) || '}}' when 5 then '{{"_raw_text":' || cast(to_json(cut) as varchar) || '}}' else right_form end as props from f""",
+    "relaxed_props": f"""{_SPOILT} select event_id, case when turn = 5 then '{{"_raw_text":' || cast(to_json(cut) as varchar) || '}}' else right_form end as props from f""",
+    "truth_flags": """with w as (select event_id, list_extract(['yes', 'no', 'on', 'off', 'true', 'false', '1', '0', ''], event_id % 9 + 1) as word, user_id % 4 as k, event_id % 3 as n from events),
+ v as (select event_id, case when k < 2 then case when word in ('yes', 'on', 'true', '1') then true else false end when k = 3 then case n when 1 then true when 0 then false end end as v from w) select event_id, coalesce(v, false) as a, coalesce(v, true) as b from v""",
     "task_prompts": f"{W('fx_raster')}, {SCAN} select sample_id, tile_index, 'GeoMeta ' || x0 || ' Find lanes. Write JSON.' || case when has_left or has_top then ' Continue the features in the state.' else '' end as prompt from scan",
     "state_texts": f"""{W('fx_point')}, {ENV} select sample_id, feature_id, case when feature_id % 3 = 0 then 'State none' else 'State anchors=1' || chr(10) || 'idx=000 side=' || case when feature_id % 2 = 0 then 'left' else 'top' end || ' points=' || rx0 || '.0,' || ry0 || '.0;' || rx1 || '.0,' || ry1 || '.0' || chr(10) || 'StateGeoJSON {{}}' end as text from env""",
     "target_texts": f"""{W('fx_point')}, {MOD}, e as (select sample_id, feature_id, max(case when i = 0 then side end) as a, max(case when i = n - 1 then side end) as z from canon group by all),
@@ -111,9 +116,22 @@ SQL = {
     "cut_counts": f"""{W('fx_point')}, {MOD}, e as (select sample_id, feature_id, max(case when i = 0 then side end) as a, max(case when i = n - 1 then side end) as z from canon group by all)
  select sample_id, count(*) as n, count(*) filter (where a <> 'none' or feature_id % 3 = 0) as n_in, count(*) filter (where z <> 'none' or feature_id % 2 = 0) as n_out from e group by 1""",
     "raw_dumps": f"{W('fx_raster')}, {SCAN} select sample_id, string_agg(printf('[tile %04d]', tile_index) || chr(10) || case when tile_index % 4 > 0 then 't' || x0 else '' end, chr(10) order by tile_index) as dump from scan group by 1",
-    "memory_risks": """with e as (select event_id, user_id % 10 >= 5 as a, event_id % 7 >= 3 as b, event_id % 3 = 0 as c from events), s as (select *, case when a then 4 else 0 end + case when b then 3 else 0 end + case when c then 5 else 0 end as score from e)
- select event_id, score, case when score >= 10 then 'high' when score >= 6 then 'medium' else 'low' end as level, concat_ws(';', case when a then 'large batch' end, case when b then 'deep' end, case when c then 'full tuning' end) as reasons,
- concat_ws(';', case when a then 'use smaller batches' end, case when b then 'use fewer layers' end, case when c and not a then 'use smaller batches' end) as suggestions from s""",
+    "memory_risks": """with r as (select p_partkey, p_partkey % 3 as mode, p_size * 10 as image, p_partkey % 4 * 512 as target, p_size % 3 * 400 as state, p_partkey % 2 * 128 as prompt, p_partkey % 5 * 30 as lane, p_size % 4 * 15 as crossing, p_partkey % 7 * 4 as memory, p_size % 4 as batch, p_partkey % 2 = 0 as amp, p_retailprice > 1400 as ckpt from part),
+ x as (select *, [
+  case mode when 0 then {'p': 5, 'r': 'llm_train_mode=full', 'a': 'switch to LoRA if possible'} when 1 then {'p': 1, 'r': 'llm_train_mode=lora', 'a': null} end,
+  case when image >= 448 then {'p': 3, 'r': 'image_size=' || image, 'a': 'reduce image_size to 336 or 288'} when image >= 384 then {'p': 2, 'r': 'image_size=' || image, 'a': null} when image >= 336 then {'p': 1, 'r': 'image_size=' || image, 'a': null} end,
+  case when target = 0 then {'p': 3, 'r': 'target_max_tokens=unlimited', 'a': 'set target_max_tokens to 1024 or lower'} when target > 1024 then {'p': 2, 'r': 'target_max_tokens=' || target, 'a': null} end,
+  case when state = 0 then {'p': 2, 'r': 'state_max_tokens=unlimited', 'a': 'set state_max_tokens to 512 or lower'} when state > 512 then {'p': 1, 'r': 'state_max_tokens=' || state, 'a': null} end,
+  case when prompt = 0 then {'p': 1, 'r': 'prompt_max_tokens=unlimited', 'a': null} end,
+  case when lane = 0 then {'p': 1, 'r': 'lane.max_features=unlimited', 'a': 'cap lane.max_features'} when lane > 64 then {'p': 1, 'r': 'lane.max_features=' || lane, 'a': null} end,
+  case when crossing = 0 then {'p': 1, 'r': 'intersection.max_features=unlimited', 'a': 'cap intersection.max_features'} when crossing > 32 then {'p': 1, 'r': 'intersection.max_features=' || crossing, 'a': null} end,
+  case when memory > 16 then {'p': 1, 'r': 'state_update.max_features=' || memory, 'a': null} end, case when batch > 1 then {'p': greatest(2, batch), 'r': 'batch_size=' || batch, 'a': 'keep batch_size at 1'} end,
+  case when not amp then {'p': 2, 'r': 'amp=false', 'a': 'enable amp'} end, case when not ckpt then {'p': 2, 'r': 'gradient_checkpointing=false', 'a': 'enable gradient checkpointing'} end] as rules from r),
+ y as (select p_partkey, list_filter(rules, lambda v: v is not null) as rules from x), z as (select p_partkey, rules, cast(coalesce(list_sum(list_transform(rules, lambda v: v.p)), 0) as bigint) as score from y)
+ select p_partkey, score, case when score >= 10 then 'high' when score >= 6 then 'medium' else 'low' end as level, array_to_string(list_transform(rules, lambda v: v.r), ';') as reasons, array_to_string(list_filter(list_transform(rules, lambda v: v.a), lambda v: v is not null), ';') as suggestions from z""",
+    "subset_batches": f"{W('fx_point')}, n as (select sample_id, feature_id as idx, row_number() over (partition by sample_id order by feature_id % 50, feature_id) - 1 as n from (select distinct sample_id, feature_id from fx_point)) select sample_id, idx, n // 16 as batch, n % 16 as place from n where n // 16 in (1, 3)",
+    "configured_prompts": f"""{W('fx_raster')}, {SCAN} select sample_id, tile_index, 'Place ' || x0 || ' Write down the reviewed Lane features of this image patch as one GeoJSON feature collection. ' || case when has_left or has_top then 'Go on.' else 'No earlier patch has cut features of this one.' end as lane,
+ 'Write down the reviewed Intersection features of this image patch as one GeoJSON feature collection. ' || case when has_left or has_top then 'Anchors of features that earlier patches cut follow; write down only what goes on here.' else 'No earlier patch has cut features of this one.' end as crossing from scan""",
     "parameter_summary": "with t as (select cast(sum(p_size) as bigint) as total, cast(sum(p_size) filter (where p_partkey % 3 = 0) as bigint) as n_trainable from part) select *, round(n_trainable / total, 6) as share from t",
     "grouped_indices": f"{W('fx_point')}, f as (select distinct sample_id, feature_id from fx_point) select sample_id, string_agg(cast(feature_id as varchar), ',' order by feature_id % 5, feature_id) as indices from f group by 1",
     "best_tokens": f"{W('fx_point')} select user_id, grp, arg_min(pt, (-((px * 7919 + py * 104729) % 1000), pt)) as token from fx_point group by all",

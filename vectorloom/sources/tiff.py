@@ -22,7 +22,7 @@ _SIZE = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 11: "f", 12: "d", 16: "Q"}
 
 @dataclass
 class Tiff:
-    """An opened file's bytes and tags."""
+    """An opened file's tags, and its bytes: all of them, or anything else that gives ranges of them by slicing."""
 
     data: bytes
     order: str = "<"
@@ -32,24 +32,25 @@ class Tiff:
         if self.data[:2] not in (b"II", b"MM"):
             raise CodedError("VL-1201", "not a TIFF file")
         self.order = "<" if self.data[:2] == b"II" else ">"
-        (magic,) = struct.unpack_from(self.order + "H", self.data, 2)
+        take = lambda fmt, at: struct.unpack(fmt, self.data[at : at + struct.calcsize(fmt)])
+        (magic,) = take(self.order + "H", 2)
         if magic not in (42, 43):
             raise CodedError("VL-1201", f"unsupported TIFF version {magic}")
         # big files have wider numbers: of entries, of an entry's values, and of places
         number, place, step = ("H", "I", 12) if magic == 42 else ("Q", "Q", 20)
-        (at,) = struct.unpack_from(self.order + place, self.data, 4 if magic == 42 else 8)
-        (n,) = struct.unpack_from(self.order + number, self.data, at)
+        (at,) = take(self.order + place, 4 if magic == 42 else 8)
+        (n,) = take(self.order + number, at)
         first = at + struct.calcsize(number)
         for i in range(n):
-            tag, kind = struct.unpack_from(self.order + "HH", self.data, first + step * i)
-            (count,) = struct.unpack_from(self.order + place, self.data, first + step * i + 4)
+            tag, kind = take(self.order + "HH", first + step * i)
+            (count,) = take(self.order + place, first + step * i + 4)
             if kind not in _SIZE:
                 continue
             fmt = self.order + _SIZE[kind] * count
             where = first + step * i + 4 + struct.calcsize(place)
             if struct.calcsize(fmt) > struct.calcsize(place):
-                (where,) = struct.unpack_from(self.order + place, self.data, where)
-            self.tags[tag] = struct.unpack_from(fmt, self.data, where)
+                (where,) = take(self.order + place, where)
+            self.tags[tag] = take(fmt, where)
 
     def one(self, tag: int, default=None):
         return self.tags.get(tag, (default,))[0]
@@ -70,6 +71,16 @@ class Tiff:
         epsg = codes.get(3072, codes.get(2048))
         return {"width": self.one(WIDTH), "height": self.one(HEIGHT), "bands": self.one(SAMPLES, 1), "dtype": f"{kind}{self.one(BITS, 8)}", "crs": f"EPSG:{epsg}" if epsg else "", "a": float(a), "b": float(b), "c": float(c), "d": float(d), "e": float(e), "f": float(f)}
 
+    def blocks(self) -> list[tuple[int, int, int, int, int]]:
+        """x0, y0, x1, y1 of each strip or tile, row by row, and how many bytes it has in the file."""
+        m, tiled = self.meta, TILE_AT in self.tags
+        w, h = m["width"], m["height"]
+        bw, bh = (self.one(TILE_W), self.one(TILE_H)) if tiled else (w, min(h, self.one(ROWS, h)))
+        across, down = -(-w // bw), -(-h // bh)
+        size = self.tags[TILE_SIZE if tiled else STRIP_SIZE]
+        planes = len(size) // (across * down)
+        return [(x * bw, y * bh, min(w, x * bw + bw), min(h, y * bh + bh), sum(size[p * across * down + y * across + x] for p in range(planes))) for y in range(down) for x in range(across)]
+
     def _block(self, at: int, size: int) -> bytes:
         raw, how = self.data[at : at + size], self.one(COMPRESSION, 1)
         if how == 1:
