@@ -17,6 +17,10 @@ from vectorloom.operators import pieces, tokens
 SQUARE = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
 
 
+def line_(spark, pts):
+    return line(spark, pts)
+
+
 def line(spark, pts):
     return spark.createDataFrame([([(float(x), float(y)) for x, y in pts],)], "line array<struct<x:double,y:double>>")
 
@@ -230,6 +234,7 @@ def test_typed_equality_in_columns(spark):
     assert df.where("i < 0").select(P.canonical_udf("a").alias("c"), P.first_object_udf("a").alias("f"), P.parse_udf("a").alias("p")).count() == 3
 
 
+@pytest.mark.parametrize("geometry", ["linestring", "polygon"])
 def test_token_codec(spark, geometry):
     """What is decoded is what was encoded, up to the bins: points, rings, cuts, source and properties, in canonical order."""
     r = random.Random(6)
@@ -289,3 +294,46 @@ def test_prompts(spark):
     assert value(df, prompts.state_text(F.col("a"), F.lit("{}"))) == "State anchors=1\nidx=000 side=left points=1.0,2.0\nStateGeoJSON {}"
     assert value(df, prompts.target_text(F.col("t"), F.lit("{}"))) == "Targets features=1\nidx=000 cut_in=left cut_out=none\n{}"
     assert value(df, prompts.task_prompt(F.lit("m"), F.lit(""), F.lit("b"), F.lit("r"), F.lit(False))) == "m b r"
+
+
+def test_lines_are_split_where_they_cross_themselves(spark):
+    rnd = random.Random(8)
+    lines = [[(float(rnd.randint(0, 30)), float(rnd.randint(0, 30)) + rnd.random()) for _ in range(rnd.randint(2, 9))] for _ in range(60)]
+    lines += [[(0.0, 0.0), (4.0, 4.0), (4.0, 0.0), (0.0, 4.0)], [(0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (2.0, 2.0), (2.0, -2.0)], [(0.0, 0.0), (2.0, 0.0), (2.0, 0.0), (0.0, 0.0)], [(1.0, 1.0)], [], None]
+    column = G.polygons([None if x is None else [x] for x in lines])
+    import pyarrow as pa
+
+    rows = pa.array([None if x is None else x[0] for x in column.to_pylist()], G._POLYGON.value_type)
+    turn = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    for line, parts in zip(lines, G.noded_of(rows).to_pylist()):
+        if line is None:
+            assert parts is None
+            continue
+        es = list(zip(line, line[1:]))
+        n = sum(turn(*e, f[0]) * turn(*e, f[1]) < 0 and turn(*f, e[0]) * turn(*f, e[1]) < 0 for i, e in enumerate(es) for f in es[:i])
+        parts = [[(p["x"], p["y"]) for p in z] for z in parts]
+        assert len(parts) == 1 + 2 * n and all(a[-1] == b[0] for a, b in zip(parts, parts[1:]))
+        length = lambda z: sum(math.dist(a, b) for a, b in zip(z, z[1:]))
+        assert sum(map(length, parts)) == pytest.approx(length(line))
+    df = line_(spark, [(0, 0), (4, 4), (4, 0), (0, 4)]).withColumn("cut_start", F.lit(False)).withColumn("cut_end", F.lit(False))
+    got = pieces.clipped(df, [F.lit(v) for v in (0.0, 0.0, 4.0, 4.0)]).collect()
+    assert [pairs(g["line"]) for g in got] == [[(0, 0), (2, 2)], [(2, 2), (4, 4), (4, 0), (2, 2)], [(2, 2), (0, 4)]]
+    assert [(g["cut_start"], g["cut_end"]) for g in got] == [(False, True), (True, True), (True, False)]
+
+
+def test_resize_against_loops():
+    from vectorloom.functions import images
+
+    rng = np.random.default_rng(1)
+    px = rng.integers(0, 255, (11, 17, 2))
+    for w, h in ((5, 4), (17, 11), (40, 3), (1, 1), (23, 30)):
+        def share(old, new, i, j):
+            scale = old / new
+            return max(0.0, 1 - abs(j + 0.5 - (i + 0.5) * scale) / max(scale, 1))
+
+        got = images.resized(px, w, h)
+        for y in range(h):
+            for x in range(w):
+                s = [(share(11, h, y, b) * share(17, w, x, a), px[b, a]) for b in range(11) for a in range(17)]
+                assert got[y, x] == pytest.approx(sum(k * p for k, p in s) / sum(k for k, _ in s))
+    assert images.resized(np.full((9, 9, 1), 7.0), 2, 5) == pytest.approx(np.full((5, 2, 1), 7.0))

@@ -183,7 +183,7 @@ def test_tables(spark, tmp_path):
     build = lambda d: d.withColumn("v", F.col("k") * 2)
     path = str(tmp_path / "cache")
     assert tables.cached(spark.range(3).toDF("k"), "k", path, build).count() == 3
-    assert tables.cached(spark.range(5).toDF("k"), "k", path, build).count() == 5 and spark.read.parquet(path).count() == 5
+    assert tables.cached(spark.range(5).toDF("k"), "k", path, build).count() == 5
     assert tuple(tables.cache_counts(spark.range(9).toDF("k"), spark.read.parquet(path), "k").first()) == (9, 5, 4)
     tables.append_metrics(spark.createDataFrame([(1, 0.5)], "epoch long, train_loss double"), str(tmp_path / "m"))
     assert tables.read_metrics(spark, str(tmp_path / "m")).first()["train_loss"] == 0.5
@@ -225,3 +225,24 @@ def test_block_source(spark, tmp_path):
     assert len(got) == 6
     for path, k, x0, y0, x1, y1 in boxes:
         assert (got[path, k] == images[path.split("/")[-1]][y0:y1, x0:x1][:, :, [2, 0]]).all()
+
+
+def test_two_writers_build_each_key_once(spark, tmp_path):
+    """A second writer adds the same and further keys while the first one builds; a third one only reads."""
+    path, built = str(tmp_path / "cache"), []
+
+    def build(df, name):
+        built.append((name, sorted(r["k"] for r in df.collect())))
+        return df.withColumn("by", F.lit(name))
+
+    def slow(df):
+        if not built:
+            tables.cached(spark.range(3, 9).toDF("k"), "k", path, lambda x: build(x, "second"))
+        return build(df, "first")
+
+    first = tables.cached(spark.range(6).toDF("k"), "k", path, slow)
+    assert {(r["k"], r["by"]) for r in first.collect()} == {(k, "first" if k < 3 else "second") for k in range(6)} and first.count() == 6
+    every = tables.cached(spark.range(9).union(spark.range(4)).toDF("k"), "k", path, lambda x: build(x, "third"))
+    assert every.count() == 9 and [n for n, _ in built] == ["second", "first"]
+    assert len(tables.Manifest(spark, path).folders()) == 2
+    assert tables.cached(spark.range(0).toDF("k"), "k", str(tmp_path / "none"), lambda x: x.withColumn("by", F.lit("x"))).count() == 0

@@ -1,4 +1,4 @@
-"""Arrays of pixels (height x width x channels) for Arrow kernels. Resizing is plain bilinear at pixel centres; it does not average when it shrinks."""
+"""Arrays of pixels (height x width x channels) for Arrow kernels. Resizing is bilinear at pixel centres when it grows, and averages with a triangle filter when it shrinks."""
 
 from __future__ import annotations
 
@@ -8,17 +8,19 @@ import zlib
 import numpy as np
 
 
+def _weights(old: int, new: int) -> np.ndarray:
+    """new x old: each new pixel's shares of the old ones, by a triangle about its centre that reaches to the neighbouring centres, old ones when it grows and new ones when it shrinks."""
+    scale = old / new
+    centre = (np.arange(new) + 0.5) * scale
+    share = np.maximum(0, 1 - np.abs(np.arange(old) + 0.5 - centre[:, None]) / max(scale, 1.0))
+    return share / share.sum(1, keepdims=True)
+
+
 def resized(image: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Along one axis after the other."""
     h, w = image.shape[:2]
-    y = np.clip((np.arange(height) + 0.5) * h / height - 0.5, 0, h - 1)
-    x = np.clip((np.arange(width) + 0.5) * w / width - 0.5, 0, w - 1)
-    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
-    y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
-    fy, fx = (y - y0)[:, None, None], (x - x0)[None, :, None]
-    px = image.astype(float)
-    top = px[y0][:, x0] * (1 - fx) + px[y0][:, x1] * fx
-    low = px[y1][:, x0] * (1 - fx) + px[y1][:, x1] * fx
-    return top * (1 - fy) + low * fy
+    across = np.einsum("nw,hwc->hnc", _weights(w, width), image.astype(float))
+    return np.einsum("nh,hwc->nwc", _weights(h, height), across)
 
 
 def letterboxed(image: np.ndarray, size: int, resized_w: int, resized_h: int, pad_x: int, pad_y: int) -> np.ndarray:

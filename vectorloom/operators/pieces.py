@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lines as L
+from ..functions import polygons
 
 
 def vertex_hits(points: DataFrame, mask: DataFrame, cell: int = 64) -> DataFrame:
@@ -66,7 +67,7 @@ def clip_segments(line: Column, x0: Column, y0: Column, x1: Column, y1: Column)
 
 
 def clip_line(line: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """Pieces of a line in a closed box, in order: an array of lines. A single touched point is no piece. Lines that cross themselves are not split there."""
+    """Pieces of a line in a closed box, in order: an array of lines. A single touched point is no piece. A line that crosses itself is to be split there before (``polygons.noded``)."""
     parts = clip_segments(line, x0, y0, x1, y1)
     empty = F.array().cast("array<array<struct<x:double,y:double>>>")
 
@@ -82,8 +83,10 @@ def clip_line(line: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> C
 
 
 def clipped(features: DataFrame, box: list[Column], least: int = 2) -> DataFrame:
-    """One row a piece: ``features`` (line, cut_start, cut_end) clipped to the box, with piece number and new cut flags; pieces under ``least`` points go."""
-    rows = features.select("*", F.posexplode(clip_line(F.col("line"), *box)).alias("piece", "part")).where(F.size("part") >= least)
+    """One row a piece: ``features`` (line, cut_start, cut_end), split where they cross themselves and clipped to the box, with piece number and new cut flags; pieces under ``least`` points go."""
+    parts = features.withColumn("_parts", polygons.noded(F.col("line")))
+    pieces = F.flatten(F.transform("_parts", lambda p: clip_line(p, *box)))
+    rows = parts.select(*features.columns, F.posexplode(pieces).alias("piece", "part")).where(F.size("part") >= least)
     s, e = cut_flags(F.col("line"), F.col("part"), F.col("cut_start"), F.col("cut_end"))
     return rows.withColumn("new_start", s).withColumn("new_end", e).drop("line", "cut_start", "cut_end").withColumnsRenamed({"part": "line", "new_start": "cut_start", "new_end": "cut_end"})
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,14 +30,76 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("epoch long, train_loss double, val_loss double, val_token_acc double, train_sec double, val_sec double, checkpoint_sec double, global_step long, best_updated boolean, output_dir string").json(path)
 
 
+class Manifest:
+    """Which folders of data under a path count: a log of numbered entries, each of which one writer alone can put in place."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _at(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def folders(self) -> list[str]:
+        """The folders in the order of their entries."""
+        log = self._at("_log")
+        files = log.getFileSystem(self.conf)
+        if not files.exists(log):
+            return []
+        out = []
+        for status in sorted(files.listStatus(log), key=lambda s: s.getPath().getName()):
+            if status.getPath().getName().isdigit():
+                stream = files.open(status.getPath())
+                out.append(f"{self.path}/data/{self.jvm.org.apache.commons.io.IOUtils.toString(stream, 'UTF-8')}")
+                stream.close()
+        return out
+
+    def put(self, number: int, folder: str) -> bool:
+        """Puts an entry in place, unless one of that number is there: it is written beside the log and then renamed, which does not overwrite, so it is there as a whole or not at all."""
+        draft, place = self._at(f"_drafts/{folder}"), self._at(f"_log/{number:09d}")
+        files = draft.getFileSystem(self.conf)
+        files.mkdirs(place.getParent())
+        stream = files.create(draft, True)
+        stream.write(bytearray(folder.encode()))
+        stream.close()
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), self.conf)
+        try:
+            context.rename(draft, place, self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Exception as error:
+            if "FileAlreadyExists" not in str(error):
+                raise
+            files.delete(draft, False)
+            return False
+        return True
+
+    def drop(self, folder: str) -> None:
+        path = self._at(f"data/{folder}")
+        path.getFileSystem(self.conf).delete(path, True)
+
+
 def cached(items: DataFrame, key: str, path: str, build) -> DataFrame:
-    """``items`` with what ``build`` makes of them; only keys that the table at ``path`` lacks are built, and they are appended. Keys name everything the result depends on."""
+    """``items`` with what ``build`` makes of them; only keys that the table at ``path`` lacks are built, and they are added. Keys name everything the result depends on.
+
+    Writers do not wait for one another. Each writes a folder of its own and then puts it into the manifest under the number behind those that it has seen. If another writer has taken that number, what it
+    has added is left out of the folder before it is put in again, so a key is there once however many writers build it."""
     spark = items.sparkSession
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    exists = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path)
-    missing = items.join(spark.read.parquet(path).select(key), key, "left_anti") if exists else items
-    build(missing).write.mode("append").parquet(path)
-    return spark.read.parquet(path).join(items.select(key), key, "left_semi")
+    log = Manifest(spark, path)
+
+    def without(df: DataFrame, folders: list[str]) -> DataFrame:
+        return df.join(spark.read.parquet(*folders).select(key), key, "left_anti") if folders else df
+
+    folders = log.folders()
+    missing = without(items.dropDuplicates([key]), folders)
+    if not missing.isEmpty():
+        mine = uuid.uuid4().hex
+        build(missing).write.parquet(f"{log.path}/data/{mine}")
+        while not log.put(len(folders) + 1, mine):
+            folders, old, mine = log.folders(), mine, uuid.uuid4().hex
+            without(spark.read.parquet(f"{log.path}/data/{old}"), folders).write.parquet(f"{log.path}/data/{mine}")
+            log.drop(old)
+    folders = log.folders()
+    stored = spark.read.parquet(*folders) if folders else build(items.limit(0))
+    return stored.join(items.select(key), key, "left_semi")
 
 
 def cache_counts(items: DataFrame, stored: DataFrame, key: str) -> DataFrame:
