@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lines as L
+from .rounds import Steps
 
 
 def grid_offset(i: Column, n: int, width: Column, height: Column, variant: Column | int = 0) -> tuple[Column, Column]:
@@ -51,12 +52,20 @@ def augmented(line: Column, size: int, rot: Column, h: Column, v: Column) -> Col
     return F.transform(line, one)
 
 
+def in_order(rows: DataFrame, by: str, number: str) -> DataFrame:
+    """``rows`` with their place (from 0) by a column, over the whole table: they are sorted in ranges, each a task of its own, and only the ranges' sizes, a row a range, meet in one place."""
+    ranged = Steps(rows.sparkSession).kept(rows.repartitionByRange(by).withColumn("_range", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = ranged.withColumn("_own", F.row_number().over(Window.partitionBy("_range").orderBy(by)) - 1)
+    return own.join(before, "_range").withColumn(number, (F.col("_before") + F.col("_own")).cast("long")).drop("_range", "_own", "_before")
+
+
 def round_robin(epochs: DataFrame, samples: DataFrame) -> DataFrame:
     """epoch and the sample whose turn it is: the ((epoch - 1) mod n)-th by sample_id."""
-    # numbering needs one order of all samples; they are a listing of directories, not of data
-    n = samples.select("sample_id", (F.row_number().over(Window.orderBy("sample_id")) - 1).alias("turn"))
-    total = n.agg(F.count("*").alias("n_samples"))
-    return epochs.join(F.broadcast(total)).withColumn("turn", (F.col("epoch") - 1) % F.col("n_samples")).join(n, "turn").select("epoch", "sample_id")
+    turns = in_order(samples.select("sample_id"), "sample_id", "turn")
+    n = turns.count()
+    return epochs.withColumn("turn", (F.col("epoch") - 1) % max(1, n)).join(turns, "turn").select("epoch", "sample_id")
 
 
 def sample_dir(path: Column, inside: str) -> Column:

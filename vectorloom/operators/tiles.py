@@ -117,8 +117,8 @@ def state_regions(tiles: DataFrame, margin: int) -> DataFrame:
 
 
 def items(samples: DataFrame, tasks: DataFrame, tiles: DataFrame, labels: DataFrame) -> DataFrame:
-    """Work items: sample x task x tile, without tasks for which the sample has no label. Tasks are a handful of configured rows."""
-    work = labels.select("sample_id", "task").distinct().join(F.broadcast(tasks), "task").join(samples, "sample_id")
+    """Work items: sample x task x tile, without tasks for which the sample has no label."""
+    work = labels.select("sample_id", "task").distinct().join(tasks, "task").join(samples, "sample_id")
     return work.join(tiles, "sample_id")
 
 

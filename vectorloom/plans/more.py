@@ -93,12 +93,12 @@ def mixed_crs(s, d):
 
 
 def shifted_lines(s, d):
-    rows = _lines(s, d).join(F.broadcast(_raster(s, d).select("sample_id", "width", "height")), "sample_id")
+    rows = _lines(s, d).join(_raster(s, d).select("sample_id", "width", "height"), "sample_id")
     return _exploded(rows.withColumn("line", synthesis.shifted(F.col("line"), F.lit(300), F.lit(-200), F.col("width"), F.col("height"))), ["sample_id", "feature_id"])
 
 
 def grid_offsets(s, d):
-    p = _envelopes(s, d).join(F.broadcast(_raster(s, d).select("sample_id", "width", "height")), "sample_id")
+    p = _envelopes(s, d).join(_raster(s, d).select("sample_id", "width", "height"), "sample_id")
     x, y = synthesis.grid_offset(F.col("feature_id") % 30, 30, F.col("width"), F.col("height"), 1)
     return p.select("sample_id", "feature_id", _r(x, 4).alias("dx"), _r(y, 4).alias("dy"))
 
@@ -228,7 +228,7 @@ def answers(s, d) -> DataFrame:
 
     scan = _scan(s, d)
     near = tiles.features_in_tiles(scan, _envelopes(s, d)).select("sample_id", "tile_index", "feature_id")
-    rows = _named(near.join(_lines(s, d), ["sample_id", "feature_id"])).join(F.broadcast(_raster(s, d)), "sample_id")
+    rows = _named(near.join(_lines(s, d), ["sample_id", "feature_id"])).join(_raster(s, d), "sample_id")
     told = geojson.emit(rows, ["sample_id", "tile_index"], "Lane", "linestring", UTM, UTM)
     text = F.when(F.col("tile_index") % 5 == 3, F.concat(F.lit("Answer {cut: "), F.substring(F.coalesce("geojson", F.lit("")), 1, 60))).otherwise(F.coalesce(F.concat(F.lit("Answer: "), "geojson", F.lit(" end")), F.lit("")))
     return scan.select("sample_id", "tile_index").join(told, ["sample_id", "tile_index"], "left").select("sample_id", "tile_index", text.alias("text"))

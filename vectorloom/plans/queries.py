@@ -103,7 +103,7 @@ def keep_center_filter(s, d):
 
 def _hits(s, d) -> DataFrame:
     size = view(s, d, "fx_raster").select("sample_id", "width", "height")
-    return pieces.vertex_hits(view(s, d, "fx_point").join(F.broadcast(size), "sample_id"), view(s, d, "fx_mask"))
+    return pieces.vertex_hits(view(s, d, "fx_point").join(size, "sample_id"), view(s, d, "fx_mask"))
 
 
 def mask_inside_ratio(s, d):
@@ -115,7 +115,7 @@ def line_mask_islands(s, d):
 
 
 def _with_raster(s, d, df: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(view(s, d, "fx_raster")), "sample_id")
+    return df.join(view(s, d, "fx_raster"), "sample_id")
 
 
 def _affine() -> list[Column]:
