@@ -103,3 +103,28 @@ def test_polygon_pairs_against_all(spark):
     want = {x: v for x, v in want.items() if v is not None and v >= 0.3}
     got = {(x["k"], x["pred"], x["gt"]): x["iou"] for x in match.polygon_pairs(df, df, ["k"], 0.3).collect()}
     assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
+def test_crowded_cells_split(spark):
+    """Half of all boxes in one cell: pairs are the same, found in many cells, and large boxes do not split theirs."""
+    from vectorloom.operators import grid
+
+    r = random.Random(7)
+    spot = lambda n, x, y, wide, size: [(i, int(x + r.random() * wide), int(y + r.random() * wide), r.randint(*size)) for i in range(n)]
+    rows = [(1, i, x, y, x + s, y + s + 1) for i, x, y, s in spot(400, 10, 10, 200, (3, 9))] + [(1, 1000 + i, x, y, x + s, y + s) for i, x, y, s in spot(300, -900, -900, 3000, (5, 60))] + [(2, i, x, y, x + s, y + s) for i, x, y, s in spot(150, 0, 0, 20, (200, 240))]
+    df = spark.createDataFrame(rows, "k long, id long, x0 long, y0 long, x1 long, y1 long")
+    want = {}
+    for k, i, *a in rows:
+        for m, j, *b in rows:
+            w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+            if k == m and w > 0 and h > 0:
+                v = w * h / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h)
+                if v >= 0.2:
+                    want[k, i, j] = round(v, 9)
+    for most in (8, 10_000):
+        assert {(x["k"], x["pred"], x["gt"]): round(x["iou"], 9) for x in match.box_pairs(df, df, ["k"], 0.2, most=most).collect()} == want
+    box = [F.col("x0"), F.col("y0"), F.col("x1") - 1, F.col("y1") - 1]
+    deep = {(x["k"], x["_cx"], x["_cy"]): x["_level"] for x in grid.levels(df, ["k"], box, 256, 8).collect()}
+    assert deep[1, 0, 0] >= 3 and not any(k == 2 for k, _, _ in deep)
+    spread = grid.dealt(df, ["k"], box, 256, grid.levels(df, ["k"], box, 256, 8)).where("k = 1 and id < 1000").groupBy("_level", "_fx", "_fy").count()
+    assert spread.count() > 40 and spread.agg(F.max("count")).first()[0] < 60

@@ -10,41 +10,34 @@ from pyspark.sql import functions as F
 
 from ..functions import lines as L
 from ..functions import polygons
+from . import grid
 from .components import components
 from .rounds import Steps
 
 
 def line_pairs(left: DataFrame, right: DataFrame, key: list[str], threshold: float, names: tuple[str, str] = ("pred", "gt")) -> DataFrame:
     """key, left and right id, distance and endpoint_error of pairs of lines (id, line) at most ``threshold`` apart.
-    The envelopes of lines that close have sides within the threshold of one another. So the right side is dealt to the grid cell of its envelope's least corner, the left side to the cells
+    The envelopes of lines that close have sides within the threshold of one another. So the right side is dealt to the ``grid`` cell of its envelope's least corner, the left side to the cells
     within the threshold of its own, and a pair meets in one cell at most."""
     a, b = names
-    cell = max(64.0, 4 * threshold)
-
-    def dealt(df: DataFrame, n: str, wide: float) -> DataFrame:
-        out = df.where(F.size("line") >= 2).select(*key, F.col("id").alias(n), F.col("line").alias(f"{n}_line"), L.envelope(F.col("line")).alias(f"{n}_e"))
-        at = lambda c, d: F.floor((F.col(f"{n}_e.{c}") + d) / cell).cast("long")
-        if not wide:
-            return out.withColumn("cx", at("x0", 0)).withColumn("cy", at("y0", 0))
-        return out.withColumn("cx", F.explode(F.sequence(at("x0", -wide), at("x0", wide)))).withColumn("cy", F.explode(F.sequence(at("y0", -wide), at("y0", wide))))
-
+    side = lambda df, n: df.where(F.size("line") >= 2).select(*key, F.col("id").alias(n), F.col("line").alias(f"{n}_line"), L.envelope(F.col("line")).alias(f"{n}_e"))
+    corner = lambda n, d: [F.col(f"{n}_e.x0") + d, F.col(f"{n}_e.y0") + d]
     near = " and ".join(f"abs({a}_e.{c} - {b}_e.{c}) <= {threshold}" for c in ("x0", "y0", "x1", "y1"))
-    close = dealt(left, a, threshold).join(dealt(right, b, 0.0), [*key, "cx", "cy"]).where(near)
+    reach = [*corner(a, -threshold), *corner(a, threshold)]
+    close = grid.met(side(left, a), side(right, b), key, reach, corner(b, 0.0) * 2, max(64.0, 4 * threshold), finest=max(2 * threshold, 1e-9)).where(near)
     pairs = close.withColumn("distance", L.hausdorff(F.col(f"{a}_line"), F.col(f"{b}_line"))).where(F.col("distance") <= threshold)
     return pairs.select(*key, a, b, "distance", L.endpoint_error(F.col(f"{a}_line"), F.col(f"{b}_line")).alias("endpoint_error"))
 
 
-def box_pairs(left: DataFrame, right: DataFrame, key: list[str], threshold: float, names: tuple[str, str] = ("pred", "gt"), cell: int = 256) -> DataFrame:
-    """key, left and right id and iou of axis-parallel boxes (id, x0, y0, x1, y1) that overlap with at least ``threshold`` (over 0)."""
+def box_pairs(left: DataFrame, right: DataFrame, key: list[str], threshold: float, names: tuple[str, str] = ("pred", "gt"), cell: int = 256, most: int = grid.MOST) -> DataFrame:
+    """key, left and right id and iou of axis-parallel boxes (id, x0, y0, x1, y1) that overlap with at least ``threshold`` (over 0). They meet in the cells of a ``grid``."""
     a, b = names
-    to = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell).cast("long"), F.floor((F.col(hi) - 1) / cell).cast("long")))
-
-    def dealt(df: DataFrame, n: str) -> DataFrame:
-        return df.select(*key, F.col("id").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in ("x0", "y0", "x1", "y1"))).withColumn("cx", to(f"{n}_x0", f"{n}_x1")).withColumn("cy", to(f"{n}_y0", f"{n}_y1"))
-
-    p = dealt(left, a).join(dealt(right, b), [*key, "cx", "cy"])
+    corners = ("x0", "y0", "x1", "y1")
+    side = lambda df, n: df.select(*key, F.col("id").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in corners))
+    # half-open boxes of whole numbers: the last cell is that of the last pixel
+    box = lambda n: [F.col(f"{n}_x0"), F.col(f"{n}_y0"), F.col(f"{n}_x1") - 1, F.col(f"{n}_y1") - 1]
+    p = grid.met(side(left, a), side(right, b), key, box(a), box(b), cell, most)
     low = lambda c: F.greatest(f"{a}_{c}", f"{b}_{c}")
-    p = p.where((F.floor(low("x0") / cell) == F.col("cx")) & (F.floor(low("y0") / cell) == F.col("cy")))
     w, h = F.least(f"{a}_x1", f"{b}_x1") - low("x0"), F.least(f"{a}_y1", f"{b}_y1") - low("y0")
     size = lambda n: (F.col(f"{n}_x1") - F.col(f"{n}_x0")) * (F.col(f"{n}_y1") - F.col(f"{n}_y0"))
     p = p.withColumn("inter", F.when((w > 0) & (h > 0), w * h).otherwise(0))
@@ -57,21 +50,18 @@ def ring_area(rings: Column) -> Column:
     return F.element_at(areas, 1) - F.aggregate(F.slice(areas, 2, F.greatest(F.size(areas) - 1, F.lit(0))), F.lit(0.0), lambda s, x: s + x)
 
 
-def polygon_pairs(left: DataFrame, right: DataFrame, key: list[str], threshold: float, names: tuple[str, str] = ("pred", "gt"), cell: float = 256.0) -> DataFrame:
+def polygon_pairs(left: DataFrame, right: DataFrame, key: list[str], threshold: float, names: tuple[str, str] = ("pred", "gt"), cell: float = 256.0, most: int = grid.MOST) -> DataFrame:
     """key, left and right id and iou of polygons (id, rings; the first ring is the outer one, the rest holes) that overlap with at least ``threshold`` (over 0).
-    Polygons are dealt to the grid cells of their envelope, and a pair meets in the cell of its envelopes' overlap's least corner. The envelopes' overlap bounds the intersection and the larger area the
-    union, so only pairs that these let through are swept."""
+    Envelopes meet in the cells of a ``grid``. Their overlap bounds the intersection and the larger area the union, so only pairs that these let through are swept."""
     a, b = names
 
-    def dealt(df: DataFrame, n: str) -> DataFrame:
-        out = df.where(F.size("rings") >= 1).select(*key, F.col("id").alias(n), F.col("rings").alias(f"{n}_rings"), L.envelope(F.col("rings")[0]).alias(f"{n}_e"), ring_area(F.col("rings")).alias(f"{n}_size"))
-        at = lambda c: F.floor(F.col(f"{n}_e.{c}") / cell).cast("long")
-        return out.withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
+    def side(df: DataFrame, n: str) -> DataFrame:
+        return df.where(F.size("rings") >= 1).select(*key, F.col("id").alias(n), F.col("rings").alias(f"{n}_rings"), L.envelope(F.col("rings")[0]).alias(f"{n}_e"), ring_area(F.col("rings")).alias(f"{n}_size"))
 
-    low = lambda c: F.greatest(f"{a}_e.{c}", f"{b}_e.{c}")
-    wide = lambda lo, hi: F.least(f"{a}_e.{hi}", f"{b}_e.{hi}") - low(lo)
-    met = dealt(left, a).join(dealt(right, b), [*key, "cx", "cy"]).where((wide("x0", "x1") > 0) & (wide("y0", "y1") > 0))
-    met = met.where((F.floor(low("x0") / cell) == F.col("cx")) & (F.floor(low("y0") / cell) == F.col("cy")))
+    box = lambda n: [F.col(f"{n}_e.{c}") for c in ("x0", "y0", "x1", "y1")]
+    met = grid.met(side(left, a), side(right, b), key, box(a), box(b), cell, most)
+    wide = lambda lo, hi: F.least(f"{a}_e.{hi}", f"{b}_e.{hi}") - F.greatest(f"{a}_e.{lo}", f"{b}_e.{lo}")
+    met = met.where((wide("x0", "x1") > 0) & (wide("y0", "y1") > 0))
     met = met.where(wide("x0", "x1") * wide("y0", "y1") >= threshold * F.greatest(f"{a}_size", f"{b}_size") - 1e-6)
     return met.select(*key, a, b, polygons.iou_column(F.col(f"{a}_rings"), F.col(f"{b}_rings")).alias("iou")).where(F.col("iou") >= threshold)
 
