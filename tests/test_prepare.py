@@ -39,6 +39,26 @@ def clip(line, box):
     return out
 
 
+def split(line):
+    """Parts between the points where a line crosses itself."""
+    es, cuts = list(zip(line, line[1:])), []
+    for i, (a, b) in enumerate(es):
+        for c, d in es[:i] + es[i + 1 :]:
+            by = (b[0] - a[0]) * (d[1] - c[1]) - (b[1] - a[1]) * (d[0] - c[0])
+            if by:
+                t = ((c[0] - a[0]) * (d[1] - c[1]) - (c[1] - a[1]) * (d[0] - c[0])) / by
+                u = ((c[0] - a[0]) * (b[1] - a[1]) - (c[1] - a[1]) * (b[0] - a[0])) / by
+                if 1e-9 < t < 1 - 1e-9 and 1e-9 < u < 1 - 1e-9:
+                    (p, q), v = ((a, b), t) if (a, b) < (c, d) else ((c, d), u)  # one point for both
+                    cuts.append((i, t, p[0] + v * (q[0] - p[0]), p[1] + v * (q[1] - p[1])))
+    out, part, done = [], [], 0
+    for i, _, *at in sorted(cuts):
+        at = tuple(at)
+        out.append([*part, *line[done : i + 1], at])
+        part, done = [at], i + 1
+    return [*out, [*part, *line[done:]]]
+
+
 def close(p, q):
     return all(abs(u - v) <= 1e-3 + 1e-5 * abs(v) for u, v in zip(p, q))
 
@@ -94,7 +114,7 @@ def prepared(features, box, strips, interval, most, inside):
             segment = line[k:e]
             if not meets(segment, box):
                 continue
-            parts = cut(clip(segment, box), segment, k > 0, e < len(line))
+            parts = cut([p for part in split(segment) for p in clip(part, box)], segment, k > 0, e < len(line))
             if strips is not None:
                 parts = [q for p, s, f in parts for strip in strips if meets(p, strip) for q in cut(clip(p, strip), p, s, f)]
             out += [(i, props, resample(p, interval) if interval else p, s, f) for p, s, f in parts]
