@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -151,15 +150,11 @@ class Measure:
 SHINGLES = Measure(_shingled, likeness, _coded, lambda t: t)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, space: Workspace, measure: Measure = SHINGLES) -> DataFrame:
-    """(a, b, likeness) for pairs (a, b) of documents ``docs`` (id, h, text). ``names`` (id, h): which of an id's texts stands for it; rows that repeat it with the same text count once."""
-    full = pairs.select("a", "b")
+def verified(pairs: DataFrame, docs: DataFrame, measure: Measure = SHINGLES) -> DataFrame:
+    """(a, b, likeness) for pairs (a, h_a, b, h_b) of documents ``docs`` (id, h, text): an id and a hash of the text that stands for it. Rows that repeat both count once."""
+    full = pairs
     for c in ("b", "a"):
-        hot = hot_keys(pairs.groupBy(c).agg(F.count("*").alias("n")), [c])
-        full = join_one(full, names.select(F.col("id").alias(c), F.col("h").alias(f"h_{c}")), [c], hot, by=["a", "b"])
-    full = named = space.written(full, f"named-{uuid.uuid4().hex}")
-    for c in ("b", "a"):
-        hot = hot_keys(named.groupBy(c, f"h_{c}").agg(F.count("*").alias("n")), [c, f"h_{c}"])
+        hot = hot_keys(pairs.groupBy(c, f"h_{c}").agg(F.count("*").alias("n")), [c, f"h_{c}"])
         full = join_one(full, docs.select(F.col("id").alias(c), F.col("h").alias(f"h_{c}"), F.col("text").alias(f"text_{c}")), [c, f"h_{c}"], hot, by=["a", "b"])
     full = full.select("a", "b", "text_a", "text_b")
 
@@ -193,42 +188,44 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, space: Workspace | No
 
 def joined(reps: DataFrame, docs: DataFrame, threshold: float, space: Workspace, measure: Measure = SHINGLES) -> DataFrame:
     """(id, label): the least of each representative's (rep, h, bands) class; ``docs``: doc_id, h, text. Classes connect all that share a bucket and have a likeness of at least the threshold."""
-    buckets = reps.select("rep", F.explode("bands").alias("key"))
-    pivot = lambda *by: F.min(F.struct(F.xxhash64("rep", *by).alias("h"), "rep"))["rep"]
-    pivots = F.array_distinct(F.array(F.min("rep"), pivot(), pivot("key")))
+    buckets = reps.select(F.struct("rep", "h").alias("text"), F.explode("bands").alias("key"))
+    pivot = lambda *by: F.min(F.struct(F.xxhash64("text.rep", *by).alias("order"), "text"))["text"]
+    pivots = F.array_distinct(F.array(F.min("text"), pivot(), pivot("key")))
     size = space.written(buckets.groupBy("key").agg(F.count("*").alias("n"), pivots.alias("pivots")).where("n > 1"), "sizes")
     hot = space.written(hot_keys(size, ["key"]), "hot")
     members = space.written(join_one(buckets, size, ["key"], hot), "members")
-    small = members.where(F.col("n") <= ALL_PAIRS).groupBy("key").agg(F.array_sort(F.collect_list("rep")).alias("all"))
+    small = members.where(F.col("n") <= ALL_PAIRS).groupBy("key").agg(F.array_sort(F.collect_list("text")).alias("all"))
     # all pairs of a bucket of bounded size: each with those behind it
     pairs = small.select(F.posexplode("all").alias("at", "a"), "all").select("a", F.explode(F.expr("slice(all, at + 2, size(all))")).alias("b"))
-    star = members.where(F.col("n") > ALL_PAIRS).select("rep", F.explode("pivots").alias("p")).where("rep <> p").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
-    names = reps.select(F.col("rep").alias("id"), "h")
+    star = members.where(F.col("n") > ALL_PAIRS).select("text", F.explode("pivots").alias("p")).where("text <> p").select(F.least("text", "p").alias("a"), F.greatest("text", "p").alias("b"))
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "h", "text")
-    wanted = space.written(pairs.union(star).distinct(), "pairs")
+    wanted = pairs.union(star).distinct().select(F.col("a.rep").alias("a"), F.col("a.h").alias("h_a"), F.col("b.rep").alias("b"), F.col("b.h").alias("h_b"))
+    wanted = space.written(wanted, "pairs")
     space.release()
-    done = space.written(verified(wanted, texts, names, space, measure), "verified")
+    done = space.written(verified(wanted, texts, measure), "verified")
     space.release()
     near = done.where(F.col("likeness") >= threshold).select("a", "b")
     # large buckets whose texts the pivots have not joined into one class
     named = components(near, space, "first")
-    large = members.where(F.col("n") > ALL_PAIRS).select("key", "rep").join(named.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
+    large = members.where(F.col("n") > ALL_PAIRS).select("key", "text.rep", "text.h").join(named.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "h", F.coalesce("label", "rep").alias("label"))
     apart = large.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    left = space.written(join_one(large, apart, ["key"], hot).select("rep", "label").distinct(), "left")
+    left = space.written(join_one(large, apart, ["key"], hot).select("rep", "h", "label").distinct(), "left")
     if left.isEmpty():
         return named
-    maybe = space.written(crossing(left, texts, names, threshold, space, measure).join(wanted, ["a", "b"], "left_anti"), "crossing")
+    maybe = space.written(crossing(left, texts, threshold, space, measure).join(wanted, ["a", "b"], "left_anti"), "crossing")
+    space.remove("mixed")
     space.release()
     # the likeliest partner of a text in each other class goes first; then only pairs whose classes are still two
-    ends = maybe.select("a", "b", F.col("a").alias("me"), F.col("label_b").alias("other"), "shared").union(maybe.select("a", "b", "b", "label_a", "shared"))
-    best = ends.groupBy("me", "other").agg(F.max(F.struct("shared", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-    tried = space.written(_joined(best, maybe, texts, names, threshold, space, measure), "tried")
+    pair = ["a", "h_a", "b", "h_b"]
+    ends = maybe.select(*pair, F.col("a").alias("me"), F.col("label_b").alias("other"), "shared").union(maybe.select(*pair, "b", "label_a", "shared"))
+    best = ends.groupBy("me", "other").agg(F.max(F.struct("shared", *pair)).alias("m")).select(*(f"m.{c}" for c in pair)).distinct()
+    tried = space.written(_joined(space.written(best, "best"), maybe, texts, threshold, measure), "tried")
     met = components(tried.where("near").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")), space, "second")
     now = lambda c: met.select(F.col("id").alias(f"label_{c}"), F.col("label").alias(f"now_{c}"))
     rest = maybe.join(now("a"), "label_a", "left").join(now("b"), "label_b", "left").where(F.coalesce("now_a", "label_a") != F.coalesce("now_b", "label_b"))
-    rest = space.written(rest.select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    rest = space.written(rest.select(*pair).join(tried.select("a", "b"), ["a", "b"], "left_anti").select(*pair), "rest")
     space.release()
-    found = space.written(_joined(rest, maybe, texts, names, threshold, space, measure), "found")
+    found = space.written(_joined(rest, maybe, texts, threshold, measure), "found")
     space.release()
     # one edge for each two classes says as much as all links between them
     edges = tried.union(found).where("near").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct()
@@ -238,14 +235,14 @@ def joined(reps: DataFrame, docs: DataFrame, threshold: float, space: Workspace,
     return every.join(last, F.col("label") == F.col("old"), "left").select("id", F.coalesce("new", "label").alias("label"))
 
 
-def _joined(pairs: DataFrame, known: DataFrame, texts: DataFrame, names: DataFrame, threshold: float, space: Workspace, measure: Measure) -> DataFrame:
+def _joined(pairs: DataFrame, known: DataFrame, texts: DataFrame, threshold: float, measure: Measure) -> DataFrame:
     """a, b, label_a, label_b of ``pairs``, and whether they are near."""
-    done = verified(pairs, texts, names, space, measure).groupBy("a", "b").agg((F.max("likeness") >= threshold).alias("near"))
+    done = verified(pairs, texts, measure).groupBy("a", "b").agg((F.max("likeness") >= threshold).alias("near"))
     return done.join(known, ["a", "b"]).select("a", "b", "label_a", "label_b", "near")
 
 
-def crossing(left: DataFrame, texts: DataFrame, names: DataFrame, threshold: float, space: Workspace, measure: Measure = SHINGLES) -> DataFrame:
-    """a, b, label_a, label_b with a < b, and how many of their rarest tokens they share: pairs of different label among ``left`` (rep, label) that may be alike enough; none that is gets lost.
+def crossing(left: DataFrame, texts: DataFrame, threshold: float, space: Workspace, measure: Measure = SHINGLES) -> DataFrame:
+    """a, h_a, b, h_b, label_a, label_b with a < b, and how many of their rarest tokens they share: pairs of different label among ``left`` (rep, h, label) that may be alike enough; none that is gets lost.
 
     Tokens are ordered from the rarest to the most common. Of two texts of n <= m tokens, alike enough, at least t m and 2t / (1 + t) n
     tokens are common, so the first common one is among the first m - t m + 1 of the larger and n - 2t / (1 + t) n + 1 of the smaller text, and
@@ -256,7 +253,7 @@ def crossing(left: DataFrame, texts: DataFrame, names: DataFrame, threshold: flo
         out = [measure.tokens(x).view(np.int64) for x in b["text"].to_pylist()]
         return {c: b[c] for c in ("rep", "h", "label")} | {"n": pa.array([len(x) for x in out], pa.int32()), "tokens": pa.array(out, pa.list_(pa.int64()))}
 
-    rows = left.join(names.withColumnRenamed("id", "rep"), "rep").join(texts.withColumnRenamed("id", "rep"), ["rep", "h"]).dropDuplicates(["rep"])
+    rows = left.join(texts.withColumnRenamed("id", "rep"), ["rep", "h"]).dropDuplicates(["rep"])
     listed = space.written(arrow_map(rows, {c: c for c in ("rep", "h", "label", "text")}, "rep long, h long, label long, n int, tokens array<long>", tokens), "tokens")
     each = listed.select("rep", "h", "label", "n", F.explode("tokens").alias("token"))
     often = space.written(each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "often")
@@ -264,20 +261,25 @@ def crossing(left: DataFrame, texts: DataFrame, names: DataFrame, threshold: flo
     shared = join_one(each, often, ["token"], common, by=["rep", "token"]).groupBy("rep", "h", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("all"))
     # tokens that no other text has come before these
     shared = shared.withColumn("own", F.col("n") - F.size("all")).withColumn("probe", F.expr(f"int(n - ceil({t}D * n - 1e-9D) + 1)"))
-    spread = shared.select("rep", "label", "n", "own", F.posexplode(F.expr("slice(all, 1, greatest(probe - own, 0))")).alias("k", "s"))
-    at = spread.select("rep", "label", "n", (F.col("own") + F.col("k")).alias("at"), "s.token").withColumn("first", F.expr(f"at < n - ceil({2 * t / (1 + t)}D * n - 1e-9D) + 1"))
+    spread = shared.select("rep", "h", "label", "n", "own", F.posexplode(F.expr("slice(all, 1, greatest(probe - own, 0))")).alias("k", "s"))
+    at = spread.select("rep", "h", "label", "n", (F.col("own") + F.col("k")).alias("at"), "s.token").withColumn("first", F.expr(f"at < n - ceil({2 * t / (1 + t)}D * n - 1e-9D) + 1"))
     places = space.written(at, "places")
+    for done in ("tokens", "often", "common"):
+        space.remove(done)
     space.release()
     labels = places.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.count("*").alias("labels")).where("labels > 1")
     busy = space.written(hot_keys(places.groupBy("token").agg(F.count("*").alias("n")), ["token"]), "busy")
     mixed = space.written(join_one(places, labels.select("token", "main"), ["token"], busy, by=["rep", "token"]), "mixed")
+    for done in ("places", "busy"):
+        space.remove(done)
+    space.release()
     x, y = mixed.where("label <> main").alias("x"), mixed.alias("y")
     meet = F.expr(f"""x.token = y.token and x.label <> y.label and (x.n <= y.n and x.first or y.n <= x.n and y.first)
         and least(x.n, y.n) >= {t}D * greatest(x.n, y.n) - 1e-9D and least(x.n - x.at, y.n - y.at) >= {t / (1 + t)}D * (x.n + y.n) - 1e-9D""")
     order = F.col("x.rep") < F.col("y.rep")
     side = lambda c: (F.when(order, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")), F.when(order, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")))
-    (a, b), (la, lb) = side("rep"), side("label")
-    return x.join(y, meet).select(a.alias("a"), b.alias("b"), la.alias("label_a"), lb.alias("label_b")).groupBy("a", "b", "label_a", "label_b").agg(F.count("*").alias("shared"))
+    named = [c.alias(f"{n}{e}") for f, n in (("rep", ""), ("h", "h_"), ("label", "label_")) for c, e in zip(side(f), "ab", strict=True)]
+    return x.join(y, meet).select(*named).groupBy("a", "h_a", "b", "h_b", "label_a", "label_b").agg(F.count("*").alias("shared"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
