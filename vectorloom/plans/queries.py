@@ -231,6 +231,10 @@ def _boxes(s, d, shift: int = 0) -> DataFrame:
     return b.withColumns({c: F.col(c) + F.col("id") % 7 for c in ("x0", "x1")}) if shift else b
 
 
+def _box_rings() -> Column:
+    return F.array(F.array(*(L.point(F.col(x), F.col(y)) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1")))))
+
+
 def polygon_iou(s, d):
     return match.box_pairs(_boxes(s, d, 1), _boxes(s, d), ["sample_id"], 0.3).select("sample_id", "pred", "gt", _r(F.col("iou")).alias("iou"))
 
@@ -238,17 +242,16 @@ def polygon_iou(s, d):
 def polygon_iou_kernel(s, d):
     """The general kernel on the same boxes as rings; its oracle is the boxes' closed form."""
     p = match.box_pairs(_boxes(s, d, 1), _boxes(s, d), ["sample_id"], 0.3)
-    ring = lambda df, n: df.select("sample_id", F.col("id").alias(n), F.format_string("[[[%d,%d],[%d,%d],[%d,%d],[%d,%d]]]", "x0", "y0", "x1", "y0", "x1", "y1", "x0", "y1").alias(f"{n}_r"))
+    ring = lambda df, n: df.select("sample_id", F.col("id").alias(n), _box_rings().alias(f"{n}_r"))
     both = p.join(ring(_boxes(s, d, 1), "pred"), ["sample_id", "pred"]).join(ring(_boxes(s, d), "gt"), ["sample_id", "gt"])
-    return both.select("sample_id", "pred", "gt", _r(polygons.iou_udf("pred_r", "gt_r")).alias("iou"))
+    return both.select("sample_id", "pred", "gt", _r(polygons.iou_column(F.col("pred_r"), F.col("gt_r"))).alias("iou"))
 
 
 def polygon_clip(s, d):
     """Boxes clipped to a box by the general kernel: pieces' areas have a closed form."""
-    b = _boxes(s, d).withColumn("r", F.format_string("[[[%d,%d],[%d,%d],[%d,%d],[%d,%d]]]", "x0", "y0", "x1", "y0", "x1", "y1", "x0", "y1"))
-    out = b.select("sample_id", "id", F.posexplode(polygons.clip_udf("r", *(F.lit(v) for v in _BOX))).alias("piece", "part"))
-    ring = F.transform(F.from_json("part", "array<array<array<double>>>")[0], lambda p: L.point(p[0], p[1]))
-    return out.select("sample_id", "id", F.col("piece").cast("long").alias("piece"), _r(L.area(ring)).alias("area"))
+    b = _boxes(s, d).withColumn("r", _box_rings())
+    out = b.select("sample_id", "id", F.posexplode(polygons.clip_column(F.col("r"), [F.lit(v) for v in _BOX])).alias("piece", "part"))
+    return out.select("sample_id", "id", F.col("piece").cast("long").alias("piece"), _r(L.area(F.col("part")[0])).alias("area"))
 
 
 def polygon_metrics(s, d):
