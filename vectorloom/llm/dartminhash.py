@@ -210,6 +210,9 @@ def joined(reps: DataFrame, docs: DataFrame, threshold: float, space: Workspace,
     large = members.where(F.col("n") > ALL_PAIRS).select("key", "text.rep", "text.h").join(named.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "h", F.coalesce("label", "rep").alias("label"))
     apart = large.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     left = space.written(join_one(large, apart, ["key"], hot).select("rep", "h", "label").distinct(), "left")
+    for done in ("members", "sizes", "hot"):
+        space.remove(done)
+    space.release()
     if left.isEmpty():
         return named
     maybe = space.written(crossing(left, texts, threshold, space, measure).join(wanted, ["a", "b"], "left_anti"), "crossing")

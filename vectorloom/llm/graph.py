@@ -25,5 +25,9 @@ def components(edges: DataFrame, space: Workspace, name: str = "components") ->
         new = space.written(join_one(lower, follow, ["label"], common, "left").select("id", F.least("label", "further").alias("label"), (F.least("label", "further") < F.col("old")).alias("changed")), f"{name}-{n}")
         moved = new.where("changed").limit(1).count()
         labels = new.select("id", "label")
+        for done in (f"{name}-{n - 1}", f"{name}-common-{n}"):
+            space.remove(done)
         if not moved:
+            space.remove(f"{name}-edges")
+            space.remove(f"{name}-hubs")
             return labels
