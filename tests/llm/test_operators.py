@@ -254,6 +254,34 @@ def test_edit_classes_against_brute_force(spark, all_pairs, monkeypatch):
     assert len(editprint.near(odd(spark)).collect()) == 10 and editprint.near(empty(spark)).count() == 0
 
 
+def test_edit_links_at_the_threshold(spark):
+    """Pairs that differ in as many samples as they may, of all lengths and spread so that few blocks stay whole: none is lost."""
+    r = random.Random(5)
+    symbols = editprint.ALPHABET.tobytes().decode()
+    prints = []
+    for n in [*range(1, 90), *range(100, 500, 23), 640, 900] * 2:
+        x = [r.choice(symbols) for _ in range(n)]
+        cut = r.choice((0, 0, editprint.missed(n) // 2))
+        y = x[: n - cut]
+        left = editprint.missed(n) - cut
+        for k in range(left) if r.random() < 0.5 else ():
+            y[min(k * 5, len(y) - 1)] = r.choice(symbols)
+        for k in r.sample(range(len(y)), left):
+            if editprint.agreement(np.frombuffer("".join(x).encode(), np.uint8), np.frombuffer("".join(y).encode(), np.uint8)) > 0.8 + 1 / n:
+                y[k] = r.choice(symbols)
+        prints += ["".join(x), "".join(y)]
+    codes = [editprint._read(p) for p in prints]
+    alike = lambda i, j: prints[i] == prints[j] or editprint.agreement(codes[i], codes[j]) >= 0.8
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(prints)), 2) if alike(i, j)]
+    assert sum(prints[i] != prints[j] and len(prints[i]) < 64 for i, j in pairs) > 50
+    for i, j in pairs:
+        assert prints[i] == prints[j] or set(editprint.band_keys(prints[i])) & set(editprint.band_keys(prints[j]))
+        differ = sum(bin(int(v) & (1 << 64) - 1).count("1") for v in editprint.sketch(prints[i]) ^ editprint.sketch(prints[j]))
+        assert differ <= editprint.missed(max(len(prints[i]), len(prints[j])))
+    got = {x["doc_id"]: x["class_id"] for x in editprint.classes(spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string")).collect()}
+    assert got == linked(len(prints), alike)
+
+
 def test_token_ids_of_long_white_space():
     e = tokencounts.encoder(tokencounts.default_vocabulary())
     for t in ("a" + " " * 20000 + "b", "a" + "\n" * 20000, " " * 12000 + "\n x", "x" + "\t" * 12001 + "\xa0y " + "\u3000" * 10000, "\u2028" * 10000 + "z"):

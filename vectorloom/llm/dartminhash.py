@@ -218,6 +218,11 @@ def joined(reps: DataFrame, docs: DataFrame, threshold: float, space: Workspace,
     maybe = space.written(crossing(left, texts, threshold, space, measure).join(wanted, ["a", "b"], "left_anti"), "crossing")
     space.remove("mixed")
     space.release()
+    return connected(named, maybe, texts, threshold, space, measure)
+
+
+def connected(named: DataFrame, maybe: DataFrame, texts: DataFrame, threshold: float, space: Workspace, measure: Measure) -> DataFrame:
+    """(id, label): the classes ``named`` after those are joined that a link among ``maybe`` (as ``crossing`` gives them) connects."""
     # the likeliest partner of a text in each other class goes first; then only pairs whose classes are still two
     pair = ["a", "h_a", "b", "h_b"]
     ends = maybe.select(*pair, F.col("a").alias("me"), F.col("label_b").alias("other"), "shared").union(maybe.select(*pair, "b", "label_a", "shared"))

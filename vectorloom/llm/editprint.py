@@ -6,7 +6,7 @@ embeddings differ in few places: edit distance becomes Hamming distance. A finge
 texts share, as many in each octave of steps, so it covers the whole of a text of any length; a sample stands for
 as many steps as lie between samples of its octave. Likeness is the share of steps at which two fingerprints agree.
 
-``classes`` bands sampled places (bit sampling), joins bands and verifies candidates by the Hamming likeness of whole fingerprints.
+``classes`` cuts fingerprints into more blocks of places than may differ, so that all that reach the threshold meet in a block, and verifies candidates by the Hamming likeness of whole fingerprints.
 
 Cases: null counts as empty; the empty text has the empty fingerprint, alike (1) to itself and unlike (0) all others; rows with a null
 doc_id come last in descending order; rows that repeat a doc_id are ordered by a hash of their text; an empty table gives an empty result;
@@ -16,7 +16,8 @@ a table of one row is its own next.
 from __future__ import annotations
 
 import hashlib
-from functools import cache
+import math
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowmap import arrow_map, texts_of
-from .dartminhash import Measure, joined
+from .dartminhash import Measure, connected, verified
+from .graph import components
 from .skew import hot_keys, join_one
 from .storage import Workspace
 from .textcore import code_points, mix
@@ -181,34 +183,56 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
-#: Bit samples: so many keys, each of so many sampled places.
-BANDS, ROWS = 20, 6
 THRESHOLD = 0.8
+#: Parts of the blocks. Of many keys each part meets in a turn of its own, so that only so much is shuffled at once; the first part also joins most of each family.
+PARTS = 8
+#: Keys for which one turn does.
+AT_ONCE = 1_000_000
+#: Longs of a sketch.
+LONGS = 6
 
 
-@cache
-def _sampled_places(octaves: int) -> np.ndarray:
-    """Bands x places: which places of a fingerprint of so many full octaves each band samples; all texts share them."""
-    h = mix(np.arange(BANDS * ROWS, dtype=np.uint64) + (np.uint64(octaves) << np.uint64(32)) + np.uint64(99))
-    return (h % np.uint64(SAMPLES * octaves)).astype(np.int64).reshape(BANDS, ROWS)
+def missed(n: int, threshold: float = THRESHOLD) -> int:
+    """Samples that may differ of so many."""
+    return int((1 - threshold) * n + 1e-9)
+
+
+def blocks(n: int, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
+    """Name, start and size of the blocks of a fingerprint of ``n`` samples. Two fingerprints that reach the threshold agree on all of a block of the same name: the shorter one has more blocks than it may have samples that differ.
+
+    Places are cut alike for all lengths, one sample shorter at first, so every beginning has a block to spare. Fingerprints shorter than these first blocks are cut by their own length, and so are the beginnings of those longer ones that may be alike to them."""
+    if threshold < 0.5:
+        raise ValueError("fingerprints meet in blocks for thresholds of at least 0.5")
+    wide = min(int(1 / (1 - threshold) + 1e-9), 16) if threshold < 1 else 16
+    base = wide * (wide - 1)
+    out = []
+    if n >= base:
+        out = [(j, j * (wide - 1), wide - 1) for j in range(wide)] + [(j, base + (j - wide) * wide, wide) for j in range(wide, n // wide + 1)]
+    for p in range(max(1, math.ceil(threshold * n - 1e-9)), min(n, base - 1) + 1):
+        parts = missed(p, threshold) + 1
+        out += [(-1 - p * wide - k, k * p // parts, (k + 1) * p // parts - k * p // parts) for k in range(parts)]
+    return out
+
+
+def band_keys(print_: str, threshold: float = THRESHOLD) -> list[tuple[int, str]]:
+    """Names of blocks and what they hold."""
+    return [(name, print_[at : at + size]) for name, at, size in blocks(len(print_), threshold)]
 
 
 def _symbols(print_: str) -> np.ndarray:
     return np.frombuffer(print_.encode(), np.uint8)
 
 
-def band_keys(print_: str) -> list[int]:
-    """Keys over sampled places of the full octaves, and of one octave fewer, so texts of up to twice the length share keys. A fingerprint under one octave is one key."""
-    x, full = _symbols(print_), len(print_) // SAMPLES
-    if not full:
-        return [int(mix(np.array([len(x), *x], np.uint64)).sum().view(np.int64))] if len(x) else []
-    keys = []
-    for k in {full, max(1, full - 1)}:
-        h = np.full(BANDS, np.uint64(k) << np.uint64(40)) + np.arange(BANDS, dtype=np.uint64)
-        for c in x[_sampled_places(k)].T:
-            h = mix(h * np.uint64(0xD6E8FEB86659FD93) + c.astype(np.uint64))
-        keys += h.view(np.int64).tolist()
-    return keys
+_INDEX = np.zeros(256, np.uint8)
+_INDEX[ALPHABET] = np.arange(64)
+
+
+def sketch(print_: str) -> np.ndarray:
+    """One bit of each sample, folded by parity to ``LONGS`` longs: two sketches differ in no more bits than their fingerprints in samples (those that only one has count)."""
+    bits = (_INDEX[_symbols(print_)] >> (np.arange(len(print_)) % 6).astype(np.uint8)) & 1
+    every = np.zeros(max(1, -(-len(bits) // (64 * LONGS))) * 64 * LONGS, np.uint8)
+    every[: len(bits)] = bits
+    return np.packbits(every.reshape(-1, 64 * LONGS).sum(0).astype(np.uint8) & 1).view(np.int64)
 
 
 def _tokens(print_: str | None) -> np.ndarray:
@@ -233,24 +257,71 @@ PRINTS = Measure(_read, agreement, _tokens, lambda s: s / (2 - s))
 
 def classes(prints: DataFrame, threshold: float = THRESHOLD, space: Workspace | None = None) -> DataFrame:
     """``prints`` (doc_id, fingerprint, ...) with class_id, the least doc_id of the documents that a chain of fingerprints connects, each at least ``threshold`` alike to the next.
-    Fingerprints meet in bands of sampled places and are verified as a whole; large bands are searched as ``dartminhash.joined`` says. Equal fingerprints count as one; the empty text is alike to empty ones only; a null doc_id has no class."""
+    Equal fingerprints count as one; the empty text is alike to empty ones only; a null doc_id has no class."""
     space = space or Workspace(prints.sparkSession)
     name = lambda c: F.unhex(F.md5(F.col(c).cast("binary")))
     rows = prints.withColumn("copy", name("fingerprint"))
 
     def kernel(b: pa.RecordBatch) -> dict:
-        return {"copy": b["copy"], "rep": b["rep"], "text": b["text"], "bands": pa.array([sorted(set(band_keys(t))) for t in b["text"].to_pylist()], pa.list_(pa.int64()))}
+        texts = b["text"].to_pylist()
+        return {"copy": b["copy"], "rep": b["rep"], "text": b["text"], "n": pa.array([len(t) for t in texts], pa.int32()), "sketch": pa.array([sketch(t) for t in texts], pa.list_(pa.int64()))}
 
     one = rows.where("doc_id is not null").groupBy("copy").agg(F.min("doc_id").alias("rep"), F.first("fingerprint").alias("text"))
-    reps = space.written(arrow_map(one, {c: c for c in one.columns}, "copy binary, rep long, text string, bands array<long>", kernel), "reps")
+    reps = space.written(arrow_map(one, {c: c for c in one.columns}, "copy binary, rep long, text string, n int, sketch array<long>", kernel), "reps")
     space.release()
-    named = joined(reps.select("rep", F.lit(0).cast("long").alias("h"), "bands"), reps.select(F.col("rep").alias("doc_id"), F.lit(0).cast("long").alias("h"), "text"), threshold, space, PRINTS)
+    named = linked(reps.select("rep", "text", "n", *(F.col("sketch")[k].alias(f"s{k}") for k in range(LONGS))), threshold, space)
     class_of = reps.select("copy", "rep").join(named.select(F.col("id").alias("rep"), "label"), "rep", "left").select("copy", F.coalesce("label", "rep").alias("class_id"))
     hot = hot_keys(rows.groupBy("copy").agg(F.count("*").alias("n")), ["copy"])
     out = join_one(rows, class_of, ["copy"], hot, "left", by=["doc_id"])
     return out.select(*prints.columns, F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
 
 
+def linked(reps: DataFrame, threshold: float, space: Workspace) -> DataFrame:
+    """(id, label): the least of each fingerprint's (rep, text, n, s0 ...) class. Fingerprints meet in all their ``blocks``, so no link is lost; pairs whose sketches or lengths differ too much are no candidates.
+
+    First all texts of one part of the blocks are compared with their block's pivots, which joins most of each family. Then all blocks are joined with themselves, but only where classes differ, and of the class that most texts of a
+    block have, none is compared with another."""
+    spark = reps.sparkSession
+    lengths = {r["n"]: (r["count"], blocks(r["n"], threshold)) for r in reps.groupBy("n").count().collect()}  # of as many kinds as there are places
+    turns = min(PARTS, 1 + sum(count * len(cuts) for count, cuts in lengths.values()) // AT_ONCE)
+    cut = space.written(spark.createDataFrame([(n, *b) for n, (_, cuts) in lengths.items() for b in cuts], "n int, name int, start int, size int"), "blocks")
+    own = ["rep", "n", *(f"s{k}" for k in range(LONGS))]
+
+    def met(rows: DataFrame, turn: int, turns: int, *more: str) -> DataFrame:
+        part = rows.join(F.broadcast(cut.where(f"pmod(name, {PARTS}) % {turns} = {turn}")), "n")
+        return part.select(F.expr("xxhash64(name, substring(text, start + 1, size))").alias("key"), *own, *more).repartition("key")
+
+    differ = " + ".join(f"bit_count(x.s{k} ^ y.s{k})" for k in range(LONGS))
+    near = F.expr(f"least(x.n, y.n) >= {threshold}D * greatest(x.n, y.n) - 1e-9D and {differ} <= floor({1 - threshold}D * greatest(x.n, y.n) + 1e-9D)")
+    texts = reps.select(F.col("rep").alias("id"), F.lit(0).cast("long").alias("h"), "text")
+    key = Window.partitionBy("key")
+    pivot = lambda *by: F.min(F.struct(F.xxhash64("rep", *by).alias("order"), F.struct(*own).alias("text"))).over(key)["text"]
+    star = met(reps, 0, PARTS).select(F.struct(*own).alias("x"), F.array_distinct(F.array(F.min(F.struct(*own)).over(key), pivot(), pivot("key"))).alias("pivots")).select("x", F.explode("pivots").alias("y"))
+    star = star.where("x.rep <> y.rep").where(near).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    whole = lambda df, *more: df.select("a", F.lit(0).cast("long").alias("h_a"), "b", F.lit(0).cast("long").alias("h_b"), *more)
+    done = space.written(verified(whole(space.written(star, "star")), texts, PRINTS), "verified")
+    space.release()
+    named = components(done.where(F.col("likeness") >= threshold).select("a", "b"), space, "first")
+    labelled = space.written(reps.join(named.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "labelled")
+    space.release()
+    found = []
+    for turn in range(turns):
+        rows = met(labelled, turn, turns, "label")
+        often = F.count("*").over(Window.partitionBy("key", "label"))
+        x = rows.withColumn("often", often).withColumn("main", F.max(F.struct("often", "label")).over(key)["label"]).where("label <> main").alias("x")
+        pairs = x.join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & near)
+        order = F.col("x.rep") < F.col("y.rep")
+        ends = [F.when(order, F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}")).alias(n) for c, names in (("rep", "ab"), ("label", ("label_a", "label_b"))) for n, p, q in zip(names, "xy", "yx", strict=True)]
+        found.append(space.written(pairs.select(*ends).groupBy("a", "b", "label_a", "label_b").agg(F.count("*").alias("shared")), f"maybe-{turn}"))
+        space.release()
+    pairs = reduce(DataFrame.union, found).groupBy("a", "b", "label_a", "label_b").agg(F.sum("shared").alias("shared"))
+    maybe = space.written(whole(pairs, "label_a", "label_b", "shared"), "maybe")
+    for step in ("star", "verified", "labelled", *(f"maybe-{turn}" for turn in range(turns))):
+        space.remove(step)
+    space.release()
+    return named if maybe.isEmpty() else connected(named, maybe, texts, threshold, space, PRINTS)
+
+
 def near(docs: DataFrame, threshold: float = THRESHOLD, space: Workspace | None = None) -> DataFrame:
     """What ``fingerprints`` gives of each document, with its class of near texts."""
     space = space or Workspace(docs.sparkSession)
