@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from vectorloom.functions import lines as L
-from vectorloom.operators import match
+from vectorloom.operators import match, rounds
+from vectorloom.plans import queries
 
 
 def test_greedy_against_fold(spark):
@@ -128,3 +129,24 @@ def test_crowded_cells_split(spark):
     assert deep[1, 0, 0] >= 3 and not any(k == 2 for k, _, _ in deep)
     spread = grid.dealt(df, ["k"], box, 256, grid.levels(df, ["k"], box, 256, 8)).where("k = 1 and id < 1000").groupBy("_level", "_fx", "_fy").count()
     assert spread.count() > 40 and spread.agg(F.max("count")).first()[0] < 60
+
+
+def test_suppressed_boxes_without_their_conflicts(spark, monkeypatch):
+    """Crowds and chains over many cells, against the rounds over all conflicts; what is written grows with the boxes, not with their pairs."""
+    r = random.Random(3)
+    boxes = [("s", i, x, y, x + w, y + h) for i in range(600) for x, y, w, h in [(r.randrange(-300, 900), r.randrange(500), r.randrange(1, 150), r.randrange(1, 90))]]
+    boxes += [("t", i, 5 * i, 0, 5 * i + 40, 30) for i in range(400)] + [("u", i, i % 3, i % 2, 100, 100) for i in range(1500)]
+    df = spark.createDataFrame(boxes, "k string, id long, x0 long, y0 long, x1 long, y1 long")
+    got = {(x["k"], x["id"]) for x in match.suppress_boxes(df, ["k"], 0.5).collect()}
+    want, kept = set(), []
+    for k, i, *b in sorted(boxes, key=lambda x: (-(x[4] - x[2]) * (x[5] - x[3]), -x[1])):
+        over = lambda c: max(0, min(b[2], c[2]) - max(b[0], c[0])) * max(0, min(b[3], c[3]) - max(b[1], c[1]))  # noqa: B023, E731
+        area = lambda c: (c[2] - c[0]) * (c[3] - c[1])
+        if not any(m == k and over(c) / (area(b) + area(c) - over(c)) >= 0.5 for m, c in kept):
+            kept.append((k, b))
+            want.add((k, i))
+    assert got == want and ("u", 1494) in got
+    written, keep = [], rounds.Steps.kept
+    monkeypatch.setattr(rounds.Steps, "kept", lambda self, df, name: (lambda out: written.append(out.count()) or out)(keep(self, df, name)))
+    monkeypatch.setattr(queries, "_boxes", lambda s, d: df.where("k = 'u'").withColumnRenamed("k", "sample_id"))
+    assert queries.dedup_nms(spark, "").count() == 1 and max(written) <= 1500

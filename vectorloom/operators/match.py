@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,3 +145,83 @@ def suppress(features: DataFrame, conflicts: DataFrame, key: list[str], whole: i
         left = steps.kept(left.join(out, [*key, "id"], "left_anti").join(out.withColumnRenamed("id", "lead"), [*key, "lead"], "left_anti"), f"round-{n}")
         steps.drop(f"round-{n - 1}", f"out-{n - 1}")
     return kept.join(gone, [*key, "id"], "left_anti")
+
+
+CORNERS = ("x0", "y0", "x1", "y1")
+
+
+class _Held:
+    """Boxes of a cell that stay, or of which that is not known yet."""
+
+    def __init__(self):
+        self.low, self.n, self.box, self.sure = 0, 0, np.zeros((4, 64), np.int64), np.zeros(64, bool)
+
+    def add(self, box: np.ndarray, sure: bool) -> None:
+        if self.n == len(self.sure):
+            self.box, self.sure = np.concatenate([self.box, self.box], 1), np.concatenate([self.sure, self.sure])
+        self.box[:, self.n], self.sure[self.n] = box, sure
+        self.n += 1
+
+    def foes(self, box: np.ndarray, threshold: float) -> np.ndarray:
+        """Of each box held that overlaps with at least ``threshold``, whether it surely stays. Boxes come by size, so those that are too large for this one are too large for all that follow."""
+        size = (box[2] - box[0]) * (box[3] - box[1])
+        while self.low < self.n and size < threshold * (1 - 1e-9) * (self.box[2, self.low] - self.box[0, self.low]) * (self.box[3, self.low] - self.box[1, self.low]):
+            self.low += 1
+        x0, y0, x1, y1 = self.box[:, self.low : self.n]
+        w, h = np.minimum(x1, box[2]) - np.maximum(x0, box[0]), np.minimum(y1, box[3]) - np.maximum(y0, box[1])
+        at = np.flatnonzero((w > 0) & (h > 0))
+        inter = w[at] * h[at]
+        both = (x1[at] - x0[at]) * (y1[at] - y0[at]) + size
+        return self.sure[self.low + at[inter / (both - inter) >= threshold]]
+
+
+def _settled(key: list[str], threshold: float):
+    """From boxes in the order of cell and rank: ids that their home cell settles, and whether they stay. A box goes if one that surely stays is before it; it stays if none is, none is open, and the cell shows all that could be."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, _Held()
+        for batch in batches:
+            cells = [tuple(r.values()) for r in batch.select([*key, "_cx", "_cy"]).to_pylist()]
+            boxes = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in CORNERS], 1)
+            out, stay = [], []
+            for i, (cell, sure, home, inside) in enumerate(zip(cells, *(batch[c].to_pylist() for c in ("sure", "home", "inside")), strict=True)):
+                if cell != at:
+                    at, held = cell, _Held()
+                if sure:
+                    held.add(boxes[i], True)
+                    continue
+                foes = held.foes(boxes[i], threshold)
+                gone, stays = foes.any(), not len(foes) and inside
+                if not gone:
+                    held.add(boxes[i], stays)
+                if home and (gone or stays):
+                    out.append(i)
+                    stay.append(stays)
+            yield pa.RecordBatch.from_arrays([*batch.select([*key, "id"]).take(pa.array(out, pa.int64())).columns, pa.array(stay, pa.bool_())], [*key, "id", "stay"])
+
+    return run
+
+
+def suppress_boxes(boxes: DataFrame, key: list[str], threshold: float) -> DataFrame:
+    """``suppress`` for axis-parallel boxes of whole numbers (key, id, x0, y0, x1, y1) that conflict where they overlap with at least ``threshold`` (over 0), without a table of conflicts, which grows with the square of a crowd.
+
+    Boxes go to all cells that they come near, and stream through each in the order of rank, to be compared only with those that stay: of these no place has many. Near a cell's border it may be open whether a box stays; what the boxes'
+    home cells leave open goes into another round with those that stay. The first of all open boxes is settled in any round."""
+    steps = Steps(boxes.sparkSession)
+    live = steps.kept(boxes.select(*key, "id", *(F.col(c).cast("long").alias(c) for c in CORNERS), F.lit(False).alias("sure")), "live-0")
+    reach = live.agg(F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0] or 1
+    cell = 2 * max(128, reach)
+    low, high = (lambda c: F.floor((F.col(c) - reach) / cell)), (lambda c: F.floor((F.col(c) + reach) / cell))
+    span = lambda c, lo, hi: (F.col(lo) >= F.col(c) * cell - reach) & (F.col(hi) <= (F.col(c) + 1) * cell + reach)
+    n = 0
+    while True:
+        dealt = live.withColumn("_cx", F.explode(F.sequence(low("x0"), high("x1")))).withColumn("_cy", F.explode(F.sequence(low("y0"), high("y1"))))
+        dealt = dealt.withColumn("home", (F.floor(F.col("x0") / cell) == F.col("_cx")) & (F.floor(F.col("y0") / cell) == F.col("_cy"))).withColumn("inside", span("_cx", "x0", "x1") & span("_cy", "y0", "y1"))
+        size = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+        rows = dealt.repartition(*key, "_cx", "_cy").sortWithinPartitions(*key, "_cx", "_cy", size.desc(), F.desc("id"))
+        done = steps.kept(rows.mapInArrow(_settled(key, threshold), boxes.select(*key, "id").withColumn("stay", F.lit(True)).schema), f"done-{n}")
+        n += 1
+        live = steps.kept(live.join(done, [*key, "id"], "left").where(F.coalesce("stay", F.lit(True))).withColumn("sure", F.col("sure") | F.coalesce("stay", F.lit(False))).drop("stay"), f"live-{n}")
+        steps.drop(f"live-{n - 1}", f"done-{n - 1}")
+        if live.where("not sure").isEmpty():
+            return live.select(*key, "id")
