@@ -150,3 +150,21 @@ def test_suppressed_boxes_without_their_conflicts(spark, monkeypatch):
     monkeypatch.setattr(rounds.Steps, "kept", lambda self, df, name: (lambda out: written.append(out.count()) or out)(keep(self, df, name)))
     monkeypatch.setattr(queries, "_boxes", lambda s, d: df.where("k = 'u'").withColumnRenamed("k", "sample_id"))
     assert queries.dedup_nms(spark, "").count() == 1 and max(written) <= 1500
+
+
+def test_boxes_matched_without_all_their_pairs(spark, monkeypatch):
+    """By tiers of likeness as over all pairs; a crowd's pairs are never written as a whole, nor joined again for their corners."""
+    r = random.Random(4)
+    boxes = [(0, i, x, y, x + w, y + h) for i in range(260) for x, y, w, h in [(r.randrange(120), r.randrange(90), r.randrange(20, 90), r.randrange(20, 60))]]
+    df = spark.createDataFrame(boxes, "k long, id long, x0 long, y0 long, x1 long, y1 long")
+    moved = df.withColumns({c: F.col(c) + F.col("id") % 7 for c in ("x0", "x1")}).where("id % 9 > 0")
+    every = match.box_pairs(moved, df, ["k"], 0.3)
+    rows = lambda x: {tuple(v) for v in x.select("k", "pred", "gt", F.round("iou", 9)).collect()}
+    want = rows(match.greedy(every, ["k"], [-F.round("iou", 9)], carry=["iou"]))
+    written, keep = [], rounds.Steps.kept
+    monkeypatch.setattr(rounds.Steps, "kept", lambda self, x, name: (lambda out: written.append(out.count()) or out)(keep(self, x, name)))
+    assert rows(match.greedy_boxes(moved, df, ["k"], 0.3)) == want
+    assert max(written) < every.count() / 4
+    monkeypatch.setattr(queries, "_boxes", lambda s, d, shift=0: (moved if shift else df).withColumnRenamed("k", "sample_id"))
+    plan = queries.polygon_iou_kernel(spark, "")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1

@@ -45,6 +45,46 @@ def box_pairs(left: DataFrame, right: DataFrame, key: list[str], threshold: floa
     return p.select(*key, a, b, (F.col("inter") / (size(a) + size(b) - F.col("inter"))).alias("iou"), *(carry or [])).where(F.col("iou") >= threshold)
 
 
+#: Likenesses from which on pairs of boxes are matched, one after the other.
+TIERS = (0.98, 0.95, 0.9, 0.8, 0.65, 0.5)
+
+
+def alike_boxes(left: DataFrame, right: DataFrame, key: list[str], threshold: float) -> DataFrame:
+    """``box_pairs`` for high thresholds. Corners and extents of boxes that are so alike lie within a share of the left one's extent of one another, so boxes meet in cells of corner and extent; where many boxes overlap, few are alike."""
+    share = (1 - threshold) / threshold + 1e-9
+    wide = right.agg(F.avg(F.col("x1") - F.col("x0")).alias("w"), F.avg(F.col("y1") - F.col("y0")).alias("h")).first()
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    sides = [(F.col("x0"), w, max(1.0, 4 * share * (wide["w"] or 1))), (F.col("y0"), h, max(1.0, 4 * share * (wide["h"] or 1)))]
+    corners = ("x0", "y0", "x1", "y1")
+    dealt = lambda df, n: df.select(*key, F.col("id").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in corners), *(f"_{k}" for k in range(4)))
+    a, b = left, right
+    for k, (at, extent, cell) in enumerate(sides):
+        for j, v in enumerate((at, extent)):
+            a = a.withColumn(f"_{2 * k + j}", F.explode(F.sequence(F.floor((v - share * extent) / cell), F.floor((v + share * extent) / cell))))
+            b = b.withColumn(f"_{2 * k + j}", F.floor(v / cell))
+    p = dealt(a, "pred").join(dealt(b, "gt"), [*key, *(f"_{k}" for k in range(4))])
+    low, high = (lambda c: F.greatest(f"pred_{c}", f"gt_{c}")), (lambda c: F.least(f"pred_{c}", f"gt_{c}"))
+    pw, ph = high("x1") - low("x0"), high("y1") - low("y0")
+    size = lambda n: (F.col(f"{n}_x1") - F.col(f"{n}_x0")) * (F.col(f"{n}_y1") - F.col(f"{n}_y0"))
+    p = p.withColumn("inter", F.when((pw > 0) & (ph > 0), pw * ph).otherwise(0))
+    return p.select(*key, "pred", "gt", (F.col("inter") / (size("pred") + size("gt") - F.col("inter"))).alias("iou")).where(F.col("iou") >= threshold)
+
+
+def greedy_boxes(pred: DataFrame, gt: DataFrame, key: list[str], threshold: float, digits: int = 9) -> DataFrame:
+    """``greedy`` over all ``box_pairs`` by iou (rounded to ``digits``), descending, without a table of all pairs: the most alike ones are matched first, and only boxes that they leave free are paired from the next lower likeness on."""
+    steps = Steps(pred.sparkSession)
+    free, taken = {"pred": pred, "gt": gt}, None
+    for n, tier in enumerate([*(t for t in TIERS if t > threshold), threshold]):
+        last = tier == threshold
+        pairs = box_pairs(free["pred"], free["gt"], key, tier) if last else alike_boxes(free["pred"], free["gt"], key, tier - 10.0**-digits).where(F.round("iou", digits) >= tier)
+        taken = steps.append(greedy(pairs, key, [-F.round("iou", digits)], carry=["iou"]), "taken")
+        if not last:
+            old = free
+            free = {s: steps.kept(df.join(taken.select(*key, F.col(s).alias("id")), [*key, "id"], "left_anti"), f"{s}-{n}") for s, df in old.items()}
+            steps.drop(*(f"{s}-{n - 1}" for s in free))
+    return taken
+
+
 def ring_area(rings: Column) -> Column:
     """Area of a polygon: its outer ring's without its holes'."""
     areas = F.transform(rings, L.area)
