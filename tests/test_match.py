@@ -168,3 +168,33 @@ def test_boxes_matched_without_all_their_pairs(spark, monkeypatch):
     monkeypatch.setattr(queries, "_boxes", lambda s, d, shift=0: (moved if shift else df).withColumnRenamed("k", "sample_id"))
     plan = queries.polygon_iou_kernel(spark, "")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join Inner") == 1
+
+
+def test_near_duplicates_meet_by_properties(spark):
+    """A crowd in one place under names of its own has no candidates; equal properties meet, however they are written."""
+    from vectorloom.functions import props as P
+    from vectorloom.plans import jobs
+
+    raster = spark.createDataFrame([(1, 1.0, 0.0, -1.0, 0.0)], "sample_id long, a double, c double, e double, f double")
+    texts = [f'{{"Id":"L{i}"}}' for i in range(30)] + ['{"Id":"L0"}', '{ "Id" : "L1" }', '{"n":1,"Id":"x"}', '{"Id":"x","n":1.0}', '{"v":"1.5"}', '{"v":1.5}', "[1]", "[1]", None, None]
+    square = [(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0)]
+    point = "array<struct<x:double,y:double>>"
+    df = spark.createDataFrame([(1, i, t, square, [square]) for i, t in enumerate(texts)], f"sample_id long, id long, props string, line {point}, rings array<{point}>")
+    seen = []
+    real = match.suppress
+
+    def told(features, conflicts, key, whole=match.WHOLE):
+        seen.append(conflicts.count())
+        return real(features, conflicts, key, whole)
+
+    match.suppress = told
+    try:
+        for out in (jobs.dedup_areas(df, raster, 0.5), jobs.dedup_lines(df, raster, 1.0)):
+            assert sorted(r["id"] for r in out.select("id").collect()) == [*range(2, 32), 33, *range(35, 40)]
+    finally:
+        match.suppress = real
+    assert seen == [4, 4]
+    rows = df.select("id", P.props_bucket("props").alias("b"), "props")
+    pairs = rows.alias("x").crossJoin(rows.alias("y")).where(P.props_equal(F.col("x.props"), F.col("y.props")))
+    assert pairs.where("not (x.b <=> y.b) or x.b is null").count() == 0
+    assert rows.where("b is not null").select("b").distinct().count() == 32

@@ -197,6 +197,14 @@ def props_equal(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), F.lit(None).cast("boolean")).otherwise(typed)
 
 
+def props_bucket(props: Column) -> Column:
+    """A hash that is equal for objects that ``props_equal`` takes for equal: of their names, and of texts that are no number, which are equal only to themselves. Null for what is no object, as that equals nothing."""
+    members = F.try_variant_get(F.try_parse_json(props), F.lit("$"), "map<string,variant>")
+    number = lambda v: F.try_variant_get(v, F.lit("$"), "double")
+    told = F.transform(F.map_entries(members), lambda e: F.struct(e["key"].alias("k"), F.when((F.schema_of_variant(e["value"]) == "STRING") & number(e["value"]).isNull(), F.to_json(e["value"])).alias("v")))
+    return F.when(members.isNotNull(), F.xxhash64(F.to_json(F.array_sort(told))))
+
+
 def fixed(x: Column, places: int) -> Column:
     """Decimal text with half-even ties, as in most languages' formatting."""
     scale = 10**places

@@ -11,7 +11,7 @@ from ..functions import lines as L
 from ..functions import prompts
 from ..functions import props as P
 from ..operators import match, metrics, prepare
-from ..operators.rounds import Steps
+from ..operators.rounds import Steps, settled
 from ..sources import config as C
 from ..sources import exports, geojson
 from ..streaming import tiled
@@ -63,6 +63,11 @@ def predict(answers: DataFrame, tiles: DataFrame, rasters: DataFrame, name: str,
     return Prediction(per_tile, merged, final, prepare.state(memory, strips, least, interval, most))
 
 
+def _bucketed(world: DataFrame) -> DataFrame:
+    """Features with the bucket of their properties: only within one can two be near-duplicates, so what lies in one place under names of its own meets nothing. Kept as a step, as plans that repeat the geometry compute it for every use."""
+    return settled(world.withColumn("bucket", P.props_bucket(F.col("props"))))
+
+
 def _without(features: DataFrame, world: DataFrame, size: DataFrame, pairs: DataFrame) -> DataFrame:
     """``features`` without those that a larger one with equal properties makes a near-duplicate (``pairs``: sample_id, a, b). A sample with at most one sound geometry (``world``) keeps all its rows; otherwise unsound ones go."""
     side = lambda n: world.select("sample_id", F.col("id").alias(n), F.col("props").alias(f"props_{n}"))
@@ -75,18 +80,20 @@ def _without(features: DataFrame, world: DataFrame, size: DataFrame, pairs: Data
 
 def dedup_lines(features: DataFrame, rasters: DataFrame, distance: float = 1.0) -> DataFrame:
     """Features (sample_id, id, props, line in pixels) without near-duplicates: of lines with equal properties within ``distance`` metres (Hausdorff), the longest stays, of equally long ones the last."""
-    world = prepare.to_world(features, rasters)
+    world = _bucketed(prepare.to_world(features, rasters))
     # world coordinates are large, so equal lengths differ in their last digits
     size = world.select("sample_id", "id", F.round(L.length(F.col("line")), 6).alias("size"))
-    return _without(features, world, size, match.line_pairs(world, world, ["sample_id"], distance, ("a", "b")))
+    alike = world.where("bucket is not null")
+    return _without(features, world, size, match.line_pairs(alike, alike, ["sample_id", "bucket"], distance, ("a", "b")))
 
 
 def dedup_areas(features: DataFrame, rasters: DataFrame, iou: float = 0.5, cell: float = 64.0) -> DataFrame:
     """Features (sample_id, id, props, line and rings in pixels) without near-duplicates: of polygons with equal properties that overlap with at least ``iou``, the largest stays, of equally large ones the last."""
-    world = prepare.to_world(features, rasters, 3)
+    world = _bucketed(prepare.to_world(features, rasters, 3))
     # world coordinates are large, so equal areas differ in their last digits
     size = world.select("sample_id", "id", F.round(match.ring_area(F.col("rings")), 3).alias("size"))
-    return _without(features, world, size, match.polygon_pairs(world, world, ["sample_id"], iou, ("a", "b"), cell))
+    alike = world.where("bucket is not null")
+    return _without(features, world, size, match.polygon_pairs(alike, alike, ["sample_id", "bucket"], iou, ("a", "b"), cell))
 
 
 def _evaluated(p: DataFrame, g: DataFrame, pairs: DataFrame, order: list, carry: list[str], tiles: DataFrame, scores) -> DataFrame:
