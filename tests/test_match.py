@@ -198,3 +198,35 @@ def test_near_duplicates_meet_by_properties(spark):
     pairs = rows.alias("x").crossJoin(rows.alias("y")).where(P.props_equal(F.col("x.props"), F.col("y.props")))
     assert pairs.where("not (x.b <=> y.b) or x.b is null").count() == 0
     assert rows.where("b is not null").select("b").distinct().count() == 32
+
+
+def test_polygons_in_tiers(spark, monkeypatch):
+    """Pairs at every threshold are those of plain Python, tiers match as all pairs do, and of slanting ribbons that crowd only those whose centres are near are swept."""
+    from vectorloom.functions import polygons
+
+    point = "array<struct<x:double,y:double>>"
+    made = lambda rows: spark.createDataFrame([(1, i, x) for i, x in enumerate(rows)], f"k long, id long, rings array<{point}>")
+    r = random.Random(8)
+
+    def shape():
+        x, y, w, h, s = r.uniform(0, 30), r.uniform(0, 30), r.uniform(20, 30), r.uniform(20, 30), r.uniform(-8, 8)
+        ring = [(x, y), (x + w, y + s), (x + w, y + s + h), (x + w / 2, y + h), (x, y + h)]
+        hole = [(x + 4, y + 9), (x + 8, y + 9), (x + 8, y + 11)]
+        return [ring, hole] if r.random() < 0.2 else [ring[::-1] if r.random() < 0.5 else ring]
+
+    left, right = [shape() for _ in range(50)], [shape() for _ in range(50)]
+    right[:10] = [[[(x + 0.5 * (i % 3), y) for x, y in ring] for ring in left[i]] for i in range(10)]
+    every = {(i, j): polygons.iou(a, b) for i, a in enumerate(left) for j, b in enumerate(right)}
+    for threshold in (0.3, 0.7, 0.95):
+        got = {(p, g): iou for _, p, g, iou in match.polygon_pairs(made(left), made(right), ["k"], threshold, cell=16.0).collect()}
+        assert got.keys() == {k for k, v in every.items() if v >= threshold}
+        assert all(abs(every[k] - v) < 1e-9 for k, v in got.items())
+    want, used = set(), set()
+    for _, p, g in sorted((-round(v, 9), *k) for k, v in every.items() if v >= 0.3):
+        if ("p", p) not in used and ("g", g) not in used:
+            used |= {("p", p), ("g", g)}
+            want.add((p, g))
+    assert {(x["pred"], x["gt"]) for x in match.greedy_polygons(made(left), made(right), ["k"], 0.3).collect()} == want
+    ribbons = [[[(0.0, 2.0 * i), (100.0, 100.0 + 2 * i), (100.0, 104.0 + 2 * i), (0.0, 4.0 + 2 * i)]] for i in range(100)]
+    monkeypatch.setattr(polygons, "iou_column", lambda a, b: F.lit(1.0))
+    assert match.polygon_pairs(made(ribbons), made(ribbons), ["k"], 0.9).count() < 2200

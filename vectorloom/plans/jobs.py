@@ -96,8 +96,7 @@ def dedup_areas(features: DataFrame, rasters: DataFrame, iou: float = 0.5, cell:
     return _without(features, world, size, match.polygon_pairs(alike, alike, ["sample_id", "bucket"], iou, ("a", "b"), cell))
 
 
-def _evaluated(p: DataFrame, g: DataFrame, pairs: DataFrame, order: list, carry: list[str], tiles: DataFrame, scores) -> DataFrame:
-    taken = match.greedy(pairs, ["sample_id"], order, carry=carry)
+def _evaluated(p: DataFrame, g: DataFrame, taken: DataFrame, tiles: DataFrame, scores) -> DataFrame:
     side = lambda df, n: df.select("sample_id", F.col("id").alias(n), F.col("props").alias(f"props_{n}"))
     matches = taken.join(side(p, "pred"), ["sample_id", "pred"]).join(side(g, "gt"), ["sample_id", "gt"]).withColumn("same_props", P.props_equal(F.col("props_pred"), F.col("props_gt")))
     rates = metrics.parse_rates(tiles, ["sample_id"]).select("sample_id", F.col("rate").alias("parse_ok_rate"))
@@ -108,13 +107,14 @@ def evaluate(pred: DataFrame, gt: DataFrame, rasters: DataFrame, tiles: DataFram
     """The lane measures of each sample that has ground truth (sample_id, id, props, line in pixels), with parse_ok_rate: predictions and ground truth match one to one within ``distance`` metres."""
     p, g = prepare.to_world(pred, rasters), prepare.to_world(gt, rasters)
     order = [F.round("distance", 6), F.round("endpoint_error", 6)]
-    return _evaluated(p, g, match.line_pairs(p, g, ["sample_id"], distance), order, ["distance", "endpoint_error"], tiles, metrics.lane_scores)
+    taken = match.greedy(match.line_pairs(p, g, ["sample_id"], distance), ["sample_id"], order, carry=["distance", "endpoint_error"])
+    return _evaluated(p, g, taken, tiles, metrics.lane_scores)
 
 
 def evaluate_areas(pred: DataFrame, gt: DataFrame, rasters: DataFrame, tiles: DataFrame, iou: float = 0.3, cell: float = 64.0) -> DataFrame:
     """The polygon measures of each sample that has ground truth (sample_id, id, props, line and rings in pixels), with parse_ok_rate: predictions and ground truth match one to one where they overlap with at least ``iou``."""
-    p, g = prepare.to_world(pred, rasters, 3), prepare.to_world(gt, rasters, 3)
-    return _evaluated(p, g, match.polygon_pairs(p, g, ["sample_id"], iou, cell=cell), [-F.round("iou", 9)], ["iou"], tiles, metrics.polygon_scores)
+    p, g = settled(prepare.to_world(pred, rasters, 3)), settled(prepare.to_world(gt, rasters, 3))
+    return _evaluated(p, g, match.greedy_polygons(p, g, ["sample_id"], iou, cell), tiles, metrics.polygon_scores)
 
 
 def report(scores: DataFrame) -> DataFrame:
