@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +98,21 @@ def test_draws_follow_their_shares(spark):
         assert all(abs(n[t] / 20_000 - e[t] / sum(e.values())) < 0.015 for t in e)
     draw = lambda seed: sorted(map(tuple, tokens.chosen(df.where("k < 50"), ["k"], k=3, seed=seed).collect()))
     assert draw(1) == draw(1) != draw(2)
+
+
+def test_long_sequences_are_decoded_in_spans(spark):
+    """Noise of all kinds gives the same items in spans as whole, and no call sees more than a span's tokens."""
+    r = random.Random(8)
+    item = lambda: [T["obj"], T["line"], T["src_local"], T["cut_in_none"], T["cut_out_none"], *(v for _ in range(3) for v in (T["pt"], tokens.COORD + r.randrange(BINS), tokens.COORD + r.randrange(BINS))), T["prop"], *b'{"a":1}', T["prop_end"], T["obj_end"]]
+    noise = lambda ids: [t for t in ids if r.random() > 0.03 for t in ([t, r.choice((tokens.PAD, T["obj"], T["obj_end"], T["prop"]))] if r.random() < 0.03 else [t])]
+    whole = [sum((item() for _ in range(40)), [T["map_bos"]]) for _ in range(12)]
+    rows = [*whole[:2], *(noise(w) for w in whole[2:]), whole[0][:300] + [tokens.EOS] + whole[0][300:], [], [5, 6], [T["obj"]] * 300]
+    for ids in rows:
+        assert sum((tokens.decode(s, "linestring", 2, 256, BINS)[0] for s in tokens.spans(np.array(ids, np.int32), 50)), []) == tokens.decode(ids, "linestring", 2, 256, BINS)[0]
+    df = spark.createDataFrame(list(enumerate(rows)), "k int, ids array<int>")
+    got = {x["k"]: x for x in tokens.decode_items(df, ["k"], "linestring", 2, 256, BINS).collect()}
+    for k, ids in enumerate(rows):
+        items, saw = tokens.decode(ids, "linestring", 2, 256, BINS)
+        assert (got[k]["n_items"], got[k]["saw_object"], got[k]["first_props"]) == (len(items), saw, items[0]["props"] if items else None)
+        assert [[(p["x"], p["y"]) for p in i["points"]] for i in got[k]["items"]] == [i["points"] for i in items]
+    assert max(len(s) for s in tokens.spans(np.array(sum(whole, []), np.int32), 50)) <= 100

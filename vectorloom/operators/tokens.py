@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,20 +124,60 @@ def _partition(seq: list[int], mark: int) -> tuple[list[int], bool, list[int]]:
     return (seq[: (i := seq.index(mark))], True, seq[i + 1 :]) if mark in seq else (seq, False, [])
 
 
-def decode_items(coded: DataFrame, key: list[str], geometry: str, least: int, size: int, bins: int) -> DataFrame:
-    """key, n_items, saw_object, first_props, items (struct array of cut_in, cut_out, source, props, points)."""
-    kind = "array<struct<cut_in:string,cut_out:string,source:string,props:string,points:array<struct<x:double,y:double>>>>"
-    schema = ", ".join(f"{k} {coded.schema[k].dataType.simpleString()}" for k in key) + f", n_items long, saw_object boolean, first_props string, items {kind}"
+#: Tokens that are decoded at once.
+AT_ONCE = 1 << 16
+
+
+def spans(ids: np.ndarray, most: int = AT_ONCE) -> Iterator[list[int]]:
+    """A sequence up to its end in spans of about ``most`` tokens. They are cut behind ends of objects, where no object is open, so what ``decode`` finds in the spans is what it finds in the whole."""
+    at = 0
+    while at < len(ids):
+        stop = at + most
+        while stop < len(ids) and not (ids[at:stop] == TOKEN["obj_end"]).any():
+            stop += most
+        part = ids[at:stop]
+        if stop < len(ids):
+            part = part[: np.flatnonzero(part == TOKEN["obj_end"])[-1] + 1]
+        last = np.flatnonzero(part == EOS)
+        yield (part[: last[0]] if len(last) else part).tolist()
+        if len(last):
+            return
+        at += len(part)
+
+
+_ITEM = "cut_in string, cut_out string, source string, props string, points array<struct<x:double,y:double>>"
+
+
+def decode_objects(coded: DataFrame, key: list[str], geometry: str, least: int, size: int, bins: int) -> DataFrame:
+    """key, _row (a number of the sequence), _place, saw_object and the item: a row an item, and one without an item (_place null) a span. Python holds a span's tokens and items, not a sequence's."""
+    schema = ", ".join(f"{k} {coded.schema[k].dataType.simpleString()}" for k in key) + f", _row long, _place long, saw_object boolean, {_ITEM}"
+    points = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
 
     def run(batches):
         for b in batches:
-            rows = [decode(ids, geometry, least, size, bins) for ids in b["ids"].to_pylist()]
-            items = [[{"cut_in": i["cut_in"], "cut_out": i["cut_out"], "source": i["source"], "props": i["props"], "points": [{"x": x, "y": y} for x, y in i["points"]]} for i in r[0]] for r in rows]
-            point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
-            typ = pa.list_(pa.struct([("cut_in", pa.string()), ("cut_out", pa.string()), ("source", pa.string()), ("props", pa.string()), ("points", pa.list_(point))]))
-            yield pa.RecordBatch.from_pydict({k: b[k] for k in key} | {"n_items": pa.array([len(r[0]) for r in rows], pa.int64()), "saw_object": pa.array([r[1] for r in rows], pa.bool_()), "first_props": pa.array([r[0][0]["props"] if r[0] else None for r in rows], pa.string()), "items": pa.array(items, typ)})
+            column = b["ids"]
+            for r in range(b.num_rows):
+                ids = column[r].values
+                place = 0
+                for span in spans(ids.to_numpy(zero_copy_only=False)) if ids is not None and len(ids) else [[]]:
+                    items, saw = decode(span, geometry, least, size, bins)
+                    n = len(items) + 1
+                    texts = {c: pa.array([i[c] for i in items] + [None], pa.string()) for c in ("cut_in", "cut_out", "source", "props")}
+                    shapes = pa.array([[{"x": x, "y": y} for x, y in i["points"]] for i in items] + [None], points)
+                    own = {k: b[k].take(pa.array(np.full(n, r))) for k in (*key, "_row")}
+                    yield pa.RecordBatch.from_pydict(own | {"_place": pa.array([*range(place, place + n - 1), None], pa.int64()), "saw_object": pa.array([saw] * n)} | texts | {"points": shapes})
+                    place += n - 1
+
+    return coded.select(*key, "ids").withColumn("_row", F.monotonically_increasing_id()).select(*key, "_row", "ids").mapInArrow(run, schema)
 
-    return coded.select(*key, "ids").mapInArrow(run, schema)
+
+def decode_items(coded: DataFrame, key: list[str], geometry: str, least: int, size: int, bins: int) -> DataFrame:
+    """key, n_items, saw_object, first_props, items (struct array of cut_in, cut_out, source, props, points), a row a sequence."""
+    item = F.struct("cut_in", "cut_out", "source", "props", "points")
+    listed = F.array_sort(F.collect_list(F.when(F.col("_place").isNotNull(), F.struct("_place", item.alias("item")))))
+    rows = decode_objects(coded, key, geometry, least, size, bins).groupBy(*key, "_row")
+    out = rows.agg(F.count("_place").alias("n_items"), F.max("saw_object").alias("saw_object"), F.min(F.when(F.col("_place") == 0, F.col("props"))).alias("first_props"), listed.alias("items"))
+    return out.select(*key, "n_items", "saw_object", "first_props", F.transform("items", lambda x: x["item"]).alias("items"))
 
 
 #: For each state the classes of tokens that may follow and the state that they lead to. ``done`` needs the least number of points.
