@@ -9,8 +9,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from vectorloom.llm import crf, dartminhash, decontam, editprint, queries, secrets, spm, substrings, textcore, tokencounts, toolchat, toxicity, warc
+from vectorloom.llm import crf, dartminhash, decontam, editprint, queries, secrets, spm, storage, substrings, textcore, tokencounts, toolchat, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -282,6 +283,19 @@ def test_edit_links_at_the_threshold(spark):
     assert got == linked(len(prints), alike)
 
 
+def test_texts_that_agree_on_many_blocks_meet_once(spark, monkeypatch):
+    """A crowd with one beginning and ends of their own: no links, and no pair of them is looked at once a block that it shares."""
+    r = random.Random(7)
+    symbols = editprint.ALPHABET.tobytes().decode()
+    same = "".join(r.choice(symbols) for _ in range(140))
+    prints = [same + "".join(r.choice(symbols) for _ in range(60)) for _ in range(60)]
+    seen, keep = [], storage.Workspace.written
+    monkeypatch.setattr(storage.Workspace, "written", lambda self, df, name, *more: (lambda out: (seen.append(out.agg(F.sum("shared")).first()[0] or 0) if name.startswith("maybe-") else None) or out)(keep(self, df, name, *more)))
+    got = {x["doc_id"]: x["class_id"] for x in editprint.classes(spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string")).collect()}
+    assert got == {i: i for i in range(60)}
+    assert seen and sum(seen) <= 60 * 59 // 2
+
+
 def test_token_ids_of_long_white_space():
     e = tokencounts.encoder(tokencounts.default_vocabulary())
     for t in ("a" + " " * 20000 + "b", "a" + "\n" * 20000, " " * 12000 + "\n x", "x" + "\t" * 12001 + "\xa0y " + "\u3000" * 10000, "\u2028" * 10000 + "z"):

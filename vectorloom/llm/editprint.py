@@ -184,12 +184,16 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 
 
 THRESHOLD = 0.8
-#: Parts of the blocks. Of many keys each part meets in a turn of its own, so that only so much is shuffled at once; the first part also joins most of each family.
-PARTS = 8
+#: Parts of the blocks. Of many keys each part meets in a turn of its own, so that only so much is shuffled at once.
+PARTS = 16
+#: One block in so many serves to join most of each family before all blocks meet.
+STAR = 8
+#: Texts of a block's main class with which those of other classes are compared first.
+MAIN = 4
 #: Keys for which one turn does.
-AT_ONCE = 1_000_000
-#: Longs of a sketch.
-LONGS = 6
+AT_ONCE = 1_500_000
+#: Longs of a sketch, and sketches of a fingerprint.
+LONGS, PLANES = 6, 2
 
 
 def missed(n: int, threshold: float = THRESHOLD) -> int:
@@ -214,6 +218,16 @@ def blocks(n: int, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
     return out
 
 
+def preceded(cuts: list[tuple[int, int, int]]) -> list[tuple]:
+    """The blocks, each with start and size of the one before it in its cut (none before the first). All fingerprints that have a block have the one before it."""
+    ends = {(name < 0, start + size): (start, size) for name, start, size in cuts if name >= 0}
+    out = []
+    for at, (name, start, size) in enumerate(cuts):
+        before = ends.get((False, start)) if name >= 0 else cuts[at - 1][1:] if start else None
+        out.append((name, start, size, *(before or (None, None))))
+    return out
+
+
 def band_keys(print_: str, threshold: float = THRESHOLD) -> list[tuple[int, str]]:
     """Names of blocks and what they hold."""
     return [(name, print_[at : at + size]) for name, at, size in blocks(len(print_), threshold)]
@@ -227,9 +241,10 @@ _INDEX = np.zeros(256, np.uint8)
 _INDEX[ALPHABET] = np.arange(64)
 
 
-def sketch(print_: str) -> np.ndarray:
-    """One bit of each sample, folded by parity to ``LONGS`` longs: two sketches differ in no more bits than their fingerprints in samples (those that only one has count)."""
-    bits = (_INDEX[_symbols(print_)] >> (np.arange(len(print_)) % 6).astype(np.uint8)) & 1
+def sketch(print_: str, plane: int = 0) -> np.ndarray:
+    """One bit of each sample, another one in each of the ``PLANES``, folded by parity to ``LONGS`` longs: two sketches differ in no more bits than their fingerprints in samples (those that only one has count), and so do all planes
+    together, as a bit's place stands for the same samples in each."""
+    bits = (_INDEX[_symbols(print_)] >> ((np.arange(len(print_)) + 3 * plane) % 6).astype(np.uint8)) & 1
     every = np.zeros(max(1, -(-len(bits) // (64 * LONGS))) * 64 * LONGS, np.uint8)
     every[: len(bits)] = bits
     return np.packbits(every.reshape(-1, 64 * LONGS).sum(0).astype(np.uint8) & 1).view(np.int64)
@@ -264,12 +279,12 @@ def classes(prints: DataFrame, threshold: float = THRESHOLD, space: Workspace |
 
     def kernel(b: pa.RecordBatch) -> dict:
         texts = b["text"].to_pylist()
-        return {"copy": b["copy"], "rep": b["rep"], "text": b["text"], "n": pa.array([len(t) for t in texts], pa.int32()), "sketch": pa.array([sketch(t) for t in texts], pa.list_(pa.int64()))}
+        return {"copy": b["copy"], "rep": b["rep"], "text": b["text"], "n": pa.array([len(t) for t in texts], pa.int32()), "sketch": pa.array([np.concatenate([sketch(t, p) for p in range(PLANES)]) for t in texts], pa.list_(pa.int64()))}
 
     one = rows.where("doc_id is not null").groupBy("copy").agg(F.min("doc_id").alias("rep"), F.first("fingerprint").alias("text"))
     reps = space.written(arrow_map(one, {c: c for c in one.columns}, "copy binary, rep long, text string, n int, sketch array<long>", kernel), "reps")
     space.release()
-    named = linked(reps.select("rep", "text", "n", *(F.col("sketch")[k].alias(f"s{k}") for k in range(LONGS))), threshold, space)
+    named = linked(reps.select("rep", "text", "n", *(F.col("sketch")[k].alias(f"s{k}") for k in range(LONGS * PLANES))), threshold, space)
     class_of = reps.select("copy", "rep").join(named.select(F.col("id").alias("rep"), "label"), "rep", "left").select("copy", F.coalesce("label", "rep").alias("class_id"))
     hot = hot_keys(rows.groupBy("copy").agg(F.count("*").alias("n")), ["copy"])
     out = join_one(rows, class_of, ["copy"], hot, "left", by=["doc_id"])
@@ -279,44 +294,70 @@ def classes(prints: DataFrame, threshold: float = THRESHOLD, space: Workspace |
 def linked(reps: DataFrame, threshold: float, space: Workspace) -> DataFrame:
     """(id, label): the least of each fingerprint's (rep, text, n, s0 ...) class. Fingerprints meet in all their ``blocks``, so no link is lost; pairs whose sketches or lengths differ too much are no candidates.
 
-    First all texts of one part of the blocks are compared with their block's pivots, which joins most of each family. Then all blocks are joined with themselves, but only where classes differ, and of the class that most texts of a
-    block have, none is compared with another."""
+    First the texts of a part of the blocks are compared with their block's pivots, then, in another part, those of other classes with some of the block's main class, the one that most of its texts have: that joins most of each family.
+    Then all blocks are joined with themselves, but only where classes differ, and none of the main class is compared with another. Two texts that agree on a row of blocks meet at the first of the row only, so where most texts of a block
+    also share the one before it, these are not compared either."""
     spark = reps.sparkSession
     lengths = {r["n"]: (r["count"], blocks(r["n"], threshold)) for r in reps.groupBy("n").count().collect()}  # of as many kinds as there are places
     turns = min(PARTS, 1 + sum(count * len(cuts) for count, cuts in lengths.values()) // AT_ONCE)
-    cut = space.written(spark.createDataFrame([(n, *b) for n, (_, cuts) in lengths.items() for b in cuts], "n int, name int, start int, size int"), "blocks")
-    own = ["rep", "n", *(f"s{k}" for k in range(LONGS))]
+    cut = space.written(spark.createDataFrame([(n, *b) for n, (_, cuts) in lengths.items() for b in preceded(cuts)], "n int, name int, start int, size int, start_before int, size_before int"), "blocks")
+    own = ["rep", "n", *(f"s{k}" for k in range(LONGS * PLANES))]
 
-    def met(rows: DataFrame, turn: int, turns: int, *more: str) -> DataFrame:
-        part = rows.join(F.broadcast(cut.where(f"pmod(name, {PARTS}) % {turns} = {turn}")), "n")
-        return part.select(F.expr("xxhash64(name, substring(text, start + 1, size))").alias("key"), *own, *more).repartition("key")
+    def met(rows: DataFrame, parts: int, turn: int, *more: str) -> DataFrame:
+        part = rows.join(F.broadcast(cut.where(f"pmod(name, {parts}) = {turn}")), "n")
+        before = F.expr("substring(text, start_before + 1, size_before)").alias("before")
+        return part.select(F.expr("xxhash64(name, substring(text, start + 1, size))").alias("key"), before, *own, *more).repartition("key")
 
-    differ = " + ".join(f"bit_count(x.s{k} ^ y.s{k})" for k in range(LONGS))
+    differ = " + ".join("bit_count(" + " | ".join(f"(x.s{k + p * LONGS} ^ y.s{k + p * LONGS})" for p in range(PLANES)) + ")" for k in range(LONGS))
     near = F.expr(f"least(x.n, y.n) >= {threshold}D * greatest(x.n, y.n) - 1e-9D and {differ} <= floor({1 - threshold}D * greatest(x.n, y.n) + 1e-9D)")
     texts = reps.select(F.col("rep").alias("id"), F.lit(0).cast("long").alias("h"), "text")
     key = Window.partitionBy("key")
     pivot = lambda *by: F.min(F.struct(F.xxhash64("rep", *by).alias("order"), F.struct(*own).alias("text"))).over(key)["text"]
-    star = met(reps, 0, PARTS).select(F.struct(*own).alias("x"), F.array_distinct(F.array(F.min(F.struct(*own)).over(key), pivot(), pivot("key"))).alias("pivots")).select("x", F.explode("pivots").alias("y"))
+    star = met(reps, STAR, 0).select(F.struct(*own).alias("x"), F.array_distinct(F.array(F.min(F.struct(*own)).over(key), pivot(), pivot("key"))).alias("pivots")).select("x", F.explode("pivots").alias("y"))
     star = star.where("x.rep <> y.rep").where(near).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     whole = lambda df, *more: df.select("a", F.lit(0).cast("long").alias("h_a"), "b", F.lit(0).cast("long").alias("h_b"), *more)
     done = space.written(verified(whole(space.written(star, "star")), texts, PRINTS), "verified")
     space.release()
     named = components(done.where(F.col("likeness") >= threshold).select("a", "b"), space, "first")
-    labelled = space.written(reps.join(named.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "labelled")
-    space.release()
-    found = []
-    for turn in range(turns):
-        rows = met(labelled, turn, turns, "label")
+
+    def labelled(named: DataFrame, step: str) -> DataFrame:
+        out = space.written(reps.join(named.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), step)
+        space.release()
+        return out
+
+    def main(rows: DataFrame) -> DataFrame:
         often = F.count("*").over(Window.partitionBy("key", "label"))
-        x = rows.withColumn("often", often).withColumn("main", F.max(F.struct("often", "label")).over(key)["label"]).where("label <> main").alias("x")
-        pairs = x.join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & near)
+        return rows.withColumn("often", often).withColumn("main", F.max(F.struct("often", "label")).over(key)["label"]).drop("often")
+
+    def counted(pairs: DataFrame, step: str) -> DataFrame:
         order = F.col("x.rep") < F.col("y.rep")
         ends = [F.when(order, F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}")).alias(n) for c, names in (("rep", "ab"), ("label", ("label_a", "label_b"))) for n, p, q in zip(names, "xy", "yx", strict=True)]
-        found.append(space.written(pairs.select(*ends).groupBy("a", "b", "label_a", "label_b").agg(F.count("*").alias("shared")), f"maybe-{turn}"))
+        out = space.written(pairs.select(*ends).groupBy("a", "b", "label_a", "label_b").agg(F.count("*").alias("shared")), step)
         space.release()
+        return out
+
+    known = labelled(named, "labelled-0")
+    some = lambda k: F.min(F.when(F.col("label") == F.col("main"), F.struct(F.xxhash64("rep", "key", F.lit(k)).alias("order"), F.struct(*own, "label").alias("text")))).over(key)["text"]
+    others = main(met(known, STAR, 1, "label")).select("label", "main", F.struct(*own, "label").alias("x"), F.array_distinct(F.array(*map(some, range(MAIN)))).alias("pivots")).where("label <> main")
+    most = counted(others.select("x", F.explode("pivots").alias("y")).where(near), "most")
+    named = connected(known.select(F.col("rep").alias("id"), "label"), whole(most, "label_a", "label_b", "shared"), texts, threshold, space, PRINTS)
+    known = labelled(named, "labelled")
+    named = space.written(known.select(F.col("rep").alias("id"), "label"), "named")
+    found = []
+    for turn in range(turns):
+        rows = met(known, turns, turn, "label")
+        # a pair that counts has a text of another class than the main one, and one with another block before than the usual one: the rarer kind of a key is compared with all
+        alike = F.count("before").over(Window.partitionBy("key", "before"))
+        kinds = main(rows).withColumn("alike", alike).withColumn("usual", F.max(F.when(F.col("alike") > 0, F.struct("alike", "before"))).over(key)["before"])
+        kinds = kinds.withColumn("odd", F.expr("label <> main")).withColumn("new", F.expr("before is null or before <> usual"))
+        kinds = kinds.withColumn("by_label", F.count_if("odd").over(key) <= F.count_if("new").over(key))
+        x = kinds.where("if(by_label, odd, new)").drop("alike", "odd", "new").alias("x")
+        first = F.expr("x.before is null or x.before <> y.before")
+        once = F.expr("x.rep < y.rep or not if(x.by_label, y.label <> x.main, y.before is null or y.before <> x.usual)")
+        found.append(counted(x.join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & first & once & near), f"maybe-{turn}"))
     pairs = reduce(DataFrame.union, found).groupBy("a", "b", "label_a", "label_b").agg(F.sum("shared").alias("shared"))
     maybe = space.written(whole(pairs, "label_a", "label_b", "shared"), "maybe")
-    for step in ("star", "verified", "labelled", *(f"maybe-{turn}" for turn in range(turns))):
+    for step in ("star", "verified", "labelled-0", "most", "labelled", *(f"maybe-{turn}" for turn in range(turns))):
         space.remove(step)
     space.release()
     return named if maybe.isEmpty() else connected(named, maybe, texts, threshold, space, PRINTS)
