@@ -296,6 +296,51 @@ def test_texts_that_agree_on_many_blocks_meet_once(spark, monkeypatch):
     assert seen and sum(seen) <= 60 * 59 // 2
 
 
+def test_crowds_are_dealt_to_tiles_and_travel_once(spark, monkeypatch):
+    """A crowd with one beginning, dealt to small tiles, some of whose texts have an edited one beside them: all links are found, and each text is shuffled once for each of its blocks."""
+    monkeypatch.setattr(editprint, "TILE", 16, raising=False)
+    monkeypatch.setattr(editprint, "COUNTED", 1, raising=False)
+    monkeypatch.setattr(editprint, "COMPARED", 64, raising=False)
+    r = random.Random(8)
+    symbols = editprint.ALPHABET.tobytes().decode()
+    same = "".join(r.choice(symbols) for _ in range(60))
+    prints = [same + "".join(r.choice(symbols) for _ in range(100)) for _ in range(50)]
+    for x in prints[::5]:
+        y = list(x)
+        for k in r.sample(range(160), 31):
+            y[k] = r.choice(symbols)
+        prints.append("".join(y))
+    codes = [editprint._read(p) for p in prints]
+    shuffles, keep = [], storage.Workspace.written
+    monkeypatch.setattr(storage.Workspace, "written", lambda self, df, name, *more: (shuffles.append(df._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_COL")) if name.startswith("maybe-") else None) or keep(self, df, name, *more))
+    got = {x["doc_id"]: x["class_id"] for x in editprint.classes(spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string")).collect()}
+    assert got == linked(len(prints), lambda i, j: editprint.agreement(codes[i], codes[j]) >= 0.8) and len(set(got.values())) == 50
+    assert shuffles == [1]
+
+
+def test_pairs_of_a_key_against_brute_force(monkeypatch):
+    """Pairs that meet in a key: of different class, with other blocks before, across the sides of a tile; near by length and by both sketches."""
+    monkeypatch.setattr(editprint, "COMPARED", 32)
+    r = random.Random(9)
+    width = editprint.LONGS * editprint.PLANES
+    base = [np.array([r.getrandbits(64) for _ in range(width)], np.uint64) for _ in range(3)]
+    rows = []
+    for key in range(-4, 4):
+        for side in ((0,), (1, 2))[key % 2]:
+            for _ in range(r.choice((1, 20, 40))):
+                flips = np.array([1 << r.randrange(64) for _ in range(width)], np.uint64) * np.uint64(r.random() < 0.8)
+                rows.append((key, len(rows) - 30, r.randrange(3), r.randrange(3), side, r.choice((50, 55, 100)), r.choice(base) ^ flips))
+    columns = {c: np.array([x[k] for x in rows]) for k, c in enumerate(("key", "rep", "label", "before", "side", "n", "sketch"))}
+    got = [tuple(sorted((int(i), int(j)))) for x, y in editprint.Met(columns, 0.8).every() for i, j in zip(x, y, strict=True)]
+
+    def near(x, y):
+        bits = sum((int(x[6][k] ^ y[6][k]) | int(x[6][k + editprint.LONGS] ^ y[6][k + editprint.LONGS])).bit_count() for k in range(editprint.LONGS))
+        return min(x[5], y[5]) >= 0.8 * max(x[5], y[5]) and bits <= editprint.missed(max(x[5], y[5]))
+
+    want = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if (x := rows[i])[0] == (y := rows[j])[0] and x[2] != y[2] and x[3] != y[3] and (x[4] == 0 or x[4] != y[4]) and near(x, y)]
+    assert len(want) > 20 and sorted(got) == want
+
+
 def test_token_ids_of_long_white_space():
     e = tokencounts.encoder(tokencounts.default_vocabulary())
     for t in ("a" + " " * 20000 + "b", "a" + "\n" * 20000, " " * 12000 + "\n x", "x" + "\t" * 12001 + "\xa0y " + "\u3000" * 10000, "\u2028" * 10000 + "z"):

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 from functools import cache, reduce
 
 import numpy as np
@@ -192,6 +193,10 @@ STAR = 8
 MAIN = 4
 #: Keys for which one turn does.
 AT_ONCE = 1_500_000
+#: Texts of a key that one task compares; more are dealt to tiles, each of two parts of them. Counted on one text in so many, as tiles change no result.
+TILE, COUNTED = 8192, 16
+#: Rows of a task that are looked at together, at least, and pairs.
+GATHERED, COMPARED = 50_000, 1 << 18
 #: Longs of a sketch, and sketches of a fingerprint.
 LONGS, PLANES = 6, 2
 
@@ -270,6 +275,127 @@ def agreement(x: np.ndarray, y: np.ndarray) -> float:
 PRINTS = Measure(_read, agreement, _tokens, lambda s: s / (2 - s))
 
 
+def far_apart(threshold: float, n: np.ndarray, sketches: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs ``i``, ``j`` may not reach the threshold, by length or by sketch (a row of ``LONGS * PLANES`` unsigned longs a text; of signed ones numpy counts the bits of the absolute value)."""
+    most = np.maximum(n[i], n[j])
+    bound = np.floor((1 - threshold) * most + 1e-9)
+    apart = np.minimum(n[i], n[j]) < threshold * most - 1e-9
+    at, differ = np.flatnonzero(~apart), np.zeros(len(i), np.int64)
+    for k in range(LONGS):
+        x, y = i[at], j[at]
+        differ[at] += np.bitwise_count(reduce(np.bitwise_or, (sketches[x, k + p * LONGS] ^ sketches[y, k + p * LONGS] for p in range(PLANES))))
+        gone = differ[at] > bound[at]
+        apart[at[gone]] = True
+        at = at[~gone]
+    return apart
+
+
+class Met:
+    """Texts in ascending order of the keys that they share, whole keys only, and pairs of them (as two arrays of row numbers) that are to be compared."""
+
+    def __init__(self, columns: dict[str, np.ndarray], threshold: float):
+        self.threshold = threshold
+        self.key, self.rep, self.label, self.before, self.side, self.n, self.sketch = (columns[c] for c in ("key", "rep", "label", "before", "side", "n", "sketch"))
+        self.start = np.flatnonzero(np.r_[True, self.key[1:] != self.key[:-1]]) if len(self.key) else np.zeros(0, int)
+        self.size = np.diff(np.r_[self.start, len(self.key)])
+        self.group = np.repeat(np.arange(len(self.start)), self.size)
+
+    def least(self, order: np.ndarray, among: np.ndarray | None = None) -> np.ndarray:
+        """Each key's row of least ``order``, of those ``among`` its rows, or -1."""
+        rows = np.arange(len(order)) if among is None else np.flatnonzero(among)
+        rows = rows[np.lexsort((order[rows], self.group[rows]))]
+        out = np.full(len(self.start), -1)
+        out[self.group[rows[::-1]]] = rows[::-1]
+        return out
+
+    def kept(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of different texts that may be near."""
+        some = (j >= 0) & (self.rep[i] != self.rep[j])
+        i, j = i[some], j[some]
+        some = ~far_apart(self.threshold, self.n, self.sketch, i, j)
+        return i[some], j[some]
+
+    def runs(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows by key and ``of``, where the run of each of them (alike in both) ends, and the length of the run."""
+        rows = np.lexsort((of, self.group))
+        first = np.flatnonzero(np.r_[True, (self.group[rows][1:] != self.group[rows][:-1]) | (of[rows][1:] != of[rows][:-1])][: len(rows)])
+        size = np.diff(np.r_[first, len(rows)])
+        return rows, np.repeat(first + size, size), np.repeat(size, size)
+
+    def star(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Each text with its key's pivots."""
+        rep = self.rep.view(np.uint64)
+        for order in (self.rep, mix(rep), mix(rep ^ mix(self.key.view(np.uint64)))):
+            yield self.kept(np.arange(len(rep)), self.least(order)[self.group])
+
+    def main(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Texts with some of their key's main class, the one that most of its texts have, where they are of another."""
+        rows, _, size = self.runs(self.label)
+        often = np.empty(len(rows), np.int64)
+        often[rows] = -size
+        most = self.label == self.label[self.least(often)][self.group]
+        others = np.flatnonzero(~most)
+        for k in range(MAIN):
+            yield self.kept(others, self.least(mix(self.rep.view(np.uint64) ^ mix(self.key.view(np.uint64) + np.uint64(k))), most)[self.group[others]])
+
+    def every(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of texts of different class whose blocks before this one differ too. Texts are put in runs of one class or in runs of one block before, whichever leaves a key fewer pairs of different runs; in a tile, in its two sides."""
+        of_label, of_before = (np.bincount(self.group[rows], size) for rows, _, size in (self.runs(self.label), self.runs(self.before)))
+        by_label = (of_label >= of_before)[self.group]
+        rows, end, _ = self.runs(np.where(self.side > 0, self.side, np.where(by_label, self.label, self.before)))
+        count = (self.start + self.size)[self.group[rows]] - end
+        done = np.cumsum(count)
+        at = 0
+        while at < len(rows):
+            # as many rows as come to COMPARED pairs, at least one
+            to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + COMPARED, "right")))
+            c = count[at:to]
+            i = np.repeat(np.arange(at, to), c)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(end[at:to], c)
+            i, j = rows[i], rows[j]
+            some = (self.label[i] != self.label[j]) & (self.before[i] != self.before[j])
+            yield self.kept(i[some], j[some])
+            at = to
+
+
+def compared(rows: DataFrame, threshold: float, how: str) -> DataFrame:
+    """(a, b, label_a, label_b) with a < b of those pairs of ``rows`` (key, rep, label, before, side, n, sketch) that ``how`` of ``Met`` compares and that may be near, a row each time that they meet."""
+
+    def found(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches).combine_chunks()
+        columns = {c: t[c].to_numpy() for c in ("key", "rep", "label", "before", "side", "n")}
+        # keys of one class have no pairs
+        first = np.flatnonzero(np.r_[True, columns["key"][1:] != columns["key"][:-1]])
+        label, size = columns["label"], np.diff(np.r_[first, t.num_rows])
+        mixed = np.repeat(np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first), size)
+        columns = {c: v[mixed] for c, v in columns.items()}
+        columns["sketch"] = np.frombuffer(b"".join(t["sketch"].filter(pa.array(mixed)).to_pylist()), np.uint64).reshape(-1, LONGS * PLANES)
+        met = Met(columns, threshold)
+        for i, j in getattr(met, how)():
+            if len(i):
+                i, j = np.where(met.rep[i] < met.rep[j], (i, j), (j, i))
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (met.rep[i], met.rep[j], met.label[i], met.label[j])], ["a", "b", "label_a", "label_b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = b["key"].to_numpy()
+            # where the last key of the batch begins
+            cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
+            if sum(x.num_rows for x in held) + cut >= GATHERED and (cut or held[-1]["key"][-1].as_py() != key[0]):
+                yield from found([*held, b.slice(0, cut)])
+                held = []
+            else:
+                cut = 0
+            held.append(b.slice(cut))
+        if held:
+            yield from found(held)
+
+    return rows.mapInArrow(run, "a long, b long, label_a long, label_b long")
+
+
 def classes(prints: DataFrame, threshold: float = THRESHOLD, space: Workspace | None = None) -> DataFrame:
     """``prints`` (doc_id, fingerprint, ...) with class_id, the least doc_id of the documents that a chain of fingerprints connects, each at least ``threshold`` alike to the next.
     Equal fingerprints count as one; the empty text is alike to empty ones only; a null doc_id has no class."""
@@ -279,12 +405,13 @@ def classes(prints: DataFrame, threshold: float = THRESHOLD, space: Workspace |
 
     def kernel(b: pa.RecordBatch) -> dict:
         texts = b["text"].to_pylist()
-        return {"copy": b["copy"], "rep": b["rep"], "text": b["text"], "n": pa.array([len(t) for t in texts], pa.int32()), "sketch": pa.array([np.concatenate([sketch(t, p) for p in range(PLANES)]) for t in texts], pa.list_(pa.int64()))}
+        sketches = [np.concatenate([sketch(t, p) for p in range(PLANES)]).tobytes() for t in texts]
+        return {"copy": b["copy"], "rep": b["rep"], "text": b["text"], "n": pa.array([len(t) for t in texts], pa.int32()), "sketch": pa.array(sketches, pa.binary())}
 
     one = rows.where("doc_id is not null").groupBy("copy").agg(F.min("doc_id").alias("rep"), F.first("fingerprint").alias("text"))
-    reps = space.written(arrow_map(one, {c: c for c in one.columns}, "copy binary, rep long, text string, n int, sketch array<long>", kernel), "reps")
+    reps = space.written(arrow_map(one, {c: c for c in one.columns}, "copy binary, rep long, text string, n int, sketch binary", kernel), "reps")
     space.release()
-    named = linked(reps.select("rep", "text", "n", *(F.col("sketch")[k].alias(f"s{k}") for k in range(LONGS * PLANES))), threshold, space)
+    named = linked(reps.select("rep", "text", "n", "sketch"), threshold, space)
     class_of = reps.select("copy", "rep").join(named.select(F.col("id").alias("rep"), "label"), "rep", "left").select("copy", F.coalesce("label", "rep").alias("class_id"))
     hot = hot_keys(rows.groupBy("copy").agg(F.count("*").alias("n")), ["copy"])
     out = join_one(rows, class_of, ["copy"], hot, "left", by=["doc_id"])
@@ -292,30 +419,35 @@ def classes(prints: DataFrame, threshold: float = THRESHOLD, space: Workspace |
 
 
 def linked(reps: DataFrame, threshold: float, space: Workspace) -> DataFrame:
-    """(id, label): the least of each fingerprint's (rep, text, n, s0 ...) class. Fingerprints meet in all their ``blocks``, so no link is lost; pairs whose sketches or lengths differ too much are no candidates.
+    """(id, label): the least of each fingerprint's (rep, text, n, sketch) class. Fingerprints meet in all their ``blocks``, so no link is lost; pairs whose sketches or lengths differ too much are no candidates.
 
     First the texts of a part of the blocks are compared with their block's pivots, then, in another part, those of other classes with some of the block's main class, the one that most of its texts have: that joins most of each family.
-    Then all blocks are joined with themselves, but only where classes differ, and none of the main class is compared with another. Two texts that agree on a row of blocks meet at the first of the row only, so where most texts of a block
-    also share the one before it, these are not compared either."""
+    Then all texts of a block are compared, but only where classes differ. Two texts that agree on a row of blocks meet at the first of the row only (blocks are told apart by 64-bit hashes there).
+    A text travels once a block, and the pairs are made where its block's texts come together (``Met``)."""
     spark = reps.sparkSession
     lengths = {r["n"]: (r["count"], blocks(r["n"], threshold)) for r in reps.groupBy("n").count().collect()}  # of as many kinds as there are places
     turns = min(PARTS, 1 + sum(count * len(cuts) for count, cuts in lengths.values()) // AT_ONCE)
     cut = space.written(spark.createDataFrame([(n, *b) for n, (_, cuts) in lengths.items() for b in preceded(cuts)], "n int, name int, start int, size int, start_before int, size_before int"), "blocks")
-    own = ["rep", "n", *(f"s{k}" for k in range(LONGS * PLANES))]
+    block = F.expr("xxhash64(name, substring(text, start + 1, size))")
+    counted = reps.where(f"pmod(xxhash64(rep), {COUNTED}) = 0").join(F.broadcast(cut), "n").groupBy(block.alias("key")).agg((F.count("*") * COUNTED).alias("texts"))
+    hot = space.written(counted.where(F.col("texts") > TILE).select("key", F.ceil(F.col("texts") / TILE).cast("int").alias("parts")), "hot")
 
-    def met(rows: DataFrame, parts: int, turn: int, *more: str) -> DataFrame:
+    def met(rows: DataFrame, parts: int, turn: int, tiles: bool = False) -> DataFrame:
         part = rows.join(F.broadcast(cut.where(f"pmod(name, {parts}) = {turn}")), "n")
-        before = F.expr("substring(text, start_before + 1, size_before)").alias("before")
-        return part.select(F.expr("xxhash64(name, substring(text, start + 1, size))").alias("key"), before, *own, *more).repartition("key")
+        # a first block has none before it: there all texts differ
+        before = F.expr("if(start_before is null, rep, xxhash64(substring(text, start_before + 1, size_before)))").alias("before")
+        part = part.select(block.alias("key"), "rep", "label", before, F.lit(0).alias("side"), "n", "sketch")
+        if tiles:
+            own = F.expr("int(pmod(xxhash64(rep, 7L), parts))")
+            dealt = part.join(F.broadcast(hot), "key", "left").withColumn("own", own).withColumn("other", F.explode(F.expr("if(parts is null, array(-1), sequence(0, parts - 1))")))
+            key = F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+            side = F.expr("if(parts is null or own = other, 0, if(own < other, 1, 2))")
+            part = dealt.select(key.alias("key"), "rep", "label", "before", side.alias("side"), "n", "sketch")
+        return part.repartition("key").sortWithinPartitions("key")
 
-    differ = " + ".join("bit_count(" + " | ".join(f"(x.s{k + p * LONGS} ^ y.s{k + p * LONGS})" for p in range(PLANES)) + ")" for k in range(LONGS))
-    near = F.expr(f"least(x.n, y.n) >= {threshold}D * greatest(x.n, y.n) - 1e-9D and {differ} <= floor({1 - threshold}D * greatest(x.n, y.n) + 1e-9D)")
     texts = reps.select(F.col("rep").alias("id"), F.lit(0).cast("long").alias("h"), "text")
-    key = Window.partitionBy("key")
-    pivot = lambda *by: F.min(F.struct(F.xxhash64("rep", *by).alias("order"), F.struct(*own).alias("text"))).over(key)["text"]
-    star = met(reps, STAR, 0).select(F.struct(*own).alias("x"), F.array_distinct(F.array(F.min(F.struct(*own)).over(key), pivot(), pivot("key"))).alias("pivots")).select("x", F.explode("pivots").alias("y"))
-    star = star.where("x.rep <> y.rep").where(near).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     whole = lambda df, *more: df.select("a", F.lit(0).cast("long").alias("h_a"), "b", F.lit(0).cast("long").alias("h_b"), *more)
+    star = compared(met(reps.withColumn("label", F.col("rep")), STAR, 0), threshold, "star").select("a", "b").distinct()
     done = space.written(verified(whole(space.written(star, "star")), texts, PRINTS), "verified")
     space.release()
     named = components(done.where(F.col("likeness") >= threshold).select("a", "b"), space, "first")
@@ -325,39 +457,22 @@ def linked(reps: DataFrame, threshold: float, space: Workspace) -> DataFrame:
         space.release()
         return out
 
-    def main(rows: DataFrame) -> DataFrame:
-        often = F.count("*").over(Window.partitionBy("key", "label"))
-        return rows.withColumn("often", often).withColumn("main", F.max(F.struct("often", "label")).over(key)["label"]).drop("often")
-
-    def counted(pairs: DataFrame, step: str) -> DataFrame:
-        order = F.col("x.rep") < F.col("y.rep")
-        ends = [F.when(order, F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}")).alias(n) for c, names in (("rep", "ab"), ("label", ("label_a", "label_b"))) for n, p, q in zip(names, "xy", "yx", strict=True)]
-        out = space.written(pairs.select(*ends).groupBy("a", "b", "label_a", "label_b").agg(F.count("*").alias("shared")), step)
+    def counts(pairs: DataFrame, step: str) -> DataFrame:
+        out = space.written(pairs.groupBy("a", "b", "label_a", "label_b").agg(F.count("*").alias("shared")), step)
         space.release()
         return out
 
     known = labelled(named, "labelled-0")
-    some = lambda k: F.min(F.when(F.col("label") == F.col("main"), F.struct(F.xxhash64("rep", "key", F.lit(k)).alias("order"), F.struct(*own, "label").alias("text")))).over(key)["text"]
-    others = main(met(known, STAR, 1, "label")).select("label", "main", F.struct(*own, "label").alias("x"), F.array_distinct(F.array(*map(some, range(MAIN)))).alias("pivots")).where("label <> main")
-    most = counted(others.select("x", F.explode("pivots").alias("y")).where(near), "most")
+    most = counts(compared(met(known, STAR, 1), threshold, "main"), "most")
     named = connected(known.select(F.col("rep").alias("id"), "label"), whole(most, "label_a", "label_b", "shared"), texts, threshold, space, PRINTS)
     known = labelled(named, "labelled")
+    for step in ("star", "verified", "labelled-0", "most"):
+        space.remove(step)
     named = space.written(known.select(F.col("rep").alias("id"), "label"), "named")
-    found = []
-    for turn in range(turns):
-        rows = met(known, turns, turn, "label")
-        # a pair that counts has a text of another class than the main one, and one with another block before than the usual one: the rarer kind of a key is compared with all
-        alike = F.count("before").over(Window.partitionBy("key", "before"))
-        kinds = main(rows).withColumn("alike", alike).withColumn("usual", F.max(F.when(F.col("alike") > 0, F.struct("alike", "before"))).over(key)["before"])
-        kinds = kinds.withColumn("odd", F.expr("label <> main")).withColumn("new", F.expr("before is null or before <> usual"))
-        kinds = kinds.withColumn("by_label", F.count_if("odd").over(key) <= F.count_if("new").over(key))
-        x = kinds.where("if(by_label, odd, new)").drop("alike", "odd", "new").alias("x")
-        first = F.expr("x.before is null or x.before <> y.before")
-        once = F.expr("x.rep < y.rep or not if(x.by_label, y.label <> x.main, y.before is null or y.before <> x.usual)")
-        found.append(counted(x.join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & first & once & near), f"maybe-{turn}"))
+    found = [counts(compared(met(known, turns, turn, tiles=True), threshold, "every"), f"maybe-{turn}") for turn in range(turns)]
     pairs = reduce(DataFrame.union, found).groupBy("a", "b", "label_a", "label_b").agg(F.sum("shared").alias("shared"))
     maybe = space.written(whole(pairs, "label_a", "label_b", "shared"), "maybe")
-    for step in ("star", "verified", "labelled-0", "most", "labelled", *(f"maybe-{turn}" for turn in range(turns))):
+    for step in ("labelled", "hot", *(f"maybe-{turn}" for turn in range(turns))):
         space.remove(step)
     space.release()
     return named if maybe.isEmpty() else connected(named, maybe, texts, threshold, space, PRINTS)
