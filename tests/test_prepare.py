@@ -205,3 +205,15 @@ def test_duplicates_and_evaluation(spark):
     flat = spark.createDataFrame([(1, [(1.0, math.nan), (2.0, 2.0)]), (1, line(3))], f"sample_id long, line {KIND}")
     assert prepare.to_world(flat, raster).count() == 1
     assert df.select(L.any_inside(F.col("line"), F.lit(0), F.lit(0), F.lit(1), F.lit(1))).count() == 8
+
+
+def test_equal_copies_keep_the_last(spark):
+    """In world coordinates these two lengths, equal in pixels, were rounded to different sides."""
+    raster = spark.createDataFrame([(1, 0.2, 469000.0, -0.2, 4438500.0)], "sample_id long, a double, c double, e double, f double")
+    line = [(920, 521), (932, 535), (971, 523), (990, 509), (1004, 515), (1032, 506), (1044, 520), (1075, 540), (1111, 540), (1137, 539)]
+    rows = [(1, i, "{}", [(float(x + d), float(y + d * 3 / 4)) for x, y in line]) for i, d in ((0, 0), (1, 4))]
+    df = spark.createDataFrame(rows, f"sample_id long, id long, props string, line {KIND}")
+    assert [r["id"] for r in jobs.dedup_lines(df, raster, 1.1).collect()] == [1]
+    wide = df.withColumn("rings", F.array(F.concat("line", F.reverse(F.transform("line", lambda p: L.point(p["x"], p["y"] + 40))))))
+    wide = wide.withColumn("line", F.col("rings")[0])
+    assert [r["id"] for r in jobs.dedup_areas(wide, raster, 0.5).collect()] == [1]

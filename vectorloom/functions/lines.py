@@ -44,6 +44,12 @@ def length(line: Column) -> Column:
     return F.aggregate(segments(line), F.lit(0.0), lambda s, g: s + distance(g["a"], g["b"]))
 
 
+def scaled_length(line: Column, sx: Column, sy: Column) -> Column:
+    """Length after both axes are scaled. Only differences of points count, so a line and its copy elsewhere, whose differences are the same numbers, are equally long to the last digit."""
+    side = lambda g, f, by: by * (g["a"][f] - g["b"][f])
+    return F.aggregate(segments(line), F.lit(0.0), lambda s, g: s + F.sqrt(side(g, "x", sx) * side(g, "x", sx) + side(g, "y", sy) * side(g, "y", sy)))
+
+
 def area(ring: Column) -> Column:
     """Of an open ring, by the shoelace rule about its first point, so it is exact far from the origin, too."""
     moved = F.transform(ring, lambda p: F.struct((p["x"] - ring[0]["x"]).alias("x"), (p["y"] - ring[0]["y"]).alias("y")))

@@ -142,13 +142,15 @@ def from_uv(items: DataFrame, box: str = "box") -> DataFrame:
     return out.withColumn("rings", F.transform("rings", lambda r: F.transform(r, back))) if "rings" in items.columns else out
 
 
-def to_world(features: DataFrame, rasters: DataFrame, least: int = 2) -> DataFrame:
-    """Pixel features (sample_id, line, rings where there are) in their raster's coordinates (a, c, e, f). Lines with too few points, and points that are no finite number, are no geometry and go."""
+def to_world(features: DataFrame, rasters: DataFrame, least: int = 2, size=None) -> DataFrame:
+    """Pixel features (sample_id, line, rings where there are) in their raster's coordinates (a, c, e, f). Lines with too few points, and points that are no finite number, are no geometry and go.
+    ``size``: a measure of the pixel features by the raster's scales (a, e), to be kept as ``size``; world coordinates are large, so what is measured in them differs in its last digits from place to place."""
     affine = [F.col("a"), F.lit(0.0), F.col("c"), F.lit(0.0), F.col("e"), F.col("f")]
     move = lambda p: L.point(*C.pixel_to_world(p["x"], p["y"], affine))
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
     sound = (F.size("line") >= least) & F.forall("line", lambda p: finite(p["x"]) & finite(p["y"]))
-    rows = features.where(sound).join(rasters.select("sample_id", "a", "c", "e", "f"), "sample_id").withColumn("line", F.transform("line", move))
+    rows = features.where(sound).join(rasters.select("sample_id", "a", "c", "e", "f"), "sample_id")
+    rows = (rows if size is None else rows.withColumn("size", size(F.col("a"), F.col("e")))).withColumn("line", F.transform("line", move))
     if "rings" in features.columns:
         rows = rows.withColumn("rings", F.transform("rings", lambda r: F.transform(r, move)))
     return rows.drop("a", "c", "e", "f")

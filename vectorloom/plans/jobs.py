@@ -80,18 +80,18 @@ def _without(features: DataFrame, world: DataFrame, size: DataFrame, pairs: Data
 
 def dedup_lines(features: DataFrame, rasters: DataFrame, distance: float = 1.0) -> DataFrame:
     """Features (sample_id, id, props, line in pixels) without near-duplicates: of lines with equal properties within ``distance`` metres (Hausdorff), the longest stays, of equally long ones the last."""
-    world = _bucketed(prepare.to_world(features, rasters))
-    # world coordinates are large, so equal lengths differ in their last digits
-    size = world.select("sample_id", "id", F.round(L.length(F.col("line")), 6).alias("size"))
+    # pixels that are no whole numbers leave equal lengths different in their last digits
+    world = _bucketed(prepare.to_world(features, rasters, size=lambda a, e: F.round(L.scaled_length(F.col("line"), a, e), 6)))
+    size = world.select("sample_id", "id", "size")
     alike = world.where("bucket is not null")
     return _without(features, world, size, match.line_pairs(alike, alike, ["sample_id", "bucket"], distance, ("a", "b")))
 
 
 def dedup_areas(features: DataFrame, rasters: DataFrame, iou: float = 0.5, cell: float = 64.0) -> DataFrame:
     """Features (sample_id, id, props, line and rings in pixels) without near-duplicates: of polygons with equal properties that overlap with at least ``iou``, the largest stays, of equally large ones the last."""
-    world = _bucketed(prepare.to_world(features, rasters, 3))
-    # world coordinates are large, so equal areas differ in their last digits
-    size = world.select("sample_id", "id", F.round(match.ring_area(F.col("rings")), 3).alias("size"))
+    # pixels that are no whole numbers leave equal areas different in their last digits
+    world = _bucketed(prepare.to_world(features, rasters, 3, lambda a, e: F.round(match.ring_area(F.col("rings")) * F.abs(a * e), 3)))
+    size = world.select("sample_id", "id", "size")
     alike = world.where("bucket is not null")
     return _without(features, world, size, match.polygon_pairs(alike, alike, ["sample_id", "bucket"], iou, ("a", "b"), cell))
 
