@@ -152,6 +152,24 @@ def test_suppressed_boxes_without_their_conflicts(spark, monkeypatch):
     assert queries.dedup_nms(spark, "").count() == 1 and max(written) <= 1500
 
 
+def test_crowded_boxes_take_few_rounds(spark, monkeypatch):
+    """A crowd over many cells: cells show enough of their surroundings, and grow, so that little is left open; boxes without a corner or a key stay."""
+    r = random.Random(5)
+    boxes = [(1, i, x, y, x + w, y + h) for i in range(4000) for x, y, w, h in [(r.randrange(1500), r.randrange(700), r.randrange(20, 150), r.randrange(20, 90))]]
+    made = lambda rows: spark.createDataFrame(rows, "k long, id long, x0 long, y0 long, x1 long, y1 long")
+    names, keep = [], rounds.Steps.kept
+    monkeypatch.setattr(rounds.Steps, "kept", lambda self, df, name: names.append(name) or keep(self, df, name))
+    got = {x["id"] for x in match.suppress_boxes(made(boxes), ["k"], 0.5).collect()}
+    over = lambda b, c: max(0, min(b[2], c[2]) - max(b[0], c[0])) * max(0, min(b[3], c[3]) - max(b[1], c[1]))
+    area, kept = (lambda c: (c[2] - c[0]) * (c[3] - c[1])), {}
+    for _, i, *b in sorted(boxes, key=lambda x: (-(x[4] - x[2]) * (x[5] - x[3]), -x[1])):
+        if not any(over(b, c) / (area(b) + area(c) - over(b, c)) >= 0.5 for c in kept.values()):
+            kept[i] = b
+    assert got == set(kept) and len(names) <= 4
+    odd = [(None, 1, 0, 0, 9, 9), (None, 2, 0, 0, 9, 9), (2, 1, 0, 0, 9, None), (2, 2, 0, 0, 9, 9), (2, 3, 0, 0, 9, 9), (2, 4, 5, 5, 5, 9)]
+    assert sorted((x["k"] or 0, x["id"]) for x in match.suppress_boxes(made(odd), ["k"], 0.5).collect()) == [(0, 1), (0, 2), (2, 1), (2, 3), (2, 4)]
+
+
 def test_boxes_matched_without_all_their_pairs(spark, monkeypatch):
     """By tiers of likeness as over all pairs; a crowd's pairs are never written as a whole, nor joined again for their corners."""
     r = random.Random(4)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -215,54 +216,118 @@ def suppress(features: DataFrame, conflicts: DataFrame, key: list[str], whole: i
 CORNERS = ("x0", "y0", "x1", "y1")
 
 
+def _far(threshold: float) -> float:
+    """How far from a box's centre, as a share of its extent, the centre of a box may lie that overlaps with at least ``threshold``: both share that much of the wider one's extent."""
+    return max(1 - threshold, (1 - threshold) / (2 * threshold))
+
+
+def _conflicts(held: np.ndarray, asked: np.ndarray, threshold: float, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs (asked, held) of boxes (x0, y0, x1, y1 by box) that overlap with at least ``threshold``, in portions that look at about ``most`` pairs. Held boxes are sorted by the row and column of a grid that holds their centre."""
+    if not held.shape[1] or not asked.shape[1]:
+        return
+    rows, spans = None, []
+    for low, high, fine in ((1, 3, 2), (0, 2, 8)):
+        # twice the centres are whole numbers
+        at, mid = held[low] + held[high], asked[low] + asked[high]
+        reach = np.ceil(np.maximum(2 * _far(threshold) * (1 + 1e-9) * (asked[high] - asked[low]), 0)).astype(np.int64) + 1
+        cell, least = max(1, int(reach.mean()) // fine), at.min()
+        place = (at - least) // cell
+        count = int(place.max()) + 1
+        spans.append((np.clip((mid - reach - least) // cell, 0, count), np.clip((mid + reach - least) // cell, -1, count - 1)))
+        rows = place if rows is None else rows * count + place
+    order = np.argsort(rows, kind="stable")
+    rows, ((top, bottom), (left, right)) = rows[order], spans
+    lines = np.where(left <= right, np.maximum(bottom - top + 1, 0), 0)
+    of = np.repeat(np.arange(len(lines)), lines)
+    row = (np.arange(len(of)) - np.repeat(np.cumsum(lines) - lines, lines) + top[of]) * count
+    first = np.searchsorted(rows, row + left[of])
+    n = np.searchsorted(rows, row + right[of], "right") - first
+    size = lambda b: (b[2] - b[0]) * (b[3] - b[1])
+    ends = np.cumsum(n)
+    begin = 0
+    while begin < len(of):
+        stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + most, "right")))
+        m = n[begin:stop]
+        a = np.repeat(of[begin:stop], m)
+        b = order[np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(first[begin:stop], m)]
+        begin = stop
+        w = np.minimum(asked[2][a], held[2][b]) - np.maximum(asked[0][a], held[0][b])
+        h = np.minimum(asked[3][a], held[3][b]) - np.maximum(asked[1][a], held[1][b])
+        over = np.flatnonzero((w > 0) & (h > 0))
+        a, b, inter = a[over], b[over], w[over] * h[over]
+        alike = inter / (size(asked)[a] + size(held)[b] - inter) >= threshold
+        yield a[alike], b[alike]
+
+
 class _Held:
-    """Boxes of a cell that stay, or of which that is not known yet."""
+    """Boxes of a cell that stay, and those of which that is not known yet."""
 
     def __init__(self):
-        self.low, self.n, self.box, self.sure = 0, 0, np.zeros((4, 64), np.int64), np.zeros(64, bool)
-
-    def add(self, box: np.ndarray, sure: bool) -> None:
-        if self.n == len(self.sure):
-            self.box, self.sure = np.concatenate([self.box, self.box], 1), np.concatenate([self.sure, self.sure])
-        self.box[:, self.n], self.sure[self.n] = box, sure
-        self.n += 1
-
-    def foes(self, box: np.ndarray, threshold: float) -> np.ndarray:
-        """Of each box held that overlaps with at least ``threshold``, whether it surely stays. Boxes come by size, so those that are too large for this one are too large for all that follow."""
-        size = (box[2] - box[0]) * (box[3] - box[1])
-        while self.low < self.n and size < threshold * (1 - 1e-9) * (self.box[2, self.low] - self.box[0, self.low]) * (self.box[3, self.low] - self.box[1, self.low]):
-            self.low += 1
-        x0, y0, x1, y1 = self.box[:, self.low : self.n]
-        w, h = np.minimum(x1, box[2]) - np.maximum(x0, box[0]), np.minimum(y1, box[3]) - np.maximum(y0, box[1])
-        at = np.flatnonzero((w > 0) & (h > 0))
-        inter = w[at] * h[at]
-        both = (x1[at] - x0[at]) * (y1[at] - y0[at]) + size
-        return self.sure[self.low + at[inter / (both - inter) >= threshold]]
+        self.sure = self.open = np.zeros((4, 0), np.int64)
+
+    def told(self, box: np.ndarray, known: np.ndarray, inside: np.ndarray, threshold: float) -> np.ndarray:
+        """Of each box, in the order of rank and after all those held: 0 if one that surely stays is before it, else 1 if it surely stays itself, else 2.
+        Boxes come by size, so those that are too large for the first are too large for all that follow."""
+        size = (box[2, 0] - box[0, 0]) * (box[3, 0] - box[1, 0])
+        fits = lambda b: b[:, threshold * (1 - 1e-9) * (b[2] - b[0]) * (b[3] - b[1]) <= size]
+        self.sure, self.open = fits(self.sure), fits(self.open)
+        state = np.where(known | inside, 1, 2)
+        ask = np.flatnonzero(~known)
+        for a, _ in _conflicts(self.sure, box[:, ask], threshold):
+            state[ask[a]] = 0
+        ask = np.flatnonzero(~known & (state == 1))
+        for a, _ in _conflicts(self.open, box[:, ask], threshold):
+            state[ask[a]] = 2
+        left = np.flatnonzero(state)
+        # what is not inside stays open whatever other such boxes are
+        ask = np.flatnonzero(~known[left])
+        inner = left[inside[left] | known[left]]
+        outer = left[~inside[left] & ~known[left]]
+        pairs = [(left[ask][a], inner[b]) for a, b in _conflicts(box[:, inner], box[:, left[ask]], threshold)]
+        pairs += [(inner[~known[inner]][a], outer[b]) for a, b in _conflicts(box[:, outer], box[:, inner[~known[inner]]], threshold)]
+        if pairs:
+            later, before = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            both = np.flatnonzero(before < later)
+            both = both[np.argsort(later[both], kind="stable")]
+            told = state.tolist()
+            for j, i in zip(later[both].tolist(), before[both].tolist(), strict=True):
+                if told[j] and told[i]:
+                    told[j] = 0 if told[i] == 1 else 2
+            state = np.array(told)
+        self.sure, self.open = np.concatenate([self.sure, box[:, state == 1]], 1), np.concatenate([self.open, box[:, state == 2]], 1)
+        return state
+
+
+#: Boxes of a cell that are told at once.
+PORTION = 4096
 
 
 def _settled(key: list[str], threshold: float):
-    """From boxes in the order of cell and rank: ids that their home cell settles, and whether they stay. A box goes if one that surely stays is before it; it stays if none is, none is open, and the cell shows all that could be."""
+    """From boxes in the order of cell and rank: those whose home cell is this one and that do not go, and whether it is sure that they stay. A box goes if one that surely stays is before it; it stays if none is, none is open, and the cell shows
+    all that could be."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, _Held()
+        at, held = None, None
         for batch in batches:
-            cells = [tuple(r.values()) for r in batch.select([*key, "_cx", "_cy"]).to_pylist()]
-            boxes = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in CORNERS], 1)
-            out, stay = [], []
-            for i, (cell, sure, home, inside) in enumerate(zip(cells, *(batch[c].to_pylist() for c in ("sure", "home", "inside")), strict=True)):
+            cells = batch.select([*key, "_cx", "_cy"])
+            new = np.zeros(max(batch.num_rows - 1, 0), bool)
+            for c in cells.columns:
+                new |= np.diff(c.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)) != 0
+            starts = [0, *(np.flatnonzero(new) + 1).tolist()]
+            box = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in CORNERS])
+            sure, home, inside = (batch[c].to_numpy(zero_copy_only=False) for c in ("sure", "home", "inside"))
+            state = np.zeros(batch.num_rows, np.int64)
+            for begin, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                if begin == end:
+                    continue
+                cell = tuple(cells.slice(begin, 1).to_pylist()[0].values())
                 if cell != at:
                     at, held = cell, _Held()
-                if sure:
-                    held.add(boxes[i], True)
-                    continue
-                foes = held.foes(boxes[i], threshold)
-                gone, stays = foes.any(), not len(foes) and inside
-                if not gone:
-                    held.add(boxes[i], stays)
-                if home and (gone or stays):
-                    out.append(i)
-                    stay.append(stays)
-            yield pa.RecordBatch.from_arrays([*batch.select([*key, "id"]).take(pa.array(out, pa.int64())).columns, pa.array(stay, pa.bool_())], [*key, "id", "stay"])
+                for low in range(begin, end, PORTION):
+                    part = slice(low, min(end, low + PORTION))
+                    state[part] = held.told(box[:, part], sure[part], inside[part], threshold)
+            out = np.flatnonzero(home & (state > 0))
+            yield pa.RecordBatch.from_arrays([*batch.select([*key, "id", *CORNERS]).take(pa.array(out)).columns, pa.array(state[out] == 1)], [*key, "id", *CORNERS, "sure"])
 
     return run
 
@@ -270,23 +335,33 @@ def _settled(key: list[str], threshold: float):
 def suppress_boxes(boxes: DataFrame, key: list[str], threshold: float) -> DataFrame:
     """``suppress`` for axis-parallel boxes of whole numbers (key, id, x0, y0, x1, y1) that conflict where they overlap with at least ``threshold`` (over 0), without a table of conflicts, which grows with the square of a crowd.
 
-    Boxes go to all cells that they come near, and stream through each in the order of rank, to be compared only with those that stay: of these no place has many. Near a cell's border it may be open whether a box stays; what the boxes'
-    home cells leave open goes into another round with those that stay. The first of all open boxes is settled in any round."""
+    Boxes go to all cells that their centre comes near, and stream through each in the order of rank, to be compared only with those that stay, or of which that is open there: of the former no place has many. Near a cell's border it may be
+    open whether a box stays; what the boxes' home cells leave open goes into another round with those that stay, in larger cells with other borders, as few are left. The first of all open boxes is settled in any round."""
     steps = Steps(boxes.sparkSession)
-    live = steps.kept(boxes.select(*key, "id", *(F.col(c).cast("long").alias(c) for c in CORNERS), F.lit(False).alias("sure")), "live-0")
-    reach = live.agg(F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0] or 1
-    cell = 2 * max(128, reach)
-    low, high = (lambda c: F.floor((F.col(c) - reach) / cell)), (lambda c: F.floor((F.col(c) + reach) / cell))
-    span = lambda c, lo, hi: (F.col(lo) >= F.col(c) * cell - reach) & (F.col(hi) <= (F.col(c) + 1) * cell + reach)
+    tasks = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = F.lit(True)
+    for c in (*key, *CORNERS):
+        whole &= F.col(c).isNotNull()
+    live = steps.kept(boxes.where(whole).select(*key, "id", *(F.col(c).cast("long").alias(c) for c in CORNERS), F.lit(False).alias("sure")), "live-0")
+    # what lacks a corner or its key conflicts with nothing
+    other = boxes.where(~whole).select(*key, "id")
+    wide = max(live.agg(F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0] or 1, 1)
+    cell, halo = max(512, 3 * wide), 2 * math.ceil(_far(threshold) * wide + 2)
     n = 0
     while True:
-        dealt = live.withColumn("_cx", F.explode(F.sequence(low("x0"), high("x1")))).withColumn("_cy", F.explode(F.sequence(low("y0"), high("y1"))))
-        dealt = dealt.withColumn("home", (F.floor(F.col("x0") / cell) == F.col("_cx")) & (F.floor(F.col("y0") / cell) == F.col("_cy"))).withColumn("inside", span("_cx", "x0", "x1") & span("_cy", "y0", "y1"))
+        dealt = live
+        home, inside = F.lit(True), F.lit(True)
+        for at, lo, hi in (("_cx", "x0", "x1"), ("_cy", "y0", "y1")):
+            middle = (F.col(lo) + F.col(hi)) / 2 - cell // 4
+            reach = F.greatest(F.lit(0.0), (F.col(hi) - F.col(lo)) * _far(threshold)) + 1
+            dealt = dealt.withColumn(at, F.explode(F.sequence(F.floor((middle - halo) / cell), F.floor((middle + halo) / cell))))
+            home &= F.floor(middle / cell) == F.col(at)
+            inside &= (middle - reach >= F.col(at) * cell - halo) & (middle + reach <= (F.col(at) + 1) * cell + halo)
         size = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-        rows = dealt.repartition(*key, "_cx", "_cy").sortWithinPartitions(*key, "_cx", "_cy", size.desc(), F.desc("id"))
-        done = steps.kept(rows.mapInArrow(_settled(key, threshold), boxes.select(*key, "id").withColumn("stay", F.lit(True)).schema), f"done-{n}")
+        rows = dealt.withColumns({"home": home, "inside": inside}).repartition(tasks, *key, "_cx", "_cy").sortWithinPartitions(*key, "_cx", "_cy", size.desc(), F.desc("id"))
         n += 1
-        live = steps.kept(live.join(done, [*key, "id"], "left").where(F.coalesce("stay", F.lit(True))).withColumn("sure", F.col("sure") | F.coalesce("stay", F.lit(False))).drop("stay"), f"live-{n}")
-        steps.drop(f"live-{n - 1}", f"done-{n - 1}")
+        live = steps.kept(rows.mapInArrow(_settled(key, threshold), live.schema), f"live-{n}")
+        steps.drop(f"live-{n - 1}")
         if live.where("not sure").isEmpty():
-            return live.select(*key, "id")
+            return live.select(*key, "id").unionByName(other)
+        cell *= 2
