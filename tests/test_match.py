@@ -248,3 +248,37 @@ def test_polygons_in_tiers(spark, monkeypatch):
     ribbons = [[[(0.0, 2.0 * i), (100.0, 100.0 + 2 * i), (100.0, 104.0 + 2 * i), (0.0, 4.0 + 2 * i)]] for i in range(100)]
     monkeypatch.setattr(polygons, "iou_column", lambda a, b: F.lit(1.0))
     assert match.polygon_pairs(made(ribbons), made(ribbons), ["k"], 0.9).count() < 2200
+
+
+def test_pairs_of_polygons_by_profile(spark, monkeypatch):
+    """Polygons that an upright line cuts in one stretch are measured as the sweep does, far from the origin, too; they travel once a cell and are not swept; others are, among them those beside one with a profile."""
+    from vectorloom.functions import polygons
+
+    point = "array<struct<x:double,y:double>>"
+    made = lambda rows: spark.createDataFrame([(1, i, x) for i, x in enumerate(rows)], f"k long, id long, rings array<{point}>")
+    r = random.Random(6)
+
+    def ribbon(far=0.0):
+        xs = [far + r.uniform(0, 40)]
+        for _ in range(r.randint(1, 6)):
+            xs.append(xs[-1] + r.uniform(1, 20))
+        low = [far * 4 + r.uniform(0, 30) for _ in xs]
+        ring = list(zip(xs, low)) + [(x, y + r.uniform(4, 30)) for x, y in reversed(list(zip(xs, low)))]
+        turn = r.randrange(len(ring))
+        ring = ring[turn:] + ring[:turn]
+        return ring[::-1] if r.random() < 0.5 else ring
+
+    for far in (0.0, 1e6):
+        left, right = ([[ribbon(far)] for _ in range(60)] for _ in range(2))
+        a, b = polygons.profiles_of(polygons.polygons(left)), polygons.profiles_of(polygons.polygons(right))
+        assert not a.null_count and not b.null_count
+        want = {(i, j): polygons.iou(x, y) for i, x in enumerate(left) for j, y in enumerate(right)}
+        swept = []
+        monkeypatch.setattr(polygons, "iou_column", lambda *x: swept.append(x))
+        got = {(p, g): v for _, p, g, v in match.polygon_pairs(made(left), made(right), ["k"], 0.2, cell=16.0).collect()}
+        assert not swept and got.keys() == {k for k, v in want.items() if v >= 0.2} and all(abs(want[k] - v) < 1e-6 for k, v in got.items())
+    odd = [[(0, 0), (9, 0), (9, 9), (4, 9), (4, 4), (2, 4), (2, 9), (0, 9)], [(0, 0), (9, 9), (9, 0), (0, 9)], [(0, 0), (9, 0), (3, 3), (9, 9), (0, 9)], [(0, 0), (0, 9), (0, 18)], [(0, 0), (5, 1)], [(0, 0), (9, 0), (9, 9), (0, 9), (0, 0)], [(0, 0), (4, 0), (4, 4), (5, 0), (9, 0), (9, 9), (0, 9)]]
+    told = polygons.profiles_of(polygons.polygons([[x] for x in odd] + [None, [], [odd[0], odd[0]]]))
+    assert told.is_valid().to_pylist() == [False] * 5 + [True] + [False] * 4
+    pairs = {(p, g): v for _, p, g, v in match.polygon_pairs(made([[[(float(x), float(y)) for x, y in odd[0]]]]), made([[[(float(x), float(y)) for x, y in z]] for z in odd]), ["k"], 0.1).collect()}
+    assert pairs.keys() == {(0, 0), (0, 2), (0, 5), (0, 6)} and abs(pairs[0, 5] - 71 / 81) < 1e-12 and pairs[0, 0] == 1

@@ -93,7 +93,7 @@ def dedup_areas(features: DataFrame, rasters: DataFrame, iou: float = 0.5, cell:
     world = _bucketed(prepare.to_world(features, rasters, 3, lambda a, e: F.round(match.ring_area(F.col("rings")) * F.abs(a * e), 3)))
     size = world.select("sample_id", "id", "size")
     alike = world.where("bucket is not null")
-    return _without(features, world, size, match.polygon_pairs(alike, alike, ["sample_id", "bucket"], iou, ("a", "b"), cell))
+    return _without(features, world, size, match.polygon_pairs(alike, alike, ["sample_id", "bucket"], iou, ("a", "b"), cell, few=True))
 
 
 def _evaluated(p: DataFrame, g: DataFrame, taken: DataFrame, tiles: DataFrame, scores) -> DataFrame:
