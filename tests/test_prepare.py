@@ -217,3 +217,37 @@ def test_equal_copies_keep_the_last(spark):
     wide = df.withColumn("rings", F.array(F.concat("line", F.reverse(F.transform("line", lambda p: L.point(p["x"], p["y"] + 40))))))
     wide = wide.withColumn("line", F.col("rings")[0])
     assert [r["id"] for r in jobs.dedup_areas(wide, raster, 0.5).collect()] == [1]
+
+
+def test_answers_in_parts(spark):
+    """Answers in parts, cut anywhere, are read as whole ones are, and of plain ones no more is held than what is not yet read."""
+    import tracemalloc
+
+    from vectorloom.functions import props as P
+    from vectorloom.operators.rounds import Steps
+
+    one = lambda k: json.dumps({"type": "Feature", "properties": {"Id": k, "t": "} ]{é"}, "geometry": {"type": "LineString", "coordinates": [[k, 1.5, 0.0], [k, -2e3, 0]]}}, ensure_ascii=False)
+    few = ",".join(one(k) for k in range(3))
+    texts = [f'Say: {{"type": "FeatureCollection ", "features":[{few}, 5, null], "n": 1}} {{', f'{{"type":"FeatureCollection","features":["{{}}",{few}]}}', f'{{"features":[{few}],"x":{{}}}}', f"{{cut: {one(1)}", f'{{"type":"FeatureCollection","features":[{few}', f'{{"type":"FeatureCollection","features":[{few},{{"v":NaN}}]}}',
+             f'{{"type":"FeatureCollection","features":[{few}],"features":[]}}', '{"type":"FeatureCollection","features":[]}', "", "  ", "no", '{"a": 1}', one(7), "{", f'{{"type":"FeatureCollection","features":[{few}],"n":{"9" * 40}}}']
+    told = lambda read, found: (sorted(tuple(r) for r in read.collect()), sorted((r["tile_index"], r["source_index"], *([json.dumps(json.loads(r["feature"]), sort_keys=True)])) for r in found.collect()))
+    whole = spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)], "sample_id long, tile_index long, text string")
+    parsed = jobs.parsed(whole, "Lane")
+    from vectorloom.sources import geojson
+
+    want = told(parsed.select("sample_id", "tile_index", "decoded_ok"), geojson.elements(parsed.where("found is not null").select("sample_id", "tile_index", F.col("found").alias("text"))).where("feature like '{%'"))
+    assert len(want[1]) > 12 and want == told(*(x if n == 0 else x.where("feature like '{%'") for n, x in enumerate(jobs.answered(whole, "Lane", Steps(spark)))))
+    cut = spark.createDataFrame([(1, k, i, t[i : i + 3]) for k, t in enumerate(texts) for i in range(0, max(len(t), 1), 3)], "sample_id long, tile_index long, part long, text string")
+    assert want == told(*(x if n == 0 else x.where("feature like '{%'") for n, x in enumerate(jobs.answered(cut, "Lane", Steps(spark)))))
+    rows = spark.createDataFrame([(1, k, f'{{"Id":{k % 3}}}', [(float(k), 1.0), (2.0, k / 7)], 0.2, 5.0, -0.2, 7.0) for k in range(7)], f"s long, id long, props string, line {KIND}, a double, c double, e double, f double")
+    parts = geojson.emit_parts(rows, ["s"], "Lane", "linestring", "EPSG:32650", "EPSG:32650").orderBy("part").collect()
+    assert "".join(r["text"] for r in parts) == geojson.emit(rows, ["s"], "Lane", "linestring", "EPSG:32650", "EPSG:32650").first()["geojson"] and [r["last"] for r in parts] == [False] * 6 + [True]
+    answer, n = P.Answer(), 0
+    tracemalloc.start()
+    answer.feed('{"type":"FeatureCollection","features":[')
+    for k in range(20_000):
+        n += len(answer.feed(("," if k else "") + one(k)))
+    n += len(answer.feed("]")) + len(answer.feed("} end"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 20_000 and answer.settled and peak < 200_000

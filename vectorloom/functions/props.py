@@ -137,6 +137,122 @@ def first_object(text: str | None) -> str | None:
     return None
 
 
+class _Odd(Exception):
+    """JSON that only the reader of whole texts judges, as numbers that are none or very long."""
+
+
+def _odd(text: str):
+    raise _Odd(text)
+
+
+class Answer:
+    """The features of the collection that a text's first brace begins, one at a time, from a text that comes in pieces: of the text only what is not yet read is held.
+
+    It reads what is plain: one object of type FeatureCollection, with one list of features, that ends in the text. All else is left to ``first_object`` (``settled`` is false), and so are the features that were given before that was known."""
+
+    _SPACE = re.compile(r"[ \t\n\r]*")
+
+    def __init__(self):
+        self.read = json.JSONDecoder(parse_constant=_odd, parse_int=lambda t: int(t) if len(t) <= 18 else _odd(t))
+        self.left, self.state, self.need, self.key, self.names = "", "before", 0, "", set()
+        self.blank, self.failed, self.kind, self.listed = True, False, None, False
+
+    def feed(self, text: str) -> list[str | None]:
+        """Features that the piece completes, as compact JSON; None for elements that are no objects."""
+        if self.failed or self.state == "done":
+            return []
+        if self.state == "before":
+            self.blank = self.blank and not text.strip(" ")
+            brace = text.find("{")
+            if brace < 0:
+                return []
+            text, self.state = text[brace + 1 :], "first name"
+        self.left += text
+        out: list[str | None] = []
+        # a piece that cannot be read yet is tried again when twice as much is there
+        if len(self.left) >= self.need:
+            try:
+                at = self._advance(out)
+            except (_Odd, RecursionError):
+                self.failed, self.left = True, ""
+                return []
+            self.left = self.left[at:]
+            self.need = 2 * len(self.left) if self.stuck else 0
+        return out
+
+    def ended(self) -> list[str | None]:
+        """Features that are complete as nothing follows."""
+        self.need = 0
+        return self.feed("")
+
+    def _value(self, at: int):
+        """The value that begins at a place and where what follows it begins; None if it is not there as a whole."""
+        try:
+            value, end = self.read.raw_decode(self.left, at)
+        except ValueError:
+            self.stuck = True
+            return None
+        end = self._SPACE.match(self.left, end).end()
+        if end == len(self.left):
+            return None
+        try:
+            text = json.dumps(value, ensure_ascii=False, allow_nan=False, separators=(",", ":"))
+            text.encode()
+        except ValueError as odd:
+            raise _Odd from odd
+        return value, text, end
+
+    def _advance(self, out: list) -> int:
+        at, self.stuck = 0, False
+        while True:
+            at = self._SPACE.match(self.left, at).end()
+            if at == len(self.left) or self.state == "done":
+                return at
+            sign = self.left[at]
+            if self.state == "after":  # a member
+                self.state = {",": "name", "}": "done"}.get(sign) or _odd(sign)
+                at += 1
+            elif self.state == "beside":  # a feature
+                self.state = {",": "feature", "]": "after"}.get(sign) or _odd(sign)
+                at += 1
+            elif self.state == "first name" and sign == "}":
+                self.state, at = "done", at + 1
+            elif self.state == "first feature" and sign == "]":
+                self.state, at = "after", at + 1
+            elif self.state == "value" and self.key == "features":
+                self.state, at, self.listed = "first feature" if sign == "[" else _odd(sign), at + 1, True
+            else:
+                name = self.state.endswith("name")
+                if name and sign != '"':
+                    _odd(sign)
+                got = self._value(at)
+                if got is None:
+                    return at
+                value, text, at = got
+                if name:
+                    if self.left[at] != ":" or value in self.names:
+                        _odd(value)
+                    self.names.add(value)
+                    self.key, self.state, at = value, "value", at + 1
+                elif self.state == "value":
+                    self.kind = value if self.key == "type" else self.kind
+                    self.state = "after"
+                else:
+                    if isinstance(value, str):
+                        _odd(value)
+                    out.append(text if isinstance(value, dict) else None)
+                    self.state = "beside"
+
+    @property
+    def settled(self) -> bool:
+        return self.state == "before" or (self.state == "done" and self.listed and isinstance(self.kind, str) and self.kind.strip(" ") == "FeatureCollection")
+
+    @property
+    def decoded(self) -> bool:
+        """Of a settled text: there is a collection, or nothing."""
+        return self.state == "done" or self.blank
+
+
 def _mapped(f):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:

@@ -178,7 +178,7 @@ def _paired(key: list[str], threshold: float, cell: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, right = None, [], None
         for batch in batches:
-            for begin, end in _runs(batch, of):
+            for begin, end in runs(batch, of):
                 *place, side = batch.slice(begin, 1).select(of).to_pylist()[0].values()
                 if place != at:
                     at, held, right = place, [], None
@@ -199,7 +199,7 @@ def _paired(key: list[str], threshold: float, cell: float):
     return run
 
 
-def _runs(batch: pa.RecordBatch, columns: list[str]) -> Iterator[tuple[int, int]]:
+def runs(batch: pa.RecordBatch, columns: list[str]) -> Iterator[tuple[int, int]]:
     """Where rows begin and end that agree in the columns."""
     if not batch.num_rows:
         return
@@ -440,7 +440,7 @@ def _settled(key: list[str], threshold: float):
             box = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in CORNERS])
             sure, home, inside = (batch[c].to_numpy(zero_copy_only=False) for c in ("sure", "home", "inside"))
             state = np.zeros(batch.num_rows, np.int64)
-            for begin, end in _runs(batch, cells.schema.names):
+            for begin, end in runs(batch, cells.schema.names):
                 cell = tuple(cells.slice(begin, 1).to_pylist()[0].values())
                 if cell != at:
                     at, held = cell, _Held()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import lines as L
 from ..functions import prompts
@@ -33,18 +36,89 @@ def parsed(answers: DataFrame, name: str) -> DataFrame:
     return found.withColumn("decoded_ok", F.col("found").isNotNull() | (F.trim(F.coalesce("text", F.lit(""))) == ""))
 
 
+def _read(key: list[str]):
+    """Features (source_index, feature) of texts that stream by in parts, in the order of key and part, and a row without them for each text: whether it is settled, and decoded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, answer, n, schema, waiting = None, None, 0, None, ([], [])
+
+        def made(index: list, found: list, *status: bool | None) -> pa.RecordBatch:
+            rows = {c: [v] * len(found) for c, v in zip(key, at, strict=True)} | {"source_index": index, "feature": found, "settled": status[:1] * len(found), "decoded_ok": status[1:] * len(found)}
+            return pa.RecordBatch.from_pydict(rows, schema)
+
+        def read(told: list[str | None], most: int = 4096) -> Iterator[pa.RecordBatch]:
+            nonlocal n, waiting
+            for feature in told:
+                if feature is not None:
+                    waiting[0].append(n)
+                    waiting[1].append(feature)
+                n += 1
+                if len(waiting[0]) >= most:
+                    yield made(*waiting, None, None)
+                    waiting = ([], [])
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            nonlocal waiting
+            if answer is not None:
+                yield from read(answer.ended())
+                yield made(*waiting, None, None)
+                waiting = ([], [])
+                yield made([None], [None], answer.settled, answer.decoded)
+
+        for batch in batches:
+            schema = schema or pa.schema([*(batch.schema.field(c) for c in key), ("source_index", pa.int32()), ("feature", pa.string()), ("settled", pa.bool_()), ("decoded_ok", pa.bool_())])
+            for begin, end in match.runs(batch, key):
+                of = tuple(batch.slice(begin, 1).select(key).to_pylist()[0].values())
+                if of != at:
+                    yield from closed()
+                    at, answer, n = of, P.Answer(), 0
+                for k in range(begin, end):
+                    yield from read(answer.feed(batch["text"][k].as_py()))
+        yield from closed()
+
+    return run
+
+
+def answered(answers: DataFrame, name: str, steps: Steps) -> tuple[DataFrame, DataFrame]:
+    """Of answers (sample_id, tile_index, text, and part where a text comes in several rows): sample_id, tile_index, decoded_ok; and their features (source_index, feature). Plain collections are read as they stream by; only other texts are put together
+    and ``parsed`` as a whole."""
+    key = ["sample_id", "tile_index"]
+    pieces = answers.select(*key, F.col("part") if "part" in answers.columns else F.lit(0).alias("part"), F.coalesce("text", F.lit("")).alias("text"))
+    pieces = steps.kept(pieces, "pieces")
+    tasks = int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pieces.repartition(tasks, *key).sortWithinPartitions(*key, "part").select(*key, "text")
+    schema = StructType([*(rows.schema[c] for c in key), *StructType.fromDDL("source_index int, feature string, settled boolean, decoded_ok boolean").fields])
+    told = steps.kept(rows.mapInArrow(_read(key), schema), "told")
+    status = told.where("source_index is null")
+    whole = pieces.join(status.where("not settled").select(*key), key, "left_semi").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("all"))
+    whole = steps.kept(parsed(whole.select(*key, F.array_join(F.transform("all", lambda x: x["text"]), "").alias("text")), name), "whole")
+    steps.drop("pieces")
+    read = status.where("settled").select(*key, "decoded_ok").unionByName(whole.select(*key, "decoded_ok"))
+    plain = told.where("source_index is not null").join(status.where("settled").select(*key), key, "left_semi")
+    # numbers are written as ``collection`` writes them
+    plain = plain.select(*key, "source_index", F.coalesce(F.to_json(F.try_parse_json("feature")), "feature").alias("feature"))
+    return read, plain.unionByName(geojson.elements(whole.where("found is not null").select(*key, F.col("found").alias("text"))))
+
+
 def predict(answers: DataFrame, tiles: DataFrame, rasters: DataFrame, name: str, raster_crs: str, source_crs: str | None, margin: int = 128, interval: float | None = None, most: int = 32, distance: float = 1.0, places: int | None = None, geometry: str = "linestring", least: int | None = None, iou: float = 0.5) -> Prediction:
     """Features of the answers to each tile (a table replays a model): the answer's collection in pixels, what lies in the keep box merged tile by tile in scan order (lines; a polygon is always a new feature), and near-duplicates
-    dropped: lines within ``distance`` metres, polygons that overlap with at least ``iou``. ``tiles``: as ``tiles.scan_order`` gives them. ``places`` rounds pixels. Without ``source_crs`` an answer's own system counts."""
+    dropped: lines within ``distance`` metres, polygons that overlap with at least ``iou``. ``tiles``: as ``tiles.scan_order`` gives them. ``places`` rounds pixels. Without ``source_crs`` an answer's own system counts, and an answer
+    must be one row; else it may come in parts (``answered``)."""
     from ..operators.tiles import state_regions
 
     steps = Steps(answers.sparkSession)
     area = geometry == "polygon"
     least = least or (3 if area else 2)
-    read = steps.kept(parsed(answers, name), "read")
     box = tiles.select("sample_id", "tile_index", *(f"keep_{c}" for c in prepare.BOX))
-    texts = read.where("found is not null").select("sample_id", "tile_index", F.col("found").alias("text")).join(rasters.select("sample_id", "a", "c", "e", "f"), "sample_id")
-    features = geojson.ingest(texts, geometry, least, raster_crs, source_crs).join(box, ["sample_id", "tile_index"]).withColumnRenamed("source_index", "feature_id")
+    scales = rasters.select("sample_id", "a", "c", "e", "f")
+    if source_crs is None:
+        read = steps.kept(parsed(answers, name), "read")
+        texts = read.where("found is not null").select("sample_id", "tile_index", F.col("found").alias("text"))
+        features = geojson.ingest(texts.join(scales, "sample_id"), geometry, least, raster_crs)
+    else:
+        read, found = answered(answers, name, steps)
+        features = geojson.ingest_elements(found.join(scales, "sample_id"), geometry, least, raster_crs, source_crs)
+    features = features.join(box, ["sample_id", "tile_index"]).withColumnRenamed("source_index", "feature_id")
     if places is not None:
         rounded = lambda p: L.point(F.round(p["x"], places), F.round(p["y"], places))
         features = features.withColumn("line", F.transform("line", rounded))

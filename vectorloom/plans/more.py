@@ -185,6 +185,11 @@ def ring_dedup(s, d):
     return jobs.dedup_areas(own("fx_point", 0).unionByName(own("fx_pred", 1)), _raster(s, d), 0.69).select("sample_id", "id")
 
 
+def _opened(scan: DataFrame) -> DataFrame:
+    """What an answer to each tile begins with, as its part 0."""
+    return scan.select("sample_id", "tile_index", F.lit(0).cast("long").alias("part"), F.when(F.col("tile_index") % 5 == 3, "Answer {cut: ").otherwise("").alias("text"))
+
+
 def predict_areas(s, d):
     """Answers with polygons to final features, counted by sample; tiles three after a multiple of five are answered by prose that is cut off."""
     from ..sources import geojson
@@ -192,9 +197,8 @@ def predict_areas(s, d):
     scan, ribbons = _scan(s, d), _ribbons(s, d)
     e = ribbons.withColumn("e", L.envelope(F.col("line"))).select("sample_id", "id", *(F.col(f"e.{c}").alias(f"r{c}") for c in prepare.BOX))
     near = tiles.features_in_tiles(scan, e).select("sample_id", "tile_index", "id").join(ribbons, ["sample_id", "id"]).withColumn("props", F.format_string('{"Id":"L%d"}', "id"))
-    told = geojson.emit(near.join(_raster(s, d), "sample_id"), ["sample_id", "tile_index"], "Intersection", "polygon", UTM, UTM)
-    text = F.when(F.col("tile_index") % 5 == 3, "Answer {cut: ").otherwise(F.coalesce("geojson", F.lit("")))
-    said = scan.select("sample_id", "tile_index").join(told, ["sample_id", "tile_index"], "left").select("sample_id", "tile_index", text.alias("text"))
+    told = geojson.emit_parts(near.where("tile_index % 5 <> 3").join(_raster(s, d), "sample_id"), ["sample_id", "tile_index"], "Intersection", "polygon", UTM, UTM)
+    said = _opened(scan).unionByName(told.drop("last"))
     p = jobs.predict(said, scan, _raster(s, d), "Intersection", UTM, UTM, places=6, geometry="polygon")
     per = p.tiles.groupBy("sample_id").agg(F.count_if("decoded_ok").alias("decoded_ok_count"), F.sum("n_features").alias("n_pred"), F.sum("n_kept").alias("n_kept"))
     return per.join(p.final.groupBy("sample_id").agg(F.count("*").alias("n_final")), "sample_id", "left").fillna(0, ["n_final"])
@@ -223,15 +227,16 @@ def dedup_lines(s, d):
 
 
 def answers(s, d) -> DataFrame:
-    """A model's answers as a table: each tile's features as GeoJSON within prose; every fifth answer is cut off, tiles without features are answered by nothing."""
+    """A model's answers as a table, in parts: each tile's features as GeoJSON within prose; every fifth answer is cut off, tiles without features are answered by nothing."""
     from ..sources import geojson
 
     scan = _scan(s, d)
     near = tiles.features_in_tiles(scan, _envelopes(s, d)).select("sample_id", "tile_index", "feature_id")
     rows = _named(near.join(_lines(s, d), ["sample_id", "feature_id"])).join(_raster(s, d), "sample_id")
-    told = geojson.emit(rows, ["sample_id", "tile_index"], "Lane", "linestring", UTM, UTM)
-    text = F.when(F.col("tile_index") % 5 == 3, F.concat(F.lit("Answer {cut: "), F.substring(F.coalesce("geojson", F.lit("")), 1, 60))).otherwise(F.coalesce(F.concat(F.lit("Answer: "), "geojson", F.lit(" end")), F.lit("")))
-    return scan.select("sample_id", "tile_index").join(told, ["sample_id", "tile_index"], "left").select("sample_id", "tile_index", text.alias("text"))
+    told = geojson.emit_parts(rows, ["sample_id", "tile_index"], "Lane", "linestring", UTM, UTM).where("tile_index % 5 <> 3 or part = 1")
+    whole = F.concat(F.when(F.col("part") == 1, "Answer: ").otherwise(""), "text", F.when(F.col("last"), " end").otherwise(""))
+    text = F.when(F.col("tile_index") % 5 == 3, F.substring("text", 1, 60)).otherwise(whole)
+    return _opened(scan).unionByName(told.select("sample_id", "tile_index", "part", text.alias("text")))
 
 
 def _predicted(s, d) -> jobs.Prediction:
